@@ -1,0 +1,24 @@
+"""Cutting the children of very large parents into parts."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PART_BITS = 20
+PART_ROWS = 1 << PART_BITS
+
+
+def with_part(children: DataFrame, parent: str, row_id: str, part_bits: int = PART_BITS) -> DataFrame:
+    """Add `part`: 0, or a 1-based id range for a parent with more than 2^part_bits children.
+
+    A part therefore never collects more than 2^part_bits rows. The list of such parents is
+    broadcast: there can be at most rows / 2^part_bits of them, one long each, which is 8 MB for a
+    table of 10^12 rows.
+    """
+    large = (
+        children.groupBy(parent)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > (1 << part_bits))
+        .select(parent, F.lit(True).alias("_large"))
+    )
+    part: Column = F.when(F.col("_large"), F.shiftright(row_id, part_bits) + 1).otherwise(F.lit(0).cast("bigint"))
+    return children.join(F.broadcast(large), parent, "left").withColumn("part", part).drop("_large")
