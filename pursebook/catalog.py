@@ -247,8 +247,13 @@ def edit_verdicts(led: Ledger) -> DataFrame:
     )
 
 
+def _settled(led: Ledger) -> DataFrame:
+    """The verdicts as a written table: the steps after them read it more than once."""
+    return led.written("edit_verdicts", edit_verdicts)
+
+
 def _deletion(led: Ledger) -> edits.Deletion:
-    deleted = edit_verdicts(led).where("verdict = 'deleted'")
+    deleted = _settled(led).where("verdict = 'deleted'")
     return edits.delete_transactions(
         led["transactions"], led["transaction_amounts"], led["transaction_tags"], deleted
     )
@@ -272,7 +277,7 @@ def _edited(led: Ledger) -> edits.EditedLedger:
         led["transaction_tags"],
         led["transaction_patches"],
         led["amount_patches"],
-        edit_verdicts(led),
+        _settled(led),
     )
 
 
@@ -286,7 +291,10 @@ def edited_ledger(led: Ledger) -> DataFrame:
 @registered
 def edit_deltas(led: Ledger) -> DataFrame:
     edited = _edited(led)
-    return edits.edit_deltas(led["transaction_amounts"], edited.amounts, led["transactions"], edited.transactions)
+    touched = _settled(led).where("verdict in ('ok', 'deleted')")
+    return edits.edit_deltas(
+        led["transaction_amounts"], edited.amounts, led["transactions"], edited.transactions, touched
+    )
 
 
 # --- search and documents --------------------------------------------------------------------
@@ -624,7 +632,7 @@ def stream_split_validation(led: Ledger) -> DataFrame:
 def stream_friendship_state(led: Ledger) -> DataFrame:
     """Straight from the event table."""
     events = led["events"]
-    feed = led.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(led.folder)
+    feed = led.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", 1 << 30).parquet(led.folder)
     states = live_friendships.stream_friendship_state(friend_actions_from(feed))
     return live_friendships.run_friendship_state(states, run_folder(led.spark, "stream-friendships"))
 

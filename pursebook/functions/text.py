@@ -9,10 +9,10 @@ TRIMMED = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 # ... what a user name may hold ...
-USERNAME_PATTERN = "^[a-zA-Z0-9_]+$"
+USERNAME_PATTERN = r"^[a-zA-Z0-9_]+\z"
 USERNAME_LENGTH = (3, 255)
-# ... and the shape of an e-mail address.
-EMAIL_PATTERN = r"(?i)^(?!\.)(?!.*\.\.)([A-Z0-9_'+\-\.]*)[A-Z0-9_+-]@([A-Z0-9][A-Z0-9\-]*\.)+[A-Z]{2,}$"
+# ... and the shape of an e-mail address. (\z because $ would let a final line break pass.)
+EMAIL_PATTERN = r"(?i)^(?!\.)(?!.*\.\.)([A-Z0-9_'+\-\.]*)[A-Z0-9_+-]@([A-Z0-9][A-Z0-9\-]*\.)+[A-Z]{2,}\z"
 
 
 def same_tag(tag: Column | str) -> Column:

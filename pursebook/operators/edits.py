@@ -67,19 +67,20 @@ def apply_amount_patches(amounts: DataFrame, amount_patches: DataFrame, patches:
     """Amounts after the edits. Where a list is given it replaces the old one: rows it names are
     changed field by field, rows it does not name are gone, rows without id are new (their id stays
     NULL until they are stored)."""
-    replaced = _replaced(patches)
-    listed = amount_patches.join(replaced, "transaction_id", "left_semi")
-    untouched = amounts.join(replaced, "transaction_id", "left_anti").select(*amounts.columns)
-    changed = amounts.join(_merged_patches(listed), ["transaction_id", "id"]).select(
+    replaced = _replaced(patches).withColumn("_replaced", F.lit(True))
+    merged = _merged_patches(amount_patches).withColumn("_named", F.lit(True))
+    matched = amounts.join(merged, ["transaction_id", "id"], "left").join(replaced, "transaction_id", "left")
+    kept = matched.where(F.col("_replaced").isNull() | F.col("_named")).select(
         "id",
         "transaction_id",
         *[
-            F.coalesce(f"_{name}", name).alias(name)
+            F.coalesce(F.when(F.col("_replaced"), F.col(f"_{name}")), F.col(name)).alias(name)
             for name in ("account_id", "account_name", "amount_to_pay", "amount_paid")
         ],
         "created_on",
     )
-    new = listed.where(F.col("id").isNull()).select(
+    listed = amount_patches.where(F.col("id").isNull()).join(replaced, "transaction_id", "left_semi")
+    new = listed.select(
         "id",
         "transaction_id",
         "account_id",
@@ -88,7 +89,7 @@ def apply_amount_patches(amounts: DataFrame, amount_patches: DataFrame, patches:
         F.col("amount_paid").cast(MONEY).alias("amount_paid"),
         F.lit(None).cast("timestamp_ntz").alias("created_on"),
     )
-    return untouched.unionByName(changed).unionByName(new)
+    return kept.unionByName(new)
 
 
 def amount_patch_rejects(
@@ -245,7 +246,10 @@ def edited_ledger(
     amount_patches: DataFrame,
     verdicts: DataFrame,
 ) -> EditedLedger:
-    """The ledger after the edits that passed; refused edits leave it as it was."""
+    """The ledger after the edits that passed; refused edits leave it as it was.
+
+    `verdicts` is read several times: hand in a table that was written, not a plan.
+    """
     accepted = patches.join(verdicts.where("verdict in ('ok', 'deleted')"), "transaction_id", "left_semi")
     deleted = verdicts.where("verdict = 'deleted'").select("transaction_id")
     headers = apply_transaction_patches(transactions, accepted)
@@ -259,12 +263,15 @@ def edited_ledger(
     )
 
 
-def edit_deltas(before: DataFrame, after: DataFrame, old_headers: DataFrame, new_headers: DataFrame) -> DataFrame:
-    """Balance change per account between two states of the ledger.
+def edit_deltas(
+    before: DataFrame, after: DataFrame, old_headers: DataFrame, new_headers: DataFrame, touched: DataFrame
+) -> DataFrame:
+    """Balance change per account between two states of the `touched(transaction_id)` transactions.
 
     Header direction and amounts may change in one edit, so the signed rows of both states are
     compared, each with its own headers; rows that are the same in both cancel out.
     """
+    touched = touched.select("transaction_id")
 
     def effect(rows: DataFrame, headers: DataFrame, sign: int) -> DataFrame:
         directions = headers.select(F.col("id").alias("transaction_id"), "is_income")
@@ -272,6 +279,7 @@ def edit_deltas(before: DataFrame, after: DataFrame, old_headers: DataFrame, new
         return (
             rows.where(F.col("account_id").isNotNull())
             .select("transaction_id", "account_id", "amount_paid")
+            .join(touched, "transaction_id", "left_semi")
             .join(directions, "transaction_id")
             .groupBy("account_id")
             .agg((total(paid) * F.lit(sign)).alias("delta"))

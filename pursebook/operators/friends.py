@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.text import blank
+from pursebook.functions.times import hour_number
 from pursebook.operators.users import identifier_lookup
 from pursebook.plans.claims import with_first_claim
 from pursebook.plans.ordered import newest_first
@@ -79,23 +80,21 @@ def friend_request_admission(
     """Verdict on each `(seq, user_id, identifier)`; inside the batch the first of a pair wins."""
     found = identifier_lookup(new_requests, users).withColumnRenamed("found_id", "friend_id")
     pair = found.withColumn("lo", F.least("user_id", "friend_id")).withColumn("hi", F.greatest("user_id", "friend_id"))
+    # What is stored refuses all requests of a pair alike, so its first request is the one to admit.
+    claimed = with_first_claim(pair.where(F.col("friend_id").isNotNull()), ["lo", "hi"])
     edges = friend_pairs(friends).withColumn("_edge", F.lit(True))
     pending = friend_pairs(requests).withColumn("_pending", F.lit(True))
-    looked_up = pair.join(edges, ["lo", "hi"], "left").join(pending, ["lo", "hi"], "left")
-    refusal = (
-        F.when(blank(F.col("identifier")), "empty")
-        .when(F.col("friend_id").isNull(), "not_found")
-        .when(F.col("friend_id") == F.col("user_id"), "to_oneself")
+    looked_up = claimed.join(edges, ["lo", "hi"], "left").join(pending, ["lo", "hi"], "left")
+    verdict = (
+        F.when(F.col("friend_id") == F.col("user_id"), "to_oneself")
         .when(F.col("_edge"), "already_friends")
-        .when(F.col("_pending"), "pending")
+        .when(F.col("_pending") | ~F.col("is_first"), "pending")
+        .otherwise("accepted")
     )
-    judged = with_first_claim(looked_up.withColumn("_refusal", refusal), ["lo", "hi"], F.col("_refusal").isNull())
-    return judged.select(
-        "seq",
-        "user_id",
-        "identifier",
-        "friend_id",
-        F.coalesce("_refusal", F.when(F.col("is_first"), "accepted"), F.lit("pending")).alias("verdict"),
+    unknown = F.when(blank(F.col("identifier")), "empty").otherwise("not_found")
+    columns = ("seq", "user_id", "identifier", "friend_id")
+    return looked_up.select(*columns, verdict.alias("verdict")).unionByName(
+        found.where(F.col("friend_id").isNull()).select(*columns, unknown.alias("verdict"))
     )
 
 
@@ -156,9 +155,10 @@ def remove_friends(friends: DataFrame, removals: DataFrame) -> Removal:
         "hi", F.greatest("user_id", "friend_id")
     )
     edges = friend_pairs(friends).withColumn("_edge", F.lit(True))
-    judged = with_first_claim(asked.join(edges, ["lo", "hi"], "left"), ["lo", "hi"], F.col("_edge").isNotNull())
+    judged = with_first_claim(asked, ["lo", "hi"]).join(edges, ["lo", "hi"], "left")
+    done = F.col("is_first") & F.col("_edge").isNotNull()
     verdicts = judged.select(
-        "seq", "user_id", "friend_id", F.when(F.col("is_first"), "removed").otherwise("not_friends").alias("verdict")
+        "seq", "user_id", "friend_id", F.when(done, "removed").otherwise("not_friends").alias("verdict")
     )
     ended = friend_pairs(removals)
     kept = (
@@ -221,7 +221,7 @@ def friendship_replay(friend_actions: DataFrame) -> DataFrame:
         friend_actions.where(F.col("actor_id") != F.col("target_id"))
         .withColumn("lo", F.least("actor_id", "target_id"))
         .withColumn("hi", F.greatest("actor_id", "target_id"))
-        .withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")))
+        .withColumn("hour", hour_number("ts"))
         .withColumn("effect", _effect())
     )
     by_hour = actions.groupBy("lo", "hi", "hour").agg(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pursebook.functions.money import total
 from pursebook.functions.text import same_tag
+from pursebook.functions.times import month
 
 
 def _reported(transactions: DataFrame, amounts: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def _reported(transactions: DataFrame, amounts: DataFrame, accounts: DataFrame)
         F.col("id").alias("transaction_id"),
         "category",
         "is_income",
-        F.date_trunc("month", F.col("created_on")).cast("timestamp_ntz").alias("month"),
+        month("created_on").alias("month"),
     )
     owners = accounts.select(F.col("id").alias("account_id"), "user_id")
     return (

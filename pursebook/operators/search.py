@@ -7,6 +7,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pursebook.functions.times import moment
 from pursebook.plans.ordered import newest_first
 
 PAGE_LIMIT = 20
@@ -42,9 +43,9 @@ def _header_filter(start: datetime | None, end: datetime | None, category: str |
     when = F.col("created_on")
     given = []
     if start is not None:
-        given.append(when >= F.lit(start).cast("timestamp_ntz"))
+        given.append(when >= moment(start))
     if end is not None:
-        given.append(when <= F.lit(end).cast("timestamp_ntz"))
+        given.append(when <= moment(end))
     if category:
         given.append(F.col("category") == category)
     return reduce(and_, given, F.lit(True))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.text import blank, is_email, is_username
+from pursebook.functions.times import whole_second
 from pursebook.sources.workspace import checkpointed
 
 
@@ -101,24 +102,21 @@ def session_claims_audit(
 ) -> DataFrame:
     """First reason a session is refused at time `now`, or `valid`; times count in whole seconds."""
 
-    def second(moment: str | Column) -> Column:
-        return F.date_trunc("second", moment)
-
     known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))
     changes = modified.groupBy("user_id").agg(F.max("modified_on").alias("_modified_on"))
     wrong = F.coalesce(F.col("user_id"), F.lit(0)) <= 0
     verdict = (
         F.when(F.col("expires_at").isNull(), "no_expiry")
         .when(F.col("issued_at").isNull(), "no_issue_time")
-        .when(second("expires_at") < second(now), "expired")
-        .when(second("issued_at") > second(now), "not_yet_valid")
+        .when(whole_second("expires_at") < whole_second(now), "expired")
+        .when(whole_second("issued_at") > whole_second(now), "not_yet_valid")
         .when(wrong | blank(F.col("user_name")) | F.col("email").isNull(), "missing_claims")
     )
     if refresh_required:
         verdict = verdict.when(~F.coalesce("refresh", F.lit(False)), "not_refresh")
     verdict = (
         verdict.when(F.col("_known").isNull(), "unknown_user")
-        .when(second("_modified_on") > second("issued_at"), "user_changed")
+        .when(whole_second("_modified_on") > whole_second("issued_at"), "user_changed")
         .otherwise("valid")
     )
     return (

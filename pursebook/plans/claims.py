@@ -4,13 +4,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def with_first_claim(requests: DataFrame, keys: list[str], eligible: Column, order: str = "seq") -> DataFrame:
-    """Mark with `is_first` the earliest eligible request of every key.
+def with_first_claim(
+    requests: DataFrame, keys: list[str], eligible: Column | None = None, order: str = "seq"
+) -> DataFrame:
+    """Mark with `is_first` the earliest (eligible) request of every key.
 
     The winner is a grouped minimum, combined before the shuffle, so a key that most of the
     requests fight over costs no more than any other.
     """
-    winners = requests.where(eligible).groupBy(*keys).agg(F.min(order).alias("_winner"))
+    winners = (requests if eligible is None else requests.where(eligible)).groupBy(*keys).agg(F.min(order).alias("_winner"))
     return (
         requests.join(winners, keys, "left")
         .withColumn("is_first", F.coalesce(F.col(order) == F.col("_winner"), F.lit(False)))

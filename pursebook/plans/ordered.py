@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pursebook.functions.times import day_number
+
 # Ids of one block differ only in their low bits, so it holds at most 2^BLOCK_BITS rows.
 BLOCK_BITS = 16
 
@@ -19,7 +21,7 @@ def id_block(row_id: Column | str) -> Column:
 
 
 def newest_day_first(moment: Column | str) -> Column:
-    return -F.unix_date(F.to_date(moment))
+    return -day_number(moment)
 
 
 def with_earlier_totals(

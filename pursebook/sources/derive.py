@@ -30,13 +30,14 @@ class Ledger:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name in GIVEN:
-            return self.given(name)
+        return self.given(name) if name in GIVEN else self.written(name, TABLES[name])
+
+    def written(self, name: str, make: Callable[["Ledger"], DataFrame]) -> DataFrame:
+        """A table that is made and written once, then read."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in Ledger._written:
             path = run_folder(self.spark, f"ledger-{name}")
-            rows = TABLES[name](self)
-            rows.write.parquet(path)
+            make(self).write.parquet(path)
             Ledger._written[key] = path
         return self.spark.read.parquet(Ledger._written[key])
 

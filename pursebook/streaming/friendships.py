@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pursebook.operators.friends import action_effects
+from pursebook.functions.times import micros
+from pursebook.operators.friends import UNCHANGED, action_effects
 from pursebook.streaming.sink import write_batches
 
 _PAIR = "lo long, hi long, state int, late long"
@@ -20,30 +21,34 @@ def stream_friendship_state(friend_actions: DataFrame) -> DataFrame:
     its pair is counted and ignored. What a task holds of a pair is at most its share of one
     micro-batch, which the source's maxFilesPerTrigger or maxBytesPerTrigger bounds.
     """
-    effects = {f"{action}:{by_lower}": follows for (action, by_lower), follows in action_effects().items()}
+    known = action_effects()
+    kinds = sorted({action for action, _ in known})
+    unchanged = UNCHANGED
+    # An action's effect is numbered: twice its place among the kinds, plus one if by the lower id.
+    effects = [known.get((kind, by_lower), unchanged) for kind in [None, *kinds] for by_lower in (False, True)]
 
     def advance(pair: tuple, batches: Iterator, kept: GroupState) -> Iterator:
         import pandas as pd
 
         state, last_micros, last_seq, late = kept.get if kept.exists else (0, -1, -1, 0)
         actions = pd.concat(list(batches)).sort_values(["micros", "seq"])
-        for micros, seq, effect in zip(actions["micros"], actions["seq"], actions["effect"]):
-            if (micros, seq) <= (last_micros, last_seq):
+        for at, seq, effect in zip(actions["micros"], actions["seq"], actions["effect"]):
+            if (at, seq) <= (last_micros, last_seq):
                 late += 1
                 continue
-            state = effects[effect][state] if effect in effects else state
-            last_micros, last_seq = int(micros), int(seq)
+            state = effects[effect][state]
+            last_micros, last_seq = int(at), int(seq)
         kept.update((int(state), last_micros, last_seq, int(late)))
         yield pd.DataFrame({"lo": [pair[0]], "hi": [pair[1]], "state": [int(state)], "late": [int(late)]})
 
-    by_lower = F.col("actor_id") < F.col("target_id")
-    effect = F.concat("action", F.when(by_lower, F.lit(":True")).otherwise(F.lit(":False")))
+    kind = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("action")), F.lit(0))
+    effect = (kind * 2 + (F.col("actor_id") < F.col("target_id")).cast("int")).cast("tinyint")
     return (
         friend_actions.where(F.col("actor_id") != F.col("target_id"))
         .select(
             F.least("actor_id", "target_id").alias("lo"),
             F.greatest("actor_id", "target_id").alias("hi"),
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+            micros("ts").alias("micros"),
             "seq",
             effect.alias("effect"),
         )
