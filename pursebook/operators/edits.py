@@ -14,6 +14,7 @@ from pursebook.functions.keys import or_scattered
 from pursebook.functions.money import total, unbalanced
 from pursebook.operators.balances import signed_images
 from pursebook.operators.friends import friend_pairs
+from pursebook.plans.skew import join_parent
 from pursebook.schemas import MONEY
 
 HEADER_FIELDS = ("category", "is_income", "include_in_reports", "description", "notes")
@@ -136,7 +137,7 @@ def amount_patch_rejects(
 def post_edit_validation(amounts: DataFrame, patches: DataFrame) -> DataFrame:
     """Verdict on the new amounts of every transaction whose list was replaced."""
     both_or_none = F.col("account_id").isNull() == F.col("account_name").isNull()
-    rows = amounts.join(_replaced(patches), "transaction_id", "left_semi")
+    rows = join_parent(amounts, _replaced(patches), "transaction_id", "account_id", "account_name", how="left_semi")
     checked = (
         rows.groupBy("transaction_id", "account_id", "account_name")
         .agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pursebook.functions.money import total
 from pursebook.functions.text import same_tag
 from pursebook.functions.times import month
+from pursebook.plans.skew import join_parent
 
 
 def _reported(transactions: DataFrame, amounts: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -17,12 +18,8 @@ def _reported(transactions: DataFrame, amounts: DataFrame, accounts: DataFrame)
         month("created_on").alias("month"),
     )
     owners = accounts.select(F.col("id").alias("account_id"), "user_id")
-    return (
-        amounts.where(F.col("account_id").isNotNull())
-        .select("transaction_id", "account_id", "amount_paid")
-        .join(headers, "transaction_id")
-        .join(owners, "account_id")
-    )
+    paid = amounts.where(F.col("account_id").isNotNull()).select("transaction_id", "account_id", "amount_paid")
+    return join_parent(paid, headers, "transaction_id", "account_id").join(owners, "account_id")
 
 
 def report_category_month(transactions: DataFrame, amounts: DataFrame, accounts: DataFrame) -> DataFrame:

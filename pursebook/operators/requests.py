@@ -2,7 +2,7 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.text import blank
@@ -22,12 +22,7 @@ def flatten_requests(requests: DataFrame) -> FlatRequests:
     and tags keep their place in the document as `slot`, and amounts carry the creator, so that
     checking them needs no join back to the header.
     """
-    parsed = requests.select(
-        F.col("request_id").alias("transaction_id"),
-        F.col("user_id").alias("creator_id"),
-        F.col("received_on").alias("created_on"),
-        F.from_json("body", REQUEST_BODY).alias("doc"),
-    )
+    parsed = _parsed(requests)
     headers = parsed.select(
         F.col("transaction_id").alias("id"),
         "creator_id",
@@ -41,23 +36,46 @@ def flatten_requests(requests: DataFrame) -> FlatRequests:
     )
     amounts = parsed.select(
         "transaction_id", "creator_id", "created_on", F.posexplode("doc.amounts").alias("_at", "_amount")
-    ).select(
-        "transaction_id",
-        "creator_id",
+    ).select("transaction_id", "creator_id", *_amount_columns(), "created_on")
+    tags = parsed.select("transaction_id", F.posexplode("doc.tags").alias("_at", "tag")).select(
+        "transaction_id", (F.col("_at") + 1).cast("bigint").alias("slot"), "tag"
+    )
+    return FlatRequests(headers, amounts, tags)
+
+
+def shaped_amounts(requests: DataFrame) -> DataFrame:
+    """The amounts of each request with what is wrong with its document (`shape`), from one parse.
+
+    A request without amounts keeps one row, without an amount.
+    """
+    return (
+        _parsed(requests)
+        .withColumn("shape", _shape_reason())
+        .select("transaction_id", "creator_id", "shape", F.posexplode_outer("doc.amounts").alias("_at", "_amount"))
+        .select("transaction_id", "creator_id", "shape", *_amount_columns())
+    )
+
+
+def _parsed(requests: DataFrame) -> DataFrame:
+    return requests.select(
+        F.col("request_id").alias("transaction_id"),
+        F.col("user_id").alias("creator_id"),
+        F.col("received_on").alias("created_on"),
+        F.from_json("body", REQUEST_BODY).alias("doc"),
+    )
+
+
+def _amount_columns() -> list[Column]:
+    return [
         (F.col("_at") + 1).cast("bigint").alias("slot"),
         F.col("_amount.accountId").alias("account_id"),
         F.col("_amount.accountName").alias("account_name"),
         F.col("_amount.amountToPay").alias("amount_to_pay"),
         F.col("_amount.amountPaid").alias("amount_paid"),
-        "created_on",
-    )
-    tags = parsed.select("transaction_id", F.posexplode("doc.tags").alias("_at", "tag")).select(
-        "transaction_id", (F.col("_at") + 1).cast("bigint").alias("slot"), "tag"
-    )
-    return FlatRequests(headers, amounts, tags)
+    ]
 
 
-def _shape_reason():
+def _shape_reason() -> Column:
     """What is wrong with the document itself; NULL if nothing is."""
     doc = F.col("doc")
     amounts = F.coalesce(doc["amounts"], F.array())

@@ -8,6 +8,7 @@ from pursebook.functions.money import settlement, total, unbalanced
 from pursebook.functions.text import blank
 from pursebook.operators.friends import friend_pairs
 from pursebook.plans.ordered import id_block, with_earlier_totals
+from pursebook.plans.skew import join_parent
 from pursebook.schemas import TOTAL
 
 
@@ -33,17 +34,17 @@ def amount_row_checks(amounts: DataFrame) -> DataFrame:
 
 
 def participants(
-    transactions: DataFrame, amounts: DataFrame, accounts: DataFrame, friends: DataFrame, order: str = "id"
+    transactions: DataFrame | None, amounts: DataFrame, accounts: DataFrame, friends: DataFrame, order: str = "id"
 ) -> DataFrame:
     """Amounts with the owner of the account and what that owner is to the creator.
 
-    Guest rows and rows without a stranger's account have nothing to look up; their keys are
+    Amounts that carry their creator need no transactions. Guest rows and rows without a stranger's account have nothing to look up; their keys are
     scattered instead of left NULL.
     """
     row_id = ("transaction_id", order)
     if "creator_id" not in amounts.columns:
         creators = transactions.select(F.col("id").alias("transaction_id"), "creator_id")
-        amounts = amounts.join(creators, "transaction_id")
+        amounts = join_parent(amounts, creators, "transaction_id", order)
     owners = accounts.select(F.col("id").alias("_account"), F.col("user_id").alias("owner_id"))
     pairs = friend_pairs(friends).select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(True).alias("_edge"))
     other = F.when(F.col("owner_id") != F.col("creator_id"), F.col("owner_id"))
@@ -77,20 +78,32 @@ def split_validation(
     transactions: DataFrame, amounts: DataFrame, accounts: DataFrame, friends: DataFrame, order: str = "id"
 ) -> DataFrame:
     """One verdict per transaction, the first failing check, with all failing checks as an array."""
-    rows = participants(transactions, amounts, accounts, friends, order).withColumn("_reason", _row_reason())
-    checked = rows.groupBy("transaction_id").agg(
+    judged = split_verdicts(participants(transactions, amounts, accounts, friends, order), order)
+    return (
+        transactions.select(F.col("id").alias("transaction_id"))
+        .join(judged, "transaction_id", "left")
+        .select(
+            "transaction_id",
+            F.coalesce("verdict", F.lit("empty")).alias("verdict"),
+            F.coalesce("reasons", F.array(F.lit("empty"))).alias("reasons"),
+        )
+    )
+
+
+def split_verdicts(rows: DataFrame, order: str = "id", kept: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict and reasons of every transaction that has `participants` rows, with its `kept` values."""
+    checked = rows.withColumn("_reason", _row_reason()).groupBy("transaction_id").agg(
         total("amount_paid").alias("_paid"),
         total("amount_to_pay").alias("_to_pay"),
         F.bool_or((F.col("amount_paid") < 0) | (F.col("amount_to_pay") < 0)).alias("_negative"),
         F.bool_or("is_own").alias("_own"),
         F.min(F.when(F.col("_reason").isNotNull(), F.struct(order, "_reason"))).alias("_first"),
         *[F.bool_or(F.coalesce(F.col("_reason") == name, F.lit(False))).alias(f"_{name}") for name in ROW_REASONS],
+        *[F.max(name).alias(name) for name in kept],
     )
     gap = unbalanced(F.col("_paid"), F.col("_to_pay"))
-    empty = F.col("_paid").isNull()
     verdict = (
-        F.when(empty, "empty")
-        .when(F.col("_negative"), "negative")
+        F.when(F.col("_negative"), "negative")
         .when(F.col("_first").isNotNull(), F.col("_first._reason"))
         .when(gap, "unbalanced")
         .when(~F.col("_own"), "no_self")
@@ -98,18 +111,13 @@ def split_validation(
     )
     reasons = F.array_compact(
         F.array(
-            F.when(empty, "empty"),
             F.when(F.col("_negative"), "negative"),
             *[F.when(F.col(f"_{name}"), name) for name in ROW_REASONS],
             F.when(gap, "unbalanced"),
             F.when(~F.col("_own"), "no_self"),
         )
     )
-    return (
-        transactions.select(F.col("id").alias("transaction_id"))
-        .join(checked, "transaction_id", "left")
-        .select("transaction_id", verdict.alias("verdict"), reasons.alias("reasons"))
-    )
+    return checked.select("transaction_id", verdict.alias("verdict"), reasons.alias("reasons"), *kept)
 
 
 def split_remaining(amounts: DataFrame, totals: DataFrame | None = None, order: str = "id") -> DataFrame:

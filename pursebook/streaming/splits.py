@@ -5,24 +5,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pursebook.operators.requests import flatten_requests
-from pursebook.operators.splits import split_validation
+from pursebook.operators.requests import flatten_requests, shaped_amounts
+from pursebook.operators.splits import participants, split_verdicts
 from pursebook.streaming.sink import batch_folder, write_batches
 
 
 def request_verdicts(requests: DataFrame, accounts: DataFrame, friends: DataFrame) -> DataFrame:
     """Verdict per request: first its shape, then how the bill is split."""
-    flat = flatten_requests(requests)
-    return _verdicts(flat.headers, flat.amounts, accounts, friends)
-
-
-def _verdicts(headers: DataFrame, amounts: DataFrame, accounts: DataFrame, friends: DataFrame) -> DataFrame:
-    split = split_validation(headers, amounts, accounts, friends, order="slot")
-    return (
-        headers.select(F.col("id").alias("transaction_id"), "shape")
-        .join(split, "transaction_id")
-        .select("transaction_id", F.coalesce("shape", "verdict").alias("verdict"))
-    )
+    rows = participants(None, shaped_amounts(requests), accounts, friends, order="slot")
+    judged = split_verdicts(rows, order="slot", kept=("shape",))
+    return judged.select("transaction_id", F.coalesce("shape", "verdict").alias("verdict"))
 
 
 def run_split_validation(requests: DataFrame, accounts: DataFrame, friends: DataFrame, folder: str) -> None:
@@ -33,15 +25,14 @@ def run_split_validation(requests: DataFrame, accounts: DataFrame, friends: Data
     """
 
     def outputs(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
-        flat = flatten_requests(batch)
-        yield "verdicts", _verdicts(flat.headers, flat.amounts, accounts, friends)
+        yield "verdicts", request_verdicts(batch, accounts, friends)
         verdicts = batch.sparkSession.read.parquet(batch_folder(folder, "verdicts", batch_id))
-        good = verdicts.where("verdict = 'ok'").select("transaction_id")
-        refused = verdicts.where("verdict <> 'ok'").withColumnRenamed("transaction_id", "request_id")
-        sound = good.withColumnRenamed("transaction_id", "id")
-        yield "headers", flat.headers.drop("shape").join(sound, "id", "left_semi")
-        yield "amounts", flat.amounts.join(good, "transaction_id", "left_semi")
-        yield "tags", flat.tags.join(good, "transaction_id", "left_semi")
-        yield "quarantine", batch.join(refused, "request_id")
+        judged = verdicts.withColumnRenamed("transaction_id", "request_id")
+        # Refused documents are not parsed again.
+        flat = flatten_requests(batch.join(judged.where("verdict = 'ok'"), "request_id", "left_semi"))
+        yield "headers", flat.headers.drop("shape")
+        yield "amounts", flat.amounts
+        yield "tags", flat.tags
+        yield "quarantine", batch.join(judged.where("verdict <> 'ok'"), "request_id")
 
     write_batches(requests, folder, "append", outputs).awaitTermination()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pursebook import catalog
 from pursebook.operators import balances, documents, friends, search, splits, users
 from pursebook.operators.friends import action_effects
-from pursebook.plans import ordered
+from pursebook.plans import ordered, skew
 from pursebook.plans.claims import with_first_claim
 
 DAY = datetime(2024, 1, 1)
@@ -208,3 +208,61 @@ def test_search_filters_reach_the_scan(ledger):
     pushed = [line for line in plan.splitlines() if "EqualTo(category,2-HIGH)" in line]
     assert pushed and "GreaterThanOrEqual(created_on" in pushed[0] and "LessThanOrEqual(created_on" in pushed[0]
     assert "ReadSchema: struct<id:bigint,category:string,created_on:timestamp_ntz>" in plan
+
+
+def test_a_large_parent_is_spread(spark):
+    """Shares of 16 rows: every parent with more is split, and each row still meets its parent once."""
+    rows = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 300).alias("p"))
+    parents = spark.range(250).select(F.col("id").alias("p"), (F.col("id") * 2).alias("twice"))
+    large = {r["p"]: r["_salts"] for r in skew.large_parents(rows, "p", 4).collect()}
+    assert large == {0: 63}
+    for how, expected in (("inner", 2_800), ("left", 3_000), ("left_semi", 2_800)):
+        joined = skew.join_parent(rows, parents, "p", "id", how=how, share_bits=4)
+        assert joined.count() == joined.distinct().count()
+        assert joined.count() == rows.where("p < 250").count() if how != "left" else rows.count()
+    wrong = skew.join_parent(rows, parents, "p", "id", share_bits=4).where("twice <> 2 * p")
+    assert wrong.count() == 0
+
+
+def test_a_large_parent_meets_in_no_single_task(spark):
+    rows = spark.range(50_000).select("id", F.when(F.col("id") < 60_000, 1).otherwise(2).cast("bigint").alias("p"))
+    parents = spark.range(3).select(F.col("id").alias("p"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = skew.join_parent(rows, parents, "p", "id", share_bits=8)
+        tasks = joined.groupBy(F.spark_partition_id().alias("task")).count().toPandas()
+        grouped = joined.groupBy("p").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) == 4 and tasks["count"].max() < 20_000
+    assert "hashpartitioning(p" in grouped and grouped.count("HashAggregate(keys=[p") >= 2
+
+
+def test_a_hot_account_is_split_at_run_time(spark, ledger):
+    """With thresholds made for small data, the skewed side of the join is cut into several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    rows = spark.range(200_000).repartition(8).select(
+        "id",
+        F.lit(1).cast("bigint").alias("transaction_id"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5_000).alias("account_id"),
+    )
+    accounts = spark.range(5_000).select("id", F.col("id").alias("user_id"))
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        seen = search.visible_transactions(rows, accounts)
+        assert len(seen.collect()) == 5_000
+        assert "skew=true" in seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
