@@ -361,12 +361,7 @@ def transaction_page(led: Ledger) -> DataFrame:
     return search.transaction_page(found, page=3, limit=5)
 
 
-@registered
-def transaction_documents(led: Ledger) -> DataFrame:
-    nested = documents.transaction_documents(
-        led["transactions"], led["transaction_amounts"], led["transaction_tags"]
-    )
-
+def _flat(nested: DataFrame, *first: str) -> DataFrame:
     def amount_text(a: Column) -> Column:
         payer = F.coalesce(a["account_id"].cast("string"), a["account_name"])
         return F.concat_ws(
@@ -374,6 +369,7 @@ def transaction_documents(led: Ledger) -> DataFrame:
         )
 
     return nested.select(
+        *first,
         "transaction_id",
         "category",
         "is_income",
@@ -385,6 +381,21 @@ def transaction_documents(led: Ledger) -> DataFrame:
     )
 
 
+@registered
+def transaction_documents(led: Ledger) -> DataFrame:
+    return _flat(
+        documents.transaction_documents(led["transactions"], led["transaction_amounts"], led["transaction_tags"])
+    )
+
+
+@registered
+def transaction_list(led: Ledger) -> DataFrame:
+    """Second page of five of user 1, filled."""
+    tables = led["transactions"], led["transaction_amounts"], led["transaction_tags"]
+    found = search.transaction_search(led["transactions"], led["transaction_amounts"], led["accounts"], user_id=1)
+    return _flat(documents.transaction_list(found, *tables, page=2, limit=5), "page", "limit", "total")
+
+
 def _creator_views(led: Ledger) -> DataFrame:
     return led["transactions"].select(F.col("creator_id").alias("viewer_id"), F.col("id").alias("transaction_id"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pursebook.functions.keys import or_scattered
 from pursebook.operators.friends import friend_pairs
+from pursebook.operators.search import PAGE_LIMIT, transaction_page
 from pursebook.plans.parts import PART_BITS, with_part
 
 
@@ -48,6 +49,34 @@ def transaction_documents(
     )
 
 
+# A page of at most this many rows is broadcast to the tables it is filled from.
+BROADCAST_PAGE = 10_000
+
+
+def transaction_list(
+    found: DataFrame, transactions: DataFrame, amounts: DataFrame, tags: DataFrame, page: int = 1, limit: int = PAGE_LIMIT
+) -> DataFrame:
+    """One page of one user's search as documents, with `page`, `limit` and the `total` found.
+
+    The page is cut first; its ids then pick the children, so that no child table is shuffled.
+    """
+    ids = transaction_page(found, page, limit).select("id")
+    if limit <= BROADCAST_PAGE:
+        ids = F.broadcast(ids)
+    by_parent = ids.select(F.col("id").alias("transaction_id"))
+    filled = transaction_documents(
+        transactions.join(ids, "id", "left_semi").select(*transactions.columns),
+        amounts.join(F.broadcast(by_parent) if limit <= BROADCAST_PAGE else by_parent, "transaction_id", "left_semi"),
+        tags.join(F.broadcast(by_parent) if limit <= BROADCAST_PAGE else by_parent, "transaction_id", "left_semi"),
+    )
+    return filled.select(
+        F.lit(page).alias("page"),
+        F.lit(limit).alias("limit"),
+        found.select(F.count(F.lit(1))).scalar().alias("total"),
+        *filled.columns,
+    )
+
+
 def tag_list_text(tags: DataFrame, part_bits: int = PART_BITS) -> DataFrame:
     """The tags of a transaction joined with ", " in id order; very long lists come in parts."""
     nested = _nested(tags.select("transaction_id", "id", "tag"), "tags", part_bits)

@@ -42,11 +42,15 @@ def friend_list(friends: DataFrame, users: DataFrame, user_id: int | None = None
     """Friends with their names, newest first: the place for everybody, a sorted list for one user."""
     if user_id is not None:
         friends = friends.where((F.col("user_id") == user_id) | (F.col("friend_id") == user_id))
-    listed = both_directions(friends).join(_names(users, "friend_id"), "friend_id")
-    listed = listed.select("user_id", "friend_id", "username", "created_on")
+    listed, names = both_directions(friends), _names(users, "friend_id")
     if user_id is not None:
-        return listed.where(F.col("user_id") == user_id).orderBy(F.desc("created_on"), F.desc("friend_id"))
-    return newest_first(listed, "user_id", "friend_id")
+        listed = listed.where(F.col("user_id") == user_id).join(names, "friend_id")
+        return listed.select("user_id", "friend_id", "username", "created_on").orderBy(
+            F.desc("created_on"), F.desc("friend_id")
+        )
+    # Placed before the names are joined: every friend is a stored user, so none is lost after.
+    placed = newest_first(listed, "user_id", "friend_id").join(names, "friend_id")
+    return placed.select("user_id", "friend_id", "username", "created_on", "position")
 
 
 def are_friends(pairs: DataFrame, friends: DataFrame) -> DataFrame:
@@ -67,11 +71,12 @@ def incoming_requests(requests: DataFrame, users: DataFrame, user_id: int | None
     )
     if user_id is not None:
         received = received.where(F.col("user_id") == user_id)
-    named = received.join(_names(users, "sender_id"), "sender_id")
-    named = named.select("user_id", "sender_id", "username", "created_on")
+    names = _names(users, "sender_id")
     if user_id is not None:
+        named = received.join(names, "sender_id").select("user_id", "sender_id", "username", "created_on")
         return named.orderBy(F.desc("created_on"), F.desc("sender_id"))
-    return newest_first(named, "user_id", "sender_id")
+    placed = newest_first(received, "user_id", "sender_id").join(names, "sender_id")
+    return placed.select("user_id", "sender_id", "username", "created_on", "position")
 
 
 def friend_request_admission(
@@ -261,6 +266,13 @@ def delete_users_cascade(
     )
 
 
+def friend_picker(friends: DataFrame, users: DataFrame, accounts: DataFrame, user_id: int) -> DataFrame:
+    """The accounts of one user's friends, as offered when a bill is split; friends without any are left out."""
+    listed = friend_list(friends, users, user_id).select("friend_id", "username")
+    owned = accounts.select(F.col("user_id").alias("friend_id"), F.col("id").alias("account_id"), "name")
+    return listed.join(owned, "friend_id").select("friend_id", "username", "account_id", "name")
+
+
 def friend_directory(
     friends: DataFrame, users: DataFrame, accounts: DataFrame, user_id: int | None = None
 ) -> DataFrame:

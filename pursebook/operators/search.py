@@ -51,6 +51,16 @@ def _header_filter(start: datetime | None, end: datetime | None, category: str |
     return reduce(and_, given, F.lit(True))
 
 
+def _month_filter(start: datetime | None, end: datetime | None) -> Column:
+    """The same bounds on the month folders of a table laid out by month, so that others are not read."""
+    given = []
+    if start is not None:
+        given.append(F.col("month") >= F.date_format(moment(start), "yyyy-MM"))
+    if end is not None:
+        given.append(F.col("month") <= F.date_format(moment(end), "yyyy-MM"))
+    return reduce(and_, given, F.lit(True))
+
+
 def transaction_search(
     transactions: DataFrame,
     amounts: DataFrame,
@@ -65,7 +75,10 @@ def transaction_search(
     wanted_tags: list[str] | None = None,
 ) -> DataFrame:
     """Distinct (user_id, id, created_on) for one user or for all; every filter is optional, all must hold."""
-    headers = transactions.where(_header_filter(start, end, category)).select("id", "created_on")
+    wanted = _header_filter(start, end, category)
+    if "month" in transactions.columns:
+        wanted = wanted & _month_filter(start, end)
+    headers = transactions.where(wanted).select("id", "created_on")
     if wanted_tags:
         tagged = transactions_with_all_tags(tags, wanted_tags).withColumnRenamed("transaction_id", "id")
         headers = headers.join(tagged, "id", "left_semi")

@@ -585,6 +585,18 @@ CHECKS = {
             FROM transaction_amounts GROUP BY transaction_id) a ON a.transaction_id = t.id
         LEFT JOIN (SELECT transaction_id, string_agg(concat_ws(':', CAST(id AS VARCHAR), tag), ',' ORDER BY id) AS tags
             FROM transaction_tags GROUP BY transaction_id) g ON g.transaction_id = t.id""",
+    "transaction_list": """
+        SELECT 2 AS page, 5 AS "limit", total, t.id AS transaction_id, category, is_income, description, notes, created_on,
+          coalesce((SELECT string_agg(concat_ws(':', CAST(id AS VARCHAR),
+              coalesce(CAST(account_id AS VARCHAR), account_name), CAST(amount_to_pay AS VARCHAR),
+              CAST(amount_paid AS VARCHAR)), ',' ORDER BY id)
+            FROM transaction_amounts a WHERE a.transaction_id = t.id), '') AS amounts,
+          coalesce((SELECT string_agg(concat_ws(':', CAST(id AS VARCHAR), tag), ',' ORDER BY id)
+            FROM transaction_tags g WHERE g.transaction_id = t.id), '') AS tags
+        FROM transactions t JOIN (
+          SELECT id, count(*) OVER () AS total, row_number() OVER (ORDER BY created_on DESC, id DESC) AS place
+          FROM transactions JOIN visible v ON v.transaction_id = id WHERE v.user_id = 1) p
+          ON p.id = t.id AND place BETWEEN 6 AND 10""",
     "amount_labels": """
         SELECT t.creator_id AS viewer_id, t.id AS transaction_id, m.id,
           coalesce(account_name, CASE WHEN a.user_id = t.creator_id OR e.lo IS NOT NULL THEN a.name END) AS label,

@@ -38,7 +38,8 @@ def with_earlier_totals(
     values of the entire group: name -> (sum, min or max, column).
     """
     whole = whole or {}
-    rows = rows.withColumn("_block", block)
+    # Never NULL, so that the join below adds no filter to one side and both share their input.
+    rows = rows.withColumn("_block", F.coalesce(block, F.lit(0)))
     per_block = rows.groupBy(*keys, "_block").agg(
         *[F.sum(value).alias(f"_in_{name}") for name, value in sums.items()],
         *[merge(value).alias(name) for name, (merge, value) in whole.items()],

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pursebook import schemas
 
@@ -19,8 +20,12 @@ SCHEMAS = {
 BY_MONTH = ("transactions", "transaction_amounts")
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+def read_table(spark: SparkSession, folder: str, name: str, by_month: bool = False) -> DataFrame:
+    """A table as `write_table` left it; `month` is kept as a column, which searches prune by."""
+    schema = SCHEMAS[name]
+    if by_month and name in BY_MONTH:
+        schema = T.StructType([*schema.fields, T.StructField("month", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
 
 def write_table(rows: DataFrame, folder: str, name: str, by_month: bool = False) -> None:

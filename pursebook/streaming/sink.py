@@ -11,23 +11,24 @@ def write_batches(
     folder: str,
     mode: str,
     outputs: Callable[[DataFrame, int], Iterable[tuple[str, DataFrame]]] = lambda batch, _: [("rows", batch)],
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Run `stream` over all that is available; every batch overwrites its own `batch=<id>` folders.
+    """Run `stream` over all that is available, or for good with a batch `every` so often.
 
-    `outputs` names the tables of a batch; each is written before the next one is asked for.
+    A batch overwrites its own `batch=<id>` folders. `outputs` names its tables; each is written
+    before the next one is asked for.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         for name, rows in outputs(batch, batch_id):
             rows.write.mode("overwrite").parquet(batch_folder(folder, name, batch_id))
 
-    return (
+    writer = (
         stream.writeStream.foreachBatch(write)
         .outputMode(mode)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
     )
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def batch_folder(folder: str, name: str, batch_id: int) -> str:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pursebook import catalog
-from pursebook.operators import balances, edits
+from pursebook.operators import balances, edits, search
 from pursebook.operators.requests import flatten_requests
 from pursebook.schemas import AMOUNT_CHANGES, FRIEND_ACTIONS, REQUESTS
 from pursebook.sources import files, workspace
@@ -63,9 +63,15 @@ def test_friends_are_mutual(ledger):
 def test_tables_survive_the_disk(spark, ledger, tmp_path):
     for name in files.SCHEMAS:
         files.write_table(ledger[name], str(tmp_path), name, by_month=True)
-        back = files.read_table(spark, str(tmp_path), name).select(*files.SCHEMAS[name].fieldNames())
+        back = files.read_table(spark, str(tmp_path), name, by_month=True).select(*files.SCHEMAS[name].fieldNames())
         assert back.exceptAll(ledger[name]).count() == 0 and back.count() == ledger[name].count()
-    assert (tmp_path / "transactions").glob("month=*")
+    headers = files.read_table(spark, str(tmp_path), "transactions", by_month=True)
+    bounds = {"start": datetime(1996, 7, 1), "end": datetime(1997, 2, 3)}
+    rest = ledger["transaction_amounts"], ledger["accounts"]
+    found = search.transaction_search(headers, *rest, **bounds)
+    assert found.exceptAll(search.transaction_search(ledger["transactions"], *rest, **bounds)).count() == 0
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "(month#" in plan and ">= 1996-07)" in plan and "<= 1997-02)" in plan
 
 
 def test_requests_survive_as_json_lines(spark, ledger, tmp_path):

@@ -259,6 +259,15 @@ def test_friends_stored_both_ways_count_once(people):
     assert [r["friend_id"] for r in friends.friend_list(people["friends"], people["users"], 2).collect()] == [1]
 
 
+def test_the_picker_offers_friends_with_accounts(people, table):
+    edges = people["friends"].unionByName(table(EDGES, [(5, 1, DAY)]))
+    everybody = people["users"].unionByName(table(USERS, [(5, "user_5", "u5@x.org", DAY)]))
+    picker = friends.friend_picker(edges, everybody, people["accounts"], 1)
+    assert [(r["friend_id"], r["username"], r["account_id"]) for r in picker.collect()] == [(2, "user_2", 20)]
+    directory = friends.friend_directory(edges, everybody, people["accounts"], 1)
+    assert {r["friend_id"]: (r["accounts"], r["offered"]) for r in directory.collect()} == {2: (1, True), 5: (0, False)}
+
+
 def test_admission_and_answers(table, people):
     asked = table(
         "seq long, user_id long, identifier string",
