@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
+from pyspark.sql.types import StructType
 
 from pursebook.operators import (
     accounts as accounts_ops,
@@ -620,20 +622,46 @@ def _landed(led: Ledger, name: str, rows: DataFrame) -> str:
     return folder
 
 
+def _feed(led: Ledger, schema: StructType) -> DataStreamReader:
+    """Micro-batches of up to a terabyte: large enough for a backlog, small enough to repeat."""
+    return led.spark.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 40)
+
+
 @registered
 def stream_balances(led: Ledger) -> DataFrame:
     """The change feed, its updates delivered twice."""
     folder = _landed(led, "changes", led["amount_changes"])
     led["amount_changes"].where("op = 'U'").write.mode("append").parquet(folder)
-    feed = led.spark.readStream.schema(AMOUNT_CHANGES).option("maxFilesPerTrigger", 4).parquet(folder)
+    feed = _feed(led, AMOUNT_CHANGES).parquet(folder)
     running = live_balances.stream_balance_changes(feed, led["transactions"], FEED_DISORDER)
     return live_balances.run_balances(running, run_folder(led.spark, "stream-balances"))
 
 
+def _turns(led: Ledger) -> DataFrame:
+    """Which transactions the edits turn from income to expense or back, as a feed."""
+    after = edits.apply_transaction_patches(led["transactions"], led["transaction_patches"])
+    before = led["transactions"].select("id", F.col("is_income").alias("was_income"))
+    return before.join(after, "id").select(
+        F.col("id").alias("change_id"),
+        F.col("created_on").alias("changed_on"),
+        F.col("id").alias("transaction_id"),
+        "was_income",
+        "is_income",
+    )
+
+
+@registered
+def stream_direction_changes(led: Ledger) -> DataFrame:
+    turns = _turns(led)
+    feed = _feed(led, turns.schema).parquet(_landed(led, "turns", turns))
+    running = live_balances.stream_direction_changes(feed, led["transaction_amounts"], FEED_DISORDER)
+    return live_balances.run_balances(running, run_folder(led.spark, "stream-turns"))
+
+
 @registered
 def stream_split_validation(led: Ledger) -> DataFrame:
     folder = _landed(led, "requests", led["split_requests"])
-    feed = led.spark.readStream.schema(REQUESTS).parquet(folder)
+    feed = _feed(led, REQUESTS).parquet(folder)
     out = run_folder(led.spark, "stream-splits")
     live_splits.run_split_validation(feed, led["accounts"], led["friends"], out)
     return led.spark.read.parquet(f"{out}/verdicts").select("transaction_id", "verdict")
@@ -643,9 +671,9 @@ def stream_split_validation(led: Ledger) -> DataFrame:
 def stream_friendship_state(led: Ledger) -> DataFrame:
     """Straight from the event table."""
     events = led["events"]
-    feed = led.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", 1 << 30).parquet(led.folder)
-    states = live_friendships.stream_friendship_state(friend_actions_from(feed))
-    return live_friendships.run_friendship_state(states, run_folder(led.spark, "stream-friendships"))
+    feed = _feed(led, events.schema).option("pathGlobFilter", "events.parquet").parquet(led.folder)
+    pairs = live_friendships.run_friendship_state(friend_actions_from(feed), run_folder(led.spark, "stream-friendships"))
+    return pairs.select("lo", "hi", "state", "late")
 
 
 def build(name: str) -> Callable[[SparkSession, str], DataFrame]:

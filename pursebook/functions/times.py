@@ -25,11 +25,6 @@ def hour_number(time: Column | str) -> Column:
     return day_number(time).cast("bigint") * 24 + F.hour(time)
 
 
-def micros(time: Column | str) -> Column:
-    second = F.extract(F.lit("SECOND"), F.col(time) if isinstance(time, str) else time)
-    return (hour_number(time) * 3600 + F.minute(time) * 60) * 1_000_000 + (second * 1_000_000).cast("bigint")
-
-
 def whole_second(time: Column | str) -> Column:
     time = F.col(time) if isinstance(time, str) else time
     return time - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), time) % 1)

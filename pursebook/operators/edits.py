@@ -110,8 +110,8 @@ def amount_patch_rejects(
     is_new, names_account = F.col("id").isNull(), F.col("account_id").isNotNull()
     names_guest = F.coalesce("account_name", F.lit("")) != ""
     reason = (
-        F.when(F.col("account_name") == "", "empty_name")
-        .when(F.col("account_id") <= 0, "bad_account_id")
+        F.when(F.col("account_id") <= 0, "bad_account_id")
+        .when(F.col("account_name") == "", "empty_name")
         .when((F.col("amount_to_pay") < 0) | (F.col("amount_paid") < 0), "negative")
         .when(~is_new & F.col("_stored").isNull(), "foreign_id")
         .when(is_new & ~names_account & ~names_guest, "neither")

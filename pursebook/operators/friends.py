@@ -215,25 +215,46 @@ def _in_order(entries: Column) -> Column:
     )
 
 
-def friendship_replay(friend_actions: DataFrame) -> DataFrame:
-    """The state every pair ends in after its actions in (ts, seq) order.
-
-    An action maps each of the four states to the next one, and such maps chain associatively: a
-    pair's history is folded by the hour first, then the hours are folded. A pair that fills the
-    log is so spread over as many tasks as the log has hours.
-    """
-    actions = (
+def with_pair(friend_actions: DataFrame) -> DataFrame:
+    """Actions between two users with their pair and what they do to its state."""
+    return (
         friend_actions.where(F.col("actor_id") != F.col("target_id"))
         .withColumn("lo", F.least("actor_id", "target_id"))
         .withColumn("hi", F.greatest("actor_id", "target_id"))
-        .withColumn("hour", hour_number("ts"))
         .withColumn("effect", _effect())
     )
-    by_hour = actions.groupBy("lo", "hi", "hour").agg(
-        _in_order(F.collect_list(F.struct("ts", "seq", "effect"))).alias("effect")
+
+
+def pair_effects(actions: DataFrame, in_time: Column | None = None) -> DataFrame:
+    """What all actions of a pair together do to its state, in (ts, seq) order: (lo, hi, effect, last, late).
+
+    An action maps each of the four states to the next one, and such maps chain associatively: a
+    pair's history is folded by the hour first, then the hours are folded. A pair that fills the
+    log is so spread over as many tasks as the log has hours. Actions that are not `in_time` are
+    counted as late and left out.
+    """
+    counts = F.lit(True) if in_time is None else in_time
+    by_hour = actions.groupBy("lo", "hi", hour_number("ts").alias("hour")).agg(
+        _in_order(F.collect_list(F.when(counts, F.struct("ts", "seq", "effect")))).alias("effect"),
+        F.max(F.when(counts, F.struct("ts", "seq"))).alias("last"),
+        F.count(F.when(~counts, 1)).alias("late"),
+    )
+    return by_hour.groupBy("lo", "hi").agg(
+        _in_order(F.collect_list(F.struct("hour", "effect"))).alias("effect"),
+        F.max("last").alias("last"),
+        F.sum("late").alias("late"),
     )
-    by_pair = by_hour.groupBy("lo", "hi").agg(_in_order(F.collect_list(F.struct("hour", "effect"))).alias("effect"))
-    return by_pair.select("lo", "hi", F.get("effect", F.lit(0)).cast("int").alias("state"))
+
+
+def after(effect: Column, state: Column) -> Column:
+    """The state that follows; no effect, no change."""
+    return F.coalesce(F.get(effect, state), state).cast("int")
+
+
+def friendship_replay(friend_actions: DataFrame) -> DataFrame:
+    """The state every pair ends in when its actions are applied in order, starting without friendship."""
+    effects = pair_effects(with_pair(friend_actions))
+    return effects.select("lo", "hi", after(F.col("effect"), F.lit(0)).alias("state"))
 
 
 class Cascade(NamedTuple):

@@ -76,16 +76,25 @@ def _amount_columns() -> list[Column]:
 
 
 def _shape_reason() -> Column:
-    """What is wrong with the document itself; NULL if nothing is."""
+    """What is wrong with the document itself, the first fault in it; NULL if there is none."""
     doc = F.col("doc")
     amounts = F.coalesce(doc["amounts"], F.array())
+    first_fault = F.get(F.array_compact(F.transform(amounts, _amount_fault)), F.lit(0))
     return (
         F.when(blank(doc["category"]), "no_category")
         .when(doc["description"] == "", "empty_description")
         .when(F.size(amounts) == 0, "empty")
-        .when(F.exists(amounts, lambda a: a["amountToPay"].isNull() | a["amountPaid"].isNull()), "no_amount")
-        .when(F.exists(amounts, lambda a: (a["amountToPay"] < 0) | (a["amountPaid"] < 0)), "negative")
-        .when(F.exists(amounts, lambda a: a["accountId"] <= 0), "bad_account_id")
-        .when(F.exists(amounts, lambda a: a["accountName"] == ""), "empty_account_name")
+        .when(first_fault.isNotNull(), first_fault)
         .when(F.exists(F.coalesce(doc["tags"], F.array()), lambda tag: tag == ""), "empty_tag")
     )
+
+
+def _amount_fault(amount: Column) -> Column:
+    return (
+        F.when(amount["accountId"] <= 0, "bad_account_id")
+        .when(amount["accountName"] == "", "empty_account_name")
+        .when(amount["amountToPay"].isNull(), "no_amount")
+        .when(amount["amountToPay"] < 0, "negative")
+        .when(amount["amountPaid"].isNull(), "no_amount")
+        .when(amount["amountPaid"] < 0, "negative")
+    )

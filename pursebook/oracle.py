@@ -389,6 +389,11 @@ _DELTAS = f"""
               FROM amount_changes JOIN transactions t ON t.id = transaction_id) d
         WHERE account_id IS NOT NULL GROUP BY account_id"""
 
+_TURNED = f"""
+        SELECT account_id, {total("CASE WHEN n.is_income THEN 2 * amount_paid ELSE -2 * amount_paid END")} AS delta
+        FROM transactions o JOIN patched_transactions n ON n.id = o.id AND n.is_income <> o.is_income
+        JOIN transaction_amounts ON transaction_id = o.id WHERE account_id IS NOT NULL GROUP BY account_id"""
+
 _REQUEST_VERDICTS = """
         SELECT h.id AS transaction_id, coalesce(shape, verdict) AS verdict
         FROM request_headers h JOIN request_splits s ON s.transaction_id = h.id"""
@@ -433,10 +438,7 @@ _ACCOUNT_COLUMNS = "id, user_id, name, opening_balance, created_on"
 CHECKS = {
     "account_balances": "SELECT * FROM balances",
     "balance_delta_from_changes": _DELTAS,
-    "balance_delta_from_direction_change": f"""
-        SELECT account_id, {total("CASE WHEN n.is_income THEN 2 * amount_paid ELSE -2 * amount_paid END")} AS delta
-        FROM transactions o JOIN patched_transactions n ON n.id = o.id AND n.is_income <> o.is_income
-        JOIN transaction_amounts ON transaction_id = o.id WHERE account_id IS NOT NULL GROUP BY account_id""",
+    "balance_delta_from_direction_change": _TURNED,
     "refresh_balances": f"""
         SELECT b.account_id, b.user_id, CAST(balance + coalesce(delta, 0) AS {TOTAL}) AS balance
         FROM balances b LEFT JOIN (
@@ -722,6 +724,7 @@ CHECKS = {
               FROM transaction_amounts JOIN transactions t ON t.id = transaction_id
               GROUP BY 1, 2, 3) p""",
     "stream_balances": _DELTAS,
+    "stream_direction_changes": _TURNED,
     "stream_split_validation": _REQUEST_VERDICTS,
     "stream_friendship_state": f"SELECT lo, hi, state, CAST(0 AS BIGINT) AS late FROM ({_REPLAY}) r",
 }

@@ -11,23 +11,24 @@ from pyspark.sql import functions as F
 SHARE_BITS = 20
 
 
-def large_parents(rows: DataFrame, key: str, share_bits: int = SHARE_BITS) -> DataFrame:
+def large_parents(rows: DataFrame, key: list[str], share_bits: int = SHARE_BITS) -> DataFrame:
     """Keys with more than 2^share_bits rows and the number of salts to spread them over.
 
-    There are at most rows / 2^share_bits of them, 16 bytes each: 16 MB for 10^12 rows. That bound
+    There are at most rows / 2^share_bits of them, a key and an int each: some 20 MB for 10^12 rows. That bound
     is what allows to broadcast the result.
     """
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
     salts = F.ceil(F.col("_rows") / F.lit(1 << share_bits)).cast("int")
-    return counted.where(F.col("_rows") > (1 << share_bits)).select(key, salts.alias("_salts"))
+    return counted.where(F.col("_rows") > (1 << share_bits)).select(*key, salts.alias("_salts"))
 
 
 def join_parent(
-    rows: DataFrame, parents: DataFrame, key: str, *row_id: str, how: str = "inner", share_bits: int = SHARE_BITS
+    rows: DataFrame, parents: DataFrame, key: str | list[str], *row_id: str, how: str = "inner", share_bits: int = SHARE_BITS
 ) -> DataFrame:
     """`rows` joined to the one row of `parents` with the same `key`; `row_id` tells rows apart."""
-    large = F.broadcast(large_parents(rows.select(key), key, share_bits))
+    key = [key] if isinstance(key, str) else key
+    large = F.broadcast(large_parents(rows.select(*key), key, share_bits))
     salts = F.coalesce("_salts", F.lit(1))
     spread = rows.join(large, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*row_id), salts).cast("int"))
     repeated = parents.join(large, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return spread.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"], how).drop("_salt")
+    return spread.drop("_salts").join(repeated.drop("_salts"), [*key, "_salt"], how).drop("_salt")

@@ -4,63 +4,63 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
-from pursebook.functions.times import micros
-from pursebook.operators.friends import UNCHANGED, action_effects
-from pursebook.streaming.sink import write_batches
+from pursebook.operators.friends import after, pair_effects, with_pair
+from pursebook.plans.skew import join_parent
+from pursebook.streaming.sink import batch_folder, write_batches
 
-_PAIR = "lo long, hi long, state int, late long"
-_KEPT = "state int, micros long, seq long, late long"
+# A pair's state, the last action applied to it, and how many came too late.
+PAIRS = T.StructType(
+    [
+        T.StructField("lo", T.LongType()),
+        T.StructField("hi", T.LongType()),
+        T.StructField("state", T.IntegerType()),
+        T.StructField(
+            "last", T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("seq", T.LongType())])
+        ),
+        T.StructField("late", T.LongType()),
+    ]
+)
 
 
-def stream_friendship_state(friend_actions: DataFrame) -> DataFrame:
-    """Pair states after each micro-batch, with the number of actions that came too late.
+def advance(pairs: DataFrame, friend_actions: DataFrame) -> DataFrame:
+    """The pairs after a batch of actions, applied in (ts, seq) order.
 
-    Actions are applied in (ts, seq) order; one that is not later than the last applied action of
-    its pair is counted and ignored. What a task holds of a pair is at most its share of one
-    micro-batch, which the source's maxFilesPerTrigger or maxBytesPerTrigger bounds.
+    An action that is not later than the last one applied to its pair is counted and ignored, which
+    also drops what is delivered again. What a batch does to a pair is folded by the hour first, as
+    in the replay, so a pair that fills the log is no load for a single task.
     """
-    known = action_effects()
-    kinds = sorted({action for action, _ in known})
-    unchanged = UNCHANGED
-    # An action's effect is numbered: twice its place among the kinds, plus one if by the lower id.
-    effects = [known.get((kind, by_lower), unchanged) for kind in [None, *kinds] for by_lower in (False, True)]
+    key = ["lo", "hi"]
+    known = pairs.select(*key, F.col("last").alias("_last"))
+    marked = join_parent(with_pair(friend_actions), known, key, "seq", how="left")
+    in_time = F.col("_last").isNull() | (F.struct("ts", "seq") > F.col("_last"))
+    folded = pair_effects(marked, in_time).select(
+        *key, "effect", F.col("last").alias("_newer"), F.col("late").alias("_late")
+    )
+    return pairs.join(folded, key, "full").select(
+        *key,
+        after(F.col("effect"), F.coalesce("state", F.lit(0))).alias("state"),
+        F.coalesce("_newer", "last").alias("last"),
+        (F.coalesce("late", F.lit(0)) + F.coalesce("_late", F.lit(0))).cast("bigint").alias("late"),
+    )
 
-    def advance(pair: tuple, batches: Iterator, kept: GroupState) -> Iterator:
-        import pandas as pd
 
-        state, last_micros, last_seq, late = kept.get if kept.exists else (0, -1, -1, 0)
-        actions = pd.concat(list(batches)).sort_values(["micros", "seq"])
-        for at, seq, effect in zip(actions["micros"], actions["seq"], actions["effect"]):
-            if (at, seq) <= (last_micros, last_seq):
-                late += 1
-                continue
-            state = effects[effect][state]
-            last_micros, last_seq = int(at), int(seq)
-        kept.update((int(state), last_micros, last_seq, int(late)))
-        yield pd.DataFrame({"lo": [pair[0]], "hi": [pair[1]], "state": [int(state)], "late": [int(late)]})
+def run_friendship_state(friend_actions: DataFrame, folder: str) -> DataFrame:
+    """Run over all that is available; returns the pairs after the last micro-batch.
 
-    kind = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("action")), F.lit(0))
-    effect = (kind * 2 + (F.col("actor_id") < F.col("target_id")).cast("int")).cast("tinyint")
-    return (
-        friend_actions.where(F.col("actor_id") != F.col("target_id"))
-        .select(
-            F.least("actor_id", "target_id").alias("lo"),
-            F.greatest("actor_id", "target_id").alias("hi"),
-            micros("ts").alias("micros"),
-            "seq",
-            effect.alias("effect"),
-        )
-        .groupBy("lo", "hi")
-        .applyInPandasWithState(advance, _PAIR, _KEPT, "update", GroupStateTimeout.NoTimeout)
-    )
+    Each micro-batch writes all pairs anew, from those of the batch before it, so repeating a batch
+    gives the same table. Only the latest two are needed; older ones may be deleted.
+    """
+    spark = friend_actions.sparkSession
 
+    def outputs(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
+        if batch_id == 0:
+            pairs = batch.sparkSession.createDataFrame([], PAIRS)
+        else:
+            pairs = batch.sparkSession.read.schema(PAIRS).parquet(batch_folder(folder, "pairs", batch_id - 1))
+        yield "pairs", advance(pairs, batch)
 
-def run_friendship_state(states: DataFrame, folder: str) -> DataFrame:
-    """Run to the end of what is available; returns the latest state of each pair."""
-    write_batches(states, folder, "update").awaitTermination()
-    written = states.sparkSession.read.parquet(f"{folder}/rows")
-    return written.groupBy("lo", "hi").agg(
-        F.max_by("state", "batch").alias("state"), F.max_by("late", "batch").alias("late")
-    )
+    write_batches(friend_actions, folder, "append", outputs).awaitTermination()
+    written = spark.read.parquet(f"{folder}/pairs")
+    return written.where(F.col("batch") == written.select(F.max("batch")).scalar()).drop("batch")

@@ -121,16 +121,7 @@ def test_streamed_balances_equal_the_batch(spark, ledger, tmp_path):
 
 
 def test_streamed_direction_changes_equal_the_batch(spark, ledger, tmp_path):
-    before = ledger["transactions"].select("id", F.col("is_income").alias("was_income"))
-    after = edits.apply_transaction_patches(ledger["transactions"], ledger["transaction_patches"])
-    turns = before.join(after, "id").select(
-        F.col("id").alias("change_id"),
-        F.col("created_on").alias("changed_on"),
-        F.col("id").alias("transaction_id"),
-        "was_income",
-        "is_income",
-    )
-    feed = str(tmp_path / "feed")
+    turns, feed = catalog._turns(ledger), str(tmp_path / "feed")
     turns.write.parquet(feed)
     turns.write.mode("append").parquet(feed)
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(feed)
@@ -161,7 +152,7 @@ def test_streamed_friendships_count_what_comes_late(spark, tmp_path):
     for rows in (first, second):
         spark.createDataFrame(rows, FRIEND_ACTIONS).coalesce(1).write.mode("append").parquet(feed)
         stream = spark.readStream.schema(FRIEND_ACTIONS).parquet(feed)
-        states = live_friendships.run_friendship_state(live_friendships.stream_friendship_state(stream), out)
+        states = live_friendships.run_friendship_state(stream, out)
         found = {(r["lo"], r["hi"]): (r["state"], r["late"]) for r in states.collect()}
         if rows is first:
             assert found == {(1, 2): (3, 0), (4, 5): (2, 0)}
@@ -170,6 +161,19 @@ def test_streamed_friendships_count_what_comes_late(spark, tmp_path):
     assert {pair: state for pair, (state, _) in found.items()} == play(on_time)
 
 
+def test_advancing_in_steps_equals_one_replay(spark, ledger):
+    """The log cut into three batches, the second delivered twice."""
+    log = ledger["friend_actions"].cache()
+    first, second = (row[0] for row in log.selectExpr("percentile_approx(seq, array(0.3, 0.6)) q").selectExpr("explode(q)").collect())
+    cuts = [log.where(F.col("seq") <= first), log.where(F.col("seq").between(first + 1, second)), log.where(F.col("seq") > second)]
+    pairs = spark.createDataFrame([], live_friendships.PAIRS)
+    for batch in (cuts[0], cuts[1], cuts[1], cuts[2]):
+        pairs = live_friendships.advance(pairs, batch)
+    states = {(r["lo"], r["hi"]): r["state"] for r in pairs.collect()}
+    assert states == {(r["lo"], r["hi"]): r["state"] for r in catalog.friendship_replay(ledger).collect()}
+    assert pairs.agg(F.sum("late")).first()[0] == cuts[1].where("actor_id <> target_id").count()
+
+
 def test_money_is_exact(spark, table):
     rows = table("id long, transaction_id long, account_id long, amount_paid decimal(19,4)", [(i, 1, 1, Decimal("0.1")) for i in range(10)])
     headers = table("id long, is_income boolean", [(1, True)])

@@ -214,7 +214,7 @@ def test_a_large_parent_is_spread(spark):
     """Shares of 16 rows: every parent with more is split, and each row still meets its parent once."""
     rows = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 300).alias("p"))
     parents = spark.range(250).select(F.col("id").alias("p"), (F.col("id") * 2).alias("twice"))
-    large = {r["p"]: r["_salts"] for r in skew.large_parents(rows, "p", 4).collect()}
+    large = {r["p"]: r["_salts"] for r in skew.large_parents(rows, ["p"], 4).collect()}
     assert large == {0: 63}
     for how, expected in (("inner", 2_800), ("left", 3_000), ("left_semi", 2_800)):
         joined = skew.join_parent(rows, parents, "p", "id", how=how, share_bits=4)
