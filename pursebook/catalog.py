@@ -228,6 +228,18 @@ def apply_amount_patches(led: Ledger) -> DataFrame:
     return edits.apply_amount_patches(led["transaction_amounts"], led["amount_patches"], led["transaction_patches"])
 
 
+@registered
+def amount_patch_rejects(led: Ledger) -> DataFrame:
+    rejects = edits.amount_patch_rejects(
+        led["transaction_amounts"],
+        led["amount_patches"],
+        led["transaction_patches"],
+        led["accounts"],
+        led["friends"],
+    )
+    return rejects.withColumn("position", F.col("position").cast("bigint"))
+
+
 @registered
 def post_edit_validation(led: Ledger) -> DataFrame:
     return edits.post_edit_validation(apply_amount_patches(led), led["transaction_patches"])
@@ -337,6 +349,14 @@ def transaction_search_by_category(led: Ledger) -> DataFrame:
     )
 
 
+@registered
+def transaction_search_by_account(led: Ledger) -> DataFrame:
+    """What went over the current account of user 8."""
+    return search.transaction_search(
+        led["transactions"], led["transaction_amounts"], led["accounts"], account_id=15
+    )
+
+
 @registered
 def transactions_with_all_tags(led: Ledger) -> DataFrame:
     return search.transactions_with_all_tags(led["transaction_tags"], WANTED_TAGS)

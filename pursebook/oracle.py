@@ -123,8 +123,13 @@ VIEWS = {
         LEFT JOIN transaction_amounts b ON b.transaction_id = a.transaction_id AND b.id % 10 = 2
         WHERE t.category = '2-HIGH' AND a.id % 10 <> 2
         UNION ALL
-        SELECT id, 100, NULL, NULL, 'Late guest', {money("0")}, {money("0")}
-        FROM transactions WHERE category = '2-HIGH' AND is_income""",
+        SELECT id, 100, CASE WHEN kind = 0 THEN id * 10 + 1 END,
+          CASE WHEN kind = -1 THEN (creator_id + 2) % {CUSTOMERS} * 2 + 1 WHEN kind = 1 THEN creator_id * 2 - 1
+               WHEN kind = 2 THEN id + 1000000000 END,
+          CASE WHEN is_income OR kind = 3 THEN 'Late guest' WHEN kind = 1 THEN 'Twice' END,
+          {money("0")}, CASE WHEN kind <> 3 THEN {money("0")} END
+        FROM (SELECT *, CASE WHEN is_income THEN -2 WHEN notes IS NOT NULL THEN -1 ELSE id % 4 END AS kind
+              FROM transactions WHERE category = '2-HIGH') h""",
     "tag_additions": """
         SELECT a.id * 2 AS seq, creator_id AS user_id, transaction_id,
           CASE a.id % 10 WHEN 1 THEN category WHEN 2 THEN chr(9) || lower(category) || ' ' WHEN 5 THEN ''
@@ -251,14 +256,30 @@ VIEWS = {
     "after_edit": """
         SELECT transaction_id,
           CASE WHEN bool_or((account_id IS NULL) = (account_name IS NULL)) THEN 'either_or'
+            WHEN count(*) > count(DISTINCT concat(account_id, '|', account_name)) THEN 'repeated'
             WHEN abs(sum(amount_paid) - sum(amount_to_pay)) >= 0.01 THEN 'unbalanced'
             WHEN count(account_id) = 0 THEN 'no_account' ELSE 'ok' END AS verdict
         FROM patched_amounts JOIN transaction_patches p USING (transaction_id)
         WHERE p.replace_amounts GROUP BY transaction_id""",
+    "rejected_patches": """
+        SELECT p.transaction_id, p.position, p.id,
+          CASE WHEN p.account_id <= 0 THEN 'bad_account_id' WHEN p.account_name = '' THEN 'empty_name'
+            WHEN p.amount_to_pay < 0 OR p.amount_paid < 0 THEN 'negative'
+            WHEN p.id IS NOT NULL AND s.id IS NULL THEN 'foreign_id'
+            WHEN p.id IS NULL AND p.account_id IS NULL AND p.account_name IS NULL THEN 'neither'
+            WHEN p.account_id IS NOT NULL AND p.account_name IS NOT NULL THEN 'both'
+            WHEN p.account_id IS NOT NULL AND a.id IS NULL THEN 'unknown_account'
+            WHEN p.account_id IS NOT NULL AND a.user_id <> t.user_id AND e.lo IS NULL THEN 'no_access'
+            WHEN p.id IS NULL AND p.amount_paid IS NULL THEN 'no_amount_paid'
+            WHEN p.id IS NULL AND p.amount_to_pay IS NULL THEN 'no_amount_to_pay' END AS reason
+        FROM amount_patches p JOIN transaction_patches t ON t.transaction_id = p.transaction_id AND t.replace_amounts
+        LEFT JOIN transaction_amounts s ON s.id = p.id AND s.transaction_id = p.transaction_id
+        LEFT JOIN accounts a ON a.id = p.account_id
+        LEFT JOIN edges e ON e.lo = least(t.user_id, a.user_id) AND e.hi = greatest(t.user_id, a.user_id)""",
     "edits_judged": """
         SELECT p.transaction_id,
           CASE WHEN p.category = '' OR p.description = '' OR p.notes = '' THEN 'empty_field'
-            WHEN v.user_id IS NULL THEN 'not_found'
+            WHEN v.user_id IS NULL THEN 'not_found' WHEN r.reason IS NOT NULL THEN r.reason
             WHEN p.replace_amounts AND e.verdict IS NULL AND (p.category IS NOT NULL OR p.is_income IS NOT NULL
               OR p.include_in_reports IS NOT NULL OR p.description IS NOT NULL OR p.notes IS NOT NULL)
               THEN 'delete_with_updates'
@@ -266,6 +287,8 @@ VIEWS = {
             ELSE coalesce(e.verdict, 'ok') END AS verdict
         FROM transaction_patches p
         LEFT JOIN visible v ON v.user_id = p.user_id AND v.transaction_id = p.transaction_id
+        LEFT JOIN (SELECT transaction_id, arg_min(reason, position) AS reason FROM rejected_patches
+                   WHERE reason IS NOT NULL GROUP BY transaction_id) r ON r.transaction_id = p.transaction_id
         LEFT JOIN after_edit e ON e.transaction_id = p.transaction_id""",
     "edited_amounts": """
         SELECT a.transaction_id, account_id, amount_paid FROM patched_amounts a
@@ -543,6 +566,7 @@ CHECKS = {
         FROM transaction_amounts""",
     "apply_transaction_patches": "SELECT * FROM patched_transactions",
     "apply_amount_patches": "SELECT * FROM patched_amounts",
+    "amount_patch_rejects": "SELECT * FROM rejected_patches WHERE reason IS NOT NULL",
     "post_edit_validation": "SELECT * FROM after_edit",
     "edit_verdicts": "SELECT * FROM edits_judged",
     "delete_transactions": """
@@ -564,6 +588,10 @@ CHECKS = {
     "transaction_search_by_category": """
         SELECT v.user_id, t.id, t.created_on FROM visible v JOIN transactions t ON t.id = v.transaction_id
         WHERE category = '2-HIGH' AND t.created_on BETWEEN TIMESTAMP '1996-07-01' AND TIMESTAMP '2000-01-01'""",
+    "transaction_search_by_account": """
+        SELECT DISTINCT a.user_id, t.id, t.created_on
+        FROM transactions t JOIN transaction_amounts m ON m.transaction_id = t.id JOIN accounts a ON a.id = m.account_id
+        WHERE m.account_id = 15""",
     "transactions_with_all_tags": "SELECT transaction_id FROM tagged",
     "transaction_search_total": """
         SELECT user_id, count(DISTINCT id) AS total, CAST(ceil(count(DISTINCT id) / 20.0) AS BIGINT) AS total_pages

@@ -265,8 +265,13 @@ def transaction_patches(ledger: Ledger) -> DataFrame:
 
 
 def amount_patches(ledger: Ledger) -> DataFrame:
-    """High-priority lists: the first participant takes over the second's part; incomes get a late guest."""
-    high = ledger["transactions"].where("category = '2-HIGH'").select(F.col("id").alias("transaction_id"), "is_income")
+    """High-priority lists: the first participant takes over the second's part; incomes get a late guest.
+
+    The others get a last row that breaks a rule, each kind of breach in turn.
+    """
+    high = ledger["transactions"].where("category = '2-HIGH'").select(
+        F.col("id").alias("transaction_id"), "creator_id", "is_income", "notes"
+    )
     rows = ledger["transaction_amounts"].join(high, "transaction_id")
     slot = F.col("id") % 10
     second = rows.where(slot == 2).select(
@@ -282,14 +287,20 @@ def amount_patches(ledger: Ledger) -> DataFrame:
         F.when(first, _money(F.col("amount_to_pay") + F.coalesce("more_to_pay", F.lit(0)))).alias("amount_to_pay"),
         F.when(first, _money(F.col("amount_paid") + F.coalesce("more_paid", F.lit(0)))).alias("amount_paid"),
     )
-    late = high.where("is_income").select(
+    key, income, noted = F.col("transaction_id"), F.col("is_income"), F.col("notes").isNotNull()
+    kind = F.when(~income & ~noted, key % 4)
+    stranger = (F.col("creator_id") + 2) % _customers(ledger) * 2 + 1
+    late = high.select(
         "transaction_id",
         F.lit(100).alias("position"),
-        F.lit(None).cast("bigint").alias("id"),
-        F.lit(None).cast("bigint").alias("account_id"),
-        F.lit("Late guest").alias("account_name"),
+        F.when(kind == 0, key * 10 + 1).alias("id"),
+        F.when(~income & noted, stranger)
+        .when(kind == 1, F.col("creator_id") * 2 - 1)
+        .when(kind == 2, key + 1_000_000_000)
+        .alias("account_id"),
+        F.when(income | (kind == 3), "Late guest").when(kind == 1, "Twice").alias("account_name"),
         F.lit(0).cast(MONEY).alias("amount_to_pay"),
-        F.lit(0).cast(MONEY).alias("amount_paid"),
+        F.when(F.coalesce(kind, F.lit(0)) != 3, F.lit(0).cast(MONEY)).alias("amount_paid"),
     )
     return listed.unionByName(late)
 
