@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.text import blank, same_tag
-from pursebook.plans.claims import with_first_claim
+from pursebook.plans.claims import with_mark
 
 
 class TagChange(NamedTuple):
@@ -21,27 +21,25 @@ def _with_access(requests: DataFrame, visible: DataFrame) -> DataFrame:
 
 def add_tags(tags: DataFrame, new_tags: DataFrame, visible: DataFrame) -> TagChange:
     """Serve `(seq, user_id, transaction_id, tag)`; a transaction keeps one tag per trimmed lower-case form."""
-    present = tags.select("transaction_id", same_tag("tag").alias("_same"), F.lit(True).alias("_present")).distinct()
-    asked = _with_access(new_tags, visible).withColumn("_same", same_tag("tag"))
-    known = asked.join(present, ["transaction_id", "_same"], "left")
-    refusal = (
-        F.when(blank(F.col("tag")), "empty")
-        .when(F.col("_visible").isNull(), "not_found")
-        .when(F.col("_present"), "exists")
+    key = ["transaction_id", "_same"]
+    asked = _with_access(new_tags, visible)
+    refusal = F.when(blank(F.col("tag")), "empty").when(F.col("_visible").isNull(), "not_found")
+    asked = asked.withColumn("_refusal", refusal)
+    # One request of each tag may win; those whose tag is there already do not.
+    firsts = (
+        asked.where(F.col("_refusal").isNull())
+        .groupBy("transaction_id", same_tag("tag").alias("_same"))
+        .agg(F.min(F.struct("seq", "tag")).alias("_first"))
     )
-    judged = with_first_claim(
-        known.withColumn("_refusal", refusal), ["transaction_id", "_same"], F.col("_refusal").isNull()
-    )
-    verdicts = judged.select(
-        "seq",
-        "user_id",
-        "transaction_id",
-        "tag",
-        F.coalesce("_refusal", F.when(F.col("is_first"), "accepted"), F.lit("exists")).alias("verdict"),
+    present = tags.select("transaction_id", same_tag("tag").alias("_same"))
+    accepted = firsts.join(present, key, "left_anti").select("_first.seq", "transaction_id", "_first.tag")
+    verdict = F.coalesce("_refusal", F.when(F.col("_accepted"), "accepted").otherwise("exists"))
+    verdicts = with_mark(asked, accepted, "_accepted").select(
+        "seq", "user_id", "transaction_id", "tag", verdict.alias("verdict")
     )
     # New ids follow the largest one in use; seq is unique, gaps are harmless.
     last = tags.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    added = verdicts.where("verdict = 'accepted'").select((last + F.col("seq")).alias("id"), "transaction_id", "tag")
+    added = accepted.select((last + F.col("seq")).alias("id"), "transaction_id", "tag")
     return TagChange(verdicts, tags.select("id", "transaction_id", "tag").unionByName(added))
 
 
@@ -55,21 +53,21 @@ def tags_of_transactions(tags: DataFrame, views: DataFrame, visible: DataFrame)
 
 def remove_tags(tags: DataFrame, removals: DataFrame, visible: DataFrame) -> TagChange:
     """Serve `(seq, user_id, transaction_id, tag_id)`; the pair must exist and be visible."""
-    pairs = tags.select("transaction_id", F.col("id").alias("tag_id"), F.lit(True).alias("_present"))
-    known = _with_access(removals, visible).join(pairs, ["transaction_id", "tag_id"], "left")
-    refusal = F.when(F.col("_visible").isNull(), "not_found").when(F.col("_present").isNull(), "no_such_tag")
-    judged = with_first_claim(
-        known.withColumn("_refusal", refusal), ["transaction_id", "tag_id"], F.col("_refusal").isNull()
+    pair = ["transaction_id", "id"]
+    asked = _with_access(removals, visible)
+    firsts = (
+        asked.where(F.col("_visible"))
+        .groupBy("transaction_id", F.col("tag_id").alias("id"))
+        .agg(F.min("seq").alias("seq"))
+    )
+    removed = firsts.join(tags.select(*pair), pair, "left_semi")
+    verdict = (
+        F.when(F.col("_visible").isNull(), "not_found").when(F.col("_removed"), "removed").otherwise("no_such_tag")
     )
-    verdicts = judged.select(
-        "seq",
-        "user_id",
-        "transaction_id",
-        "tag_id",
-        F.coalesce("_refusal", F.when(F.col("is_first"), "removed"), F.lit("no_such_tag")).alias("verdict"),
+    verdicts = with_mark(asked, removed, "_removed").select(
+        "seq", "user_id", "transaction_id", "tag_id", verdict.alias("verdict")
     )
-    removed = verdicts.where("verdict = 'removed'").select("transaction_id", F.col("tag_id").alias("id"))
-    return TagChange(verdicts, tags.join(removed, ["transaction_id", "id"], "left_anti").select(*tags.columns))
+    return TagChange(verdicts, tags.join(removed.select(*pair), pair, "left_anti").select(*tags.columns))
 
 
 def duplicate_tags(tags: DataFrame) -> DataFrame:
