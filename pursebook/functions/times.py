@@ -25,6 +25,6 @@ def hour_number(time: Column | str) -> Column:
     return day_number(time).cast("bigint") * 24 + F.hour(time)
 
 
-def whole_second(time: Column | str) -> Column:
-    time = F.col(time) if isinstance(time, str) else time
-    return time - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), time) % 1)
+def second_number(time: Column | str) -> Column:
+    """Whole seconds since 1970, the fraction cut off."""
+    return hour_number(time) * 3600 + F.minute(time) * 60 + F.second(time)

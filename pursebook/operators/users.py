@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.text import blank, is_email, is_username
-from pursebook.functions.times import whole_second
+from pursebook.functions.times import second_number
 from pursebook.sources.workspace import checkpointed
 
 
@@ -108,19 +108,20 @@ def session_claims_audit(
     verdict = (
         F.when(F.col("expires_at").isNull(), "no_expiry")
         .when(F.col("issued_at").isNull(), "no_issue_time")
-        .when(whole_second("expires_at") < whole_second(now), "expired")
-        .when(whole_second("issued_at") > whole_second(now), "not_yet_valid")
+        .when(second_number("expires_at") < F.col("_now"), "expired")
+        .when(second_number("issued_at") > F.col("_now"), "not_yet_valid")
         .when(wrong | blank(F.col("user_name")) | F.col("email").isNull(), "missing_claims")
     )
     if refresh_required:
         verdict = verdict.when(~F.coalesce("refresh", F.lit(False)), "not_refresh")
     verdict = (
         verdict.when(F.col("_known").isNull(), "unknown_user")
-        .when(whole_second("_modified_on") > whole_second("issued_at"), "user_changed")
+        .when(second_number("_modified_on") > second_number("issued_at"), "user_changed")
         .otherwise("valid")
     )
     return (
-        claims.join(known, "user_id", "left")
+        claims.withColumn("_now", second_number(now))
+        .join(known, "user_id", "left")
         .join(changes, "user_id", "left")
         .select("session_id", "user_id", verdict.alias("verdict"))
     )

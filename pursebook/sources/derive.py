@@ -11,6 +11,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
 from pursebook.schemas import MONEY
 from pursebook.sources.workspace import run_folder
@@ -22,12 +23,19 @@ class Ledger:
     """The derived tables of one data folder; each is written to the shared folder when first used."""
 
     _written: dict[tuple[str, str, str], str] = {}
+    _schemas: dict[str, StructType] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, str(PurePosixPath(folder))
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read(f"{self.folder}/{name}.parquet")
+
+    def _read(self, path: str) -> DataFrame:
+        """Footers are asked for the schema once, not for every query."""
+        if path not in Ledger._schemas:
+            Ledger._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(Ledger._schemas[path]).parquet(path)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.given(name) if name in GIVEN else self.written(name, TABLES[name])
@@ -37,9 +45,10 @@ class Ledger:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in Ledger._written:
             path = run_folder(self.spark, f"ledger-{name}")
-            make(self).write.parquet(path)
-            Ledger._written[key] = path
-        return self.spark.read.parquet(Ledger._written[key])
+            rows = make(self)
+            rows.write.parquet(path)
+            Ledger._written[key], Ledger._schemas[path] = path, rows.schema
+        return self._read(Ledger._written[key])
 
 
 def days(count: Column) -> Column:
