@@ -4,6 +4,7 @@ Nested results are flattened to text here, because the check compares plain colu
 """
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -336,9 +337,7 @@ def transaction_search(led: Ledger) -> DataFrame:
 
 @registered
 def transaction_search_by_category(led: Ledger) -> DataFrame:
-    """One category, between the first and the last quarter of the ledger's time."""
-    from datetime import datetime
-
+    """One category over some years."""
     return search.transaction_search(
         led["transactions"],
         led["transaction_amounts"],
