@@ -17,17 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.llm.components import components
-from pursebook.llm.tables import stored, texts
+from pursebook.llm.tables import in_tasks, stored, texts
 
 #: 32 bands of 4: a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^32 = 5e-8.
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 ROWS = 4
 BANDS = BINS // ROWS
+#: centres of a bucket in the rounds after the first
+CENTRES = 8
 WORDS_KEPT = 500_000
 
 _SEED = np.random.default_rng(20)
@@ -35,7 +37,6 @@ _FACTORS = _SEED.integers(1, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) +
 _BOUNDS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BIN_BITS)
 #: for each bin, the order in which it asks the others
 _ORDER = np.stack([_SEED.permutation(BINS) for _ in range(BINS)])
-_word_hashes: dict[bytes, int] = {}
 
 
 class _Hashes(dict):
@@ -125,11 +126,8 @@ def _sets(size: int):
     return run
 
 
-def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    chosen = documents.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(chosen.mapInArrow(_sets(size), "id long, shingles array<long>"), "shingle-sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -137,40 +135,48 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, size: int, percent: int)
     return pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * union).select("a", "b").distinct()
 
 
-def _centres(members: DataFrame, turn: int) -> DataFrame:
-    """One member of each bucket: the least, and in later rounds the first in an order that changes."""
-    if turn == 0:
-        return members.groupBy("bucket").agg(F.min("id").alias("centre"))
-    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("x"), "id", "component")
-    return members.groupBy("bucket").agg(F.min(order).alias("first")).select(
-        "bucket", F.col("first.id").alias("centre"), F.col("first.component").alias("centre_component")
-    )
+def _pairs(members: DataFrame, centres: DataFrame, percent: int, *apart: str) -> DataFrame:
+    """Each bucket's star: its centre with its other members (with those of other components), where sizes allow a link."""
+    similar_size = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    stars = members.join(centres, "bucket").where(F.col("id") != F.col("centre")).where(similar_size)
+    for column in apart:
+        stars = stars.where(F.col(column) != F.col(f"centre_{column}"))
+    return stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
 
+def _first(members: DataFrame, *order: Column, carried: tuple[str, ...] = ("n",), slot: Column | None = None) -> DataFrame:
+    """The centre of each bucket, or of each slot of a bucket: its first member in the given order."""
+    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "id", *carried)).alias("first")
+    columns = [F.col(f"first.{name}").alias(f"centre_{name}") for name in carried]
+    groups = ["bucket"] if slot is None else ["bucket", slot.alias("slot")]
+    return members.groupBy(*groups).agg(first).select("bucket", F.col("first.id").alias("centre"), *columns)
 
-def _links(documents: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """The confirmed links (a, b) between the members of the buckets."""
-    low, high = F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")
-    similar_size = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    sizes = members.select(F.col("id").alias("centre"), F.col("n").alias("m")).distinct()
 
-    def sized(stars: DataFrame) -> DataFrame:
-        pairs = stars.select(low, high, "id", "centre", "n").distinct()
-        return pairs.join(sizes, "centre").where(similar_size).select("a", "b").distinct()
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The confirmed links (a, b) between the members of the buckets.
 
-    pairs = stored(sized(members.join(_centres(members, 0), "bucket").where("id <> centre")), "pairs")
-    links = stored(_confirmed(documents, pairs, size, percent), "links")
-    tried, turn = pairs, 0
+    In the first round the smallest id is a bucket's centre. Later, only buckets whose members lie
+    in several components take part; their centres are members of the smallest components, which meet
+    every member they aren't connected with. A round costs at most CENTRES pairs per member of a bucket.
+    """
+    tried = stored(_pairs(members, _first(members), percent), "pairs")
+    links = stored(_confirmed(sets, tried, percent), "links")
+    turn = 0
     while True:
         turn += 1
         reached = components(links)
-        placed = members.join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sizes = reached.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        placed = members.join(reached.join(sizes, "component"), "id", "left")
+        placed = placed.select("bucket", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
         split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         placed = stored(placed.join(split.select("bucket"), "bucket", "left_semi"), "split-buckets")
-        stars = placed.join(_centres(placed, turn), "bucket").where("component <> centre_component")
-        pairs = stored(sized(stars).join(tried, ["a", "b"], "left_anti"), "pairs")
+        order = F.xxhash64("id", "bucket", F.lit(turn))
+        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(CENTRES))
+        centres = _first(placed, F.col("size"), order, carried=("n", "component"), slot=slot)
+        pairs = stored(_pairs(placed, centres, percent, "component").join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             return links
-        found = stored(_confirmed(documents, pairs, size, percent), "links")
+        found = stored(_confirmed(sets, pairs, percent), "links")
         if found.isEmpty():
             return links
         links, tried = links.union(found), tried.union(pairs)
@@ -187,7 +193,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     """
     documents = documents.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, key binary, bands array<long>"
-    rows = stored(documents.mapInArrow(_signatures(words), schema), "signatures")
+    rows = stored(in_tasks(documents, _signatures(words), schema), "signatures")
     filled = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = filled.groupBy("key").agg(F.min("doc_id").alias("id"))
     first = classes.withColumnsRenamed({"key": "k"})
@@ -195,11 +201,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     buckets = represented.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = stored(buckets.join(shared, "bucket", "left_semi"), "buckets")
-    links = _links(documents, members, words, percent)
+    chosen = documents.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = stored(in_tasks(chosen, _sets(words), "id long, shingles array<long>"), "shingle-sets")
+    links = _links(members, sets, percent)
     #: rows of one doc_id with different texts are one document
-    repeated = filled.join(first, F.col("key") == F.col("k")).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    twice = repeated.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi")
-    links = links.union(twice.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
+    owned = filled.join(first, F.col("key") == F.col("k")).select("doc_id", "id").distinct()
+    several = owned.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    links = links.union(owned.join(several, "doc_id").select(F.col("id").alias("a"), F.col("lo").alias("b")))
     placed = classes.join(components(links), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     return rows.join(placed, "key", "left").select(
         "doc_id",

@@ -1,6 +1,9 @@
 """Tables written on the way, and reading text columns inside tasks."""
 
-from collections.abc import Iterator
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +12,21 @@ from pyspark.sql import functions as F
 from pursebook.sources.workspace import run_folder
 
 SLICE = 512
+_shipped: set[str] = set()
+
+
+def in_tasks(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """`rows.mapInArrow`, with this package sent along, so that workers can import it wherever they run."""
+    context = rows.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="pursebook-")) / "pursebook.zip"
+        with zipfile.ZipFile(archive, "w") as files:
+            for source in sorted(package.rglob("*.py")):
+                files.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return rows.mapInArrow(function, schema)
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
