@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from pursebook.llm.exact import exact_duplicates
 from pursebook.llm.minhash import near_duplicates
+from pursebook.llm.packing import packed_sequences
+from pursebook.llm.quality import quality
 from pursebook.llm.tables import stored
+from pursebook.llm.toxicity import toxicity
 
 
 def _only(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
@@ -19,6 +22,17 @@ def _only(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
+def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    verdicts = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _only(docs, verdicts.select("doc_id", (F.col("predicted") == 0).alias("clean")), "clean")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label scorer rejects go."""
+    return _only(docs, quality(docs), "kept")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return _only(docs, exact_duplicates(docs), "kept")
@@ -29,9 +43,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, near_duplicates(docs, words=5, percent=80), "kept")
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of token sequences."""
+    return packed_sequences(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxic_filter),
+    ("quality", quality_filter),
     ("exact dedup", exact_dedup),
     ("near dedup", near_dedup),
+    ("packing", pack),
 ]
 
 #: SQL can express neither the learned filters nor the packing; tests/llm holds the rows against a brute-force version.

@@ -9,7 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pursebook.llm.exact import exact_duplicates
+from pursebook.llm.lines import without_repeated_lines
 from pursebook.llm.minhash import near_duplicates
+from pursebook.llm.neighbours import near_vectors
+from pursebook.llm.packing import packed_sequences
+from pursebook.llm.pieces import encoded_pieces
+from pursebook.llm.quality import quality
+from pursebook.llm.token_counts import token_counts
+from pursebook.llm.toxicity import toxicity
+from pursebook.llm.urls import Rule, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +26,46 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(_table(spark, sf_dir, "documents"), least_points=20, least_documents=3)
+
+
+URL_RULES = [
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+]
+
+
+def op3_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(_table(spark, sf_dir, "documents"), window=2048)
+
+
+def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_pieces(_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -29,12 +77,37 @@ def op10_minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
+        op1_near_vectors,
+        op2_repeated_lines,
+        op3_url_verdicts,
+        op4_retrieval_packing,
+        op5_toxic_segments,
+        op6_weak_label_quality,
+        op7_sentence_pieces,
+        op8_token_counts,
         op9_exact_duplicates,
         op10_minhash_duplicates,
     )
 }
 
 ORACLE_SQL = {
+    "op2_repeated_lines": r"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
+        keyed AS (
+            SELECT doc_id, line, pos,
+                   translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ), repeated AS (
+            SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+        ), judged AS (
+            SELECT keyed.*, keep IS NOT NULL AND keep <> doc_id AS dropped FROM keyed LEFT JOIN repeated USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
     "op9_exact_duplicates": r"""
         WITH texts AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare,
