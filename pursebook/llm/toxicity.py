@@ -2,13 +2,14 @@
 
 1. Word weights: log-odds of a word's document frequency in toxic against clean labelled documents,
    smoothed by a Dirichlet prior in proportion to its frequency in both, and taken at the cautious
-   end of its confidence interval, so that a word seen too rarely weighs nothing.
+   end of its confidence interval, so that a word seen too rarely weighs nothing. Beginnings of
+   words are weighed alike; a word without a weight of its own takes its longest beginning's.
 2. Segments: a text is a sequence of word weights less a small drift. The linear-time scan of Ruzzo
    and Tompa finds all maximal scoring segments of the whole text.
 3. Calibration: the best segment of n clean words follows an extreme-value (Gumbel) distribution
-   whose place is linear in ln n. Place and scale come from the clean labelled documents. A segment
-   is significant if that distribution rarely exceeds it; the logs of the significant segments' tail
-   probabilities add up to the evidence, which moves the odds of the document being toxic.
+   whose place is linear in ln n. Place and scale come from the clean labelled documents. The sum
+   statistics of Karlin and Altschul extend it to the best r segments together; the least
+   probability over r is the document's evidence, and its log moves the odds of being toxic.
 
 Labelled documents are a bounded sample (`max_labelled`), which bounds the weights; everything else
 is one pass over the documents without a shuffle.
@@ -29,26 +30,30 @@ MAX_LABELLED = 20_000
 #: weight of the prior: so many documents' worth of the word's overall frequency for each document of a class
 PRIOR = 0.05
 #: standard errors by which a weight is taken nearer to zero
-CAUTION = 2.0
+CAUTION = 2.5
 DRIFT = 0.05
+WORDS_KEPT = 300_000
+#: a clean document is predicted toxic about this often
 SIGNIFICANT = 1e-3
+#: a segment is reported as a passage if the best of a clean document is rarely as good
+PASSAGE = 0.05
+MOST_SUMMED = 16
+BEGINNINGS = (6,)
 #: least scale of the Gumbel distribution, for samples whose clean documents hardly differ
 LEAST_SCALE = 0.2
 THRESHOLD = 0.3
-EULER = 0.5772156649015329
 
 _NOT_WORDS = bytes(c if c >= 128 or chr(c).isalnum() or c == 0x27 else 32 for c in range(256))
 
 
 @dataclass
 class Model:
-    """Weights by word, the Gumbel parameters of clean documents, and the log-odds of a document being toxic."""
+    """Weights by word and beginning, and the Gumbel parameters of clean documents."""
 
     weights: dict[bytes, float] = field(default_factory=dict)
     place: float = 0.0
     slope: float = 0.0
     scale: float = 1.0
-    prior: float = 0.0
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -56,15 +61,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode("utf-8", "replace").translate(_NOT_WORDS).split()
 
 
-def segments(words: list[bytes], weights: dict[bytes, float], drift: float = DRIFT) -> list[tuple[float, int, int]]:
+def segments(words: list[bytes], weights: dict[bytes, float], drift: float = DRIFT, once: bool = False) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first word, end) in linear time.
 
-    Only weighted words are looked at one by one; the drift of those between is added at once.
+    Only weighted words are looked at one by one; the drift of those between is added at once. With
+    `once`, a word weighs where it stands first, for said again it is no further evidence.
     """
+    weighted = [(i, weight) for i, weight in enumerate(map(weights.__getitem__, words)) if weight]
+    if once:
+        weighted = sorted({words[i]: (i, weight) for i, weight in reversed(weighted)}.values())
     #: per candidate: total before it, total at its end, first word, end, the last one before it with a lower start
     found: list[list] = []
     total, last = 0.0, 0
-    for at, weight in [(i, weights[w]) for i, w in enumerate(words) if w in weights]:
+    for at, weight in weighted:
         total -= drift * (at - last)
         last = at + 1
         score = weight - drift
@@ -86,25 +95,57 @@ def segments(words: list[bytes], weights: dict[bytes, float], drift: float = DRI
     return [(right - left, first, end) for left, right, first, end, _ in found]
 
 
-def _ends(model: Model, score: float, n: int) -> float:
+def _beginnings(word: bytes) -> list[bytes]:
+    """What stands for a word without a weight of its own: its first letters, marked by a `*`."""
+    return [word[:size] + b"*" for size in BEGINNINGS if len(word) > size]
+
+
+class Weights(dict):
+    """The weight of each word asked for, from the words and beginnings that have one."""
+
+    def __init__(self, model: Model):
+        self.model = model.weights
+        super().__init__()
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        weight = next((self.model[w] for w in (word, *_beginnings(word)) if w in self.model), 0.0)
+        self[word] = weight
+        return weight
+
+
+def _normal(model: Model, score: float, n: int) -> float:
     """The segment's score in units of the clean documents' extreme-value distribution."""
     return (score - model.place - model.slope * math.log(n)) / model.scale
 
 
-def _tail(x: float) -> float:
-    """How often the best segment of a clean document of that length is at least as good."""
-    return -math.expm1(-math.exp(-min(max(x, -700.0), 700.0))) if x > -6 else 1.0
+def _log_tail(x: float) -> float:
+    """Log of how often the best segment of a clean document of that length is at least as good."""
+    return -x if x > 30 else math.log(-math.expm1(-math.exp(-x))) if x > -6 else 0.0
+
+
+def evidence(normal: list[float]) -> float:
+    """Minus the log of the least probability, over r, that a clean document's r best segments sum up to as much."""
+    best = sorted((x for x in normal if x > 0), reverse=True)[:MOST_SUMMED]
+    least, total = _log_tail(best[0]) if best else 0.0, 0.0
+    for r, x in enumerate(best, 1):
+        total += x
+        if r > 1 and total > r:
+            least = min(least, -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r))
+    return -least
 
 
-def judged(words: list[bytes], model: Model) -> tuple[float, list[tuple[float, int, int]]]:
-    """The document's score from 0 to 1 and its significant segments."""
+def judged(words: list[bytes], model: Model, weights: dict[bytes, float]) -> tuple[float, list[tuple[float, int, int]]]:
+    """The document's score from 0 to 1 and its passages.
+
+    Evidence that a clean document shows with probability SIGNIFICANT makes the score THRESHOLD.
+    """
     n = max(len(words), 1)
-    found = segments(words, model.weights) if words else []
-    significant = [s for s in found if _tail(_ends(model, s[0], n)) <= SIGNIFICANT]
-    #: the evidence of each segment is the log of its tail probability: large and additive for passages
-    evidence = sum(-math.log(max(_tail(_ends(model, s[0], n)), 1e-12)) for s in significant)
-    odds = model.prior + evidence - (0.0 if significant else 1.0)
-    return 1.0 / (1.0 + math.exp(-min(max(odds, -30.0), 30.0))), significant
+    apart = [_normal(model, s[0], n) for s in segments(words, weights, once=True)]
+    odds = math.log(THRESHOLD / (1 - THRESHOLD)) + math.log(SIGNIFICANT) + evidence(apart)
+    score = 1.0 / (1.0 + math.exp(-min(max(odds, -30.0), 30.0)))
+    return score, [s for s in segments(words, weights) if _log_tail(_normal(model, s[0], n)) <= math.log(PASSAGE)]
 
 
 def held_out() -> Column:
@@ -116,7 +157,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[bytes, list[int]] = {}
         for text, toxic in texts(batch, "toxic"):
-            for word in set(words_of(text)):
+            own = set(words_of(text))
+            for word in own.union(*map(_beginnings, own)):
                 counts.setdefault(word, [0, 0])[toxic] += 1
         columns = [pa.array(counts, pa.binary()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))]
         yield pa.RecordBatch.from_arrays(columns, names=["word", "clean", "toxic"])
@@ -124,13 +166,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _best_segments(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(model)
         for batch in batches:
             lengths, best = [], []
             for (text,) in texts(batch):
                 words = words_of(text)
                 if words:
                     lengths.append(math.log(len(words)))
-                    best.append(max((s[0] for s in segments(words, model.weights)), default=0.0))
+                    best.append(max((s[0] for s in segments(words, weights, once=True)), default=0.0))
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.float64()), pa.array(best, pa.float64())], names=["x", "y"])
 
     return run
@@ -161,14 +204,15 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     weight = F.signum(odds) * F.greatest(F.abs(odds) - error, F.lit(0.0))
     weighted = counts.select("word", weight.alias("weight")).where("weight <> 0")
     #: at most one row per distinct word of the bounded sample
-    model = Model({bytes(row["word"]): row["weight"] for row in weighted.collect()}, prior=math.log(toxic / clean))
+    model = Model({bytes(row["word"]): row["weight"] for row in weighted.collect()})
     best = in_tasks(chosen.where("toxic = 0").select("text"), _best_segments(model), "x double, y double")
-    slope, at, mean, spread, explained = best.agg(F.regr_slope("y", "x"), F.avg("x"), F.avg("y"), F.var_pop("y"), F.regr_r2("y", "x")).first()
-    if mean is not None:
-        model.slope = max(slope or 0.0, 0.0)
-        rest = math.sqrt(spread * (1.0 - (explained or 0.0)))
-        model.scale = max(rest * math.sqrt(6) / math.pi, LEAST_SCALE)
-        model.place = mean - model.slope * at - EULER * model.scale
+    #: at most max_labelled rows; the slope from all, place and scale from quantiles, which a few mislabelled documents don't move
+    best = stored(best, "best-segments")
+    slope = best.agg(F.regr_slope("y", "x")).first()[0]
+    model.slope = max(slope or 0.0, 0.0)
+    middle, high = best.agg(F.percentile(F.col("y") - model.slope * F.col("x"), [0.5, 0.99])).first()[0] or (0.0, 0.0)
+    model.scale = max((high - middle) / (math.log(math.log(2)) - math.log(-math.log(0.99))), LEAST_SCALE)
+    model.place = middle + model.scale * math.log(math.log(2))
     return model
 
 
@@ -177,11 +221,12 @@ def _judge(model: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
+        weights = Weights(fitted)
         for batch in batches:
             ids, scores, counts, passages = [], [], [], []
             for text, doc_id in texts(batch, "doc_id"):
                 words = words_of(text)
-                score, found = judged(words, fitted)
+                score, found = judged(words, fitted, weights)
                 ids.append(doc_id)
                 scores.append(score)
                 counts.append(len(found))
