@@ -18,6 +18,8 @@ class FlatRequests(NamedTuple):
 def flatten_requests(requests: DataFrame) -> FlatRequests:
     """`(request_id, user_id, received_on, body)` -> transaction headers, amounts and tags.
 
+    A body that is no JSON, or has a field of the wrong type, is refused as a whole: its header has
+    the `shape` not_json or bad_type and no content. No value is coerced.
     is_income defaults to false, include_in_reports to true, blank notes count as absent. Amounts
     and tags keep their place in the document as `slot`, and amounts carry the creator, so that
     checking them needs no join back to the header.
@@ -57,14 +59,53 @@ def shaped_amounts(requests: DataFrame) -> DataFrame:
 
 
 def _parsed(requests: DataFrame) -> DataFrame:
-    return requests.select(
+    typed = requests.withColumn("_json", F.try_parse_json("body")).withColumn("type_fault", _type_fault(F.col("_json")))
+    return typed.select(
         F.col("request_id").alias("transaction_id"),
         F.col("user_id").alias("creator_id"),
         F.col("received_on").alias("created_on"),
-        F.from_json("body", REQUEST_BODY).alias("doc"),
+        "type_fault",
+        F.when(F.col("type_fault").isNull(), F.from_json("body", REQUEST_BODY)).alias("doc"),
     )
 
 
+def _kind(json: Column, path: str = "$") -> Column:
+    """The JSON type at `path`: STRING, BOOLEAN, a number type, OBJECT<...>, ARRAY<...>, VOID for null; NULL if there is nothing."""
+    return F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+
+
+def _absent_or(json: Column, path: str, fits: Column) -> Column:
+    return _kind(json, path).isNull() | fits
+
+
+def _is_number(json: Column, path: str) -> Column:
+    return _kind(json, path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+
+
+def _type_fault(json: Column) -> Column:
+    """not_json, bad_type, or NULL if every field that is there has its type."""
+
+    def amount_fits(amount: Column) -> Column:
+        whole = F.try_variant_get(amount, "$.accountId", "decimal(38,10)") % 1 == 0
+        return (
+            _kind(amount).startswith("OBJECT")
+            & _absent_or(amount, "$.accountId", _is_number(amount, "$.accountId") & F.coalesce(whole, F.lit(False)))
+            & _absent_or(amount, "$.accountName", _kind(amount, "$.accountName") == "STRING")
+            & _absent_or(amount, "$.amountToPay", _is_number(amount, "$.amountToPay"))
+            & _absent_or(amount, "$.amountPaid", _is_number(amount, "$.amountPaid"))
+        )
+
+    fits = _kind(json).startswith("OBJECT")
+    for name in ("category", "description", "notes"):
+        fits &= _absent_or(json, f"$.{name}", _kind(json, f"$.{name}") == "STRING")
+    for name in ("isIncome", "includeInReports"):
+        fits &= _absent_or(json, f"$.{name}", _kind(json, f"$.{name}") == "BOOLEAN")
+    for name, each in (("amounts", amount_fits), ("tags", lambda tag: _kind(tag) == "STRING")):
+        elements = F.coalesce(F.try_variant_get(json, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
+        fits &= _absent_or(json, f"$.{name}", _kind(json, f"$.{name}").startswith("ARRAY") & F.forall(elements, each))
+    return F.when(json.isNull(), "not_json").when(~fits, "bad_type")
+
+
 def _amount_columns() -> list[Column]:
     return [
         (F.col("_at") + 1).cast("bigint").alias("slot"),
@@ -81,7 +122,8 @@ def _shape_reason() -> Column:
     amounts = F.coalesce(doc["amounts"], F.array())
     first_fault = F.get(F.array_compact(F.transform(amounts, _amount_fault)), F.lit(0))
     return (
-        F.when(blank(doc["category"]), "no_category")
+        F.when(F.col("type_fault").isNotNull(), F.col("type_fault"))
+        .when(blank(doc["category"]), "no_category")
         .when(doc["description"] == "", "empty_description")
         .when(F.size(amounts) == 0, "empty")
         .when(first_fault.isNotNull(), first_fault)

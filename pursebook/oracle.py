@@ -6,6 +6,10 @@ the views it needs.
 
 import re
 
+from pursebook.sources.derive import FAULTY_BODIES, FAULTY_EVERY
+
+# The faulty body whose types are right.
+NO_AMOUNT = len(FAULTY_BODIES) - 1
 DAY0 = "(SELECT min(o_orderdate) FROM orders)"
 CUSTOMERS = "(SELECT count(*) FROM customer)"
 MONEY = "DECIMAL(19,4)"
@@ -67,12 +71,14 @@ VIEWS = {
           o_orderdate AS created_on
         FROM slots s JOIN orders ON s.l_orderkey = o_orderkey""",
     "transaction_tags": """
-        SELECT min(((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 2 + w) AS id,
+        SELECT min(((l_orderkey * 8 + l_linenumber) * (SELECT max(p_partkey) + 1 FROM part) + l_partkey)
+            * (SELECT max(len(string_split(p_name, ' '))) FROM part) + w) AS id,
           l_orderkey + 1 AS transaction_id, tag
         FROM (SELECT l_orderkey, l_linenumber, l_partkey, w,
-                CASE WHEN l_linenumber % 4 = 0 THEN concat(' ', upper(split_part(p_name, ' ', w + 1)))
-                     ELSE split_part(p_name, ' ', w + 1) END AS tag
-              FROM lineitem JOIN part ON l_partkey = p_partkey, (VALUES (0), (1)) AS words(w)) t
+                CASE WHEN l_linenumber % 4 = 0 THEN concat(' ', upper(word)) ELSE word END AS tag
+              FROM lineitem JOIN (
+                SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word,
+                  unnest(range(len(string_split(p_name, ' ')))) AS w FROM part) p ON l_partkey = p_partkey) t
         GROUP BY l_orderkey, tag""",
     "friends": f"""
         SELECT CASE WHEN u % 2 = 0 THEN u ELSE v END + 1 AS user_id,
@@ -125,7 +131,7 @@ VIEWS = {
         UNION ALL
         SELECT id, 100, CASE WHEN kind = 0 THEN id * 10 + 1 END,
           CASE WHEN kind = -1 THEN (creator_id + 2) % {CUSTOMERS} * 2 + 1 WHEN kind = 1 THEN creator_id * 2 - 1
-               WHEN kind = 2 THEN id + 1000000000 END,
+               WHEN kind = 2 THEN id + {CUSTOMERS} * 2 END,
           CASE WHEN is_income OR kind = 3 THEN 'Late guest' WHEN kind = 1 THEN 'Twice' END,
           {money("0")}, CASE WHEN kind <> 3 THEN {money("0")} END
         FROM (SELECT *, CASE WHEN is_income THEN -2 WHEN notes IS NOT NULL THEN -1 ELSE id % 4 END AS kind
@@ -140,11 +146,11 @@ VIEWS = {
         FROM transaction_tags g JOIN transactions t ON t.id = g.transaction_id""",
     "tag_removals": """
         SELECT g.id AS seq, creator_id AS user_id, t.id AS transaction_id, g.id AS tag_id
-        FROM transaction_tags g JOIN transactions t
-          ON t.id = g.transaction_id + CASE WHEN tag = upper(tag) THEN 0 ELSE 1 END""",
+        FROM (SELECT id, transaction_id + CASE WHEN tag = upper(tag) THEN 0 ELSE 1 END AS asked FROM transaction_tags) g
+        JOIN transactions t ON t.id = g.asked""",
     "account_requests": f"""
         SELECT o_orderkey + 1 AS seq, o_orderdate AS opened_on,
-          CASE WHEN o_totalprice > 450000 THEN 0 WHEN o_totalprice < 20000 THEN o_custkey + 1000000000
+          CASE WHEN o_totalprice > 450000 THEN 0 WHEN o_totalprice < 20000 THEN o_custkey + 1 + {CUSTOMERS}
                ELSE o_custkey + 1 END AS user_id,
           CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS name,
           CASE o_orderstatus WHEN 'F' THEN {money("o_totalprice")} WHEN 'P' THEN -{money("o_totalprice")} END
@@ -163,13 +169,13 @@ VIEWS = {
           CASE WHEN o_totalprice < 50000 THEN concat('nobody_', username) WHEN o_orderstatus = 'P' THEN email
                WHEN o_orderstatus = 'F' THEN upper(username) ELSE username END AS identifier
         FROM orders JOIN users ON id = (o_custkey + o_orderkey % 16) % {CUSTOMERS} + 1""",
-    "friend_responses": """
+    "friend_responses": f"""
         SELECT user_id * 4 + k AS seq, created_on + INTERVAL '3' DAY AS responded_on, friend_id AS user_id,
           user_id AS friend_id,
           CASE WHEN day(created_on) <= 20 THEN 'accept' WHEN day(created_on) <= 27 THEN 'reject' ELSE 'later' END AS action
         FROM friend_requests, (VALUES (0), (1)) AS twice(k)
         UNION ALL
-        SELECT (user_id * 1000000 + friend_id) * 4 + 2, min(created_on), user_id, friend_id, 'accept'
+        SELECT (user_id * ({CUSTOMERS} + 1) + friend_id) * 4 + 2, min(created_on), user_id, friend_id, 'accept'
         FROM friends GROUP BY user_id, friend_id""",
     "friend_removals": """
         SELECT user_id * 2 AS seq, user_id, friend_id FROM friend_requests
@@ -184,8 +190,8 @@ VIEWS = {
           concat('u', o_custkey, CASE WHEN o_orderstatus = 'O' THEN '..x@example.com'
             WHEN o_orderpriority = '5-LOW' THEN '+low@mail.example.org' ELSE '@mail.example.org' END) AS email
         FROM orders""",
-    "session_claims": """
-        SELECT event_id AS session_id, user_id + CASE WHEN value > 55 THEN 1000000 ELSE 1 END AS user_id,
+    "session_claims": f"""
+        SELECT event_id AS session_id, user_id + 1 + CASE WHEN value > 55 THEN {CUSTOMERS} ELSE 0 END AS user_id,
           CASE WHEN value >= 0.5 THEN concat('customer_', user_id) ELSE '' END AS user_name,
           CASE WHEN event_type <> 'error' OR value >= 1 THEN concat('customer_', user_id, '@example.com') END AS email,
           ts AS issued_at, ts + INTERVAL '1' DAY * CAST(event_id % 30 AS INT) AS expires_at,
@@ -194,16 +200,21 @@ VIEWS = {
     "user_modified": """
         SELECT user_id + 1 AS user_id, max(ts) AS modified_on FROM events
         WHERE event_type = 'error' AND value > 20 GROUP BY user_id""",
-    # The create requests, before they were made JSON.
-    "request_headers": """
+    # The create requests, before they were made JSON; some bodies are replaced by faulty ones.
+    "request_bodies": f"""
+        SELECT *, CASE WHEN l_orderkey % {FAULTY_EVERY} < {len(FAULTY_BODIES)} THEN l_orderkey % {FAULTY_EVERY} END AS faulty
+        FROM slots JOIN orders ON l_orderkey = o_orderkey""",
+    "request_headers": f"""
         SELECT l_orderkey * 10 + slot AS id, o_custkey + 1 AS creator_id,
-          CASE WHEN slot = 7 AND o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS category,
-          o_orderstatus = 'P' AS is_income, slot <> 2 AS include_in_reports,
-          CASE WHEN slot <> 3 THEN concat('line ', CAST(l_linenumber AS VARCHAR)) END AS description,
-          CASE WHEN slot = 2 THEN 'shared' END AS notes, o_orderdate AS created_on,
-          CASE WHEN slot = 7 AND o_orderstatus = 'F' THEN 'no_category' WHEN slot = 7 THEN 'empty'
+          CASE WHEN faulty = {NO_AMOUNT} THEN 'c' WHEN faulty IS NOT NULL THEN NULL
+               WHEN slot = 7 AND o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS category,
+          faulty IS NULL AND o_orderstatus = 'P' AS is_income, faulty IS NOT NULL OR slot <> 2 AS include_in_reports,
+          CASE WHEN faulty IS NULL AND slot <> 3 THEN concat('line ', CAST(l_linenumber AS VARCHAR)) END AS description,
+          CASE WHEN faulty IS NULL AND slot = 2 THEN 'shared' END AS notes, o_orderdate AS created_on,
+          CASE WHEN faulty = 0 THEN 'not_json' WHEN faulty = {NO_AMOUNT} THEN 'no_amount' WHEN faulty IS NOT NULL THEN 'bad_type'
+               WHEN slot = 7 AND o_orderstatus = 'F' THEN 'no_category' WHEN slot = 7 THEN 'empty'
                WHEN to_pay < 1 OR (slot = 6 AND o_orderstatus = 'P') THEN 'negative' END AS shape
-        FROM slots JOIN orders ON l_orderkey = o_orderkey""",
+        FROM request_bodies""",
     "request_amounts": f"""
         SELECT l_orderkey * 10 + s.slot AS transaction_id, o_custkey + 1 AS creator_id, CAST(1 AS BIGINT) AS slot,
           CASE WHEN s.slot <> 6 THEN o_custkey * 2 + 1 END AS account_id,
@@ -211,14 +222,17 @@ VIEWS = {
           {money("to_pay - 1")} AS amount_to_pay,
           {money("to_pay + CASE WHEN s.slot = 5 AND o_orderstatus = 'P' THEN 5 ELSE 0 END")} AS amount_paid,
           o_orderdate AS created_on
-        FROM slots s JOIN orders ON l_orderkey = o_orderkey WHERE s.slot <> 7
+        FROM request_bodies s WHERE s.slot <> 7 AND faulty IS NULL
+        UNION ALL
+        SELECT l_orderkey * 10 + slot, o_custkey + 1, 1, NULL, 'x', NULL, {money("5")}, o_orderdate
+        FROM request_bodies WHERE faulty = {NO_AMOUNT}
         UNION ALL
         SELECT l_orderkey * 10 + s.slot, o_custkey + 1, 2,
           CASE s.slot WHEN 2 THEN (o_custkey + 7) % {CUSTOMERS} * 2 + 1 WHEN 3 THEN (o_custkey + 3) % {CUSTOMERS} * 2 + 1
-            WHEN 4 THEN o_custkey * 2 + 1 + 1000000000 END,
+            WHEN 4 THEN o_custkey * 2 + 1 + {CUSTOMERS} * 2 END,
           CASE WHEN s.slot IN (1, 6) OR (s.slot = 5 AND o_orderstatus <> 'O') THEN 'Guest' END,
           {money("CASE WHEN s.slot = 6 AND o_orderstatus = 'P' THEN -1 ELSE 1 END")}, {money("0")}, o_orderdate
-        FROM slots s JOIN orders ON l_orderkey = o_orderkey WHERE s.slot <> 7""",
+        FROM request_bodies s WHERE s.slot <> 7 AND faulty IS NULL""",
     # Shared steps of the checks.
     "edges": """
         SELECT DISTINCT least(user_id, friend_id) AS lo, greatest(user_id, friend_id) AS hi FROM friends""",
@@ -524,8 +538,8 @@ CHECKS = {
     "flatten_requests_tags": """
         SELECT id AS transaction_id, CAST(k AS BIGINT) AS slot,
           CASE k WHEN 1 THEN 'bill' WHEN 2 THEN ' Bill' ELSE o_orderstatus END AS tag
-        FROM (SELECT l_orderkey * 10 + slot AS id, o_orderstatus FROM slots JOIN orders ON l_orderkey = o_orderkey
-              WHERE slot < 3) r, (VALUES (1), (2), (3)) AS places(k)""",
+        FROM (SELECT l_orderkey * 10 + slot AS id, o_orderstatus FROM request_bodies
+              WHERE slot < 3 AND faulty IS NULL) r, (VALUES (1), (2), (3)) AS places(k)""",
     "amount_row_checks": """
         SELECT transaction_id, slot, account_id, account_name,
           CASE WHEN account_id IS NULL AND account_name IS NULL THEN 'neither'

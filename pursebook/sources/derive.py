@@ -161,11 +161,16 @@ def transaction_amounts(ledger: Ledger) -> DataFrame:
 
 
 def transaction_tags(ledger: Ledger) -> DataFrame:
-    """The words of the ordered parts, in two spellings."""
+    """The words of the ordered parts, in two spellings.
+
+    An id is made of line, part and place of the word, each as wide as the data needs.
+    """
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    part_line = (line * 1_000_000 + F.col("l_partkey")) * 2
+    parts = ledger["part"].select(F.max("p_partkey") + 1).scalar()
+    places = ledger["part"].select(F.max(F.size(F.split("p_name", " ")))).scalar()
+    part_line = (line * parts + F.col("l_partkey")) * places
     spelled = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit(" "), F.upper("word"))).otherwise(F.col("word"))
-    words = F.posexplode(F.slice(F.split("p_name", " "), 1, 2)).alias("at", "word")
+    words = F.posexplode(F.split("p_name", " ")).alias("at", "word")
     return (
         ledger["lineitem"]
         .join(ledger["part"], F.col("l_partkey") == F.col("p_partkey"))
@@ -305,7 +310,7 @@ def amount_patches(ledger: Ledger) -> DataFrame:
         F.when(kind == 0, key * 10 + 1).alias("id"),
         F.when(~income & noted, stranger)
         .when(kind == 1, F.col("creator_id") * 2 - 1)
-        .when(kind == 2, key + 1_000_000_000)
+        .when(kind == 2, key + _customers(ledger) * 2)
         .alias("account_id"),
         F.when(income | (kind == 3), "Late guest").when(kind == 1, "Twice").alias("account_name"),
         F.lit(0).cast(MONEY).alias("amount_to_pay"),
@@ -356,7 +361,7 @@ def account_requests(ledger: Ledger) -> DataFrame:
         (F.col("o_orderkey") + 1).alias("seq"),
         F.col("o_orderdate").alias("opened_on"),
         F.when(F.col("o_totalprice") > 450000, F.lit(0).cast("bigint"))
-        .when(F.col("o_totalprice") < 20000, F.col("o_custkey") + 1_000_000_000)
+        .when(F.col("o_totalprice") < 20000, F.col("o_custkey") + 1 + _customers(ledger))
         .otherwise(F.col("o_custkey") + 1)
         .alias("user_id"),
         F.when(F.col("o_orderpriority") == "5-LOW", F.lit("")).otherwise(F.col("o_orderpriority")).alias("name"),
@@ -414,7 +419,7 @@ def friend_responses(ledger: Ledger) -> DataFrame:
         F.when(day <= 20, "accept").when(day <= 27, "reject").otherwise("later").alias("action"),
     )
     stray = ledger["friends"].groupBy("user_id", "friend_id").agg(F.min("created_on").alias("created_on")).select(
-        (F.col("user_id") * 1_000_000 + F.col("friend_id")).alias("base"), "user_id", "friend_id", "created_on"
+        (F.col("user_id") * (_customers(ledger) + 1) + F.col("friend_id")).alias("base"), "user_id", "friend_id", "created_on"
     )
     stray = stray.select(
         (F.col("base") * 4 + 2).alias("seq"),
@@ -468,7 +473,7 @@ def session_claims(ledger: Ledger) -> DataFrame:
     name = F.concat(F.lit("customer_"), _text("user_id"))
     return ledger["events"].select(
         key.alias("session_id"),
-        (F.col("user_id") + F.when(F.col("value") > 55, F.lit(1_000_000)).otherwise(F.lit(1))).alias("user_id"),
+        (F.col("user_id") + 1 + F.when(F.col("value") > 55, _customers(ledger)).otherwise(F.lit(0))).alias("user_id"),
         F.when(F.col("value") >= 0.5, name).otherwise(F.lit("")).alias("user_name"),
         F.when((kind != "error") | (F.col("value") >= 1), F.concat(name, F.lit("@example.com"))).alias("email"),
         F.col("ts").alias("issued_at"),
@@ -486,6 +491,27 @@ def user_modified(ledger: Ledger) -> DataFrame:
     )
 
 
+# Bodies no client of ours sends; the requests of one order in FAULTY_EVERY carry each of them.
+FAULTY_EVERY = 101
+_ONE = '[{"accountName":"x","amountToPay":5,"amountPaid":5}]'
+FAULTY_BODIES = [
+    "not json",
+    '["category"]',
+    '{"category":7,"amounts":%s}' % _ONE,
+    '{"category":"c","isIncome":"yes","amounts":%s}' % _ONE,
+    '{"category":"c","includeInReports":0,"amounts":%s}' % _ONE,
+    '{"category":"c","tags":"solo","amounts":%s}' % _ONE,
+    '{"category":"c","tags":["a",1],"amounts":%s}' % _ONE,
+    '{"category":"c","notes":null,"amounts":%s}' % _ONE,
+    '{"category":"c","amounts":{"accountId":1}}',
+    '{"category":"c","amounts":[7]}',
+    '{"category":"c","amounts":[{"accountName":"x","amountToPay":"5","amountPaid":5}]}',
+    '{"category":"c","amounts":[{"accountName":"x","accountId":"abc","amountToPay":5,"amountPaid":5}]}',
+    '{"category":"c","amounts":[{"accountId":1.5,"amountToPay":5,"amountPaid":5}]}',
+    '{"category":"c","amounts":[{"accountName":"x","amountPaid":5}]}',
+]
+
+
 def split_requests(ledger: Ledger) -> DataFrame:
     """A create request, as JSON, for every order line: sound ones and every kind of faulty one."""
     slot, status, share = F.col("slot"), F.col("o_orderstatus"), F.col("to_pay")
@@ -500,7 +526,7 @@ def split_requests(ledger: Ledger) -> DataFrame:
     second_id = (
         F.when(slot == 2, account_of(7))
         .when(slot == 3, account_of(3))
-        .when(slot == 4, own + 1_000_000_000)
+        .when(slot == 4, own + customers * 2)
     )
     second_name = F.when(second_id.isNull() & ~((slot == 5) & (status == "O")), F.lit("Guest"))
     negative = (slot == 6) & (status == "P")
@@ -527,6 +553,9 @@ def split_requests(ledger: Ledger) -> DataFrame:
         F.when(slot != 7, two).otherwise(F.slice(two, 1, 0)).alias("amounts"),
         F.when(slot < 3, F.array(F.lit("bill"), F.lit(" Bill"), status)).alias("tags"),
     )
+    text = F.to_json(body)
+    for kind, faulty in enumerate(FAULTY_BODIES):
+        text = F.when(F.col("l_orderkey") % FAULTY_EVERY == kind, F.lit(faulty)).otherwise(text)
     return (
         ledger["slots"]
         .join(ledger["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
@@ -534,7 +563,7 @@ def split_requests(ledger: Ledger) -> DataFrame:
             (F.col("l_orderkey") * 10 + slot).alias("request_id"),
             (F.col("o_custkey") + 1).alias("user_id"),
             F.col("o_orderdate").alias("received_on"),
-            F.to_json(body).alias("body"),
+            text.alias("body"),
         )
     )
 
