@@ -430,7 +430,7 @@ def amount_labels(led: Ledger) -> DataFrame:
 
 @registered
 def tag_list_text(led: Ledger) -> DataFrame:
-    return documents.tag_list_text(led["transaction_tags"]).select("transaction_id", "text")
+    return documents.tag_list_text(led["transaction_tags"])
 
 
 # --- tags ------------------------------------------------------------------------------------

@@ -6,51 +6,30 @@ from pyspark.sql import functions as F
 from pursebook.functions.keys import or_scattered
 from pursebook.operators.friends import friend_pairs
 from pursebook.operators.search import PAGE_LIMIT, transaction_page
-from pursebook.plans.parts import PART_BITS, with_part
 
 
-def _nested(children: DataFrame, name: str, part_bits: int) -> DataFrame:
+def _nested(children: DataFrame, name: str) -> DataFrame:
     fields = [c for c in children.columns if c not in ("transaction_id", "id")]
-    return (
-        with_part(children, "transaction_id", "id", part_bits)
-        .groupBy("transaction_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("id", *fields))).alias(name))
-    )
+    return children.groupBy("transaction_id").agg(F.array_sort(F.collect_list(F.struct("id", *fields))).alias(name))
 
 
-def transaction_documents(
-    transactions: DataFrame, amounts: DataFrame, tags: DataFrame, part_bits: int = PART_BITS
-) -> DataFrame:
-    """Headers with nested `amounts` and `tags`, both in id order.
+def transaction_documents(transactions: DataFrame, amounts: DataFrame, tags: DataFrame) -> DataFrame:
+    """Headers with nested `amounts` and `tags`, both in id order: one row per transaction, whatever its size.
 
-    One row per transaction, `part` 0. Children beyond 2^part_bits of one transaction come in
-    further rows with a higher `part` and no header, so that no row has to hold an unbounded group.
-    The three inputs are nested apart and meet on the same key: each is shuffled once.
+    A document is one row, so it holds its own children as arrays; what has to scale with a
+    transaction's children works on the child tables instead. The inputs are nested apart, combined
+    before the shuffle, and meet on the same key: each is shuffled once.
     """
     headers = transactions.select(
-        F.col("id").alias("transaction_id"),
-        F.lit(0).cast("bigint").alias("part"),
-        *[c for c in transactions.columns if c != "id"],
-        F.lit(True).alias("_header"),
+        F.col("id").alias("transaction_id"), *[c for c in transactions.columns if c != "id"]
     )
     nested_amounts = _nested(
         amounts.select("transaction_id", "id", "account_id", "account_name", "amount_to_pay", "amount_paid", "created_on"),
         "amounts",
-        part_bits,
-    )
-    nested_tags = _nested(tags.select("transaction_id", "id", "tag"), "tags", part_bits)
-    key = ["transaction_id", "part"]
-    joined = headers.join(nested_amounts, key, "full").join(nested_tags, key, "full")
-    return (
-        joined.where(F.col("_header") | (F.col("part") > 0))
-        .withColumn("amounts", F.coalesce("amounts", F.array()))
-        .withColumn("tags", F.coalesce("tags", F.array()))
-        .drop("_header")
     )
-
-
-# A page of at most this many rows is broadcast to the tables it is filled from.
-BROADCAST_PAGE = 10_000
+    nested_tags = _nested(tags.select("transaction_id", "id", "tag"), "tags")
+    joined = headers.join(nested_amounts, "transaction_id", "left").join(nested_tags, "transaction_id", "left")
+    return joined.withColumn("amounts", F.coalesce("amounts", F.array())).withColumn("tags", F.coalesce("tags", F.array()))
 
 
 def transaction_list(
@@ -58,16 +37,14 @@ def transaction_list(
 ) -> DataFrame:
     """One page of one user's search as documents, with `page`, `limit` and the `total` found.
 
-    The page is cut first; its ids then pick the children, so that no child table is shuffled.
+    The page is cut first; its ids then pick the children. How they meet is left to Spark's size check.
     """
     ids = transaction_page(found, page, limit).select("id")
-    if limit <= BROADCAST_PAGE:
-        ids = F.broadcast(ids)
     by_parent = ids.select(F.col("id").alias("transaction_id"))
     filled = transaction_documents(
         transactions.join(ids, "id", "left_semi").select(*transactions.columns),
-        amounts.join(F.broadcast(by_parent) if limit <= BROADCAST_PAGE else by_parent, "transaction_id", "left_semi"),
-        tags.join(F.broadcast(by_parent) if limit <= BROADCAST_PAGE else by_parent, "transaction_id", "left_semi"),
+        amounts.join(by_parent, "transaction_id", "left_semi"),
+        tags.join(by_parent, "transaction_id", "left_semi"),
     )
     return filled.select(
         F.lit(page).alias("page"),
@@ -77,10 +54,10 @@ def transaction_list(
     )
 
 
-def tag_list_text(tags: DataFrame, part_bits: int = PART_BITS) -> DataFrame:
-    """The tags of a transaction joined with ", " in id order; very long lists come in parts."""
-    nested = _nested(tags.select("transaction_id", "id", "tag"), "tags", part_bits)
-    return nested.select("transaction_id", "part", F.concat_ws(", ", F.col("tags.tag")).alias("text"))
+def tag_list_text(tags: DataFrame) -> DataFrame:
+    """The tags of a transaction joined with ", " in id order, one row per transaction."""
+    nested = _nested(tags.select("transaction_id", "id", "tag"), "tags")
+    return nested.select("transaction_id", F.concat_ws(", ", F.col("tags.tag")).alias("text"))
 
 
 def amount_labels(

@@ -66,22 +66,28 @@ def test_pages_of_all_users_are_the_pages_of_each(ledger):
             assert listed == pages.get((user, page), [])
 
 
-def test_documents_of_large_transactions_come_in_parts(spark, ledger):
-    """With parts of 4 ids every transaction with more children is split, and nothing is lost."""
-    tables = [ledger[name] for name in ("transactions", "transaction_amounts", "transaction_tags")]
-    whole = documents.transaction_documents(*tables)
-    parts = documents.transaction_documents(*tables, part_bits=2)
-    assert whole.count() == whole.where("part = 0").count() == tables[0].count()
-    assert parts.where("part > 0").count() > 0
-    assert parts.select(F.max(F.size("amounts"))).first()[0] <= 4
-
-    def children(frame, name):
-        rows = frame.select("transaction_id", F.explode(name).alias("c")).select("transaction_id", "c.*").collect()
-        return sorted(map(str, rows))
-
-    for name in ("amounts", "tags"):
-        assert children(whole, name) == children(parts, name)
-    assert parts.where("part = 0 and category is not null").count() == tables[0].count()
+def test_documents_have_one_shape_at_every_size(spark):
+    """A transaction with very many children is one row like any other; the other rows stay as they are."""
+
+    def built(large):
+        headers = spark.range(1, 4).select("id", F.lit("c").alias("category"))
+        owner = F.when(F.col("id") < large, 1).otherwise(F.col("id") % 3 + 1).cast("long")
+        children = spark.range(large + 300).select("id", owner.alias("transaction_id"))
+        empty = F.lit(None)
+        amounts = children.select(
+            "*", *(empty.cast(t).alias(n) for n, t in (("account_id", "long"), ("account_name", "string"), ("created_on", "date"))),
+            *(F.lit(1).cast("decimal(19,4)").alias(n) for n in ("amount_to_pay", "amount_paid")),
+        )
+        tags = children.select("*", F.lit("t").alias("tag"))
+        texts = {r["transaction_id"]: len(r["text"].split(", ")) for r in documents.tag_list_text(tags).collect()}
+        found = documents.transaction_documents(headers, amounts, tags)
+        sizes = {r[0]: (r[1], r[2]) for r in found.select("transaction_id", F.size("amounts"), F.size("tags")).collect()}
+        assert found.count() == 3 and {i: (n, n) for i, n in texts.items()} == sizes
+        return found.schema, sizes
+
+    small, large = built(0), built(1_100_000)
+    assert small[0] == large[0]
+    assert large[1][1][0] >= 1_100_000 and large[1][2] == small[1][2]
 
 
 def play(actions):
