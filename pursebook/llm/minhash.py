@@ -8,8 +8,8 @@ their similarity, independently of the other bins. Bands of ROWS bins are the bu
 Documents with equal word sequences form one class, which is compared once. A bucket gives one
 candidate per member: to its centre, a star instead of all pairs. The candidates are confirmed on
 the full sets. A star alone could miss a link between two members that are both unlike the centre,
-so buckets whose members are not yet connected get new centres, round after round, until a round
-finds no further link.
+so buckets whose members are not yet connected get new centres, round after round, until no
+further link is found.
 """
 
 import hashlib
@@ -28,8 +28,12 @@ BIN_BITS = 7
 BINS = 1 << BIN_BITS
 ROWS = 4
 BANDS = BINS // ROWS
-#: centres of a bucket in the rounds after the first
-CENTRES = 8
+#: rounds with centres at random before
+RANDOM_ROUNDS = 2
+#: rounds in a row without a further link that end the search
+QUIET_ROUNDS = 2
+#: how far labels look for the least id between two rounds
+STEPS = 4
 WORDS_KEPT = 500_000
 
 _SEED = np.random.default_rng(20)
@@ -144,42 +148,90 @@ def _pairs(members: DataFrame, centres: DataFrame, percent: int, *apart: str) ->
     return stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def _first(members: DataFrame, *order: Column, carried: tuple[str, ...] = ("n",), slot: Column | None = None) -> DataFrame:
-    """The centre of each bucket, or of each slot of a bucket: its first member in the given order."""
-    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "id", *carried)).alias("first")
-    columns = [F.col(f"first.{name}").alias(f"centre_{name}") for name in carried]
-    groups = ["bucket"] if slot is None else ["bucket", slot.alias("slot")]
-    return members.groupBy(*groups).agg(first).select("bucket", F.col("first.id").alias("centre"), *columns)
+def _centres(members: DataFrame, order: Column) -> DataFrame:
+    """The centre of each bucket: its first member in the given order. Buckets whose members are all connected have none."""
+    first = F.min(F.struct(order.alias("order"), "id", "n", "component")).alias("first")
+    groups = members.groupBy("bucket").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi"))
+    columns = [F.col("first.id").alias("centre"), F.col("first.n").alias("centre_n"), F.col("first.component").alias("centre_component")]
+    return groups.where("lo < hi").select("bucket", *columns)
+
+
+def _pairs(members: DataFrame, centres: DataFrame, percent: int, *apart: str) -> DataFrame:
+    """Each bucket's star: its centre with its other members (with those of other components), where sizes allow a link."""
+    similar_size = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    stars = members.join(centres, "bucket").where(F.col("id") != F.col("centre")).where(similar_size)
+    for column in apart:
+        stars = stars.where(F.col(column) != F.col(f"centre_{column}"))
+    return stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def _centres(members: DataFrame, *order: Column, slot: Column | None = None) -> DataFrame:
+    """The centre of each bucket, or of each slot of a bucket: its first member in the given order.
+
+    Buckets whose members are all connected have none.
+    """
+    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "id", "n", "component")).alias("first")
+    groups = members.groupBy("bucket").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi"))
+    if slot is not None:
+        slots = members.groupBy("bucket", slot.alias("slot")).agg(first, F.min("component").alias("lo"), F.max("component").alias("hi"))
+        split = slots.groupBy("bucket").agg(F.collect_list("first").alias("firsts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        groups = split.select("bucket", F.explode("firsts").alias("first"), "lo", "hi")
+    columns = [F.col("first.id").alias("centre"), F.col("first.n").alias("centre_n"), F.col("first.component").alias("centre_component")]
+    return groups.where("lo < hi").select("bucket", *columns)
+
+
+def _pairs(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's star: its centre with its members of other components, where sizes allow a link."""
+    similar_size = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    stars = members.join(centres, "bucket").where("component <> centre_component").where(similar_size)
+    return stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, component): the least id within STEPS links, a cheap stand-in for the component: equal ones are connected."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    for _ in range(STEPS - 1):
+        of_b = labels.withColumnRenamed("a", "b")
+        labels = both.join(of_b, "b").groupBy("a").agg(F.min("component").alias("component"))
+    return labels.withColumnRenamed("a", "id")
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The confirmed links (a, b) between the members of the buckets.
 
-    In the first round the smallest id is a bucket's centre. Later, only buckets whose members lie
-    in several components take part; their centres are members of the smallest components, which meet
-    every member they aren't connected with. A round costs at most CENTRES pairs per member of a bucket.
+    At first the smallest id is a bucket's centre. Later only buckets with members that aren't known
+    to be connected take part: in some rounds with a centre at random, then with one from a random
+    component of the bucket, which meets every member that it isn't connected with. When
+    QUIET_ROUNDS such rounds in a row find no further link, the search ends. A round costs at most
+    one pair per member of a bucket.
     """
-    tried = stored(_pairs(members, _first(members), percent), "pairs")
+    alone = members.withColumn("component", F.col("id"))
+    tried = stored(_pairs(alone, _centres(alone, F.col("id")), percent), "pairs")
     links = stored(_confirmed(sets, tried, percent), "links")
-    turn = 0
+    turn = quiet = 0
     while True:
         turn += 1
-        reached = components(links)
-        sizes = reached.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        placed = members.join(reached.join(sizes, "component"), "id", "left")
-        placed = placed.select("bucket", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        placed = stored(placed.join(split.select("bucket"), "bucket", "left_semi"), "split-buckets")
-        order = F.xxhash64("id", "bucket", F.lit(turn))
-        slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(CENTRES))
-        centres = _first(placed, F.col("size"), order, carried=("n", "component"), slot=slot)
-        pairs = stored(_pairs(placed, centres, percent, "component").join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            return links
+        labels = stored(_labels(links), "labels")
+        placed = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        last = turn > RANDOM_ROUNDS
+        if last:
+            sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+            placed = placed.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        placed = stored(placed, "placed")
+        #: uniform in (0, 1]; for the last rounds a race in which each component is as likely to win, however large
+        chance = (F.pmod(F.xxhash64("id", "bucket", F.lit(turn)), F.lit(1 << 30)) + 1) / float(1 << 30)
+        order = -F.ln(chance) * F.col("size") if last else chance
+        centres = _centres(placed, order)
+        pairs = stored(_pairs(placed, centres, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(_confirmed(sets, pairs, percent), "links")
+        tried = tried.union(pairs)
         if found.isEmpty():
-            return links
-        links, tried = links.union(found), tried.union(pairs)
+            quiet += last
+            if quiet == QUIET_ROUNDS:
+                return links
+        else:
+            links, quiet = links.union(found), 0
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -195,19 +247,22 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     schema = "doc_id long, n_shingles long, key binary, bands array<long>"
     rows = stored(in_tasks(documents, _signatures(words), schema), "signatures")
     filled = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("id"))
-    first = classes.withColumnsRenamed({"key": "k"})
-    represented = filled.join(first, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("id")))
-    buckets = represented.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
+    #: of rows with equal words the smallest doc_id stands for all
+    first = F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first")
+    classes = stored(filled.groupBy("key").agg(first).select("key", "first.*"), "classes")
+    buckets = classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    classes = classes.select("key", F.col("doc_id").alias("id"))
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     members = stored(buckets.join(shared, "bucket", "left_semi"), "buckets")
     chosen = documents.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(in_tasks(chosen, _sets(words), "id long, shingles array<long>"), "shingle-sets")
     links = _links(members, sets, percent)
     #: rows of one doc_id with different texts are one document
-    owned = filled.join(first, F.col("key") == F.col("k")).select("doc_id", "id").distinct()
-    several = owned.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    links = links.union(owned.join(several, "doc_id").select(F.col("id").alias("a"), F.col("lo").alias("b")))
+    several = filled.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("doc_id")
+    if not several.isEmpty():
+        owned = filled.join(several, "doc_id", "left_semi").join(classes, "key").select("doc_id", "id").distinct()
+        lowest = owned.groupBy("doc_id").agg(F.min("id").alias("lo"))
+        links = links.union(owned.join(lowest, "doc_id").select(F.col("id").alias("a"), F.col("lo").alias("b")))
     placed = classes.join(components(links), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     return rows.join(placed, "key", "left").select(
         "doc_id",
