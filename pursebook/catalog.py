@@ -57,7 +57,7 @@ def account_balances(led: Ledger) -> DataFrame:
 
 @registered
 def balance_delta_from_changes(led: Ledger) -> DataFrame:
-    return balance_ops.balance_delta_from_changes(led["amount_changes"], led["transactions"])
+    return balance_ops.balance_delta_from_changes(led["amount_changes"])
 
 
 @registered
@@ -70,9 +70,7 @@ def balance_delta_from_direction_change(led: Ledger) -> DataFrame:
 def refresh_balances(led: Ledger) -> DataFrame:
     """Balances after the updates and removals of the change feed."""
     later = led["amount_changes"].where("op <> 'I'")
-    return balance_ops.refresh_balances(
-        account_balances(led), balance_ops.balance_delta_from_changes(later, led["transactions"])
-    )
+    return balance_ops.refresh_balances(account_balances(led), balance_ops.balance_delta_from_changes(later))
 
 
 @registered
@@ -280,6 +278,16 @@ def delete_transactions(led: Ledger) -> DataFrame:
     return _deletion(led).transactions
 
 
+@registered
+def delete_transactions_amounts(led: Ledger) -> DataFrame:
+    return _deletion(led).amounts
+
+
+@registered
+def delete_transactions_tags(led: Ledger) -> DataFrame:
+    return _deletion(led).tags
+
+
 @registered
 def delete_transactions_reversal(led: Ledger) -> DataFrame:
     return _deletion(led).reversal
@@ -356,6 +364,23 @@ def transaction_search_by_account(led: Ledger) -> DataFrame:
     )
 
 
+@registered
+def transaction_search_all_filters(led: Ledger) -> DataFrame:
+    """One user, some years, a category, an account and tags at once."""
+    return search.transaction_search(
+        led["transactions"],
+        led["transaction_amounts"],
+        led["accounts"],
+        led["transaction_tags"],
+        user_id=8,
+        start=datetime(1994, 1, 1),
+        end=datetime(2001, 1, 1),
+        category="1-URGENT",
+        account_id=15,
+        wanted_tags=["ring"],
+    )
+
+
 @registered
 def transactions_with_all_tags(led: Ledger) -> DataFrame:
     return search.transactions_with_all_tags(led["transaction_tags"], WANTED_TAGS)
@@ -571,6 +596,17 @@ def friend_directory(led: Ledger) -> DataFrame:
     return friend_ops.friend_directory(led["friends"], led["users"], led["accounts"])
 
 
+@registered
+def friend_picker(led: Ledger) -> DataFrame:
+    """What user 8 is offered."""
+    return friend_ops.friend_picker(led["friends"], led["users"], led["accounts"], user_id=8)
+
+
+@registered
+def friend_list_of_one(led: Ledger) -> DataFrame:
+    return friend_ops.friend_list(led["friends"], led["users"], user_id=8).select("user_id", "friend_id", "username")
+
+
 # --- users -----------------------------------------------------------------------------------
 
 
@@ -630,8 +666,9 @@ def loan_positions(led: Ledger) -> DataFrame:
 
 # --- streams ---------------------------------------------------------------------------------
 
-# Longer than the change feed's whole span: its files are not in time order.
-FEED_DISORDER = "10000 days"
+# The feeds come in time order, in stretches; a stretch is in disorder by less than this.
+FEED_DISORDER = "30 days"
+FEED_STRETCHES = 3
 
 
 def _landed(led: Ledger, name: str, rows: DataFrame) -> str:
@@ -648,12 +685,19 @@ def _feed(led: Ledger, schema: StructType) -> DataStreamReader:
 
 @registered
 def stream_balances(led: Ledger) -> DataFrame:
-    """The change feed, its updates delivered twice."""
-    folder = _landed(led, "changes", led["amount_changes"])
-    led["amount_changes"].where("op = 'U'").write.mode("append").parquet(folder)
-    feed = _feed(led, AMOUNT_CHANGES).parquet(folder)
-    running = live_balances.stream_balance_changes(feed, led["transactions"], FEED_DISORDER)
-    return live_balances.run_balances(running, run_folder(led.spark, "stream-balances"))
+    """The change feed as it comes in, stretch by stretch; what is updated in a stretch is delivered twice."""
+    folder, out = run_folder(led.spark, "feed-changes"), run_folder(led.spark, "stream-balances")
+    changes = led["amount_changes"]
+    shares = [i / FEED_STRETCHES for i in range(1, FEED_STRETCHES)]
+    seconds = F.unix_seconds(F.col("changed_on").cast("timestamp"))
+    ends = changes.select(F.percentile_approx(seconds, shares)).first()[0]
+    for start, end in zip([None, *ends], [*ends, None], strict=True):
+        stretch = changes.where(F.lit(True) if start is None else seconds > start).where(F.lit(True) if end is None else seconds <= end)
+        stretch.write.mode("append").parquet(folder)
+        stretch.where("op = 'U'").write.mode("append").parquet(folder)
+        feed = _feed(led, AMOUNT_CHANGES).parquet(folder)
+        found = live_balances.run_balances(live_balances.stream_balance_changes(feed, FEED_DISORDER), out)
+    return found
 
 
 def _turns(led: Ledger) -> DataFrame:
@@ -677,13 +721,38 @@ def stream_direction_changes(led: Ledger) -> DataFrame:
     return live_balances.run_balances(running, run_folder(led.spark, "stream-turns"))
 
 
-@registered
-def stream_split_validation(led: Ledger) -> DataFrame:
+def _split_stream(led: Ledger, table: str) -> DataFrame:
+    """One of the tables that the stream of requests writes."""
     folder = _landed(led, "requests", led["split_requests"])
     feed = _feed(led, REQUESTS).parquet(folder)
     out = run_folder(led.spark, "stream-splits")
     live_splits.run_split_validation(feed, led["accounts"], led["friends"], out)
-    return led.spark.read.parquet(f"{out}/verdicts").select("transaction_id", "verdict")
+    return led.spark.read.parquet(f"{out}/{table}").drop("batch")
+
+
+@registered
+def stream_split_validation(led: Ledger) -> DataFrame:
+    return _split_stream(led, "verdicts").select("transaction_id", "verdict")
+
+
+@registered
+def stream_split_validation_headers(led: Ledger) -> DataFrame:
+    return _split_stream(led, "headers")
+
+
+@registered
+def stream_split_validation_amounts(led: Ledger) -> DataFrame:
+    return _split_stream(led, "amounts")
+
+
+@registered
+def stream_split_validation_tags(led: Ledger) -> DataFrame:
+    return _split_stream(led, "tags")
+
+
+@registered
+def stream_split_validation_quarantine(led: Ledger) -> DataFrame:
+    return _split_stream(led, "quarantine").select("request_id", "verdict")
 
 
 @registered

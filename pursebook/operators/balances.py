@@ -26,15 +26,19 @@ def account_balances(accounts: DataFrame, transactions: DataFrame, amounts: Data
     )
 
 
-def signed_images(changes: DataFrame, transactions: DataFrame) -> DataFrame:
-    """The old image of every changed amount taken back and the new one applied; also for streams."""
+def signed_images(changes: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
+    """The old image of every changed amount taken back and the new one applied; also for streams.
+
+    A change says itself whether it is income, as its trigger saw it; only where the column is
+    missing is the transaction asked.
+    """
+    directed = changes if "is_income" in changes.columns else changes.join(_directions(transactions), "transaction_id")
     paid_back = F.struct(
         F.col("old_account_id").alias("account_id"), (-signed("old_paid", "is_income")).alias("delta")
     )
     paid = F.struct(F.col("new_account_id").alias("account_id"), signed("new_paid", "is_income").alias("delta"))
     return (
-        changes.join(_directions(transactions), "transaction_id")
-        .select(F.explode(F.array(paid_back, paid)).alias("image"))
+        directed.select(F.explode(F.array(paid_back, paid)).alias("image"))
         .select("image.account_id", "image.delta")
         .where(F.col("account_id").isNotNull())
     )
@@ -56,7 +60,7 @@ def per_account(images: DataFrame) -> DataFrame:
     return images.groupBy("account_id").agg(total("delta").alias("delta"))
 
 
-def balance_delta_from_changes(changes: DataFrame, transactions: DataFrame) -> DataFrame:
+def balance_delta_from_changes(changes: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
     """Balance change per account from inserted, updated and deleted amount rows."""
     return per_account(signed_images(changes, transactions))
 

@@ -585,6 +585,12 @@ CHECKS = {
     "edit_verdicts": "SELECT * FROM edits_judged",
     "delete_transactions": """
         SELECT * FROM transactions WHERE id NOT IN (SELECT transaction_id FROM edits_judged WHERE verdict = 'deleted')""",
+    "delete_transactions_amounts": """
+        SELECT a.* FROM transaction_amounts a
+        ANTI JOIN (SELECT transaction_id FROM edits_judged WHERE verdict = 'deleted') d USING (transaction_id)""",
+    "delete_transactions_tags": """
+        SELECT g.* FROM transaction_tags g
+        ANTI JOIN (SELECT transaction_id FROM edits_judged WHERE verdict = 'deleted') d USING (transaction_id)""",
     "delete_transactions_reversal": f"""
         SELECT account_id, {total("CASE WHEN is_income THEN -amount_paid ELSE amount_paid END")} AS delta
         FROM transaction_amounts a JOIN transactions t ON t.id = a.transaction_id
@@ -606,6 +612,12 @@ CHECKS = {
         SELECT DISTINCT a.user_id, t.id, t.created_on
         FROM transactions t JOIN transaction_amounts m ON m.transaction_id = t.id JOIN accounts a ON a.id = m.account_id
         WHERE m.account_id = 15""",
+    "transaction_search_all_filters": f"""
+        SELECT DISTINCT a.user_id, t.id, t.created_on
+        FROM transactions t JOIN transaction_amounts m ON m.transaction_id = t.id JOIN accounts a ON a.id = m.account_id
+        JOIN transaction_tags g ON g.transaction_id = t.id
+        WHERE m.account_id = 15 AND a.user_id = 8 AND category = '1-URGENT' AND {same_tag("tag")} = 'ring'
+          AND t.created_on BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '2001-01-01'""",
     "transactions_with_all_tags": "SELECT transaction_id FROM tagged",
     "transaction_search_total": """
         SELECT user_id, count(DISTINCT id) AS total, CAST(ceil(count(DISTINCT id) / 20.0) AS BIGINT) AS total_pages
@@ -730,6 +742,11 @@ CHECKS = {
         SELECT m.user_id, m.friend_id, username, count(a.id) AS accounts, count(a.id) > 0 AS offered
         FROM mutual m JOIN users u ON u.id = m.friend_id LEFT JOIN accounts a ON a.user_id = m.friend_id
         GROUP BY m.user_id, m.friend_id, username""",
+    "friend_picker": """
+        SELECT m.friend_id, username, a.id AS account_id, a.name
+        FROM mutual m JOIN users u ON u.id = m.friend_id JOIN accounts a ON a.user_id = m.friend_id WHERE m.user_id = 8""",
+    "friend_list_of_one": """
+        SELECT m.user_id, m.friend_id, username FROM mutual m JOIN users u ON u.id = m.friend_id WHERE m.user_id = 8""",
     "user_registration_checks": """
         SELECT seq, username, email,
           CASE WHEN refusal IS NOT NULL THEN refusal
@@ -768,6 +785,17 @@ CHECKS = {
     "stream_balances": _DELTAS,
     "stream_direction_changes": _TURNED,
     "stream_split_validation": _REQUEST_VERDICTS,
+    "stream_split_validation_headers": f"""
+        SELECT h.* EXCLUDE (shape) FROM request_headers h JOIN ({_REQUEST_VERDICTS}) v ON v.transaction_id = h.id WHERE verdict = 'ok'""",
+    "stream_split_validation_amounts": f"""
+        SELECT a.* FROM request_amounts a JOIN ({_REQUEST_VERDICTS}) v USING (transaction_id) WHERE verdict = 'ok'""",
+    "stream_split_validation_tags": f"""
+        SELECT transaction_id, CAST(k AS BIGINT) AS slot, CASE k WHEN 1 THEN 'bill' WHEN 2 THEN ' Bill' ELSE o_orderstatus END AS tag
+        FROM (SELECT l_orderkey * 10 + slot AS transaction_id, o_orderstatus FROM request_bodies
+              WHERE slot < 3 AND faulty IS NULL) r
+        JOIN ({_REQUEST_VERDICTS}) v USING (transaction_id), (VALUES (1), (2), (3)) AS places(k) WHERE verdict = 'ok'""",
+    "stream_split_validation_quarantine": f"""
+        SELECT transaction_id AS request_id, verdict FROM ({_REQUEST_VERDICTS}) v WHERE verdict <> 'ok'""",
     "stream_friendship_state": f"SELECT lo, hi, state, CAST(0 AS BIGINT) AS late FROM ({_REPLAY}) r",
 }
 

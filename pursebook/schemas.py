@@ -54,6 +54,7 @@ AMOUNT_CHANGES = _table(
     old_paid=MONEY,
     new_account_id=_LONG,
     new_paid=MONEY,
+    is_income=_FLAG,
 )
 
 TRANSACTION_PATCHES = _table(

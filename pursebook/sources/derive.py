@@ -249,6 +249,7 @@ def amount_changes(ledger: Ledger) -> DataFrame:
             old[1].alias("old_paid"),
             new[0].alias("new_account_id"),
             new[1].alias("new_paid"),
+            F.col("is_income"),
         )
 
     account = F.col("account_id")
@@ -260,7 +261,9 @@ def amount_changes(ledger: Ledger) -> DataFrame:
             F.when(taken_out, change(3, "D", 2, (account, F.when(owed, more).otherwise(paid)), (nobody, nothing))),
         )
     )
-    return ledger["transaction_amounts"].select(F.explode(changes).alias("c")).select("c.*")
+    directions = ledger["transactions"].select(F.col("id").alias("transaction_id"), "is_income")
+    rows = ledger["transaction_amounts"].join(directions, "transaction_id")
+    return rows.select(F.explode(changes).alias("c")).select("c.*")
 
 
 def transaction_patches(ledger: Ledger) -> DataFrame:

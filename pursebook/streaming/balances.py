@@ -14,12 +14,23 @@ def _once(changes: DataFrame, key: str, delay: str) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark([key]).drop("_time")
 
 
-def stream_balance_changes(changes: DataFrame, transactions: DataFrame, delay: str) -> DataFrame:
+def stream_balance_changes(changes: DataFrame, delay: str) -> DataFrame:
     """Running balance change per account from a feed of amount changes.
 
-    Sums commute, so the order of the feed does not matter; state is one sum per account.
+    A change carries its direction (`is_income`), so it counts whether or not its transaction is
+    stored yet. Sums commute, so the order of the feed does not matter; state is one sum per account
+    and the change ids of the last `delay`.
     """
-    return per_account(signed_images(_once(changes, "change_id", delay), transactions))
+    return per_account(signed_images(_once(directed(changes), "change_id", delay)))
+
+
+def directed(changes: DataFrame) -> DataFrame:
+    """The changes that can be booked. The others, without a direction, are `undirected`."""
+    return changes.where(F.col("is_income").isNotNull())
+
+
+def undirected(changes: DataFrame) -> DataFrame:
+    return changes.where(F.col("is_income").isNull())
 
 
 def stream_direction_changes(turns: DataFrame, amounts: DataFrame, delay: str) -> DataFrame:

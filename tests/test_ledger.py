@@ -115,11 +115,27 @@ def test_streamed_balances_equal_the_batch(spark, ledger, tmp_path):
     changes.repartition(3).write.parquet(feed)
     changes.where("op = 'D'").write.mode("append").parquet(feed)
     stream = spark.readStream.schema(AMOUNT_CHANGES).option("maxFilesPerTrigger", 1).parquet(feed)
-    running = live_balances.stream_balance_changes(stream, ledger["transactions"], "10000 days")
+    running = live_balances.stream_balance_changes(stream, "10000 days")
     found = live_balances.run_balances(running, str(tmp_path / "out"))
     assert by_account(found, "delta") == by_account(catalog.balance_delta_from_changes(ledger), "delta")
 
 
+def test_a_streamed_change_needs_no_stored_transaction(spark, tmp_path):
+    """Changes of a transaction nobody has stored count; those without a direction are put aside."""
+    day, feed = datetime(2024, 1, 1), str(tmp_path / "feed")
+    rows = [
+        (1, day, "I", 77, None, None, 5, Decimal("9.00"), False),
+        (2, day, "I", 78, None, None, 6, Decimal("4.00"), True),
+        (3, day, "I", 79, None, None, 6, Decimal("1.00"), None),
+    ]
+    changes = spark.createDataFrame(rows, AMOUNT_CHANGES)
+    changes.write.parquet(feed)
+    stream = spark.readStream.schema(AMOUNT_CHANGES).parquet(feed)
+    found = live_balances.run_balances(live_balances.stream_balance_changes(stream, "1 day"), str(tmp_path / "out"))
+    assert {r["account_id"]: r["delta"] for r in found.collect()} == {5: Decimal("-9.0000"), 6: Decimal("4.0000")}
+    assert [r["change_id"] for r in live_balances.undirected(changes).collect()] == [3]
+
+
 def test_streamed_direction_changes_equal_the_batch(spark, ledger, tmp_path):
     turns, feed = catalog._turns(ledger), str(tmp_path / "feed")
     turns.write.parquet(feed)
