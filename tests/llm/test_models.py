@@ -10,7 +10,7 @@ from corpus import AWKWARD, documents, rows_of, words
 
 from pursebook.llm import queries
 from pursebook.llm.quality import label_model, measures, quality, votes
-from pursebook.llm.toxicity import Model, fit, judged, segments, toxicity
+from pursebook.llm.toxicity import Model, evidence, fit, judged, segments, toxicity
 from pursebook.llm.urls import Rule, split_words, url_verdicts
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -36,10 +36,10 @@ def maximal_by_hand(scores):
 def test_segments_are_the_maximal_ones():
     rng = random.Random(4)
     for _ in range(60):
-        weights = {b"w%d" % k: rng.choice([-2.0, -0.5, 0.7, 1.3, 3.1]) for k in range(6)}
-        text = [rng.choice([*weights, b"plain"]) for _ in range(14)]
+        weights = {b"w%d" % k: rng.choice([-2.0, -0.5, 0.7, 1.3, 3.1]) for k in range(6)} | {b"plain": 0.0}
+        text = [rng.choice(list(weights)) for _ in range(14)]
         found = segments(text, weights, drift=0.21)
-        scores = [weights.get(w, 0.0) - 0.21 for w in text]
+        scores = [weights[w] - 0.21 for w in text]
         assert [(a, b) for _, a, b in found] == maximal_by_hand(scores)
         assert all(math.isclose(s, sum(scores[a:b]), abs_tol=1e-9) for s, a, b in found)
 
@@ -81,7 +81,9 @@ def test_held_out_labels_are_not_learnt(table):
     given = documents(table, rows)
     held = {r["doc_id"] for r in toxicity(given, table(LABELS, labels)).where("held_out").collect()}
     turned = [(i, q, 1 - t if i in held else t) for i, q, t in labels]
-    assert fit(given, table(LABELS, labels)) == fit(given, table(LABELS, turned))
+    one, other = fit(given, table(LABELS, labels)), fit(given, table(LABELS, turned))
+    assert one.weights == other.weights and len(held) > 50
+    assert math.isclose(one.place, other.place, abs_tol=1e-9) and math.isclose(one.scale, other.scale, abs_tol=1e-9)
 
 
 def test_without_labels_nothing_is_toxic(table):
@@ -89,7 +91,9 @@ def test_without_labels_nothing_is_toxic(table):
         found = toxicity(documents(table, AWKWARD), table(LABELS, labels)).collect()
         assert len(found) == len(AWKWARD) and not any(r["predicted"] for r in found)
     assert toxicity(documents(table, []), table(LABELS, [])).collect() == []
-    assert judged([], Model())[0] < 0.3
+    assert judged([], Model(), {})[0] < 0.3
+    assert evidence([]) == 0.0
+    assert evidence([3.0, 3.0, 3.0]) > evidence([3.0]) > evidence([1.0]) > 0
 
 
 def test_toxicity_on_held_out_documents(spark):
