@@ -16,6 +16,7 @@ from pursebook.operators import (
     balances as balance_ops,
     documents,
     edits,
+    filters,
     friends as friend_ops,
     reports,
     requests,
@@ -381,6 +382,13 @@ def transaction_search_all_filters(led: Ledger) -> DataFrame:
     )
 
 
+@registered
+def search_filter_checks(led: Ledger) -> DataFrame:
+    """Query strings, sound and faulty ones, one for each order."""
+    found = filters.search_filters(led["filter_texts"])
+    return found.withColumn("tags", joined("tags"))
+
+
 @registered
 def transactions_with_all_tags(led: Ledger) -> DataFrame:
     return search.transactions_with_all_tags(led["transaction_tags"], WANTED_TAGS)

@@ -494,6 +494,23 @@ def user_modified(ledger: Ledger) -> DataFrame:
     )
 
 
+def filter_texts(ledger: Ledger) -> DataFrame:
+    """A query string's filters for every order, as texts; some are none or make no sense."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    page = F.when(key % 11 == 0, "").when(key % 11 == 1, "abc").when(key % 11 == 2, "0").when(key % 11 == 3, "-3")
+    start = F.when(key % 13 == 0, "1997-13-01").when(key % 13 == 1, "1997-02-03T04:05:06+02:00").when(key % 13 == 2, "yesterday")
+    return ledger["orders"].select(
+        key.alias("seq"),
+        page.when(key % 11 == 4, F.lit(" 12abc")).otherwise((key % 50 + 1).cast("string")).alias("page"),
+        F.when(key % 7 == 0, "5.9").when(key % 7 == 1, "many").alias("limit"),
+        start.when(key % 13 == 3, "1996-01-01T00:00:00.500Z").otherwise(day).alias("start_date"),
+        F.when(key % 3 == 0, F.concat(day, F.lit("T23:59:59-05:30"))).alias("end_date"),
+        F.when(key % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("category"),
+        F.when(key % 17 == 0, "1e3").when(key % 17 == 1, "x7").otherwise((F.col("o_custkey") * 2 + 1).cast("string")).alias("account_id"),
+        F.when(key % 19 == 0, F.array(F.lit("red"), F.lit(""))).when(key % 19 != 1, F.array(F.lit("red"), F.col("o_orderstatus"))).alias("tags"),
+    )
+
+
 # Bodies no client of ours sends; the requests of one order in FAULTY_EVERY carry each of them.
 FAULTY_EVERY = 101
 _ONE = '[{"accountName":"x","amountToPay":5,"amountPaid":5}]'
@@ -588,6 +605,7 @@ TABLES: dict[str, Callable[[Ledger], DataFrame]] = {
         amount_patches,
         tag_additions,
         tag_removals,
+        filter_texts,
         account_requests,
         account_renames,
         account_closures,
