@@ -22,6 +22,7 @@ HEADLINE = [
     "split_validation",
     "split_remaining",
     "request_verdicts",
+    "edit_verdicts",
     "edited_ledger",
     "transaction_search",
     "transaction_pages",
@@ -75,6 +76,7 @@ def main() -> None:
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
                 "cores": cores,
                 "derive_tables_sec": round(derived, 3),
+                "with_derivation_sec": round(sum(seconds.values()) + derived, 3),
                 "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
             }
         )
