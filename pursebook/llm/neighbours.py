@@ -50,26 +50,23 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cell"), pa.array(packed, pa.binary())], names=["id", "cell", "vector"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray | list]]:
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
     """The columns of each group of rows with the same key; the rows come sorted by it."""
-    held: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        keys = held.column(key).to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if not len(cuts):
-            continue
-        yield from _cut(held.slice(0, cuts[-1]), [0, *cuts])
-        held = held.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield from _cut(held, [0, held.num_rows])
-
-
-def _cut(table: pa.Table, cuts: list[int]) -> Iterator[dict]:
-    columns = {name: table.column(name).to_pylist() for name in table.column_names}
-    for start, end in zip(cuts, cuts[1:], strict=False):
-        yield {name: values[start:end] for name, values in columns.items()}
+        keys = np.array(batch.column(key).to_pylist())
+        starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1)] if len(keys) else []
+        for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if held and held[0].column(key)[0].as_py() != keys[start]:
+                yield _columns(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield _columns(held)
+
+
+def _columns(parts: list[pa.RecordBatch]) -> dict[str, list]:
+    return {name: [v for part in parts for v in part.column(name).to_pylist()] for name in parts[0].schema.names}
 
 
 def _edges(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
