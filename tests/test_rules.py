@@ -319,6 +319,23 @@ def test_one_viewer_sees_own_and_friends_accounts(people):
     assert sorted((r["account_id"], r["balance"], r["is_masked"]) for r in seen.collect()) == [(10, 100, False), (20, None, True)]
 
 
+def test_wrongly_typed_requests_are_refused_whole(table):
+    """Each field in turn has a type it must not have; nothing is coerced and no row comes out of them."""
+    one = '"amounts": [{"accountName": "x", "amountToPay": 5, "amountPaid": 5}]'
+    good = ['{"category": "c", %s}' % one, '{"category": "c", "amounts": [{"accountId": 3.0, "amountToPay": 5e0, "amountPaid": 0.5}]}']
+    fields = ['"isIncome": "yes"', '"isIncome": 1', '"includeInReports": 0', '"category": 7', '"description": 1', '"notes": null', '"tags": "solo"', '"tags": [1]']
+    amounts = ['{"accountId": "abc"}', '{"accountId": 1.5}', '{"accountId": true}', '{"accountName": 1}', '{"amountToPay": "5"}', '{"amountPaid": null}', "7", "[]"]
+    bad = ['{"category": "c", %s, %s}' % (field, one) if "category" not in field else "{%s, %s}" % (field, one) for field in fields]
+    bad += ['{"category": "c", "amounts": [%s]}' % amount for amount in amounts] + ['{"category": "c", "amounts": 5}', "[]", "7", "null"]
+    broken = ["not json", "", '{"category": "c"', None]
+    bodies = [*good, *bad, *broken]
+    rows = [(i, 1, DAY, body) for i, body in enumerate(bodies)]
+    flat = requests.flatten_requests(table("request_id long, user_id long, received_on timestamp_ntz, body string", rows))
+    shapes = answers(flat.headers, "id", "shape")
+    assert [shapes[i] for i in range(len(bodies))] == [None] * len(good) + ["bad_type"] * len(bad) + ["not_json"] * len(broken)
+    assert {r["transaction_id"] for r in flat.amounts.collect()} == set(range(len(good)))
+
+
 def test_requests_with_gaps(table):
     bodies = [
         (1, '{"category": "food", "amounts": [{"accountId": 10, "amountToPay": 1.5, "amountPaid": 1.5}], "notes": ""}'),
@@ -336,7 +353,7 @@ def test_requests_with_gaps(table):
     )
     assert answers(flat.headers, "id", "shape") == {
         1: None,
-        2: "no_category",
+        2: "not_json",
         3: "no_category",
         4: "empty",
         5: "no_amount",
