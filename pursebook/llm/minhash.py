@@ -8,8 +8,9 @@ their similarity, independently of the other bins. Bands of ROWS bins are the bu
 Documents with equal word sequences form one class, which is compared once. A bucket gives one
 candidate per member: to its centre, a star instead of all pairs. The candidates are confirmed on
 the full sets. A star alone could miss a link between two members that are both unlike the centre,
-so buckets whose members are not yet connected get new centres, round after round, until no
-further link is found.
+so buckets whose members are not yet connected get new centres, round after round, until a round
+finds no further link. That only makes the rest small: the members of buckets that are still not
+connected then go through an exact join on the rare shingles of their sets.
 """
 
 import hashlib
@@ -30,8 +31,8 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: rounds with centres at random before
 RANDOM_ROUNDS = 2
-#: rounds in a row without a further link that end the search
-QUIET_ROUNDS = 2
+#: rows of one shingle that a part of the exact join compares with each other row of it
+BLOCK = 2000
 #: how far labels look for the least id between two rounds
 STEPS = 4
 WORDS_KEPT = 500_000
@@ -197,19 +198,59 @@ def _labels(links: DataFrame) -> DataFrame:
     return labels.withColumnRenamed("a", "id")
 
 
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, component, shingle, df, at): the rarest shared shingles of each of the sets (id, component, shingles).
+
+    All sets have their shingles in one order, by how many sets hold them. `at` is the place in it, from
+    0. Two sets that are similar enough share a shingle that has at least the shingles they must have in
+    common from its place on, in both; only those that can be such are there.
+    """
+    #: a doc_id with different texts has a set for each
+    sets = sets.withColumn("own", F.xxhash64("shingles")).dropDuplicates(["id", "own"])
+    holders = sets.select("id", "own", F.explode("shingles").alias("shingle"))
+    df = holders.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = holders.join(df, "shingle").groupBy("id", "own").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    sized = sets.select("id", "component", F.size("shingles").cast("long").alias("n"), "own").join(shared, ["id", "own"])
+    first = F.col("n") - F.size("shared")
+    #: the places up to which at least percent * n / 100 shingles follow
+    places = F.floor((100 - percent) * F.col("n") / F.lit(100)) + 1 - first
+    sized = sized.select("id", "n", "component", first.alias("first"), "shared", places.cast("int").alias("places")).where("places > 0")
+    listed = sized.select("id", "n", "component", "first", F.posexplode(F.slice("shared", F.lit(1), F.col("places"))).alias("place", "of"))
+    return listed.select("id", "n", "component", F.col("of.shingle").alias("shingle"), F.col("of.df").alias("df"), (F.col("first") + F.col("place")).alias("at"))
+
+
+def _exact_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of different components that may be linked, of buckets that are not connected.
+
+    A bucket of two has had its one pair compared by its first star.
+    """
+    open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    chosen = members.join(open_.where("lo < hi AND size > 2").select("bucket"), "bucket", "left_semi").select("id", "component").distinct()
+    prefixes = stored(_prefixes(sets.join(chosen, "id"), percent), "prefixes")
+    parts = F.ceil(F.col("df") / F.lit(BLOCK)).cast("int")
+    #: the smaller set's shingle has 2 * percent / (100 + percent) of it from its place on, as the other one is no smaller
+    small = prefixes.where((100 + percent) * (F.col("n") - F.col("at")) >= 2 * percent * F.col("n"))
+    small = small.select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"small_{c}") for c in ("id", "n", "component", "at")])
+    large = prefixes.select("*", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    common = F.least(F.col("n") - F.col("at"), F.col("small_n") - F.col("small_at"))
+    fits = (100 + percent) * common >= percent * (F.col("n") + F.col("small_n"))
+    pairs = large.join(small, ["shingle", "part"]).where("(small_n, small_id) < (n, id) AND component <> small_component").where(fits)
+    return pairs.select(F.least("id", "small_id").alias("a"), F.greatest("id", "small_id").alias("b")).distinct()
+
+
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The confirmed links (a, b) between the members of the buckets.
+    """Confirmed links (a, b) between the members of the buckets: enough to connect all that have one.
 
     At first the smallest id is a bucket's centre. Later only buckets with members that aren't known
     to be connected take part: in some rounds with a centre at random, then with one from a random
-    component of the bucket, which meets every member that it isn't connected with. When
-    QUIET_ROUNDS such rounds in a row find no further link, the search ends. A round costs at most
-    one pair per member of a bucket.
+    component of the bucket, which meets every member that it isn't connected with. A round costs at
+    most one pair per member of a bucket. When one finds no further link, the exact join finds all
+    that are left.
     """
     alone = members.withColumn("component", F.col("id"))
     tried = stored(_pairs(alone, _centres(alone, F.col("id")), percent), "pairs")
     links = stored(_confirmed(sets, tried, percent), "links")
-    turn = quiet = 0
+    turn = 0
     while True:
         turn += 1
         labels = stored(_labels(links), "labels")
@@ -227,11 +268,11 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = stored(_confirmed(sets, pairs, percent), "links")
         tried = tried.union(pairs)
         if found.isEmpty():
-            quiet += last
-            if quiet == QUIET_ROUNDS:
-                return links
-        else:
-            links, quiet = links.union(found), 0
+            break
+        links = links.union(found)
+    placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    pairs = stored(_exact_pairs(stored(placed, "placed"), sets, percent), "pairs")
+    return links.union(stored(_confirmed(sets, pairs, percent), "links"))
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -97,6 +97,24 @@ def test_near_duplicates(table):
         assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == near_by_hand(rows, size, 80)
 
 
+def hot_group(count, pairs):
+    """Texts with one common part, at 100/130 of each other; of `pairs` pairs the second shares three more shingles, at 103/127."""
+    common = words(50, 104)
+    ends = [words(1000 + i, 15).split() for i in range(count)]
+    for i in range(pairs):
+        ends[count - 1 - i][:3] = ends[i][:3]
+    return [(1000 + i, f"{common} {' '.join(end)}") for i, end in enumerate(ends)]
+
+
+def test_near_duplicates_in_a_hot_bucket(table):
+    """Pairs that share no bucket but those of hundreds of others that they are unlike."""
+    rows = hot_group(600, 60) + [(1000, words(51, 200)), (1001, words(52, 200))]
+    expected = near_by_hand(rows, 5, 80)
+    assert sum(not kept for *_, kept in expected) == 60
+    found = near_duplicates(documents(table, rows), words=5, percent=80)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == expected
+
+
 def test_near_duplicates_of_nothing(table):
     assert near_duplicates(documents(table, [])).collect() == []
 
