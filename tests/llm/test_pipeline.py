@@ -6,7 +6,7 @@ from collections import defaultdict
 import corpus_pipeline
 from conftest import FOLDER
 from corpus import AWKWARD, documents
-from test_duplicates import near_by_hand
+from test_duplicates import hot_group, near_by_hand
 from test_tokens import check_packing
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -47,6 +47,13 @@ def test_stages_by_hand(spark):
     check_packing(pairs(single), STAGES["packing"](spark, single, FOLDER).collect())
 
 
+def test_near_dedup_of_a_hot_template(table):
+    """Near copies that meet only in buckets of hundreds of texts of one template."""
+    rows = hot_group(500, 50)
+    single = STAGES["near dedup"](None, documents(table, rows), FOLDER)
+    assert sorted(i for i, _ in pairs(single)) == sorted(r[0] for r in near_by_hand(rows, 5, 80) if r[3])
+
+
 def test_run_goes_through_all_stages(spark):
     found = corpus_pipeline.run(spark, FOLDER).collect()
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
