@@ -6,8 +6,10 @@
 3. Descent: each vertex takes a sample of its neighbours, in both directions, and compares them with
    each other: neighbours of neighbours. Pairs that improve a list, or are links, go into it.
 4. A list has LIST places. While all of them are links, it is saturated, and its places double.
-5. When a round finds no further link, the recall is audited: for a random set of vectors the links
-   are counted by brute force against all vectors. Too low a recall starts again with new projections.
+   Only entries that were sampled at both ends count as asked. Rounds end when no list changes.
+5. Then the recall is audited: for a random set of vectors the links are counted by brute force against
+   all vectors. Too low a recall starts again with new projections; where it stays low, the vectors of
+   the label are compared in blocks, all with all.
 
 Samples grow with the square root of a list, so a group of m near copies costs about m^2 comparisons
 in each round, no more than it has links. A vertex whose list stays as it is asks no more.
@@ -28,10 +30,14 @@ LIST = 6
 SAMPLE = 12
 TABLES = 8
 RUN = 96
-MOST_ROUNDS = 24
+#: signs that sort a vector: so many at least, and one more whenever a label has twice as many vectors
+LEAST_BITS = 10
+VECTORS_A_SECTOR = 8
+MOST_BITS = 48
 AUDITED = 256
 LEAST_RECALL = 0.995
 MOST_STARTS = 6
+BLOCK = 1024
 
 
 def _matrix(vectors: list[bytes]) -> np.ndarray:
@@ -80,11 +86,10 @@ def _sketch(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = []
-            for raw in batch.column("vector").to_pylist():
+            for raw, bits in zip(batch.column("vector").to_pylist(), batch.column("bits").to_pylist(), strict=True):
                 row = _matrix([raw])[0]
-                planes = _planes(seed, len(row))
-                at = planes @ row
-                places.append((int(np.packbits(at[:10] > 0, bitorder="big")[:2].astype(int) @ [256, 1]), float(at[10])))
+                at = _planes(seed, len(row))[: bits + 1] @ row
+                places.append((int((at[:bits] > 0) @ (1 << np.arange(bits - 1, -1, -1))), float(at[bits])))
             columns = [batch.column(c) for c in ("id", "cell", "vector")]
             columns += [pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "cell", "vector", "sector", "place"])
@@ -97,7 +102,7 @@ _known_planes: dict[tuple[int, int], np.ndarray] = {}
 
 def _planes(seed: int, size: int) -> np.ndarray:
     if (seed, size) not in _known_planes:
-        _known_planes[seed, size] = np.random.default_rng([seed, size]).standard_normal((11, size))
+        _known_planes[seed, size] = np.random.default_rng([seed, size]).standard_normal((MOST_BITS + 1, size))
     return _known_planes[seed, size]
 
 
@@ -148,17 +153,17 @@ def _local_joins(threshold: float):
 def _start(vectors: DataFrame, seeds: range, threshold: float, places: int) -> DataFrame:
     edges = None
     for seed in seeds:
-        placed = in_tasks(vectors, _sketch(seed), "id long, cell string, vector binary, sector long, place double")
+        placed = in_tasks(vectors.select("id", "cell", "vector", "bits"), _sketch(seed), "id long, cell string, vector binary, sector long, place double")
         order = ["cell", "sector", "place", "id"]
         ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "cell", "vector")
         own = in_tasks(ordered, _runs(threshold, places), "u long, v long, sim double")
         edges = own if edges is None else edges.union(own)
-    return edges.withColumn("old", F.lit(False))
+    return edges.select("*", F.lit(False).alias("old"), F.lit(False).alias("known"))
 
 
 def _lists(edges: DataFrame, threshold: float, places: int, name: str) -> DataFrame:
     """(u, v, sim, old, worst): the best of each list; twice as many places while all of them are links."""
-    distinct = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+    distinct = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"), F.max("known").alias("known"))
     of_u = Window.partitionBy("u")
     links = F.sum((F.col("sim") >= threshold).cast("int")).over(of_u)
     doublings = F.greatest(F.ceil(F.log2((F.col("links") + 1) / F.lit(places))), F.lit(0))
@@ -166,11 +171,11 @@ def _lists(edges: DataFrame, threshold: float, places: int, name: str) -> DataFr
         "*", F.row_number().over(of_u.orderBy(F.desc("sim"), "v")).alias("rank"), links.alias("links")
     ).withColumn("limit", F.lit(places) * F.pow(F.lit(2), doublings))
     kept = ranked.withColumn("last", F.max(F.when(F.col("rank") == F.col("limit"), F.col("sim"))).over(of_u)).where("rank <= limit")
-    return stored(kept.select("u", "v", "sim", "old", F.coalesce("last", F.lit(-2.0)).alias("worst")), name)
+    return stored(kept.select("u", "v", "sim", "old", "known", F.coalesce("last", F.lit(-2.0)).alias("worst")), name)
 
 
-def _candidates(lists: DataFrame, vectors: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """Pairs (u, v, sim) of neighbours of neighbours that are links or better than a list's last."""
+def _candidates(lists: DataFrame, vectors: DataFrame, threshold: float, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v, sim) of neighbours of neighbours that are links or better than a list's last; and the sampled (at, nb)."""
     worst = lists.groupBy("u").agg(F.min("worst").alias("worst"))
     active = lists.where("NOT old").select(F.col("u").alias("at")).union(lists.where("NOT old").select("v")).distinct()
     both = lists.select(F.col("u").alias("at"), F.col("v").alias("nb")).union(lists.select(F.col("v").alias("at"), F.col("u").alias("nb")))
@@ -178,66 +183,117 @@ def _candidates(lists: DataFrame, vectors: DataFrame, threshold: float, turn: in
     sizes = both.groupBy("at").agg(F.count(F.lit(1)).alias("size"))
     wanted = F.greatest(F.lit(float(SAMPLE)), 2.2 * F.sqrt("size"))
     chance = F.pmod(F.xxhash64("at", "nb", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-    sampled = both.join(sizes, "at").where(chance * F.col("size") < wanted).select("at", "nb")
+    sampled = stored(both.join(sizes, "at").where(chance * F.col("size") < wanted).select("at", "nb"), "sampled")
     asked = sampled.join(vectors.join(worst, vectors["id"] == worst["u"]).select(F.col("id").alias("nb"), "vector", "worst"), "nb")
     grouped = asked.select("at", "nb", "vector", "worst").repartition("at").sortWithinPartitions("at", "nb")
-    return in_tasks(grouped, _local_joins(threshold), "u long, v long, sim double").withColumn("old", F.lit(False))
+    found = in_tasks(grouped, _local_joins(threshold), "u long, v long, sim double")
+    return found.select("*", F.lit(False).alias("old"), F.lit(False).alias("known")), sampled
 
 
 def _count_links(sample: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
+    """(id, n): how many links each vector of the sample has among the given ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = batch.to_pydict()
-            total = 0
+            found: dict[int, int] = {}
             for cell, (ids, rows) in sample.items():
                 at = [i for i, c in enumerate(table["cell"]) if c == cell]
                 if at:
                     sims = _matrix([table["vector"][i] for i in at]) @ rows.T
-                    total += int(((sims >= threshold) & (np.array(table["id"])[at][:, None] != ids[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+                    linked = ((sims >= threshold) & (np.array(table["id"])[at][:, None] != ids[None, :])).sum(axis=0)
+                    found |= {int(i): int(n) for i, n in zip(ids, linked, strict=True) if n}
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(found.values(), pa.int64())], names=["id", "n"])
 
     return run
 
 
-def _recall(vectors: DataFrame, lists: DataFrame, threshold: float, turn: int) -> float:
-    """The share of the links of AUDITED random linked-or-not vectors that the lists hold, against brute force."""
-    linked = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("id")).distinct()
-    half = AUDITED // 2
-    order = F.xxhash64("id", F.lit(turn))
-    some = vectors.orderBy(order, "id").limit(half).union(vectors.join(linked, "id", "left_semi").orderBy(order, "id").limit(half))
-    rows = stored(some.distinct(), "audited").collect()
+def _recalls(vectors: DataFrame, lists: DataFrame, threshold: float, turn: int) -> dict[str, float]:
+    """By cell, the mean share of its links that the lists hold of a vector, against brute force.
+
+    Of AUDITED vectors drawn at random, those that have a link count.
+    """
+    rows = stored(vectors.orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(AUDITED), "audited").collect()
     cells: dict[str, list] = {}
     for row in rows:
         cells.setdefault(row["cell"], []).append(row)
     sample = {c: (np.array([r["id"] for r in own]), _matrix([bytes(r["vector"]) for r in own])) for c, own in cells.items()}
-    true = in_tasks(vectors, _count_links(sample, threshold), "n long").agg(F.sum("n")).first()[0] or 0
-    chosen = [row["id"] for row in rows]
-    found = lists.where(F.col("sim") >= threshold).where(F.col("u").isin(chosen)).count() if chosen else 0
-    return found / true if true else 1.0
+    counted = in_tasks(vectors.select("id", "cell", "vector"), _count_links(sample, threshold), "id long, n long")
+    #: at most AUDITED rows each
+    true = {r["id"]: r["n"] for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    held = lists.where(F.col("sim") >= threshold).where(F.col("u").isin(list(true))) if true else lists.limit(0)
+    found = {r["u"]: r["n"] for r in held.groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {c: [found.get(r["id"], 0) / true[r["id"]] for r in own if r["id"] in true] for c, own in cells.items()}
+    return {c: sum(own) / len(own) for c, own in shares.items() if own}
+
+
+def _within(threshold: float):
+    """All links among the vectors of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "blocks"):
+            ids, rows = np.array(group["id"], np.int64), _matrix(group["vector"])
+            sims = rows @ rows.T
+            np.fill_diagonal(sims, -2.0)
+            i, j = np.nonzero(sims >= threshold)
+            yield _edges([(ids[i], ids[j], sims[i, j])])
+
+    return run
+
+
+def _compared(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, sim): the links between all vectors of each cell, compared block with block."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = vectors.select("id", "cell", "vector", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    with_all = own.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    key = F.concat_ws("/", "cell", F.least("block", "other"), F.greatest("block", "other")).alias("blocks")
+    grouped = with_all.select("id", "vector", key).repartition("blocks").sortWithinPartitions("blocks")
+    return in_tasks(grouped, _within(threshold), "u long, v long, sim double").distinct()
+
+
+def _sized(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """The vectors with the size of their cell and the signs that sort them; and how many orders a start needs.
+
+    Two vectors at the threshold have an equal sign about 0.88 times: with each further sign it takes more orders.
+    """
+    bits = F.least(F.greatest(F.ceil(F.log2(F.col("size") / F.lit(VECTORS_A_SECTOR))), F.lit(LEAST_BITS)), F.lit(MOST_BITS)).cast("int")
+    sizes = stored(vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).withColumn("bits", bits), "cells")
+    most = sizes.agg(F.max("bits")).first()[0] or LEAST_BITS
+    return stored(vectors.join(sizes, "cell"), "sized"), math.ceil(TABLES * 0.88 ** (LEAST_BITS - most))
 
 
 def links(vectors: DataFrame, threshold: float, places: int = LIST) -> DataFrame:
     """(u, v, sim), both ways: pairs of (id, cell, vector) rows of one cell that are similar enough."""
     turn = 0
     lists = None
+    vectors, tables = _sized(vectors)
     for start in range(MOST_STARTS):
-        edges = _start(vectors, range(start * TABLES, (start + 1) * TABLES), threshold, places)
-        lists = _lists(edges if lists is None else edges.unionByName(_as_old(lists)), threshold, places, "lists")
-        known = lists.where(F.col("sim") >= threshold).count()
-        for _ in range(MOST_ROUNDS):
+        edges = _start(vectors, range(start * tables, (start + 1) * tables), threshold, places)
+        lists = _lists(edges if lists is None else edges.unionByName(_as_known(lists)), threshold, places, "lists")
+        while not lists.where("NOT known").isEmpty():
             turn += 1
-            found = _candidates(lists, vectors, threshold, turn)
-            lists = _lists(found.unionByName(_as_old(lists)), threshold, places, "lists")
-            before, known = known, lists.where(F.col("sim") >= threshold).count()
-            if known == before:
-                break
-        if _recall(vectors, lists, threshold, turn) >= LEAST_RECALL:
+            found, sampled = _candidates(lists, vectors, threshold, turn)
+            lists = _lists(found.unionByName(_as_known(lists, sampled)), threshold, places, "lists")
+        recalls = _recalls(vectors, lists, threshold, turn)
+        low = [cell for cell, recall in recalls.items() if recall < LEAST_RECALL]
+        if not low:
             break
-    return lists.where(F.col("sim") >= threshold).select("u", "v", "sim")
-
-
-def _as_old(lists: DataFrame) -> DataFrame:
-    return lists.select("u", "v", "sim", F.lit(True).alias("old"))
+    found = lists.where(F.col("sim") >= threshold).select("u", "v", "sim")
+    if not low:
+        return found
+    missed = _compared(vectors.where(F.col("cell").isin(low)), threshold)
+    return found.union(missed).groupBy("u", "v").agg(F.max("sim").alias("sim"))
+
+
+def _as_known(lists: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
+    """The lists for the next round; an entry that was sampled at both ends becomes old."""
+    if sampled is None:
+        return lists.select("u", "v", "sim", "old", F.lit(True).alias("known"))
+    there = sampled.select(F.col("at").alias("u"), F.col("nb").alias("v"))
+    back = sampled.select(F.col("nb").alias("u"), F.col("at").alias("v"))
+    asked = there.join(back, ["u", "v"], "left_semi").withColumn("asked", F.lit(True))
+    old = F.col("old") | F.coalesce("asked", F.lit(False))
+    return lists.join(asked, ["u", "v"], "left").select("u", "v", "sim", old.alias("old"), F.lit(True).alias("known"))
 
 
 def _comparable(embedding: Column) -> Column:

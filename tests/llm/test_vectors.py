@@ -8,6 +8,7 @@ from conftest import FOLDER
 from corpus import rows_of
 
 from pursebook.llm import queries
+from pursebook.llm import neighbours
 from pursebook.llm.neighbours import near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long, cell string, n int"
@@ -57,6 +58,18 @@ def test_near_vectors(table):
     assert rows_of(found, *COLUMNS) == by_hand(rows, 0.93)
 
 
+def test_links_are_whole_when_recall_stays_low(table, monkeypatch):
+    """Starts that find next to nothing: the audit sees it, and the labels are compared in blocks."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((300, 24))
+    rows = [(i, (centres[i % 300] + 0.1 * rng.standard_normal(24)).astype(np.float32).tolist(), i % 2) for i in range(600)]
+    for name, value in {"TABLES": 1, "RUN": 4, "LIST": 1, "SAMPLE": 2, "MOST_STARTS": 1, "BLOCK": 50}.items():
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    monkeypatch.setattr(neighbours.links, "__defaults__", (1,))
+    found = near_vectors(table(SCHEMA, [(*r, 1, "x", 2) for r in rows]), 0.93)
+    assert rows_of(found, *COLUMNS) == by_hand(rows, 0.93)
+
+
 def test_no_vectors(table):
     assert near_vectors(table(SCHEMA, [])).collect() == []
 
