@@ -1,7 +1,7 @@
 """URL verdicts: rules by host and path, and for the others a naive Bayes on segmented words.
 
 1. Rules: the longest rule whose host is the url's or a parent domain and whose path starts the url's.
-2. Segmentation: a host is cut at its dots; each label is split into words by a Viterbi search over
+2. Segmentation: a host is cut at what is neither letter nor digit in Unicode; each label is split into words by a Viterbi search over
    unigram counts of the pages' own text. Only the labels' substrings are counted, found by a join,
    so no lexicon is broadcast.
 3. Classes: a multinomial naive Bayes over host words and path tokens, learnt from the urls that the
@@ -12,6 +12,7 @@ Pages are many and hosts few: segmentation works on distinct host labels, classe
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,11 +23,17 @@ from pyspark.sql import functions as F
 
 from pursebook.llm.tables import in_tasks, stored, texts
 
-LONGEST_WORD = 24
+#: as many characters as a host label may have
+LONGEST_WORD = 63
 SMOOTHING = 0.5
 
 _TAGS = re.compile(rb"<[^>]*>")
-_LETTERS = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
+_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+_MARKS = "".join(chr(c) for c in (*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M")
+#: runs of letters with their marks
+_WORD = re.compile(rf"(?:[^\W\d_]|[{_MARKS}])+")
+#: what stands between the labels of a host: neither letter, mark nor digit
+_BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
 
 
 @dataclass(frozen=True)
@@ -65,10 +72,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter[bytes] = Counter()
         for (html,) in texts(batch):
-            counts.update(_TAGS.sub(b" ", html).lower().translate(_LETTERS).split())
+            text = _TAGS.sub(b" ", html)
+            if text.isascii():
+                counts.update(text.lower().translate(_LETTERS).split())
+            else:
+                counts.update(w.encode() for w in _WORD.findall(text.decode("utf-8", "replace").lower()))
         counts[b""] = sum(counts.values())
-        kept = [(word, n) for word, n in counts.items() if len(word) <= LONGEST_WORD and word.isascii()]
-        columns = [pa.array([w.decode() for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())]
+        kept = [(word.decode(), n) for word, n in counts.items()]
+        kept = [(word, n) for word, n in kept if len(word) <= LONGEST_WORD]
+        columns = [pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
 
@@ -131,7 +143,7 @@ def _tokens(urls: DataFrame, segmented: DataFrame) -> DataFrame:
     path = F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
     path = F.transform(path, lambda t: F.concat(F.lit("p:"), F.when(t.rlike(r"^\p{N}"), F.concat(F.lit("#"), F.length(t))).otherwise(t)))
     of_path = urls.select("host", "path", F.explode(path).alias("token"))
-    labels = urls.select("host").distinct().select("host", F.explode(F.split("host", r"[^a-z0-9]+")).alias("label"))
+    labels = urls.select("host").distinct().select("host", F.explode(F.split(F.lower("host"), _BETWEEN)).alias("label"))
     words = labels.join(segmented, "label").select("host", F.explode("words").alias("word"))
     of_host = urls.join(words, "host").select("host", "path", F.concat(F.lit("h:"), "word").alias("token"))
     return of_path.union(of_host)
@@ -139,7 +151,7 @@ def _tokens(urls: DataFrame, segmented: DataFrame) -> DataFrame:
 
 def _judged(ruled: DataFrame, urls: DataFrame, pages: DataFrame) -> DataFrame:
     """(host, path, score) of the urls without a rule: the log-odds of `block` by naive Bayes."""
-    labels = urls.select(F.explode(F.split("host", r"[^a-z0-9]+")).alias("label"))
+    labels = urls.select(F.explode(F.split(F.lower("host"), _BETWEEN)).alias("label"))
     tokens = stored(_tokens(urls, segmented_labels(labels, pages)), "url-tokens")
     verdicts = ruled.where("rule IS NOT NULL").groupBy("host", "path", "verdict").agg(F.count(F.lit(1)).alias("pages"))
     taught = tokens.join(verdicts, ["host", "path"]).groupBy("token").agg(

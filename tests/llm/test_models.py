@@ -11,7 +11,7 @@ from corpus import AWKWARD, documents, rows_of, words
 from pursebook.llm import queries
 from pursebook.llm.quality import label_model, measures, quality, votes
 from pursebook.llm.toxicity import Model, evidence, fit, judged, segments, toxicity
-from pursebook.llm.urls import Rule, split_words, url_verdicts
+from pursebook.llm.urls import Rule, segmented_labels, split_words, url_verdicts
 
 LABELS = "doc_id long, quality int, toxic int"
 LARGER = "/root/testdata/sf0.1"
@@ -217,6 +217,25 @@ def test_words_in_hosts_decide_the_rest(table):
     assert (found[1000]["verdict"], found[1001]["verdict"]) == ("block", "allow")
 
 
+def test_hosts_beyond_ascii_are_judged_by_their_words(table):
+    text = "<p>дешево казино «сад» стихи книги\u00a0bücher हिन्दी</p>" * 20
+    rows = []
+    for i in range(40):
+        rows.append((i, f"http://{'дешево' if i % 2 else 'казино'}{i}.net/p", text))
+        rows.append((100 + i, f"http://{'стихи' if i % 2 else 'bücher'}{i}.org/fr/", text))
+    rows += [(1000, "http://казинодешево.biz/x", text), (1001, "http://СТИХИbücher.biz/x", text)]
+    pages = table("page_id long, url string, html string", rows)
+    found = {r["page_id"]: r for r in url_verdicts(pages, RULES).collect()}
+    assert (found[1000]["verdict"], found[1001]["verdict"]) == ("block", "allow")
+    labels = table("label string", [("садbücher",), ("हिन्दीказино",)])
+    assert {r["label"]: r["words"] for r in segmented_labels(labels, pages).collect()} == {"садbücher": ["сад", "bücher"], "हिन्दीказино": ["हिन्दी", "казино"]}
+
+
+def test_long_words_stay_whole():
+    word = "donaudampfschifffahrtsgesellschaft"
+    assert split_words("neue" + word, {word: 9, "neue": 9}, 100) == ["neue", word]
+
+
 @pytest.mark.parametrize("rules", [RULES, []])
 def test_no_pages(table, rules):
     assert url_verdicts(table("page_id long, url string, html string", []), rules).collect() == []
