@@ -148,7 +148,7 @@ def label_model(counts: dict[str, int], rounds: int = EM_ROUNDS) -> LabelModel:
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a text: shapes of its words and of word pairs, as shares, and a constant."""
+    """Features of a text: hashed last four characters of its words' shapes, as shares, the labellers' measures, and a constant. No words as such."""
     shapes = text.translate(_SHAPES)
     words = shapes.split()
     n = max(len(words), 1)
@@ -197,18 +197,19 @@ def train(sample: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def _score(model: Broadcast):
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("posterior", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("posterior", pa.float64()), ("wordless", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, posteriors = model.value
         for batch in batches:
-            ids, scores, labels = [], [], []
+            ids, scores, labels, wordless = [], [], [], []
             for text, doc_id in texts(batch, "doc_id"):
                 at, values = features(text)
                 ids.append(doc_id)
                 scores.append(1 / (1 + math.exp(-min(max(float(weights[at] @ values), -30.0), 30.0))))
                 labels.append(posteriors["".join("-0+"[v + 1] for v in votes(measures(text)))])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, scores, labels), schema, strict=True)], schema=schema)
+                wordless.append(not text.split())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, scores, labels, wordless), schema, strict=True)], schema=schema)
 
     return run
 
@@ -234,5 +235,5 @@ def quality(documents: DataFrame, max_trained: int = MAX_TRAINED, threshold: flo
     #: at most max_trained rows of two numbers
     sample = stored(documents.join(F.broadcast(chosen), "doc_id").select("text", "target"), "trained")
     fitted = spark.sparkContext.broadcast((train(sample), posteriors))
-    scored = in_tasks(documents, _score(fitted), "doc_id long, score double, posterior double")
-    return scored.select("doc_id", "score", "posterior", (F.col("score") >= threshold).alias("kept"))
+    scored = in_tasks(documents, _score(fitted), "doc_id long, score double, posterior double, wordless boolean")
+    return scored.select("doc_id", "score", "posterior", (~F.col("wordless") & (F.col("score") >= threshold)).alias("kept"))

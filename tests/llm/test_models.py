@@ -135,6 +135,12 @@ def test_quality_of_awkward_rows(table):
     assert quality(documents(table, [])).collect() == []
 
 
+def test_texts_without_words_are_never_kept(table):
+    rows = [(i, sound(i)) for i in range(200)] + [(1000, None), (1001, ""), (1002, " \t\n")]
+    found = {r["doc_id"]: r["kept"] for r in quality(documents(table, rows), threshold=0.0).collect()}
+    assert sorted(i for i, kept in found.items() if not kept) == [1000, 1001, 1002]
+
+
 def test_label_model_recovers_rates():
     """Votes drawn from known rates: the estimates come near them."""
     rng = random.Random(8)
