@@ -10,10 +10,15 @@ Rows that go through a shuffle hold packed arrays of a (bucket, block) pair: a b
 one task, a bucket a range of codes. The pairs of all texts are shuffled once, by their word. The logarithm of a
 discount enters a text's score as often as the text has pairs of that count, so a bucket can sum up its texts before
 the counts of counts are known; only backoff weights, which depend on them, take a second step, by history.
+
+Words with more than a quarter of a bucket's share of all tokens are heavy; there are at most four for each bucket. They are
+counted first, and their counts go along with the code: pairs of a heavy word are spread over all buckets by their
+history, and a heavy history's backoff weight is worked out from its sums of all buckets.
 """
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,7 +32,7 @@ from pursebook.llm.tables import in_tasks, stored
 
 CUT = 5
 BLOCK_TOKENS = 1 << 21
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 3 << 22
 START, END = np.uint64(1), np.uint64(2)
 PACKED = "kind string, bucket long, block long, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -43,9 +48,10 @@ def katz_scores(documents: DataFrame, held_out: Column, bucket_bytes: int = BUCK
     """
     buckets = max(4, math.ceil(words.text_bytes(documents) / bucket_bytes))
     rows = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    pairs = in_tasks(rows, lambda batches: _blocks(batches, buckets, block_tokens), PACKED)
-    summed = stored(pairs.groupBy("bucket").applyInPandas(lambda frame: _bucket(frame, buckets), PACKED), "katz")
-    stats = _stats(summed)
+    heavy = _heavy(rows, buckets, block_tokens)
+    pairs = in_tasks(rows, lambda batches: _blocks(batches, buckets, block_tokens, heavy), PACKED)
+    summed = stored(pairs.groupBy("bucket").applyInPandas(lambda frame: _bucket(frame, buckets, heavy), PACKED), "katz")
+    stats = _stats(summed, heavy)
     fixes = (
         summed.where("kind IN ('follow', 'unseen')")
         .groupBy("bucket")
@@ -60,54 +66,99 @@ def _bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Of each block: its texts, and for each bucket the pairs whose word is in it, with how often each text has them."""
-    blank, task, block, parts, texts, size = words.byte_set(words.BLANKS), TaskContext.get().partitionId(), 0, [], [], 0
-    for batch in batches:
-        for part in words.slices(batch):
-            first = sum(len(t[0]) for t in texts)
-            word, before, text = _tokens(words.Words(part.column("text"), blank, 0x20), part.num_rows)
-            held = np.asarray(part.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
-            ids = part.column("doc_id").cast(pa.int64())
-            known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), dtype=np.uint8)
-            numbers = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            texts.append([numbers, known, held.astype(np.uint8), np.bincount(text, minlength=part.num_rows)])
-            parts.append([word, before, ((text + first).astype(np.uint32) << np.uint32(1)) | ~held[text]])
+class Heavy(NamedTuple):
+    """Codes in order, the end among them, and how often each occurs in the texts to learn from."""
+
+    codes: np.ndarray
+    learnt: np.ndarray
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each code is heavy, and where it is."""
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return self.codes[place] == codes, place
+
+
+def _heavy(rows: DataFrame, buckets: int, block_tokens: int) -> Heavy:
+    """At most 4 * buckets words: 16 bytes each on the driver, for some megabytes of text."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            code, learnt = words.joined(parts)
+            code, group = np.unique(code, return_inverse=True)
+            columns = [code.view(np.int64), np.bincount(group), np.bincount(group, weights=learnt).astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["code", "times", "learnt"])
+
+        for word, _, text, part in _tokens(batches):
+            parts.append([word, ~part["held_out"].to_numpy()[text]])
             size += len(word)
             if size >= block_tokens:
-                yield _block(parts, texts, (task << 24) + block, buckets)
-                block, parts, texts, size = block + 1, [], [], 0
+                yield block()
+                parts, size = [], 0
+        if parts:
+            yield block()
+
+    counts = in_tasks(rows, counted, "code long, times long, learnt long").groupBy("code")
+    counts = stored(counts.agg(F.sum("times").alias("times"), F.sum("learnt").alias("learnt")), "unigrams")
+    tokens = counts.agg(F.sum("times")).first()[0] or 0
+    found = counts.where((F.col("times") * 4 * buckets > tokens) | (F.col("code") == int(END))).toPandas()
+    codes = found["code"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    if not len(codes):
+        return Heavy(np.array([END]), np.array([0]))
+    return Heavy(codes[order], found["learnt"].to_numpy().astype(np.int64)[order])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_tokens: int, heavy: Heavy) -> Iterator[pa.RecordBatch]:
+    """Of each block: its texts, and for each bucket the pairs whose word is in it, with how often each text has them."""
+    task, block, parts, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+    for word, before, text, part in _tokens(batches):
+        first = sum(len(t[0]) for t in texts)
+        held, ids = part["held_out"].to_numpy(), part["doc_id"]
+        texts.append([ids.fillna(0).to_numpy(np.int64), ids.notna().to_numpy(np.uint8), held.astype(np.uint8), np.bincount(text, minlength=len(part))])
+        parts.append([word, before, ((text + first).astype(np.uint32) << np.uint32(1)) | ~held[text]])
+        size += len(word)
+        if size >= block_tokens:
+            yield _block(parts, texts, (task << 24) + block, buckets, heavy)
+            block, parts, texts, size = block + 1, [], [], 0
     if texts:
-        yield _block(parts, texts, (task << 24) + block, buckets)
-
-
-def _tokens(found: words.Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token, the one before it, and the text it is in; each text ends with an end."""
-    count = np.bincount(found.text, minlength=texts)
-    text = np.repeat(np.arange(texts), count + 1)
-    word = np.full(len(text), END)
-    word[np.arange(len(found.code)) + found.text] = np.where(found.code <= END, found.code + np.uint64(2), found.code)
-    before = np.concatenate([[START], word[:-1]]).astype(np.uint64)
-    before[before == END] = START
-    return word, before, text
+        yield _block(parts, texts, (task << 24) + block, buckets, heavy)
 
 
-def _block(parts: list, texts: list, block: int, buckets: int) -> pa.RecordBatch:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]]:
+    """Slice by slice: each token, the one before it, the text it is in, and the texts' rows; each text ends with an end."""
+    blank = words.byte_set(words.BLANKS)
+    for batch in batches:
+        for part in words.slices(batch):
+            found = words.Words(part.column("text"), blank, 0x20)
+            count = np.bincount(found.text, minlength=part.num_rows)
+            text = np.repeat(np.arange(part.num_rows), count + 1)
+            word = np.full(len(text), END)
+            word[np.arange(len(found.code)) + found.text] = np.where(found.code <= END, found.code + np.uint64(2), found.code)
+            before = np.concatenate([[START], word[:-1]]).astype(np.uint64)
+            before[before == END] = START
+            rows = part.select(["doc_id", "held_out"]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+            yield word, before, text, rows
+
+
+def _block(parts: list, texts: list, block: int, buckets: int, heavy: Heavy) -> pa.RecordBatch:
     word, before, text = words.joined(parts)
-    order = np.lexsort((text, before, word))
+    bucket = _bucket_of(np.where(heavy.find(word)[0], words.mixed(word ^ words.mixed(before)), word), buckets).astype(np.int32)
+    order = np.lexsort((text, before, word, bucket))
     word, before, text = word[order], before[order], text[order]
-    at = words.run_starts(word, before, text)
+    at = words.run_starts(bucket[order], word, before, text)
     times = np.diff(at, append=len(word)).astype(np.uint32)
-    word, before, text = word[at], before[at], text[at]
+    bucket, word, before, text = bucket[order][at], word[at], before[at], text[at]
     # The texts are a group of their own, of a bucket that no code falls in.
     rows = [("texts", -1 - block, block, words.packed(*words.joined(texts)))]
-    edges = np.searchsorted(_bucket_of(word, buckets), np.arange(buckets + 1))
-    for bucket in range(buckets):
-        part = slice(edges[bucket], edges[bucket + 1])
-        if edges[bucket] < edges[bucket + 1]:
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    for to in range(buckets):
+        part = slice(edges[to], edges[to + 1])
+        if part.start < part.stop:
             runs = words.run_starts(word[part])
             lengths = np.diff(runs, append=part.stop - part.start).astype(np.uint32)
-            rows.append(("pairs", bucket, block, words.packed(word[part][runs], lengths, before[part], text[part], times[part])))
+            rows.append(("pairs", to, block, words.packed(word[part][runs], lengths, before[part], text[part], times[part])))
     return pa.RecordBatch.from_pandas(_packed_rows(rows), preserve_index=False)
 
 
@@ -119,7 +170,7 @@ def _sums(groups: np.ndarray, count: int, values: np.ndarray) -> np.ndarray:
     return np.bincount(groups, weights=values, minlength=count)
 
 
-def _bucket(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def _bucket(frame: pd.DataFrame, buckets: int, heavy: Heavy) -> pd.DataFrame:
     """Of all pairs whose word is in the bucket: what they add to each text and to each history, and the counts of counts."""
     if frame["kind"].iloc[0] == "texts":
         return frame[["kind", "bucket", "block", "data"]]
@@ -135,18 +186,21 @@ def _bucket(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     pair_count = np.add.reduceat(times * learnt, at)
     pair_word, pair_before = word[at], before[at]
     word_at = words.run_starts(pair_word)
-    word_count = np.add.reduceat(pair_count, word_at)
+    is_heavy, place_of = heavy.find(pair_word[word_at])
+    learnt_here = np.add.reduceat(pair_count, word_at)
+    word_count = np.where(is_heavy, heavy.learnt[place_of], learnt_here)
     count_of_pairs_word = np.repeat(word_count, np.diff(word_at, append=len(at)))
     lengths = np.diff(at, append=len(word))
     counts_of_counts = np.bincount(np.minimum(pair_count, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
-    ends = word_count[0] if pair_word[0] == END else 0
-    stats = np.array([word_count.sum(), (word_count > 0).sum(), ends, *counts_of_counts], dtype=np.int64)
+    stats = np.array([learnt_here.sum(), ((word_count > 0) & ~is_heavy).sum(), *counts_of_counts], dtype=np.int64)
     rows = [("stats", 0, 0, words.packed(stats))]
     rows += _text_sums(blocks, place, text, times, np.repeat(pair_count, lengths), np.repeat(count_of_pairs_word, lengths), word)
-    rows += _histories(pair_before, pair_count, count_of_pairs_word, buckets)
+    rows += _histories(pair_before, pair_count, count_of_pairs_word, buckets, heavy)
     unseen = np.flatnonzero(np.repeat(pair_count, lengths) == 0)
-    unseen = unseen[np.argsort(before[unseen], kind="stable")]
-    rows += _dealt("unseen", before[unseen], [before[unseen], blocks[place[unseen]], text[unseen] >> np.uint32(1), times[unseen]], buckets)
+    history, block = before[unseen], blocks[place[unseen]]
+    columns = [history, block, text[unseen] >> np.uint32(1), times[unseen]]
+    light = ~(heavy.find(history)[0] | (history == START))
+    rows += _dealt("unseen", np.where(light, history, words.mixed(block.astype(np.uint64))), columns, buckets)
     return _packed_rows(rows)
 
 
@@ -170,42 +224,54 @@ def _text_sums(blocks, place, text, times, pair_count, word_count, word) -> list
     return found
 
 
-def _histories(before: np.ndarray, count: np.ndarray, word_count: np.ndarray, buckets: int) -> list:
-    """Per history: its pairs here, how many words follow, how many of them once, twice, ..., and how often these occur at all."""
+def _histories(before: np.ndarray, count: np.ndarray, word_count: np.ndarray, buckets: int, heavy: Heavy) -> list:
+    """Per history: how many words follow, how often these occur at all, and how many follow once, twice, ..."""
     seen = np.flatnonzero(count > 0)
     seen = seen[np.argsort(before[seen], kind="stable")]
     before, count, word_count = before[seen], count[seen], word_count[seen]
     if not len(before):
         return []
     at = words.run_starts(before)
-    columns = [count, np.ones_like(count), word_count, *((count == r).astype(np.int64) for r in range(1, CUT + 1))]
-    return _dealt("follow", before[at], [before[at], *(np.add.reduceat(c, at) for c in columns)], buckets)
+    columns = [np.ones_like(count), word_count, *((count == r).astype(np.int64) for r in range(1, CUT + 1))]
+    columns = [before[at], *(np.add.reduceat(c, at) for c in columns)]
+    apart = heavy.find(before[at])[0] | (before[at] == START)
+    found = _dealt("follow", before[at][~apart], [c[~apart] for c in columns], buckets)
+    return [*found, ("heavy", 0, 0, words.packed(*(c[apart] for c in columns)))]
 
 
-def _dealt(kind: str, sorted_codes: np.ndarray, columns: list, buckets: int) -> list:
-    """The rows of sorted codes to the buckets of these."""
-    if not len(sorted_codes):
+def _dealt(kind: str, codes: np.ndarray, columns: list, buckets: int) -> list:
+    """The rows of codes to the buckets of these."""
+    if not len(codes):
         return []
-    of = _bucket_of(sorted_codes, buckets)
+    of = _bucket_of(codes, buckets)
+    order = np.argsort(of, kind="stable")
+    of, columns = of[order], [c[order] for c in columns]
     at = words.run_starts(of)
     ends = np.append(at[1:], len(of))
     return [(kind, int(of[a]), 0, words.packed(*(c[a:b] for c in columns))) for a, b in zip(at, ends, strict=True)]
 
 
-def _stats(summed: DataFrame) -> dict:
-    """Tokens, words, texts learnt from, and the discount of each small count, from one row of each bucket added up in a task."""
+def _stats(summed: DataFrame, heavy: Heavy) -> dict:
+    """Tokens, words, texts learnt from, the discount of each small count, and the sums of the heavy histories."""
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CUT + 4, dtype=np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column("data").to_pylist():
-                total += words.unpacked(value)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.tolist()], [f"s{i}" for i in range(CUT + 4)])
-
-    names = [f"s{i}" for i in range(CUT + 4)]
-    parts = in_tasks(summed.where("kind = 'stats'").select("data"), added, ", ".join(f"{n} long" for n in names))
-    tokens, vocabulary, texts, *n = [v or 0 for v in parts.agg(*[F.sum(name).alias(name) for name in names]).first()]
-    return {"tokens": tokens, "texts": texts, "unit": 2 * tokens + vocabulary + 1, "discounts": discounts(n)}
+            for kind, value in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                arrays = words.unpacked(value) if kind == "heavy" else [np.zeros(1, np.uint64), *words.unpacked(value)[0][:, None]]
+                columns = [arrays[0].view(np.int64), *arrays[1:]]
+                columns += [np.zeros(len(columns[0]), np.int64)] * (1 + len(names) - len(columns))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["code", *names])
+
+    names = [f"s{i}" for i in range(CUT + 3)]
+    parts = in_tasks(summed.where("kind IN ('stats', 'heavy')").select("kind", "data"), spread, "code long, " + ", ".join(f"{n} long" for n in names))
+    # A row for each heavy history, and one, of no code, for the counts of the whole.
+    found = {row[0]: row[1:] for row in parts.groupBy("code").agg(*[F.sum(name) for name in names]).collect()}
+    tokens, vocabulary, *n = found.pop(0, [0] * len(names))
+    vocabulary += int((heavy.learnt > 0).sum())
+    stats = {"tokens": tokens, "texts": int(heavy.learnt[heavy.codes == END][0]), "unit": 2 * tokens + vocabulary + 1, "discounts": discounts(n)}
+    codes = np.array(sorted(found), dtype=np.int64)
+    follow, word_count, *by_count = np.array([found[c][: 2 + CUT] for c in codes.tolist()], dtype=np.int64).reshape(-1, 2 + CUT).T
+    return stats | {"heavy": (codes.view(np.uint64), _weights(follow, word_count, by_count, stats))}
 
 
 def discounts(counts_of_counts: list[int]) -> list[float]:
@@ -229,16 +295,14 @@ def _backoffs(frame: pd.DataFrame, stats: dict) -> pd.DataFrame:
     if "unseen" not in kinds:
         return _packed_rows([])
     before, block, text, times = words.joined(kinds["unseen"])
-    value = np.zeros(len(before))
+    value = _found(before, *stats["heavy"])
     if "follow" in kinds:
         history, *columns = words.joined(kinds["follow"])
         order = np.argsort(history, kind="stable")
         history = history[order]
         at = words.run_starts(history)
-        history = history[at]
-        count, follow, word_count, *by_count = [np.add.reduceat(c[order], at) for c in columns]
-        place = np.minimum(np.searchsorted(history, before), len(history) - 1)
-        value = np.where(history[place] == before, np.log10(left_over(follow, by_count, stats) / unseen_mass(follow, word_count, stats))[place], 0.0)
+        follow, word_count, *by_count = [np.add.reduceat(c[order], at) for c in columns]
+        value += _found(before, history[at], _weights(follow, word_count, by_count, stats))
     keys, group = np.unique(np.stack([block, text.astype(np.int64)]), axis=1, return_inverse=True)
     fixed = _sums(group.ravel(), keys.shape[1], times * value)
     at = words.run_starts(keys[0])
@@ -248,15 +312,24 @@ def _backoffs(frame: pd.DataFrame, stats: dict) -> pd.DataFrame:
     )
 
 
-def left_over(follow: np.ndarray, by_count: list[np.ndarray], stats: dict) -> np.ndarray:
-    """Occurrences that the discounts take off the words that follow a history: its count times the mass for unseen ones."""
-    small = sum(n * r * (1 - d) for r, (n, d) in enumerate(zip(by_count, stats["discounts"], strict=True), 1))
-    return small + 0.5 * (follow - sum(by_count))
+def _found(codes: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each code, 0 of one that isn't known."""
+    if not len(known):
+        return np.zeros(len(codes))
+    order = np.argsort(known)
+    place = order[np.minimum(np.searchsorted(known, codes, sorter=order), len(known) - 1)]
+    return np.where(known[place] == codes, values[place], 0.0)
+
 
+def _weights(follow: np.ndarray, word_count: np.ndarray, by_count: list[np.ndarray], stats: dict) -> np.ndarray:
+    """log10 of a history's backoff weight times its count.
 
-def unseen_mass(follow: np.ndarray, word_count: np.ndarray, stats: dict) -> np.ndarray:
-    """The unigram probability of all words that don't follow a history; whole numbers, until the division."""
-    return (stats["unit"] - (2 * word_count + follow)) / stats["unit"]
+    The discounts take that many occurrences off the words that follow it; they are shared out over the unigram
+    probability of all others, which is a whole number over `unit`.
+    """
+    small = sum(n * r * (1 - d) for r, (n, d) in enumerate(zip(by_count, stats["discounts"], strict=True), 1))
+    left = small + 0.5 * (follow - sum(by_count))
+    return np.log10(left / ((stats["unit"] - (2 * word_count + follow)) / stats["unit"]))
 
 
 def _scores(frame: pd.DataFrame, stats: dict) -> pd.DataFrame:
