@@ -22,7 +22,7 @@ from pursebook.llm.tables import in_tasks, stored
 
 LONGEST = 4
 BLOCK_TOKENS = 1 << 21
-RANGE_BYTES = 1 << 24
+RANGE_BYTES = 3 << 22
 SAMPLED = 64
 NONE = np.uint64(0)
 _BREAKS = words.byte_set(b".,;:!?" + bytes(range(0x0A, 0x0E)))
