@@ -21,9 +21,9 @@ from pursebook.llm import words
 from pursebook.llm.tables import in_tasks, stored
 
 LONGEST = 4
-BLOCK_TOKENS = 1 << 21
-RANGE_BYTES = 3 << 22
-SAMPLED = 64
+BLOCK_TOKENS = 1 << 20
+RANGE_BYTES = 1 << 23
+VOCABULARY = 1 << 17
 NONE = np.uint64(0)
 _BREAKS = words.byte_set(b".,;:!?" + bytes(range(0x0A, 0x0E)))
 _BLANKS = words.byte_set(b"\x20\x09") | _BREAKS
@@ -91,7 +91,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes.append(unique)
         counts.append(times)
         size += len(unique)
-        if size >= BLOCK_TOKENS // 4:
+        if size >= VOCABULARY:
             yield block()
             words_of.clear()
             codes, counts, size = [], [], 0
@@ -136,34 +136,29 @@ def _window_blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iter
 def _counts(rows: DataFrame, frequent: DataFrame, least: int, range_bytes: int, block_tokens: int) -> DataFrame:
     """(w, f): the codes of each phrase with at least `least` occurrences, of one word and more."""
     ranges = max(4, math.ceil(words.text_bytes(rows) / range_bytes))
-    borders = _borders(rows, ranges, block_tokens)
+    borders = _borders(rows, ranges, max(1, range_bytes >> 9))
     dealt = in_tasks(rows, lambda batches: _to_ranges(batches, borders, block_tokens), "range long, data binary")
     runs = dealt.groupBy("range").applyInPandas(lambda frame: _runs(frame, least), "w array<long>, f long")
     longer = runs.groupBy("w").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return frequent.select(F.array("code").alias("w"), "f").unionByName(longer)
 
 
-def _borders(rows: DataFrame, ranges: int, block_tokens: int) -> np.ndarray:
-    """Windows that cut the prefix order into ranges: at equal steps of a sample, SAMPLED windows of each block.
+def _borders(rows: DataFrame, ranges: int, step: int) -> np.ndarray:
+    """Windows that cut the prefix order into ranges, at equal places of a sample: one of `step` windows of a slice of texts.
 
-    The sample is drawn by a hash of the window over all texts; only the borders depend on it, no count does.
+    Only the borders depend on it, no count does. The driver gets 32 bytes for each hundred kilobytes of text.
     """
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *columns, _ in _window_blocks(batches, block_tokens):
-            drawn = np.argsort(words.mixed(columns[0] ^ words.mixed(columns[1])), kind="stable")[:: max(1, len(columns[0]) // SAMPLED)]
-            arrays = [pa.array(c[drawn].view(np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(drawn), len(columns[0])))], [*(f"w{i}" for i in range(LONGEST)), "size"])
+        for found, codes, _ in _found(batches):
+            drawn = [pa.array(c[step // 2 :: step].view(np.int64)) for c in _windows(found, codes)]
+            yield pa.RecordBatch.from_arrays(drawn, [f"w{i}" for i in range(LONGEST)])
 
-    schema = ", ".join(f"w{i} long" for i in range(LONGEST)) + ", size long"
-    # A block of up to BLOCK_TOKENS windows sends some 64 of them, so the driver gets about 2 KB for each 10 MB of text.
+    schema = ", ".join(f"w{i} long" for i in range(LONGEST))
     found = in_tasks(rows, sampled, schema).toPandas()
     columns = [found[f"w{i}"].to_numpy().astype(np.int64).view(np.uint64) for i in range(LONGEST)]
+    places = np.unique(len(found) * np.arange(1, ranges) // ranges) if len(found) else np.zeros(0, dtype=np.int64)
     order = np.lexsort(columns[::-1])
-    weight = np.cumsum(found["size"].to_numpy()[order])
-    if not len(weight):
-        return np.zeros((LONGEST, 0), dtype=np.uint64)
-    places = np.unique(np.searchsorted(weight, weight[-1] * np.arange(1, ranges) / ranges))
     return np.stack([column[order][places] for column in columns])
 
 

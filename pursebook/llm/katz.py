@@ -11,8 +11,8 @@ one task, a bucket a range of codes. The pairs of all texts are shuffled once, b
 discount enters a text's score as often as the text has pairs of that count, so a bucket can sum up its texts before
 the counts of counts are known; only backoff weights, which depend on them, take a second step, by history.
 
-Words with more than a quarter of a bucket's share of all tokens are heavy; there are at most four for each bucket. They are
-counted first, and their counts go along with the code: pairs of a heavy word are spread over all buckets by their
+Words that occur once in each 24 bytes of a bucket's share of the text are heavy; as an occurrence takes two bytes, there are
+at most twelve for each bucket. They are counted first, and their counts go along with the code: pairs of a heavy word are spread over all buckets by their
 history, and a heavy history's backoff weight is worked out from its sums of all buckets.
 """
 
@@ -31,8 +31,8 @@ from pursebook.llm import words
 from pursebook.llm.tables import in_tasks, stored
 
 CUT = 5
-BLOCK_TOKENS = 1 << 21
-BUCKET_BYTES = 3 << 22
+BLOCK_TOKENS = 1 << 20
+BUCKET_BYTES = 1 << 23
 START, END = np.uint64(1), np.uint64(2)
 PACKED = "kind string, bucket long, block long, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -48,7 +48,7 @@ def katz_scores(documents: DataFrame, held_out: Column, bucket_bytes: int = BUCK
     """
     buckets = max(4, math.ceil(words.text_bytes(documents) / bucket_bytes))
     rows = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    heavy = _heavy(rows, buckets, block_tokens)
+    heavy = _heavy(rows, bucket_bytes // 24, block_tokens)
     pairs = in_tasks(rows, lambda batches: _blocks(batches, buckets, block_tokens, heavy), PACKED)
     summed = stored(pairs.groupBy("bucket").applyInPandas(lambda frame: _bucket(frame, buckets, heavy), PACKED), "katz")
     stats = _stats(summed, heavy)
@@ -78,8 +78,8 @@ class Heavy(NamedTuple):
         return self.codes[place] == codes, place
 
 
-def _heavy(rows: DataFrame, buckets: int, block_tokens: int) -> Heavy:
-    """At most 4 * buckets words: 16 bytes each on the driver, for some megabytes of text."""
+def _heavy(rows: DataFrame, least: int, block_tokens: int) -> Heavy:
+    """The words with at least `least` occurrences: at most a dozen for each bucket, 16 bytes each on the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -100,9 +100,8 @@ def _heavy(rows: DataFrame, buckets: int, block_tokens: int) -> Heavy:
             yield block()
 
     counts = in_tasks(rows, counted, "code long, times long, learnt long").groupBy("code")
-    counts = stored(counts.agg(F.sum("times").alias("times"), F.sum("learnt").alias("learnt")), "unigrams")
-    tokens = counts.agg(F.sum("times")).first()[0] or 0
-    found = counts.where((F.col("times") * 4 * buckets > tokens) | (F.col("code") == int(END))).toPandas()
+    counts = counts.agg(F.sum("times").alias("times"), F.sum("learnt").alias("learnt"))
+    found = counts.where((F.col("times") >= least) | (F.col("code") == int(END))).toPandas()
     codes = found["code"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(codes)
     if not len(codes):

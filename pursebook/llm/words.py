@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
