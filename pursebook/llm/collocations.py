@@ -21,9 +21,9 @@ from pursebook.llm import words
 from pursebook.llm.tables import in_tasks, stored
 
 LONGEST = 4
-BLOCK_TOKENS = 1 << 20
-RANGE_BYTES = 1 << 23
-VOCABULARY = 1 << 17
+BLOCK_TOKENS = 1 << 19
+RANGE_BYTES = 1 << 22
+VOCABULARY = 1 << 18
 NONE = np.uint64(0)
 _BREAKS = words.byte_set(b".,;:!?" + bytes(range(0x0A, 0x0E)))
 _BLANKS = words.byte_set(b"\x20\x09") | _BREAKS
@@ -74,7 +74,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words_of: dict[int, tuple[str, str]] = {}
     codes, counts, size = [], [], 0
 
-    def block() -> pa.RecordBatch:
+    def block(codes: list, counts: list) -> pa.RecordBatch:
         code, group = np.unique(np.concatenate(codes), return_inverse=True)
         times = np.bincount(group, weights=np.concatenate(counts)).astype(np.int64)
         names = [words_of[c] for c in code.tolist()]
@@ -92,11 +92,15 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.append(times)
         size += len(unique)
         if size >= VOCABULARY:
-            yield block()
+            yield block(codes, counts)
             words_of.clear()
             codes, counts, size = [], [], 0
+            words.release()
     if size:
-        yield block()
+        yield block(codes, counts)
+        words_of.clear()
+    del codes, counts
+    words.release()
 
 
 def _windows(found: words.Words, codes: np.ndarray) -> list[np.ndarray]:
@@ -129,14 +133,17 @@ def _window_blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iter
         if size >= block_tokens:
             yield _sorted_windows(parts)
             parts, size = [], 0
+            words.release()
     if size:
         yield _sorted_windows(parts)
+    del parts
+    words.release()
 
 
 def _counts(rows: DataFrame, frequent: DataFrame, least: int, range_bytes: int, block_tokens: int) -> DataFrame:
     """(w, f): the codes of each phrase with at least `least` occurrences, of one word and more."""
     ranges = max(4, math.ceil(words.text_bytes(rows) / range_bytes))
-    borders = _borders(rows, ranges, max(1, range_bytes >> 9))
+    borders = _borders(rows, ranges, max(1, range_bytes >> 8))
     dealt = in_tasks(rows, lambda batches: _to_ranges(batches, borders, block_tokens), "range long, data binary")
     runs = dealt.groupBy("range").applyInPandas(lambda frame: _runs(frame, least), "w array<long>, f long")
     longer = runs.groupBy("w").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
@@ -191,6 +198,8 @@ def _runs(frame: pd.DataFrame, least: int) -> pd.DataFrame:
         wanted &= columns[length - 1][at] != NONE
         phrases += np.stack([c[at[wanted]].view(np.int64) for c in columns[:length]], axis=1).tolist()
         counts.append(f[wanted])
+    del columns, times
+    words.release()
     return pd.DataFrame({"w": pd.Series(phrases, dtype=object), "f": np.concatenate(counts)})
 
 

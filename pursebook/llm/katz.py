@@ -31,7 +31,7 @@ from pursebook.llm import words
 from pursebook.llm.tables import in_tasks, stored
 
 CUT = 5
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 BUCKET_BYTES = 1 << 23
 START, END = np.uint64(1), np.uint64(2)
 PACKED = "kind string, bucket long, block long, data binary"
@@ -50,7 +50,7 @@ def katz_scores(documents: DataFrame, held_out: Column, bucket_bytes: int = BUCK
     rows = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
     heavy = _heavy(rows, bucket_bytes // 24, block_tokens)
     pairs = in_tasks(rows, lambda batches: _blocks(batches, buckets, block_tokens, heavy), PACKED)
-    summed = stored(pairs.groupBy("bucket").applyInPandas(lambda frame: _bucket(frame, buckets, heavy), PACKED), "katz")
+    summed = stored(pairs.groupBy("bucket").applyInPandas(lambda frame: _released(_bucket(frame, buckets, heavy)), PACKED), "katz")
     stats = _stats(summed, heavy)
     fixes = (
         summed.where("kind IN ('follow', 'unseen')")
@@ -84,7 +84,7 @@ def _heavy(rows: DataFrame, least: int, block_tokens: int) -> Heavy:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
 
-        def block() -> pa.RecordBatch:
+        def block(parts: list) -> pa.RecordBatch:
             code, learnt = words.joined(parts)
             code, group = np.unique(code, return_inverse=True)
             columns = [code.view(np.int64), np.bincount(group), np.bincount(group, weights=learnt).astype(np.int64)]
@@ -94,10 +94,12 @@ def _heavy(rows: DataFrame, least: int, block_tokens: int) -> Heavy:
             parts.append([word, ~part["held_out"].to_numpy()[text]])
             size += len(word)
             if size >= block_tokens:
-                yield block()
+                yield block(parts)
                 parts, size = [], 0
         if parts:
-            yield block()
+            yield block(parts)
+        del parts
+        words.release()
 
     counts = in_tasks(rows, counted, "code long, times long, learnt long").groupBy("code")
     counts = counts.agg(F.sum("times").alias("times"), F.sum("learnt").alias("learnt"))
@@ -121,8 +123,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, block_tokens: int,
         if size >= block_tokens:
             yield _block(parts, texts, (task << 24) + block, buckets, heavy)
             block, parts, texts, size = block + 1, [], [], 0
+            words.release()
     if texts:
         yield _block(parts, texts, (task << 24) + block, buckets, heavy)
+    del parts, texts
+    words.release()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]]:
@@ -165,6 +170,11 @@ def _packed_rows(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "block", "data"]).astype({"bucket": "int64", "block": "int64"})
 
 
+def _released(frame: pd.DataFrame) -> pd.DataFrame:
+    words.release()
+    return frame
+
+
 def _sums(groups: np.ndarray, count: int, values: np.ndarray) -> np.ndarray:
     return np.bincount(groups, weights=values, minlength=count)
 

@@ -4,6 +4,7 @@ A code is a polynomial of a word's bytes over random 64-bit values, mixed by a b
 vocabulary of V share one with a probability of about V * V / 2^65: 3e-6 for ten million words.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,14 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first)
 
 
+def release() -> None:
+    """Give memory that freed arrays leave behind back to the system: a Python worker lives on beside the next one's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
     head = np.array([len(arrays), *(value for a in arrays for value in (ord(a.dtype.char), len(a)))], dtype=np.int64)
