@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.text import blank
-from pursebook.schemas import REQUEST_BODY
+from pursebook.schemas import MONEY
 
 
 class FlatRequests(NamedTuple):
@@ -19,7 +19,8 @@ def flatten_requests(requests: DataFrame) -> FlatRequests:
     """`(request_id, user_id, received_on, body)` -> transaction headers, amounts and tags.
 
     A body that is no JSON, or has a field of the wrong type, is refused as a whole: its header has
-    the `shape` not_json or bad_type and no content. No value is coerced.
+    the `shape` not_json or bad_type and no content. No value is coerced: a number is taken exactly, however it is
+    written, and one that its column can't hold is too_large or too_precise (more than four decimals).
     is_income defaults to false, include_in_reports to true, blank notes count as absent. Amounts
     and tags keep their place in the document as `slot`, and amounts carry the creator, so that
     checking them needs no join back to the header.
@@ -58,52 +59,97 @@ def shaped_amounts(requests: DataFrame) -> DataFrame:
     )
 
 
+# The document as it is read from the parsed body, in one go; every scalar still with its JSON type.
+_AMOUNT = "struct<accountId:variant,accountName:variant,amountToPay:variant,amountPaid:variant>"
+_SHAPE = "struct<category:variant,isIncome:variant,includeInReports:variant,description:variant,notes:variant,amounts:variant,tags:variant>"
+# Wide enough to see whether a number fits its column.
+_WIDE = "decimal(38,18)"
+
+
 def _parsed(requests: DataFrame) -> DataFrame:
-    typed = requests.withColumn("_json", F.try_parse_json("body")).withColumn("type_fault", _type_fault(F.col("_json")))
-    return typed.select(
+    """`doc` with the content in its columns' types, NULL in a body with a `type_fault`."""
+    raw = (
+        requests.withColumn("_json", F.try_parse_json("body"))
+        .withColumn("_raw", F.when(_kind("_json").startswith("OBJECT"), F.try_variant_get("_json", "$", _SHAPE)))
+        .withColumn("_amounts", F.try_variant_get("_raw.amounts", "$", f"array<{_AMOUNT}>"))
+        .withColumn("_tags", F.try_variant_get("_raw.tags", "$", "array<variant>"))
+        .withColumn("type_fault", F.when(F.col("_json").isNull(), "not_json").when(~_fits(), "bad_type"))
+    )
+    doc = F.struct(
+        *[_read(f"_raw.{name}", "string").alias(name) for name in _TEXTS],
+        *[_read(f"_raw.{name}", "boolean").alias(name) for name in _FLAGS],
+        F.transform("_amounts", _amount).alias("amounts"),
+        F.transform("_tags", lambda tag: _read(tag, "string")).alias("tags"),
+    )
+    return raw.select(
         F.col("request_id").alias("transaction_id"),
         F.col("user_id").alias("creator_id"),
         F.col("received_on").alias("created_on"),
         "type_fault",
-        F.when(F.col("type_fault").isNull(), F.from_json("body", REQUEST_BODY)).alias("doc"),
+        F.when(F.col("type_fault").isNull(), doc).alias("doc"),
     )
 
 
-def _kind(json: Column, path: str = "$") -> Column:
-    """The JSON type at `path`: STRING, BOOLEAN, a number type, OBJECT<...>, ARRAY<...>, VOID for null; NULL if there is nothing."""
-    return F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+_TEXTS = ("category", "description", "notes")
+_FLAGS = ("isIncome", "includeInReports")
+
+
+def _read(json: Column | str, kind: str) -> Column:
+    return F.try_variant_get(json, "$", kind)
+
 
+def _kind(json: Column | str) -> Column:
+    """The JSON type: STRING, BOOLEAN, a number type, OBJECT<...>, ARRAY<...>, VOID for null; NULL if there is nothing."""
+    return F.schema_of_variant(json)
 
-def _absent_or(json: Column, path: str, fits: Column) -> Column:
-    return _kind(json, path).isNull() | fits
 
+def _absent_or(json: Column, fits: Column) -> Column:
+    return json.isNull() | fits
 
-def _is_number(json: Column, path: str) -> Column:
-    return _kind(json, path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
 
+def _is_number(json: Column) -> Column:
+    return _kind(json).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
 
-def _type_fault(json: Column) -> Column:
-    """not_json, bad_type, or NULL if every field that is there has its type."""
+
+def _fits() -> Column:
+    """Whether every field that is there has its type. null has none; a number is whole where 2.0 and 2e0 are."""
 
     def amount_fits(amount: Column) -> Column:
-        whole = F.try_variant_get(amount, "$.accountId", "decimal(38,10)") % 1 == 0
+        account = amount["accountId"]
         return (
-            _kind(amount).startswith("OBJECT")
-            & _absent_or(amount, "$.accountId", _is_number(amount, "$.accountId") & F.coalesce(whole, F.lit(False)))
-            & _absent_or(amount, "$.accountName", _kind(amount, "$.accountName") == "STRING")
-            & _absent_or(amount, "$.amountToPay", _is_number(amount, "$.amountToPay"))
-            & _absent_or(amount, "$.amountPaid", _is_number(amount, "$.amountPaid"))
+            amount.isNotNull()
+            & _absent_or(account, _is_number(account) & F.coalesce(_read(account, _WIDE) % 1 == 0, F.lit(True)))
+            & _absent_or(amount["accountName"], _kind(amount["accountName"]) == "STRING")
+            & _absent_or(amount["amountToPay"], _is_number(amount["amountToPay"]))
+            & _absent_or(amount["amountPaid"], _is_number(amount["amountPaid"]))
         )
 
-    fits = _kind(json).startswith("OBJECT")
-    for name in ("category", "description", "notes"):
-        fits &= _absent_or(json, f"$.{name}", _kind(json, f"$.{name}") == "STRING")
-    for name in ("isIncome", "includeInReports"):
-        fits &= _absent_or(json, f"$.{name}", _kind(json, f"$.{name}") == "BOOLEAN")
-    for name, each in (("amounts", amount_fits), ("tags", lambda tag: _kind(tag) == "STRING")):
-        elements = F.coalesce(F.try_variant_get(json, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
-        fits &= _absent_or(json, f"$.{name}", _kind(json, f"$.{name}").startswith("ARRAY") & F.forall(elements, each))
-    return F.when(json.isNull(), "not_json").when(~fits, "bad_type")
+    fits = F.col("_raw").isNotNull()
+    for names, kind in ((_TEXTS, "STRING"), (_FLAGS, "BOOLEAN")):
+        for name in names:
+            fits &= _absent_or(F.col(f"_raw.{name}"), _kind(f"_raw.{name}") == kind)
+    # What is no array, or holds something else than objects, could not be read as one.
+    fits &= _absent_or(F.col("_raw.amounts"), F.col("_amounts").isNotNull() & F.forall("_amounts", amount_fits))
+    return fits & _absent_or(F.col("_raw.tags"), F.col("_tags").isNotNull() & F.forall("_tags", lambda tag: _kind(tag) == "STRING"))
+
+
+def _amount(amount: Column) -> Column:
+    """One amount in its columns' types, with what is wrong with it as `fault`. A number that doesn't fit becomes NULL and is a fault."""
+    account = _read(amount["accountId"], _WIDE).try_cast("bigint")
+    name = _read(amount["accountName"], "string")
+    fault = F.when(amount["accountId"].isNotNull() & account.isNull(), "too_large").when(account <= 0, "bad_account_id").when(name == "", "empty_account_name")
+    money = []
+    for field in ("amountToPay", "amountPaid"):
+        value = _read(amount[field], _WIDE)
+        stored = value.try_cast(MONEY)
+        fault = (
+            fault.when(amount[field].isNull(), "no_amount")
+            .when(stored.isNull(), "too_large")
+            .when(value < 0, "negative")
+            .when(value != stored, "too_precise")
+        )
+        money.append(F.when(value == stored, stored).alias(field))
+    return F.struct(account.alias("accountId"), name.alias("accountName"), *money, fault.alias("fault"))
 
 
 def _amount_columns() -> list[Column]:
@@ -120,7 +166,7 @@ def _shape_reason() -> Column:
     """What is wrong with the document itself, the first fault in it; NULL if there is none."""
     doc = F.col("doc")
     amounts = F.coalesce(doc["amounts"], F.array())
-    first_fault = F.get(F.array_compact(F.transform(amounts, _amount_fault)), F.lit(0))
+    first_fault = F.get(F.array_compact(F.transform(amounts, lambda amount: amount["fault"])), F.lit(0))
     return (
         F.when(F.col("type_fault").isNotNull(), F.col("type_fault"))
         .when(blank(doc["category"]), "no_category")
@@ -129,14 +175,3 @@ def _shape_reason() -> Column:
         .when(first_fault.isNotNull(), first_fault)
         .when(F.exists(F.coalesce(doc["tags"], F.array()), lambda tag: tag == ""), "empty_tag")
     )
-
-
-def _amount_fault(amount: Column) -> Column:
-    return (
-        F.when(amount["accountId"] <= 0, "bad_account_id")
-        .when(amount["accountName"] == "", "empty_account_name")
-        .when(amount["amountToPay"].isNull(), "no_amount")
-        .when(amount["amountToPay"] < 0, "negative")
-        .when(amount["amountPaid"].isNull(), "no_amount")
-        .when(amount["amountPaid"] < 0, "negative")
-    )

@@ -8,8 +8,20 @@ import re
 
 from pursebook.sources.derive import FAULTY_BODIES, FAULTY_EVERY
 
-# The faulty body whose types are right.
-NO_AMOUNT = len(FAULTY_BODIES) - 1
+# The faulty bodies whose types are right: the account (own, stranger's or none), name, share and payment they hold.
+READABLE = {
+    13: ("NULL", "'x'", "NULL", "5"),
+    14: ("NULL", "NULL", "5", "5"),
+    15: ("NULL", "'x'", "NULL", "5"),
+    16: ("NULL", "'x'", "5", "NULL"),
+    17: ("'own'", "NULL", "5", "5"),
+    18: ("'own'", "'x'", "5", "5"),
+    19: ("'stranger'", "'x'", "5", "5"),
+    20: ("'stranger'", "NULL", "5", "5"),
+}
+_READABLE = ", ".join(f"({kind}, {', '.join(values)})" for kind, values in READABLE.items())
+_KINDS = ", ".join(map(str, READABLE))
+_SHAPES = " ".join(f"WHEN {kind} THEN '{shape}'" for kind, (_, shape) in enumerate(FAULTY_BODIES) if shape)
 DAY0 = "(SELECT min(o_orderdate) FROM orders)"
 CUSTOMERS = "(SELECT count(*) FROM customer)"
 MONEY = "DECIMAL(19,4)"
@@ -211,12 +223,12 @@ VIEWS = {
         FROM slots JOIN orders ON l_orderkey = o_orderkey""",
     "request_headers": f"""
         SELECT l_orderkey * 10 + slot AS id, o_custkey + 1 AS creator_id,
-          CASE WHEN faulty = {NO_AMOUNT} THEN 'c' WHEN faulty IS NOT NULL THEN NULL
+          CASE WHEN faulty IN ({_KINDS}) THEN 'c' WHEN faulty IS NOT NULL THEN NULL
                WHEN slot = 7 AND o_orderstatus = 'F' THEN '' ELSE o_orderpriority END AS category,
           faulty IS NULL AND o_orderstatus = 'P' AS is_income, faulty IS NOT NULL OR slot <> 2 AS include_in_reports,
           CASE WHEN faulty IS NULL AND slot <> 3 THEN concat('line ', CAST(l_linenumber AS VARCHAR)) END AS description,
           CASE WHEN faulty IS NULL AND slot = 2 THEN 'shared' END AS notes, o_orderdate AS created_on,
-          CASE WHEN faulty = 0 THEN 'not_json' WHEN faulty = {NO_AMOUNT} THEN 'no_amount' WHEN faulty IS NOT NULL THEN 'bad_type'
+          CASE WHEN faulty IS NOT NULL THEN CASE faulty {_SHAPES} END
                WHEN slot = 7 AND o_orderstatus = 'F' THEN 'no_category' WHEN slot = 7 THEN 'empty'
                WHEN to_pay < 1 OR (slot = 6 AND o_orderstatus = 'P') THEN 'negative' END AS shape
         FROM request_bodies""",
@@ -229,8 +241,10 @@ VIEWS = {
           o_orderdate AS created_on
         FROM request_bodies s WHERE s.slot <> 7 AND faulty IS NULL
         UNION ALL
-        SELECT l_orderkey * 10 + slot, o_custkey + 1, 1, NULL, 'x', NULL, {money("5")}, o_orderdate
-        FROM request_bodies WHERE faulty = {NO_AMOUNT}
+        SELECT l_orderkey * 10 + slot, o_custkey + 1, 1,
+          CASE account WHEN 'own' THEN o_custkey * 2 + 1 WHEN 'stranger' THEN (o_custkey + 3) % {CUSTOMERS} * 2 + 1 END,
+          name, {money("share")}, {money("payment")}, o_orderdate
+        FROM request_bodies JOIN (VALUES {_READABLE}) AS readable(kind, account, name, share, payment) ON kind = faulty
         UNION ALL
         SELECT l_orderkey * 10 + s.slot, o_custkey + 1, 2,
           CASE s.slot WHEN 2 THEN (o_custkey + 7) % {CUSTOMERS} * 2 + 1 WHEN 3 THEN (o_custkey + 3) % {CUSTOMERS} * 2 + 1

@@ -511,24 +511,33 @@ def filter_texts(ledger: Ledger) -> DataFrame:
     )
 
 
-# Bodies no client of ours sends; the requests of one order in FAULTY_EVERY carry each of them.
+# Bodies no client of ours sends, each with what is wrong with its shape; the requests of one order in FAULTY_EVERY
+# carry each of them. {own} and {stranger} are accounts.
 FAULTY_EVERY = 101
 _ONE = '[{"accountName":"x","amountToPay":5,"amountPaid":5}]'
 FAULTY_BODIES = [
-    "not json",
-    '["category"]',
-    '{"category":7,"amounts":%s}' % _ONE,
-    '{"category":"c","isIncome":"yes","amounts":%s}' % _ONE,
-    '{"category":"c","includeInReports":0,"amounts":%s}' % _ONE,
-    '{"category":"c","tags":"solo","amounts":%s}' % _ONE,
-    '{"category":"c","tags":["a",1],"amounts":%s}' % _ONE,
-    '{"category":"c","notes":null,"amounts":%s}' % _ONE,
-    '{"category":"c","amounts":{"accountId":1}}',
-    '{"category":"c","amounts":[7]}',
-    '{"category":"c","amounts":[{"accountName":"x","amountToPay":"5","amountPaid":5}]}',
-    '{"category":"c","amounts":[{"accountName":"x","accountId":"abc","amountToPay":5,"amountPaid":5}]}',
-    '{"category":"c","amounts":[{"accountId":1.5,"amountToPay":5,"amountPaid":5}]}',
-    '{"category":"c","amounts":[{"accountName":"x","amountPaid":5}]}',
+    ("not json", "not_json"),
+    ('["category"]', "bad_type"),
+    ('{"category":7,"amounts":%s}' % _ONE, "bad_type"),
+    ('{"category":"c","isIncome":"yes","amounts":%s}' % _ONE, "bad_type"),
+    ('{"category":"c","includeInReports":0,"amounts":%s}' % _ONE, "bad_type"),
+    ('{"category":"c","tags":"solo","amounts":%s}' % _ONE, "bad_type"),
+    ('{"category":"c","tags":["a",1],"amounts":%s}' % _ONE, "bad_type"),
+    ('{"category":"c","notes":null,"amounts":%s}' % _ONE, "bad_type"),
+    ('{"category":"c","amounts":{"accountId":1}}', "bad_type"),
+    ('{"category":"c","amounts":[7]}', "bad_type"),
+    ('{"category":"c","amounts":[{"accountName":"x","amountToPay":"5","amountPaid":5}]}', "bad_type"),
+    ('{"category":"c","amounts":[{"accountName":"x","accountId":"abc","amountToPay":5,"amountPaid":5}]}', "bad_type"),
+    ('{"category":"c","amounts":[{"accountId":1.5,"amountToPay":5,"amountPaid":5}]}', "bad_type"),
+    ('{"category":"c","amounts":[{"accountName":"x","amountPaid":5}]}', "no_amount"),
+    ('{"category":"c","amounts":[{"accountId":9223372036854775808,"amountToPay":5,"amountPaid":5}]}', "too_large"),
+    ('{"category":"c","amounts":[{"accountName":"x","amountToPay":1e20,"amountPaid":5}]}', "too_large"),
+    ('{"category":"c","amounts":[{"accountName":"x","amountToPay":5,"amountPaid":1.23456}]}', "too_precise"),
+    # Numbers written in other ways are the same numbers.
+    ('{"category":"c","amounts":[{"accountId":{own}.0,"amountToPay":5.00000,"amountPaid":50e-1}]}', None),
+    ('{"category":"c","amounts":[{"accountId":{own}e0,"accountName":"x","amountToPay":5,"amountPaid":5}]}', None),
+    ('{"category":"c","amounts":[{"accountId":{stranger}.0,"accountName":"x","amountToPay":5,"amountPaid":5}]}', None),
+    ('{"category":"c","amounts":[{"accountId":{stranger}e0,"amountToPay":5,"amountPaid":5}]}', None),
 ]
 
 
@@ -574,8 +583,9 @@ def split_requests(ledger: Ledger) -> DataFrame:
         F.when(slot < 3, F.array(F.lit("bill"), F.lit(" Bill"), status)).alias("tags"),
     )
     text = F.to_json(body)
-    for kind, faulty in enumerate(FAULTY_BODIES):
-        text = F.when(F.col("l_orderkey") % FAULTY_EVERY == kind, F.lit(faulty)).otherwise(text)
+    for kind, (faulty, _) in enumerate(FAULTY_BODIES):
+        spelled = F.replace(F.replace(F.lit(faulty), F.lit("{own}"), own.cast("string")), F.lit("{stranger}"), account_of(3).cast("string"))
+        text = F.when(F.col("l_orderkey") % FAULTY_EVERY == kind, spelled).otherwise(text)
     return (
         ledger["slots"]
         .join(ledger["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
