@@ -25,8 +25,8 @@ from pursebook.operators import (
     tags as tag_ops,
     users as user_ops,
 )
-from pursebook.schemas import AMOUNT_CHANGES, REQUESTS
-from pursebook.sources.derive import Ledger, friend_actions_from
+from pursebook.schemas import REQUESTS
+from pursebook.sources.derive import Ledger
 from pursebook.sources.workspace import run_folder
 from pursebook.streaming import balances as live_balances
 from pursebook.streaming import friendships as live_friendships
@@ -674,16 +674,10 @@ def loan_positions(led: Ledger) -> DataFrame:
 
 # --- streams ---------------------------------------------------------------------------------
 
-# The feeds come in time order, in stretches; a stretch is in disorder by less than this.
-FEED_DISORDER = "30 days"
-FEED_STRETCHES = 3
-
-
-def _landed(led: Ledger, name: str, rows: DataFrame) -> str:
-    """A feed as files in the shared folder, where a stream can pick it up."""
-    folder = run_folder(led.spark, f"feed-{name}")
-    rows.write.parquet(folder)
-    return folder
+# What is out of order by more than this goes to the late rows; the log of friends is kept for a month, the ledger for years.
+FEED_DISORDER, LOG_DISORDER = "30 days", "2 days"
+STRAGGLE_AFTER, LOG_STRAGGLE_AFTER = "400 days", "10 days"
+STRAGGLE_EVERY = 53
 
 
 def _feed(led: Ledger, schema: StructType) -> DataStreamReader:
@@ -691,21 +685,52 @@ def _feed(led: Ledger, schema: StructType) -> DataStreamReader:
     return led.spark.readStream.schema(schema).option("maxBytesPerTrigger", 1 << 40)
 
 
+def _landings(rows: DataFrame, key: str, time: str, again: Column, straggle_after: str = STRAGGLE_AFTER) -> list[DataFrame]:
+    """A feed in three stretches, each unsorted: the old rows, the new ones, and stragglers among the old, with what comes `again`."""
+    newest = rows.select(F.max(time)).scalar()
+    old = F.col(time) < newest - F.expr(f"INTERVAL {straggle_after}")
+    straggles = old & (F.col(key) % STRAGGLE_EVERY == 0)
+    marked = rows.withColumn("_old", old).withColumn("_late", straggles)
+    stretches = [marked.where("_old AND NOT _late"), marked.where("NOT _old"), marked.where(F.col("_late") | again)]
+    return [stretch.select(*rows.columns).hint("rebalance") for stretch in stretches]
+
+
+def _landed(led: Ledger, name: str, stretches: list[DataFrame], take: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, str, DataFrame]:
+    """Land the stretches one after the other and take in each as it is there: the feed, the folder, and the last result."""
+    landing, out = run_folder(led.spark, f"feed-{name}"), run_folder(led.spark, f"stream-{name}")
+    for stretch in stretches:
+        stretch.write.mode("append").parquet(landing)
+        feed = _feed(led, stretch.schema).parquet(landing)
+        found = take(feed, out)
+    return feed, out, found
+
+
+def _streamed_balances(led: Ledger) -> tuple[DataFrame, str, DataFrame]:
+    """The change feed, with stragglers, and what was updated delivered twice."""
+
+    def take(feed: DataFrame, out: str) -> DataFrame:
+        return live_balances.run_with_corrections(
+            feed,
+            out,
+            FEED_DISORDER,
+            lambda changes: live_balances.stream_balance_changes(changes, FEED_DISORDER),
+            lambda late: balance_ops.balance_delta_from_changes(live_balances.directed(late)),
+        )
+
+    stretches = _landings(led["amount_changes"], "change_id", "changed_on", F.col("op") == "U")
+    return _landed(led, "changes", stretches, take)
+
+
 @registered
 def stream_balances(led: Ledger) -> DataFrame:
-    """The change feed as it comes in, stretch by stretch; what is updated in a stretch is delivered twice."""
-    folder, out = run_folder(led.spark, "feed-changes"), run_folder(led.spark, "stream-balances")
-    changes = led["amount_changes"]
-    shares = [i / FEED_STRETCHES for i in range(1, FEED_STRETCHES)]
-    seconds = F.unix_seconds(F.col("changed_on").cast("timestamp"))
-    ends = changes.select(F.percentile_approx(seconds, shares)).first()[0]
-    for start, end in zip([None, *ends], [*ends, None], strict=True):
-        stretch = changes.where(F.lit(True) if start is None else seconds > start).where(F.lit(True) if end is None else seconds <= end)
-        stretch.write.mode("append").parquet(folder)
-        stretch.where("op = 'U'").write.mode("append").parquet(folder)
-        feed = _feed(led, AMOUNT_CHANGES).parquet(folder)
-        found = live_balances.run_balances(live_balances.stream_balance_changes(feed, FEED_DISORDER), out)
-    return found
+    return _streamed_balances(led)[2]
+
+
+@registered
+def stream_balances_late(led: Ledger) -> DataFrame:
+    """The changes that came behind the watermark; what was delivered again had come before."""
+    feed, out, _ = _streamed_balances(led)
+    return live_balances.late_changes(feed, out).select("change_id", "changed_on", "transaction_id")
 
 
 def _turns(led: Ledger) -> DataFrame:
@@ -723,53 +748,68 @@ def _turns(led: Ledger) -> DataFrame:
 
 @registered
 def stream_direction_changes(led: Ledger) -> DataFrame:
-    turns = _turns(led)
-    feed = _feed(led, turns.schema).parquet(_landed(led, "turns", turns))
-    running = live_balances.stream_direction_changes(feed, led["transaction_amounts"], FEED_DISORDER)
-    return live_balances.run_balances(running, run_folder(led.spark, "stream-turns"))
+    amounts = led["transaction_amounts"]
+
+    def take(feed: DataFrame, out: str) -> DataFrame:
+        return live_balances.run_with_corrections(
+            feed,
+            out,
+            FEED_DISORDER,
+            lambda turns: live_balances.stream_direction_changes(turns, amounts, FEED_DISORDER),
+            lambda late: balance_ops.per_account(balance_ops.turned_images(late, amounts)),
+        )
 
+    stretches = _landings(led.written("turns", _turns), "change_id", "changed_on", F.col("is_income"))
+    return _landed(led, "turns", stretches, take)[2]
 
-def _split_stream(led: Ledger, table: str) -> DataFrame:
-    """One of the tables that the stream of requests writes."""
-    folder = _landed(led, "requests", led["split_requests"])
-    feed = _feed(led, REQUESTS).parquet(folder)
-    out = run_folder(led.spark, "stream-splits")
-    live_splits.run_split_validation(feed, led["accounts"], led["friends"], out)
-    return led.spark.read.parquet(f"{out}/{table}").drop("batch")
+
+def _split_stream(led: Ledger) -> live_splits.Accepted:
+    """What the stream of requests publishes."""
+    folder, out = run_folder(led.spark, "feed-requests"), run_folder(led.spark, "stream-splits")
+    led["split_requests"].write.parquet(folder)
+    return live_splits.run_split_validation(_feed(led, REQUESTS).parquet(folder), led["accounts"], led["friends"], out)
 
 
 @registered
 def stream_split_validation(led: Ledger) -> DataFrame:
-    return _split_stream(led, "verdicts").select("transaction_id", "verdict")
+    return _split_stream(led).verdicts
 
 
 @registered
 def stream_split_validation_headers(led: Ledger) -> DataFrame:
-    return _split_stream(led, "headers")
+    return _split_stream(led).headers
 
 
 @registered
 def stream_split_validation_amounts(led: Ledger) -> DataFrame:
-    return _split_stream(led, "amounts")
+    return _split_stream(led).amounts
 
 
 @registered
 def stream_split_validation_tags(led: Ledger) -> DataFrame:
-    return _split_stream(led, "tags")
+    return _split_stream(led).tags
 
 
 @registered
 def stream_split_validation_quarantine(led: Ledger) -> DataFrame:
-    return _split_stream(led, "quarantine").select("request_id", "verdict")
+    return _split_stream(led).quarantine.select("request_id", "verdict")
+
+
+def _streamed_friendships(led: Ledger) -> tuple[DataFrame, str, DataFrame]:
+    """The friend log, with stragglers, and requests delivered twice."""
+    stretches = _landings(led["friend_actions"], "seq", "ts", F.col("action") == "request", LOG_STRAGGLE_AFTER)
+    return _landed(led, "friendships", stretches, lambda feed, out: live_friendships.run_friendship_state(feed, out, LOG_DISORDER))
 
 
 @registered
 def stream_friendship_state(led: Ledger) -> DataFrame:
-    """Straight from the event table."""
-    events = led["events"]
-    feed = _feed(led, events.schema).option("pathGlobFilter", "events.parquet").parquet(led.folder)
-    pairs = live_friendships.run_friendship_state(friend_actions_from(feed), run_folder(led.spark, "stream-friendships"))
-    return pairs.select("lo", "hi", "state", "late")
+    return _streamed_friendships(led)[2]
+
+
+@registered
+def stream_friendship_late(led: Ledger) -> DataFrame:
+    feed, out, _ = _streamed_friendships(led)
+    return live_friendships.late_actions(feed, out)
 
 
 def build(name: str) -> Callable[[SparkSession, str], DataFrame]:

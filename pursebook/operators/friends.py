@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.text import blank
-from pursebook.functions.times import hour_number
 from pursebook.operators.users import identifier_lookup
 from pursebook.plans.claims import with_first_claim
 from pursebook.plans.ordered import newest_first
@@ -194,25 +193,35 @@ def action_effects() -> dict[tuple[str, bool], tuple[int, ...]]:
     }
 
 
+# A map of states packed into one integer: the state after i in the bits 2 * i and 2 * i + 1.
+def packed_effect(follows: tuple[int, ...]) -> int:
+    return sum(state << (2 * before) for before, state in enumerate(follows))
+
+
+UNCHANGED_EFFECT = packed_effect(UNCHANGED)
+
+
 def _effect() -> Column:
     effect = F.lit(None)
     for (action, by_lower), follows in action_effects().items():
         holds = (F.col("action") == action) & ((F.col("actor_id") == F.col("lo")) == F.lit(by_lower))
-        effect = F.when(holds, F.array(*[F.lit(s) for s in follows])).otherwise(effect)
-    return F.coalesce(effect, _unchanged())
+        effect = F.when(holds, F.lit(packed_effect(follows))).otherwise(effect)
+    return F.coalesce(effect, F.lit(UNCHANGED_EFFECT))
 
 
-def _unchanged() -> Column:
-    return F.array(*[F.lit(state) for state in UNCHANGED])
+def _follows(effect: Column, state: Column) -> Column:
+    return F.call_function("shiftright", effect, (state * 2).cast("int")).bitwiseAND(3)
+
+
+def _then(first: Column, second: Column) -> Column:
+    """One effect after another."""
+    states = [_follows(second, F.shiftright(first, 2 * i).bitwiseAND(3)) for i in UNCHANGED]
+    return states[0] + states[1] * 4 + states[2] * 16 + states[3] * 64
 
 
 def _in_order(entries: Column) -> Column:
-    """Chain the effects of the sorted (order..., effect) structs into one effect."""
-    return F.aggregate(
-        F.array_sort(entries),
-        _unchanged(),
-        lambda so_far, entry: F.transform(so_far, lambda state: F.get(entry["effect"], state)),
-    )
+    """Chain the effects of (place, effect) structs, sorted by place, into one effect."""
+    return F.aggregate(F.array_sort(entries), F.lit(UNCHANGED_EFFECT), lambda so_far, entry: _then(so_far, entry["effect"]))
 
 
 def with_pair(friend_actions: DataFrame) -> DataFrame:
@@ -225,30 +234,37 @@ def with_pair(friend_actions: DataFrame) -> DataFrame:
     )
 
 
-def pair_effects(actions: DataFrame, in_time: Column | None = None) -> DataFrame:
-    """What all actions of a pair together do to its state, in (ts, seq) order: (lo, hi, effect, last, late).
+# A block holds up to 2^BLOCK_BITS actions, a block of blocks up to 2^BLOCK_BITS blocks.
+BLOCK_BITS = 12
+
 
-    An action maps each of the four states to the next one, and such maps chain associatively: a
-    pair's history is folded by the hour first, then the hours are folded. A pair that fills the
-    log is so spread over as many tasks as the log has hours. Actions that are not `in_time` are
-    counted as late and left out.
+def in_blocks(actions: DataFrame) -> DataFrame:
+    """Add `place`, which follows (lo, hi, ts, seq), so that high bits of it cut a pair's history into blocks of bounded size.
+
+    The actions are sorted over all tasks by ranges that Spark samples: a pair that fills the log gets many ranges, and an
+    hour or a moment in which all of it happens may be cut anywhere, as the number of the action counts too.
     """
-    counts = F.lit(True) if in_time is None else in_time
-    by_hour = actions.groupBy("lo", "hi", hour_number("ts").alias("hour")).agg(
-        _in_order(F.collect_list(F.when(counts, F.struct("ts", "seq", "effect")))).alias("effect"),
-        F.max(F.when(counts, F.struct("ts", "seq"))).alias("last"),
-        F.count(F.when(~counts, 1)).alias("late"),
-    )
-    return by_hour.groupBy("lo", "hi").agg(
-        _in_order(F.collect_list(F.struct("hour", "effect"))).alias("effect"),
-        F.max("last").alias("last"),
-        F.sum("late").alias("late"),
-    )
+    spread = actions.repartitionByRange("lo", "hi", "ts", "seq").sortWithinPartitions("lo", "hi", "ts", "seq")
+    return spread.withColumn("place", F.monotonically_increasing_id())
+
+
+def pair_effects(actions: DataFrame) -> DataFrame:
+    """What all actions of a pair together do to its state, in (ts, seq) order: (lo, hi, effect).
+
+    An action maps each of the four states to the next one, and such maps chain associatively: a history is folded
+    by blocks, these by blocks of blocks, and these by pair. No list is longer than 2^BLOCK_BITS, but for the last one, which has an
+    entry for each 16 million actions of the pair and one for each task that held some of them.
+    """
+    folded = in_blocks(actions).select("lo", "hi", "place", "effect")
+    for _ in range(2):
+        block = F.shiftright("place", BLOCK_BITS).alias("place")
+        folded = folded.groupBy("lo", "hi", block).agg(_in_order(F.collect_list(F.struct(F.col("place"), F.col("effect")))).alias("effect"))
+    return folded.groupBy("lo", "hi").agg(_in_order(F.collect_list(F.struct("place", "effect"))).alias("effect"))
 
 
 def after(effect: Column, state: Column) -> Column:
     """The state that follows; no effect, no change."""
-    return F.coalesce(F.get(effect, state), state).cast("int")
+    return F.coalesce(_follows(effect, state), state).cast("int")
 
 
 def friendship_replay(friend_actions: DataFrame) -> DataFrame:

@@ -489,6 +489,10 @@ def _audit(refresh: str) -> str:
         FROM session_claims c LEFT JOIN users u ON u.id = c.user_id LEFT JOIN user_modified m ON m.user_id = c.user_id"""
 
 
+def _straggles(key: str, time: str, table: str, days: int) -> str:
+    return f"{key} % 53 = 0 AND {time} < (SELECT max({time}) FROM {table}) - INTERVAL '{days}' DAY"
+
+
 _ACCOUNT_COLUMNS = "id, user_id, name, opening_balance, created_on"
 
 CHECKS = {
@@ -835,7 +839,13 @@ CHECKS = {
         JOIN ({_REQUEST_VERDICTS}) v USING (transaction_id), (VALUES (1), (2), (3)) AS places(k) WHERE verdict = 'ok'""",
     "stream_split_validation_quarantine": f"""
         SELECT transaction_id AS request_id, verdict FROM ({_REQUEST_VERDICTS}) v WHERE verdict <> 'ok'""",
-    "stream_friendship_state": f"SELECT lo, hi, state, CAST(0 AS BIGINT) AS late FROM ({_REPLAY}) r",
+    "stream_balances_late": f"""
+        SELECT change_id, changed_on, transaction_id FROM amount_changes WHERE {_straggles("change_id", "changed_on", "amount_changes", 400)}""",
+    "stream_friendship_state": f"""
+        SELECT lo, hi, state, coalesce(late, 0) AS late FROM ({_REPLAY}) r LEFT JOIN (
+          SELECT least(actor_id, target_id) AS lo, greatest(actor_id, target_id) AS hi, count(*) AS late FROM friend_actions
+          WHERE {_straggles("seq", "ts", "friend_actions", 10)} GROUP BY 1, 2) l USING (lo, hi)""",
+    "stream_friendship_late": f"SELECT * FROM friend_actions WHERE {_straggles('seq', 'ts', 'friend_actions', 10)}",
 }
 
 

@@ -2,65 +2,80 @@
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from pursebook.operators.friends import after, pair_effects, with_pair
-from pursebook.plans.skew import join_parent
-from pursebook.streaming.sink import batch_folder, write_batches
-
-# A pair's state, the last action applied to it, and how many came too late.
-PAIRS = T.StructType(
-    [
-        T.StructField("lo", T.LongType()),
-        T.StructField("hi", T.LongType()),
-        T.StructField("state", T.IntegerType()),
-        T.StructField(
-            "last", T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("seq", T.LongType())])
-        ),
-        T.StructField("late", T.LongType()),
-    ]
-)
-
-
-def advance(pairs: DataFrame, friend_actions: DataFrame) -> DataFrame:
-    """The pairs after a batch of actions, applied in (ts, seq) order.
-
-    An action that is not later than the last one applied to its pair is counted and ignored, which
-    also drops what is delivered again. What a batch does to a pair is folded by the hour first, as
-    in the replay, so a pair that fills the log is no load for a single task.
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from pursebook.operators.friends import friendship_replay, with_pair
+from pursebook.streaming.admission import admit, admitted, log_of
+from pursebook.streaming.sink import write_batches
+
+PAIRS = "lo long, hi long, state int"
+# The state after all actions behind the watermark, and the actions after it, which earlier ones may still precede.
+_STATE = "settled int, times array<long>, seqs array<long>, effects array<int>"
+
+
+def stream_friendship_state(friend_actions: DataFrame, delay: str) -> DataFrame:
+    """(lo, hi, state) of each pair whenever actions of it come in, in any order within `delay`.
+
+    A pair keeps the state that its actions behind the watermark led to and, in a buffer, the newer ones. What comes in is put
+    among them by (ts, seq); the state reported is that after all of them. When the watermark passes the oldest buffered
+    action, a timer folds what lies behind it and reports nothing. A pair's buffer holds its actions of `delay` at most, repeated
+    deliveries once. The state lives in the session's state store (RocksDB with `session.SETTINGS`), which writes changes only.
     """
-    key = ["lo", "hi"]
-    known = pairs.select(*key, F.col("last").alias("_last"))
-    marked = join_parent(with_pair(friend_actions), known, key, "seq", how="left")
-    in_time = F.col("_last").isNull() | (F.struct("ts", "seq") > F.col("_last"))
-    folded = pair_effects(marked, in_time).select(
-        *key, "effect", F.col("last").alias("_newer"), F.col("late").alias("_late")
-    )
-    return pairs.join(folded, key, "full").select(
-        *key,
-        after(F.col("effect"), F.coalesce("state", F.lit(0))).alias("state"),
-        F.coalesce("_newer", "last").alias("last"),
-        (F.coalesce("late", F.lit(0)) + F.coalesce("_late", F.lit(0))).cast("bigint").alias("late"),
+    timed = with_pair(friend_actions).withColumn("_time", F.col("ts").cast("timestamp")).withWatermark("_time", delay)
+    once = timed.dropDuplicatesWithinWatermark(["seq"])
+    actions = once.select("lo", "hi", "_time", F.unix_micros("_time").alias("time"), "seq", F.col("effect").cast("int").alias("effect"))
+    return actions.groupBy("lo", "hi").applyInPandasWithState(
+        _advance, PAIRS, _STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def run_friendship_state(friend_actions: DataFrame, folder: str) -> DataFrame:
-    """Run over all that is available; returns the pairs after the last micro-batch.
+def _advance(pair: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+    settled, times, seqs, effects = kept.get if kept.exists else (0, [], [], [])
+    buffer = set(zip(times, seqs, effects, strict=True))
+    for frame in frames:
+        buffer.update(zip(frame["time"].tolist(), frame["seq"].tolist(), frame["effect"].tolist(), strict=True))
+    ordered, watermark = sorted(buffer), kept.getCurrentWatermarkMs() * 1000
+    behind = sum(time < watermark for time, _, _ in ordered)
+    settled = _played(settled, ordered[:behind])
+    ordered = ordered[behind:]
+    kept.update((settled, *([entry[i] for entry in ordered] for i in range(3))))
+    if ordered:
+        kept.setTimeoutTimestamp(max(ordered[0][0], watermark) // 1000 + 1)
+    if not kept.hasTimedOut:
+        yield pd.DataFrame({"lo": [pair[0]], "hi": [pair[1]], "state": [_played(settled, ordered)]})
+
+
+def _played(state: int, actions: list[tuple[int, int, int]]) -> int:
+    for _, _, effect in actions:
+        state = effect >> (2 * state) & 3
+    return state
+
+
+def run_friendship_state(friend_actions: DataFrame, folder: str, delay: str) -> DataFrame:
+    """Take in what the feed has; returns (lo, hi, state, late) of every pair that had an action.
 
-    Each micro-batch writes all pairs anew, from those of the batch before it, so repeating a batch
-    gives the same table. Only the latest two are needed; older ones may be deleted.
+    Only pairs with new actions are written, a file set for each micro-batch. Actions behind the watermark, counted as `late`,
+    are set aside by `admit`; a pair that has some is replayed from the log of all its actions.
     """
     spark = friend_actions.sparkSession
+    admit(friend_actions, "ts", delay, folder)
+    stream = admitted(spark.readStream.option("maxFilesPerTrigger", 1), friend_actions.schema, folder)
+    write_batches(stream_friendship_state(stream, delay), f"{folder}/in-time", "update").awaitTermination()
+    written = spark.read.parquet(f"{folder}/in-time/rows")
+    current = written.groupBy("lo", "hi").agg(F.max_by("state", "batch").alias("state"))
+    late = with_pair(late_actions(friend_actions, folder))
+    counts = late.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("late"))
+    log = log_of(friend_actions, folder, "admitted").unionByName(log_of(friend_actions, folder, "late")).dropDuplicates(["seq"])
+    again = with_pair(log).join(counts, ["lo", "hi"], "left_semi").select(*friend_actions.columns)
+    replayed = friendship_replay(again).join(counts, ["lo", "hi"])
+    in_time = current.join(counts, ["lo", "hi"], "left_anti").withColumn("late", F.lit(0).cast("bigint"))
+    return in_time.unionByName(replayed)
 
-    def outputs(batch: DataFrame, batch_id: int) -> Iterator[tuple[str, DataFrame]]:
-        if batch_id == 0:
-            pairs = batch.sparkSession.createDataFrame([], PAIRS)
-        else:
-            pairs = batch.sparkSession.read.schema(PAIRS).parquet(batch_folder(folder, "pairs", batch_id - 1))
-        yield "pairs", advance(pairs, batch)
 
-    write_batches(friend_actions, folder, "append", outputs).awaitTermination()
-    written = spark.read.parquet(f"{folder}/pairs")
-    return written.where(F.col("batch") == written.select(F.max("batch")).scalar()).drop("batch")
+def late_actions(friend_actions: DataFrame, folder: str) -> DataFrame:
+    """The actions that came behind the watermark and hadn't come before, one row each."""
+    known = log_of(friend_actions, folder, "admitted").select("seq")
+    return log_of(friend_actions, folder, "late").dropDuplicates(["seq"]).join(known, "seq", "left_anti").select(*friend_actions.columns)

@@ -13,6 +13,7 @@ from pursebook.operators.requests import flatten_requests
 from pursebook.schemas import AMOUNT_CHANGES, FRIEND_ACTIONS, REQUESTS
 from pursebook.sources import files, workspace
 from pursebook.sources.derive import Ledger
+from pursebook.operators import balances as balance_ops
 from pursebook.streaming import balances as live_balances
 from pursebook.streaming import friendships as live_friendships
 from pursebook.streaming import splits as live_splits
@@ -146,48 +147,92 @@ def test_streamed_direction_changes_equal_the_batch(spark, ledger, tmp_path):
     assert by_account(found, "delta") == by_account(catalog.balance_delta_from_direction_change(ledger), "delta")
 
 
+def test_late_changes_are_booked_once(spark, tmp_path):
+    """A change far behind the watermark is set aside and booked by the correction; one delivered again is not, in time or late."""
+    day, landing = datetime(2024, 1, 1), str(tmp_path / "feed")
+
+    def change(number, days, paid):
+        return (number, day + timedelta(days=days), "I", 7, None, None, 5, Decimal(paid), True)
+
+    batches = [[change(1, 0, "1.00"), change(2, 90, "2.00")], [change(3, 60, "4.00"), change(1, 0, "1.00"), change(2, 90, "2.00"), change(4, 5, "8.00")], [change(4, 5, "8.00"), change(5, 85, "16.00")]]
+    for rows in batches:
+        spark.createDataFrame(rows, AMOUNT_CHANGES).coalesce(1).write.mode("append").parquet(landing)
+        feed = spark.readStream.schema(AMOUNT_CHANGES).parquet(landing)
+        found = live_balances.run_with_corrections(
+            feed,
+            str(tmp_path / "out"),
+            "10 days",
+            lambda changes: live_balances.stream_balance_changes(changes, "10 days"),
+            lambda late: balance_ops.balance_delta_from_changes(late),
+        )
+    assert by_account(found, "delta") == {5: Decimal("31.0000")}
+    late = live_balances.late_changes(feed, str(tmp_path / "out"))
+    assert sorted(r["change_id"] for r in late.collect()) == [3, 4]
+
+
 def test_streamed_requests_are_stored_or_put_aside(spark, ledger, tmp_path):
     requests, feed, out = ledger["split_requests"], str(tmp_path / "feed"), str(tmp_path / "out")
     requests.repartition(3).write.parquet(feed)
     stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(feed)
-    live_splits.run_split_validation(stream, ledger["accounts"], ledger["friends"], out)
+    found = live_splits.run_split_validation(stream, ledger["accounts"], ledger["friends"], out)
     verdicts = {r["transaction_id"]: r["verdict"] for r in catalog.request_verdicts(ledger).collect()}
     good = {key for key, verdict in verdicts.items() if verdict == "ok"}
-    aside = {r["request_id"]: r["verdict"] for r in spark.read.parquet(f"{out}/quarantine").collect()}
-    assert {r["id"] for r in spark.read.parquet(f"{out}/headers").collect()} == good
-    assert {r["transaction_id"] for r in spark.read.parquet(f"{out}/amounts").collect()} == good
+    aside = {r["request_id"]: r["verdict"] for r in found.quarantine.collect()}
+    assert {r["id"] for r in found.headers.collect()} == good
+    assert {r["transaction_id"] for r in found.amounts.collect()} == good
     assert aside == {key: verdict for key, verdict in verdicts.items() if verdict != "ok"}
     assert set(aside.values()) >= {"empty", "negative", "neither", "both", "unknown_account", "no_access", "unbalanced", "no_self"}
 
 
-def test_streamed_friendships_count_what_comes_late(spark, tmp_path):
+def test_a_broken_batch_of_requests_shows_nothing(spark, ledger, tmp_path, monkeypatch):
+    """The run breaks after the batch is written and before it is published; the next run publishes it once."""
+    requests, feed, out = ledger["split_requests"], str(tmp_path / "feed"), str(tmp_path / "out")
+    requests.coalesce(1).write.parquet(feed)
+    stream = spark.readStream.schema(REQUESTS).parquet(feed)
+
+    def broken(batch, batch_id):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as lost:
+        lost.setattr(live_splits, "_publication", broken)
+        with pytest.raises(Exception, match="lost"):
+            live_splits.run_split_validation(stream, ledger["accounts"], ledger["friends"], out)
+    spark.createDataFrame([], "id int").write.parquet(f"{out}/published/batch=-1")
+    assert spark.read.parquet(f"{out}/requests").count() == requests.count()
+    assert [table.count() for table in live_splits.published(stream, out)] == [0] * 5
+    found = live_splits.run_split_validation(stream, ledger["accounts"], ledger["friends"], out)
+    assert found.verdicts.count() == requests.count()
+    assert found.headers.count() == found.verdicts.where("verdict = 'ok'").count() > 0
+
+
+def test_streamed_friendships_set_late_actions_aside(spark, tmp_path):
+    """Actions come in any order within three hours; later ones are set aside, and their pair is replayed from the log."""
     day = datetime(2024, 1, 1)
-    first = [(1, day, 1, 2, "request"), (2, day + timedelta(hours=1), 2, 1, "accept"), (3, day, 5, 4, "request")]
-    second = [(4, day + timedelta(minutes=5), 1, 2, "remove"), (5, day + timedelta(hours=2), 2, 1, "remove"), (6, day, 4, 4, "request")]
-    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
-    for rows in (first, second):
-        spark.createDataFrame(rows, FRIEND_ACTIONS).coalesce(1).write.mode("append").parquet(feed)
-        stream = spark.readStream.schema(FRIEND_ACTIONS).parquet(feed)
-        states = live_friendships.run_friendship_state(stream, out)
-        found = {(r["lo"], r["hi"]): (r["state"], r["late"]) for r in states.collect()}
-        if rows is first:
-            assert found == {(1, 2): (3, 0), (4, 5): (2, 0)}
-    assert found == {(1, 2): (0, 1), (4, 5): (2, 0)}
-    on_time = first + second[1:]
-    assert {pair: state for pair, (state, _) in found.items()} == play(on_time)
-
-
-def test_advancing_in_steps_equals_one_replay(spark, ledger):
-    """The log cut into three batches, the second delivered twice."""
-    log = ledger["friend_actions"].cache()
-    first, second = (row[0] for row in log.selectExpr("percentile_approx(seq, array(0.3, 0.6)) q").selectExpr("explode(q)").collect())
-    cuts = [log.where(F.col("seq") <= first), log.where(F.col("seq").between(first + 1, second)), log.where(F.col("seq") > second)]
-    pairs = spark.createDataFrame([], live_friendships.PAIRS)
-    for batch in (cuts[0], cuts[1], cuts[1], cuts[2]):
-        pairs = live_friendships.advance(pairs, batch)
-    states = {(r["lo"], r["hi"]): r["state"] for r in pairs.collect()}
+    first = [(2, day + timedelta(hours=1), 2, 1, "accept"), (3, day, 5, 4, "request"), (7, day + timedelta(hours=2), 8, 9, "request")]
+    second = [(1, day, 1, 2, "request"), (6, day, 4, 4, "request"), (3, day, 5, 4, "request"), (8, day + timedelta(hours=9), 9, 8, "accept")]
+    third = [(4, day + timedelta(minutes=5), 1, 2, "remove"), (5, day + timedelta(hours=8), 2, 1, "remove"), (1, day, 1, 2, "request")]
+    landing, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    expected = [{(1, 2): (0, 0), (4, 5): (2, 0), (8, 9): (1, 0)}, {(1, 2): (3, 0), (4, 5): (2, 0), (8, 9): (3, 0)}, {(1, 2): (0, 1), (4, 5): (2, 0), (8, 9): (3, 0)}]
+    for rows, states in zip((first, second, third), expected, strict=True):
+        spark.createDataFrame(rows, FRIEND_ACTIONS).coalesce(1).write.mode("append").parquet(landing)
+        feed = spark.readStream.schema(FRIEND_ACTIONS).parquet(landing)
+        found = live_friendships.run_friendship_state(feed, out, "3 hours")
+        assert {(r["lo"], r["hi"]): (r["state"], r["late"]) for r in found.collect()} == states
+    assert [r["seq"] for r in live_friendships.late_actions(feed, out).collect()] == [4]
+    written = spark.read.parquet(f"{out}/in-time/rows").groupBy("batch").count().orderBy("batch").collect()
+    assert [r["count"] for r in written][:3] == [3, 2, 1]
+
+
+def test_streamed_friendships_equal_the_replay(spark, ledger, tmp_path):
+    """The log in shuffled files, one a trigger, in disorder within the delay."""
+    log, landing = ledger["friend_actions"], str(tmp_path / "feed")
+    for i in range(3):
+        log.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(landing)
+    feed = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    found = live_friendships.run_friendship_state(feed, str(tmp_path / "out"), "400 days")
+    states = {(r["lo"], r["hi"]): r["state"] for r in found.collect()}
     assert states == {(r["lo"], r["hi"]): r["state"] for r in catalog.friendship_replay(ledger).collect()}
-    assert pairs.agg(F.sum("late")).first()[0] == cuts[1].where("actor_id <> target_id").count()
+    assert found.agg(F.sum("late")).first()[0] == 0
 
 
 def test_money_is_exact(spark, table):
