@@ -389,6 +389,23 @@ def search_filter_checks(led: Ledger) -> DataFrame:
     return found.withColumn("tags", joined("tags"))
 
 
+def _batch_search(led: Ledger) -> tuple[DataFrame, DataFrame]:
+    """The sound ones of those query strings, each asked by the order's customer."""
+    asked = filters.search_filters(led["filter_texts"]).join(led["filter_texts"].select("seq", "user_id"), "seq")
+    tables = led["transactions"], led["transaction_amounts"], led["accounts"], led["transaction_tags"]
+    return search.search_batch(asked, *tables), asked
+
+
+@registered
+def search_batch(led: Ledger) -> DataFrame:
+    return _batch_search(led)[0]
+
+
+@registered
+def search_batch_pages(led: Ledger) -> DataFrame:
+    return search.search_batch_pages(*_batch_search(led))
+
+
 @registered
 def transactions_with_all_tags(led: Ledger) -> DataFrame:
     return search.transactions_with_all_tags(led["transaction_tags"], WANTED_TAGS)

@@ -436,6 +436,38 @@ def _split_verdicts(amounts: str, creators: str, order: str) -> str:
 VIEWS["request_splits"] = _split_verdicts("request_amounts", "request_headers", "slot")
 VIEWS["split_rows"] = _split_rows("transaction_amounts", "transactions", "id")
 
+VIEWS["filters_read"] = f"""
+        SELECT seq, coalesce(page_n, 1) AS page_no, coalesce(limit_n, 20) AS page_limit, start_on, end_on,
+          nullif(category, '') AS category, account_n AS account_id, coalesce(array_to_string(tags, ','), '') AS tags, tags AS wanted_tags,
+          CASE WHEN page <> '' AND page_n IS NULL THEN 'page:no_number' WHEN page_n <= 0 THEN 'page:not_positive'
+            WHEN page_limit IS NOT NULL AND limit_n IS NULL THEN 'limit:no_number'
+            WHEN start_on IS NULL THEN 'start_date:no_date' WHEN list_contains(tags, '') THEN 'tags:empty_tag'
+            WHEN account_n IS NULL THEN 'account_id:no_number' END AS reason
+        FROM (SELECT *, {_whole("page")} AS page_n, {_whole("page_limit")} AS limit_n, {_whole("account")} AS account_n,
+                CASE WHEN seq % 13 = 1 THEN TIMESTAMP '1997-02-03 02:05:06' ELSE TRY_CAST(start_date AS TIMESTAMP) END AS start_on,
+                CASE WHEN seq % 3 = 0 THEN CAST(strftime(o_orderdate, '%Y-%m-%d') || ' 23:59:59' AS TIMESTAMP) + INTERVAL '330' MINUTE END AS end_on
+              FROM (SELECT o_orderkey AS seq, o_orderdate,
+                      CASE o_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '0' WHEN 3 THEN '-3' WHEN 4 THEN ' 12abc'
+                           ELSE CAST(o_orderkey % 50 + 1 AS VARCHAR) END AS page,
+                      CASE o_orderkey % 7 WHEN 0 THEN '5.9' WHEN 1 THEN 'many' END AS page_limit,
+                      CASE o_orderkey % 13 WHEN 0 THEN '1997-13-01' WHEN 1 THEN '1997-02-03T04:05:06+02:00' WHEN 2 THEN 'yesterday'
+                           WHEN 3 THEN '1996-01-01T00:00:00.500Z' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS start_date,
+                      CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS category,
+                      CASE o_orderkey % 17 WHEN 0 THEN '1e3' WHEN 1 THEN 'x7' ELSE CAST(o_custkey * 2 + 1 AS VARCHAR) END AS account,
+                      CASE WHEN o_orderkey % 19 = 0 THEN ['red', ''] WHEN o_orderkey % 19 > 13 THEN ['red', o_orderstatus]
+                           WHEN o_orderkey % 19 > 9 THEN ['red'] END AS tags
+                    FROM orders) t) n"""
+VIEWS["searched"] = """
+        SELECT DISTINCT f.seq, t.id, t.created_on
+        FROM filters_read f JOIN orders ON o_orderkey = f.seq
+        JOIN accounts a ON a.user_id = o_custkey + 1 AND (f.account_id IS NULL OR f.account_id = a.id)
+        JOIN transaction_amounts m ON m.account_id = a.id JOIN transactions t ON t.id = m.transaction_id
+        WHERE f.reason IS NULL AND (f.start_on IS NULL OR t.created_on >= f.start_on)
+          AND (f.end_on IS NULL OR t.created_on <= f.end_on) AND (f.category IS NULL OR f.category = t.category)
+          AND (f.wanted_tags IS NULL OR len(list_distinct(f.wanted_tags)) = (
+            SELECT count(DISTINCT tag) FROM transaction_tags g
+            WHERE g.transaction_id = t.id AND list_contains(f.wanted_tags, g.tag)))"""
+
 _DELTAS = f"""
         SELECT account_id, {total("delta")} AS delta
         FROM (SELECT old_account_id AS account_id, CASE WHEN is_income THEN -old_paid ELSE old_paid END AS delta
@@ -641,26 +673,14 @@ CHECKS = {
         JOIN transaction_tags g ON g.transaction_id = t.id
         WHERE m.account_id = 15 AND a.user_id = 8 AND category = '1-URGENT' AND {same_tag("tag")} = 'ring'
           AND t.created_on BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '2001-01-01'""",
-    "search_filter_checks": f"""
-        SELECT seq, coalesce(page_n, 1) AS page_no, coalesce(limit_n, 20) AS page_limit, start_on, end_on,
-          nullif(category, '') AS category, account_n AS account_id, coalesce(array_to_string(tags, ','), '') AS tags,
-          CASE WHEN page <> '' AND page_n IS NULL THEN 'page:no_number' WHEN page_n <= 0 THEN 'page:not_positive'
-            WHEN page_limit IS NOT NULL AND limit_n IS NULL THEN 'limit:no_number'
-            WHEN start_on IS NULL THEN 'start_date:no_date' WHEN list_contains(tags, '') THEN 'tags:empty_tag'
-            WHEN account_n IS NULL THEN 'account_id:no_number' END AS reason
-        FROM (SELECT *, {_whole("page")} AS page_n, {_whole("page_limit")} AS limit_n, {_whole("account")} AS account_n,
-                CASE WHEN seq % 13 = 1 THEN TIMESTAMP '1997-02-03 02:05:06' ELSE TRY_CAST(start_date AS TIMESTAMP) END AS start_on,
-                CASE WHEN seq % 3 = 0 THEN CAST(strftime(o_orderdate, '%Y-%m-%d') || ' 23:59:59' AS TIMESTAMP) + INTERVAL '330' MINUTE END AS end_on
-              FROM (SELECT o_orderkey AS seq, o_orderdate,
-                      CASE o_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '0' WHEN 3 THEN '-3' WHEN 4 THEN ' 12abc'
-                           ELSE CAST(o_orderkey % 50 + 1 AS VARCHAR) END AS page,
-                      CASE o_orderkey % 7 WHEN 0 THEN '5.9' WHEN 1 THEN 'many' END AS page_limit,
-                      CASE o_orderkey % 13 WHEN 0 THEN '1997-13-01' WHEN 1 THEN '1997-02-03T04:05:06+02:00' WHEN 2 THEN 'yesterday'
-                           WHEN 3 THEN '1996-01-01T00:00:00.500Z' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS start_date,
-                      CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS category,
-                      CASE o_orderkey % 17 WHEN 0 THEN '1e3' WHEN 1 THEN 'x7' ELSE CAST(o_custkey * 2 + 1 AS VARCHAR) END AS account,
-                      CASE o_orderkey % 19 WHEN 0 THEN ['red', ''] WHEN 1 THEN NULL ELSE ['red', o_orderstatus] END AS tags
-                    FROM orders) t) n""",
+    "search_filter_checks": "SELECT * EXCLUDE (wanted_tags) FROM filters_read",
+    "search_batch": "SELECT seq, id, created_on FROM searched",
+    "search_batch_pages": """
+        SELECT seq, id, created_on, rank, total
+        FROM (SELECT s.*, page_no, page_limit, row_number() OVER (PARTITION BY seq ORDER BY created_on DESC, id DESC) AS rank,
+                count(*) OVER (PARTITION BY seq) AS total
+              FROM searched s JOIN filters_read USING (seq)) r
+        WHERE rank > (page_no - 1) * page_limit AND rank <= page_no * page_limit""",
     "transactions_with_all_tags": "SELECT transaction_id FROM tagged",
     "transaction_search_total": """
         SELECT user_id, count(DISTINCT id) AS total, CAST(ceil(count(DISTINCT id) / 20.0) AS BIGINT) AS total_pages

@@ -501,13 +501,17 @@ def filter_texts(ledger: Ledger) -> DataFrame:
     start = F.when(key % 13 == 0, "1997-13-01").when(key % 13 == 1, "1997-02-03T04:05:06+02:00").when(key % 13 == 2, "yesterday")
     return ledger["orders"].select(
         key.alias("seq"),
+        (F.col("o_custkey") + 1).alias("user_id"),
         page.when(key % 11 == 4, F.lit(" 12abc")).otherwise((key % 50 + 1).cast("string")).alias("page"),
         F.when(key % 7 == 0, "5.9").when(key % 7 == 1, "many").alias("limit"),
         start.when(key % 13 == 3, "1996-01-01T00:00:00.500Z").otherwise(day).alias("start_date"),
         F.when(key % 3 == 0, F.concat(day, F.lit("T23:59:59-05:30"))).alias("end_date"),
         F.when(key % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("category"),
         F.when(key % 17 == 0, "1e3").when(key % 17 == 1, "x7").otherwise((F.col("o_custkey") * 2 + 1).cast("string")).alias("account_id"),
-        F.when(key % 19 == 0, F.array(F.lit("red"), F.lit(""))).when(key % 19 != 1, F.array(F.lit("red"), F.col("o_orderstatus"))).alias("tags"),
+        F.when(key % 19 == 0, F.array(F.lit("red"), F.lit("")))
+        .when(key % 19 > 13, F.array(F.lit("red"), F.col("o_orderstatus")))
+        .when(key % 19 > 9, F.array(F.lit("red")))
+        .alias("tags"),
     )
 
 
