@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pursebook.functions.text import blank, is_email, is_username
 from pursebook.functions.times import second_number
-from pursebook.sources.workspace import checkpointed
+from pursebook.sources.workspace import checkpointed, run_folder
 
 
 def identifier_lookup(identifiers: DataFrame, users: DataFrame) -> DataFrame:
@@ -71,30 +71,66 @@ def user_registration_checks(new_users: DataFrame, users: DataFrame) -> DataFram
 
 
 def first_come(requests: DataFrame) -> DataFrame:
-    """The `seq` of the requests that get both their `_name` and their `email`, served in order.
+    """The `seq` of the requests that get both their `_name` and their `email`, served in order; one request per `seq`.
 
-    Each round grants the requests that are first for both keys, then drops all that want a granted
-    key. A round always grants at least the earliest one left; batches without alternating
-    conflicts need one or two rounds. Rounds are checkpointed, so each one's plan is short.
+    A request gets them if none of the earlier ones that want its name or its e-mail did. Each round grants the requests
+    that are first for both, and drops all that want something granted. From the second round on, a request that is behind one
+    single other request hangs on it: it wins if that one loses. Such requests form trees, in which pointers jump to the root in
+    a number of steps that is the logarithm of the depth, so a chain of alternating conflicts, however long, is decided in one round. Rounds
+    and jumps are checkpointed, and what is granted is written as it is found.
     """
-    spark = requests.sparkSession
-    waiting, granted = checkpointed(requests), None
+    spark, folder = requests.sparkSession, run_folder(requests.sparkSession, "granted")
+    waiting, chains = checkpointed(requests), False
+    spark.createDataFrame([], requests.select("seq").schema).write.parquet(folder)
     while not waiting.isEmpty():
-        first_name = waiting.groupBy("_name").agg(F.min("seq").alias("_first_name"))
-        first_email = waiting.groupBy("email").agg(F.min("seq").alias("_first_email"))
-        ranked = waiting.join(first_name, "_name").join(first_email, "email")
-        won = checkpointed(
-            ranked.where((F.col("seq") == F.col("_first_name")) & (F.col("seq") == F.col("_first_email"))).select(
-                "seq", "_name", "email"
-            )
-        )
-        granted = won if granted is None else granted.unionByName(won)
+        won = checkpointed(_decided(waiting) if chains else _first_of_both(waiting).where("_wins"))
+        won.select("seq").write.mode("append").parquet(folder)
         waiting = checkpointed(
             waiting.join(won.select("_name"), "_name", "left_anti").join(won.select("email"), "email", "left_anti")
         )
-    if granted is None:
-        return spark.createDataFrame([], requests.select("seq").schema)
-    return granted.select("seq")
+        chains = True
+    return spark.read.schema(requests.select("seq").schema).parquet(folder)
+
+
+def _first_of_both(waiting: DataFrame) -> DataFrame:
+    """Add the first request for the same name and for the same e-mail, and whether both are this one."""
+    first_name = waiting.groupBy("_name").agg(F.min("seq").alias("_first_name"))
+    first_email = waiting.groupBy("email").agg(F.min("seq").alias("_first_email"))
+    ranked = waiting.join(first_name, "_name").join(first_email, "email")
+    return ranked.withColumn("_wins", (F.col("seq") == F.col("_first_name")) & (F.col("seq") == F.col("_first_email")))
+
+
+def _decided(waiting: DataFrame) -> DataFrame:
+    """The winners among the requests that hang, directly or through others, on one that is first for both."""
+    ranked = checkpointed(_first_of_both(waiting))
+    for key, name in (("_name", "name"), ("email", "email")):
+        second = ranked.where(f"seq <> _first_{name}").groupBy(key).agg(F.min("seq").alias(f"_second_{name}"))
+        ranked = ranked.join(second, key, "left")
+    first_name, first_email = (F.col("seq") == F.col(f"_first_{name}") for name in ("name", "email"))
+    second_name, second_email = (F.coalesce(F.col("seq") == F.col(f"_second_{name}"), F.lit(False)) for name in ("name", "email"))
+    behind = (
+        F.when(first_name & second_email, F.col("_first_email"))
+        .when(first_email & second_name, F.col("_first_name"))
+        .when(second_name & second_email & (F.col("_first_name") == F.col("_first_email")), F.col("_first_name"))
+    )
+    # Each request with the one it hangs on, and whether it wins when that one does.
+    pointers = checkpointed(ranked.select("seq", "_name", "email", "_wins", behind.alias("_on"), F.col("_wins").alias("_like")))
+    while True:
+        on = pointers.select(F.col("seq").alias("_on"), F.col("_on").alias("_next"), F.col("_like").alias("_next_like"))
+        jumped = pointers.join(on, "_on", "left")
+        if jumped.where(F.col("_next").isNotNull()).isEmpty():
+            break
+        moved = F.col("_next").isNotNull()
+        pointers = checkpointed(
+            jumped.select(
+                "seq", "_name", "email", "_wins",
+                F.when(moved, F.col("_next")).otherwise(F.col("_on")).alias("_on"),
+                F.when(moved, F.col("_like") == F.col("_next_like")).otherwise(F.col("_like")).alias("_like"),
+            )
+        )
+    roots = pointers.where("_wins").select(F.col("seq").alias("_on"), F.lit(True).alias("_decided"))
+    known = pointers.join(roots, "_on", "left")
+    return known.where("_wins OR (_decided AND _like)").select("seq", "_name", "email")
 
 
 def session_claims_audit(
