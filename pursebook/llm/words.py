@@ -97,7 +97,7 @@ def release() -> None:
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
     head = np.array([len(arrays), *(value for a in arrays for value in (ord(a.dtype.char), len(a)))], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
 
 def unpacked(value: bytes) -> list[np.ndarray]:
