@@ -32,7 +32,7 @@ from pursebook.llm.tables import in_tasks, stored
 
 CUT = 5
 BLOCK_TOKENS = 1 << 20
-BUCKET_BYTES = 1 << 23
+BUCKET_BYTES = 10 << 20
 START, END = np.uint64(1), np.uint64(2)
 PACKED = "kind string, bucket long, block long, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
