@@ -26,6 +26,7 @@ from pursebook.operators import (
     users as user_ops,
 )
 from pursebook.schemas import REQUESTS
+from pursebook.sources import files
 from pursebook.sources.derive import Ledger
 from pursebook.sources.workspace import run_folder
 from pursebook.streaming import balances as live_balances
@@ -84,6 +85,12 @@ def accounts_by_user(led: Ledger) -> DataFrame:
     return accounts_ops.accounts_by_user(led["accounts"])
 
 
+@registered
+def accounts_of_one(led: Ledger) -> DataFrame:
+    """The accounts of user 8."""
+    return accounts_ops.accounts_by_user(led["accounts"], user_id=8).select("id", "user_id", "name", "opening_balance", "created_on")
+
+
 def _account_views(led: Ledger) -> DataFrame:
     """Who looks at which account: the creator of a transaction at the accounts that take part."""
     creators = led["transactions"].select(F.col("id").alias("transaction_id"), F.col("creator_id").alias("viewer_id"))
@@ -175,6 +182,14 @@ def flatten_requests_tags(led: Ledger) -> DataFrame:
     return requests.flatten_requests(led["split_requests"]).tags
 
 
+@registered
+def requests_from_json(led: Ledger) -> DataFrame:
+    """The create requests landed as JSON lines, read and judged by their shape."""
+    folder = run_folder(led.spark, "requests")
+    led["split_requests"].write.json(folder)
+    return requests.flatten_requests(files.read_requests(led.spark, folder)).headers
+
+
 @registered
 def amount_row_checks(led: Ledger) -> DataFrame:
     """Over the amounts of the create requests, which hold every fault."""
@@ -459,6 +474,15 @@ def transaction_documents(led: Ledger) -> DataFrame:
     )
 
 
+@registered
+def documents_as_json(led: Ledger) -> DataFrame:
+    """All documents written as JSON lines and read again."""
+    built = documents.transaction_documents(led["transactions"], led["transaction_amounts"], led["transaction_tags"])
+    folder = run_folder(led.spark, "documents")
+    files.write_documents(built, folder)
+    return _flat(led.spark.read.schema(built.schema).json(folder))
+
+
 @registered
 def transaction_list(led: Ledger) -> DataFrame:
     """Second page of five of user 1, filled."""
@@ -627,6 +651,19 @@ def friend_picker(led: Ledger) -> DataFrame:
     return friend_ops.friend_picker(led["friends"], led["users"], led["accounts"], user_id=8)
 
 
+@registered
+def friend_pickers(led: Ledger) -> DataFrame:
+    """What every user is offered."""
+    return friend_ops.friend_picker(led["friends"], led["users"], led["accounts"])
+
+
+@registered
+def incoming_requests_of_one(led: Ledger) -> DataFrame:
+    """What user 13 has to answer."""
+    found = friend_ops.incoming_requests(led["friend_requests"], led["users"], user_id=13)
+    return found.select("user_id", "sender_id", "username", "created_on")
+
+
 @registered
 def friend_list_of_one(led: Ledger) -> DataFrame:
     return friend_ops.friend_list(led["friends"], led["users"], user_id=8).select("user_id", "friend_id", "username")

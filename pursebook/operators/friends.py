@@ -303,10 +303,17 @@ def delete_users_cascade(
     )
 
 
-def friend_picker(friends: DataFrame, users: DataFrame, accounts: DataFrame, user_id: int) -> DataFrame:
-    """The accounts of one user's friends, as offered when a bill is split; friends without any are left out."""
-    listed = friend_list(friends, users, user_id).select("friend_id", "username")
+def friend_picker(friends: DataFrame, users: DataFrame, accounts: DataFrame, user_id: int | None = None) -> DataFrame:
+    """The accounts of a user's friends, as offered when a bill is split; friends without any are left out.
+
+    For one user, or for all: one row for each friendship and account of the friend, so a user with many friends shows their
+    accounts to each of them.
+    """
     owned = accounts.select(F.col("user_id").alias("friend_id"), F.col("id").alias("account_id"), "name")
+    if user_id is None:
+        listed = both_directions(friends).join(_names(users, "friend_id"), "friend_id").select("user_id", "friend_id", "username")
+        return listed.join(owned, "friend_id").select("user_id", "friend_id", "username", "account_id", "name")
+    listed = friend_list(friends, users, user_id).select("friend_id", "username")
     return listed.join(owned, "friend_id").select("friend_id", "username", "account_id", "name")
 
 

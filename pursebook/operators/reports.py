@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pursebook.functions.money import total
 from pursebook.functions.text import same_tag
 from pursebook.functions.times import month
-from pursebook.plans.skew import join_parent
+from pursebook.plans.skew import join_grid, join_parent
 
 
 def _reported(transactions: DataFrame, amounts: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def report_by_tag(transactions: DataFrame, amounts: DataFrame, accounts: DataFra
     """Paid per user, month, tag and direction; a payment counts once for each different tag.
 
     Payments are summed per user and transaction first, so that a transaction meets its tags with
-    one row per payer and not with every amount.
+    one row per payer and not with every amount. Of a transaction with very many payers or tags, payers and tags meet in the
+    cells of a grid, and are summed there first.
     """
     paid = (
         _reported(transactions, amounts, accounts)
@@ -44,7 +45,7 @@ def report_by_tag(transactions: DataFrame, amounts: DataFrame, accounts: DataFra
     )
     different = tags.select("transaction_id", same_tag("tag").alias("tag")).distinct()
     return (
-        paid.join(different, "transaction_id")
+        join_grid(paid, different, "transaction_id", "user_id", "tag")
         .groupBy("user_id", "month", "tag", "is_income")
         .agg(total("paid").alias("paid"))
     )

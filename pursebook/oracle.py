@@ -543,6 +543,7 @@ CHECKS = {
     "accounts_by_user": f"""
         SELECT {_ACCOUNT_COLUMNS}, row_number() OVER (PARTITION BY user_id ORDER BY created_on DESC, id DESC) AS position
         FROM accounts""",
+    "accounts_of_one": f"SELECT {_ACCOUNT_COLUMNS} FROM accounts WHERE user_id = 8",
     "visible_accounts": """
         SELECT v.viewer_id, a.id AS account_id, a.user_id AS owner_id, a.name,
           CASE WHEN a.user_id = viewer_id THEN balance END AS balance,
@@ -589,6 +590,7 @@ CHECKS = {
         FROM (SELECT o_orderkey * 2 + 1 AS account_id FROM orders UNION SELECT o_custkey * 2 + 2 FROM orders) i
         LEFT JOIN accounts a ON a.id = i.account_id""",
     "flatten_requests": "SELECT * FROM request_headers",
+    "requests_from_json": "SELECT * FROM request_headers",
     "flatten_requests_amounts": "SELECT * FROM request_amounts",
     "flatten_requests_tags": """
         SELECT id AS transaction_id, CAST(k AS BIGINT) AS slot,
@@ -704,6 +706,16 @@ CHECKS = {
             FROM transaction_amounts GROUP BY transaction_id) a ON a.transaction_id = t.id
         LEFT JOIN (SELECT transaction_id, string_agg(concat_ws(':', CAST(id AS VARCHAR), tag), ',' ORDER BY id) AS tags
             FROM transaction_tags GROUP BY transaction_id) g ON g.transaction_id = t.id""",
+    "documents_as_json": """
+        SELECT t.id AS transaction_id, category, is_income, description, notes, created_on,
+          coalesce(amounts, '') AS amounts, coalesce(tags, '') AS tags
+        FROM transactions t
+        LEFT JOIN (SELECT transaction_id, string_agg(concat_ws(':', CAST(id AS VARCHAR),
+              coalesce(CAST(account_id AS VARCHAR), account_name), CAST(amount_to_pay AS VARCHAR),
+              CAST(amount_paid AS VARCHAR)), ',' ORDER BY id) AS amounts
+            FROM transaction_amounts GROUP BY transaction_id) a ON a.transaction_id = t.id
+        LEFT JOIN (SELECT transaction_id, string_agg(concat_ws(':', CAST(id AS VARCHAR), tag), ',' ORDER BY id) AS tags
+            FROM transaction_tags GROUP BY transaction_id) g ON g.transaction_id = t.id""",
     "transaction_list": """
         SELECT 2 AS page, 5 AS "limit", total, t.id AS transaction_id, category, is_income, description, notes, created_on,
           coalesce((SELECT string_agg(concat_ws(':', CAST(id AS VARCHAR),
@@ -808,6 +820,12 @@ CHECKS = {
     "friend_picker": """
         SELECT m.friend_id, username, a.id AS account_id, a.name
         FROM mutual m JOIN users u ON u.id = m.friend_id JOIN accounts a ON a.user_id = m.friend_id WHERE m.user_id = 8""",
+    "friend_pickers": """
+        SELECT m.user_id, m.friend_id, username, a.id AS account_id, a.name
+        FROM mutual m JOIN users u ON u.id = m.friend_id JOIN accounts a ON a.user_id = m.friend_id""",
+    "incoming_requests_of_one": """
+        SELECT r.friend_id AS user_id, r.user_id AS sender_id, username, r.created_on
+        FROM friend_requests r JOIN users u ON u.id = r.user_id WHERE r.friend_id = 13""",
     "friend_list_of_one": """
         SELECT m.user_id, m.friend_id, username FROM mutual m JOIN users u ON u.id = m.friend_id WHERE m.user_id = 8""",
     "user_registration_checks": """

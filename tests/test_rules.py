@@ -336,6 +336,27 @@ def test_wrongly_typed_requests_are_refused_whole(table):
     assert {r["transaction_id"] for r in flat.amounts.collect()} == set(range(len(good)))
 
 
+def test_numbers_are_taken_exactly_or_refused(table):
+    """However a number is written it is the same one; what its column can't hold is refused by name and never becomes NULL."""
+    amounts = [
+        ('"accountId": 2.0, "accountName": "x", "amountToPay": 5, "amountPaid": 5', None, 2),
+        ('"accountId": 1e0, "amountToPay": 5.00000, "amountPaid": 50e-1', None, 1),
+        ('"accountId": 9223372036854775807, "amountToPay": 0, "amountPaid": 0', None, 2**63 - 1),
+        ('"accountId": 9223372036854775808, "amountToPay": 0, "amountPaid": 0', "too_large", None),
+        ('"accountId": 1e30, "amountToPay": 0, "amountPaid": 0', "too_large", None),
+        ('"accountId": 0.0, "amountToPay": 0, "amountPaid": 0', "bad_account_id", 0),
+        ('"accountId": 1, "amountToPay": 1e20, "amountPaid": 0', "too_large", 1),
+        ('"accountId": 1, "amountToPay": 0, "amountPaid": 1e300', "too_large", 1),
+        ('"accountId": 1, "amountToPay": 1.23456, "amountPaid": 0', "too_precise", 1),
+        ('"accountId": 1, "amountToPay": 1.2345, "amountPaid": 1.2345000', None, 1),
+        ('"accountId": 1, "amountToPay": -0.00001, "amountPaid": 0', "negative", 1),
+    ]
+    rows = [(i, 1, DAY, '{"category": "c", "amounts": [{%s}]}' % text) for i, (text, _, _) in enumerate(amounts)]
+    flat = requests.flatten_requests(table("request_id long, user_id long, received_on timestamp_ntz, body string", rows))
+    assert answers(flat.headers, "id", "shape") == {i: shape for i, (_, shape, _) in enumerate(amounts)}
+    assert answers(flat.amounts, "transaction_id", "account_id") == {i: account for i, (_, _, account) in enumerate(amounts)}
+
+
 def test_requests_with_gaps(table):
     bodies = [
         (1, '{"category": "food", "amounts": [{"accountId": 10, "amountToPay": 1.5, "amountPaid": 1.5}], "notes": ""}'),

@@ -90,6 +90,30 @@ def test_documents_have_one_shape_at_every_size(spark):
     assert large[1][1][0] >= 1_100_000 and large[1][2] == small[1][2]
 
 
+def test_reports_of_a_transaction_with_many_payers_and_tags(spark):
+    """A grid of cells gives the rows of a plain join."""
+    one = F.when(F.col("id") < 900, 1).otherwise(F.col("id") % 7).cast("long").alias("transaction_id")
+    payers = spark.range(1000).select(one, F.col("id").alias("user_id"), "id")
+    tags = spark.range(600).select(F.when(F.col("id") < 500, 1).otherwise(F.col("id") % 9).cast("long").alias("transaction_id"), F.concat(F.lit("t"), "id").alias("tag"))
+    gridded = skew.join_grid(payers, tags, "transaction_id", "user_id", "tag", share_bits=6)
+    assert sorted(gridded.columns) == ["id", "tag", "transaction_id", "user_id"]
+    plain = payers.join(tags, "transaction_id")
+    columns = ["transaction_id", "user_id", "id", "tag"]
+    assert gridded.count() == plain.count() > 450_000
+    assert gridded.select(columns).exceptAll(plain.select(columns)).isEmpty()
+
+
+def test_blocks_of_a_pair_that_fills_an_hour_are_bounded(spark):
+    """All of a pair's actions fall in one minute; no fold collects more than a block."""
+    log = spark.range(30_000).select(
+        F.col("id").alias("seq"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id % 50)").alias("ts"),
+        (F.col("id") % 2 + 1).alias("actor_id"), (2 - F.col("id") % 2).alias("target_id"), F.element_at(F.array(F.lit("request"), F.lit("accept"), F.lit("remove")), (F.col("id") % 3 + 1).cast("int")).alias("action"),
+    )
+    blocks = friends.in_blocks(friends.with_pair(log)).groupBy("lo", "hi", F.shiftright("place", friends.BLOCK_BITS)).count()
+    assert blocks.agg(F.max("count")).first()[0] <= 1 << friends.BLOCK_BITS
+    assert [r["state"] for r in friends.friendship_replay(log).collect()] == list(play([tuple(r) for r in log.collect()]).values())
+
+
 def play(actions):
     """State of each pair, action by action."""
     effects, states = action_effects(), {}
