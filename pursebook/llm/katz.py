@@ -32,7 +32,7 @@ from pursebook.llm.tables import in_tasks, stored
 
 CUT = 5
 BLOCK_TOKENS = 1 << 20
-BUCKET_BYTES = 10 << 20
+BUCKET_BYTES = 1 << 23
 START, END = np.uint64(1), np.uint64(2)
 PACKED = "kind string, bucket long, block long, data binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -188,6 +188,7 @@ def _bucket(frame: pd.DataFrame, buckets: int, heavy: Heavy) -> pd.DataFrame:
         word, lengths, before, text, times = words.unpacked(value)
         parts.append([np.repeat(word, lengths), before, text, times, np.full(len(before), place, dtype=np.int32)])
     word, before, text, times, place = words.joined(parts)
+    del parts
     order = np.lexsort((before, word))
     word, before, text, times, place = word[order], before[order], text[order], times[order], place[order]
     learnt = (text & np.uint32(1)).astype(np.int64)

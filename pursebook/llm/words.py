@@ -95,19 +95,25 @@ def release() -> None:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value."""
+    """Arrays as one compressed value. Of four-byte numbers, mostly small ones, all first bytes come first, then all second ones."""
     head = np.array([len(arrays), *(value for a in arrays for value in (ord(a.dtype.char), len(a)))], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    plain = [np.ascontiguousarray(a) for a in arrays]
+    plain = [a.view(np.uint8).reshape(-1, 4).T if a.itemsize == 4 else a for a in plain]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(a.tobytes() for a in plain)]))
 
 
 def unpacked(value: bytes) -> list[np.ndarray]:
     plain = zstandard.ZstdDecompressor().decompress(value)
     count = int(np.frombuffer(plain, np.int64, 1)[0])
     head, at, found = np.frombuffer(plain, np.int64, 2 * count, 8).reshape(-1, 2), 8 + 16 * count, []
-    for kind, length in head.tolist():
-        array = np.frombuffer(plain, np.dtype(chr(kind)), length, at)
+    for code, length in head.tolist():
+        kind = np.dtype(chr(code))
+        if kind.itemsize == 4:
+            array = np.ascontiguousarray(np.frombuffer(plain, np.uint8, 4 * length, at).reshape(4, -1).T).view(kind).ravel()
+        else:
+            array = np.frombuffer(plain, kind, length, at)
         found.append(array)
-        at += array.nbytes
+        at += kind.itemsize * length
     return found
 
 
