@@ -140,43 +140,10 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * union).select("a", "b").distinct()
 
 
-def _pairs(members: DataFrame, centres: DataFrame, percent: int, *apart: str) -> DataFrame:
-    """Each bucket's star: its centre with its other members (with those of other components), where sizes allow a link."""
-    similar_size = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
-    stars = members.join(centres, "bucket").where(F.col("id") != F.col("centre")).where(similar_size)
-    for column in apart:
-        stars = stars.where(F.col(column) != F.col(f"centre_{column}"))
-    return stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-
-
-def _centres(members: DataFrame, order: Column) -> DataFrame:
+def _centres(members: DataFrame, *order: Column) -> DataFrame:
     """The centre of each bucket: its first member in the given order. Buckets whose members are all connected have none."""
-    first = F.min(F.struct(order.alias("order"), "id", "n", "component")).alias("first")
-    groups = members.groupBy("bucket").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi"))
-    columns = [F.col("first.id").alias("centre"), F.col("first.n").alias("centre_n"), F.col("first.component").alias("centre_component")]
-    return groups.where("lo < hi").select("bucket", *columns)
-
-
-def _pairs(members: DataFrame, centres: DataFrame, percent: int, *apart: str) -> DataFrame:
-    """Each bucket's star: its centre with its other members (with those of other components), where sizes allow a link."""
-    similar_size = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
-    stars = members.join(centres, "bucket").where(F.col("id") != F.col("centre")).where(similar_size)
-    for column in apart:
-        stars = stars.where(F.col(column) != F.col(f"centre_{column}"))
-    return stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-
-
-def _centres(members: DataFrame, *order: Column, slot: Column | None = None) -> DataFrame:
-    """The centre of each bucket, or of each slot of a bucket: its first member in the given order.
-
-    Buckets whose members are all connected have none.
-    """
     first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "id", "n", "component")).alias("first")
     groups = members.groupBy("bucket").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi"))
-    if slot is not None:
-        slots = members.groupBy("bucket", slot.alias("slot")).agg(first, F.min("component").alias("lo"), F.max("component").alias("hi"))
-        split = slots.groupBy("bucket").agg(F.collect_list("first").alias("firsts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        groups = split.select("bucket", F.explode("firsts").alias("first"), "lo", "hi")
     columns = [F.col("first.id").alias("centre"), F.col("first.n").alias("centre_n"), F.col("first.component").alias("centre_component")]
     return groups.where("lo < hi").select("bucket", *columns)
 
