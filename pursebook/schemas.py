@@ -91,16 +91,3 @@ SESSION_CLAIMS = _table(
 USER_MODIFIED = _table(user_id=_LONG, modified_on=_TIME)
 
 REQUESTS = _table(request_id=_LONG, user_id=_LONG, received_on=_TIME, body=_TEXT)
-
-# The JSON document of one create request.
-REQUEST_BODY = _table(
-    category=_TEXT,
-    isIncome=_FLAG,
-    includeInReports=_FLAG,
-    description=_TEXT,
-    notes=_TEXT,
-    amounts=T.ArrayType(
-        _table(accountId=_LONG, accountName=_TEXT, amountToPay=MONEY, amountPaid=MONEY)
-    ),
-    tags=T.ArrayType(_TEXT),
-)
