@@ -4,18 +4,21 @@
    smoothed by a Dirichlet prior in proportion to its frequency in both, and taken at the cautious
    end of its confidence interval, so that a word seen too rarely weighs nothing. Beginnings of
    words are weighed alike; a word without a weight of its own takes its longest beginning's.
-2. Segments: a text is a sequence of word weights less a small drift. The linear-time scan of Ruzzo
-   and Tompa finds all maximal scoring segments of the whole text.
+2. Segments: a text is a sequence of word weights less a small drift; a word said again soon weighs
+   less, for it is little further evidence. The linear-time scan of Ruzzo and Tompa finds all maximal
+   scoring segments of the whole text.
 3. Calibration: the best segment of n clean words follows an extreme-value (Gumbel) distribution
    whose place is linear in ln n. Place and scale come from the clean labelled documents. The sum
-   statistics of Karlin and Altschul extend it to the best r segments together; the least
-   probability over r is the document's evidence, and its log moves the odds of being toxic.
+   statistics of Karlin and Altschul extend it to the best r segments together, for every r; the
+   least probability over r is the document's evidence, and its log moves the odds of being toxic.
+   A word counts in the best segment that has it. The passages reported are segments of the same scan.
 
 Labelled documents are a bounded sample (`max_labelled`), which bounds the weights; everything else
 is one pass over the documents without a shuffle.
 """
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +40,8 @@ WORDS_KEPT = 300_000
 SIGNIFICANT = 1e-3
 #: a segment is reported as a passage if the best of a clean document is rarely as good
 PASSAGE = 0.05
-MOST_SUMMED = 16
+#: a mention counts against later ones of the same word as exp(-words between / MEMORY)
+MEMORY = 100
 BEGINNINGS = (6,)
 #: least scale of the Gumbel distribution, for samples whose clean documents hardly differ
 LEAST_SCALE = 0.2
@@ -61,19 +65,34 @@ def words_of(text: bytes) -> list[bytes]:
     return text.decode("utf-8", "replace").lower().encode("utf-8", "replace").translate(_NOT_WORDS).split()
 
 
-def segments(words: list[bytes], weights: dict[bytes, float], drift: float = DRIFT, once: bool = False) -> list[tuple[float, int, int]]:
+def weighted(words: list[bytes], weights: dict[bytes, float], memory: float = MEMORY) -> list[tuple[int, float]]:
+    """(place, weight) of the words that weigh something; divided by one more than the fading mentions before."""
+    found, mentions = [], {}
+    for i, weight in enumerate(map(weights.__getitem__, words)):
+        if weight:
+            if memory:
+                word = words[i]
+                last, recent = mentions.get(word, (i, 0.0))
+                recent = 1.0 + recent * math.exp((last - i) / memory)
+                mentions[word] = i, recent
+                weight /= recent
+            found.append((i, weight))
+    return found
+
+
+def segments(words: list[bytes], weights: dict[bytes, float], drift: float = DRIFT, memory: float = MEMORY) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first word, end) in linear time.
 
-    Only weighted words are looked at one by one; the drift of those between is added at once. With
-    `once`, a word weighs where it stands first, for said again it is no further evidence.
+    Only weighted words are looked at one by one; the drift of those between is added at once.
     """
-    weighted = [(i, weight) for i, weight in enumerate(map(weights.__getitem__, words)) if weight]
-    if once:
-        weighted = sorted({words[i]: (i, weight) for i, weight in reversed(weighted)}.values())
+    return _scan(weighted(words, weights, memory), drift)
+
+
+def _scan(faded: list[tuple[int, float]], drift: float) -> list[tuple[float, int, int]]:
     #: per candidate: total before it, total at its end, first word, end, the last one before it with a lower start
     found: list[list] = []
     total, last = 0.0, 0
-    for at, weight in weighted:
+    for at, weight in faded:
         total -= drift * (at - last)
         last = at + 1
         score = weight - drift
@@ -127,7 +146,7 @@ def _log_tail(x: float) -> float:
 
 def evidence(normal: list[float]) -> float:
     """Minus the log of the least probability, over r, that a clean document's r best segments sum up to as much."""
-    best = sorted((x for x in normal if x > 0), reverse=True)[:MOST_SUMMED]
+    best = sorted((x for x in normal if x > 0), reverse=True)
     least, total = _log_tail(best[0]) if best else 0.0, 0.0
     for r, x in enumerate(best, 1):
         total += x
@@ -136,16 +155,35 @@ def evidence(normal: list[float]) -> float:
     return -least
 
 
+def _new_evidence(words: list[bytes], faded: list[tuple[int, float]], found: list[tuple[float, int, int]]) -> list[float]:
+    """The segments' scores, best first, without what words of better segments add to later ones.
+
+    The best passage counts in full wherever it stands; the same words again elsewhere are no further
+    evidence, however long the text.
+    """
+    places = [i for i, _ in faded]
+    said: set[bytes] = set()
+    scores = []
+    for score, first, end in sorted(found, key=lambda s: (-s[0], s[1])):
+        inside = faded[bisect_left(places, first) : bisect_left(places, end)]
+        scores.append(score - sum(weight for i, weight in inside if weight > 0 and words[i] in said))
+        said.update(words[i] for i, _ in inside)
+    return scores
+
+
 def judged(words: list[bytes], model: Model, weights: dict[bytes, float]) -> tuple[float, list[tuple[float, int, int]]]:
     """The document's score from 0 to 1 and its passages.
 
     Evidence that a clean document shows with probability SIGNIFICANT makes the score THRESHOLD.
     """
     n = max(len(words), 1)
-    apart = [_normal(model, s[0], n) for s in segments(words, weights, once=True)]
+    faded = weighted(words, weights)
+    found = _scan(faded, DRIFT)
+    normal = [_normal(model, s[0], n) for s in found]
+    apart = [_normal(model, s, n) for s in _new_evidence(words, faded, found)]
     odds = math.log(THRESHOLD / (1 - THRESHOLD)) + math.log(SIGNIFICANT) + evidence(apart)
     score = 1.0 / (1.0 + math.exp(-min(max(odds, -30.0), 30.0)))
-    return score, [s for s in segments(words, weights) if _log_tail(_normal(model, s[0], n)) <= math.log(PASSAGE)]
+    return score, [s for s, x in zip(found, normal, strict=True) if _log_tail(x) <= math.log(PASSAGE)]
 
 
 def held_out() -> Column:
@@ -173,7 +211,7 @@ def _best_segments(model: Model):
                 words = words_of(text)
                 if words:
                     lengths.append(math.log(len(words)))
-                    best.append(max((s[0] for s in segments(words, weights, once=True)), default=0.0))
+                    best.append(max((s[0] for s in segments(words, weights)), default=0.0))
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.float64()), pa.array(best, pa.float64())], names=["x", "y"])
 
     return run

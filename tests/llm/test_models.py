@@ -3,14 +3,16 @@
 import itertools
 import math
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from corpus import AWKWARD, documents, rows_of, words
 
 from pursebook.llm import queries
 from pursebook.llm.quality import label_model, measures, quality, votes
-from pursebook.llm.toxicity import Model, evidence, fit, judged, segments, toxicity
+from pursebook.llm.toxicity import Model, Weights, evidence, fit, judged, segments, toxicity, weighted, words_of
 from pursebook.llm.urls import Rule, segmented_labels, split_words, url_verdicts
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -38,7 +40,7 @@ def test_segments_are_the_maximal_ones():
     for _ in range(60):
         weights = {b"w%d" % k: rng.choice([-2.0, -0.5, 0.7, 1.3, 3.1]) for k in range(6)} | {b"plain": 0.0}
         text = [rng.choice(list(weights)) for _ in range(14)]
-        found = segments(text, weights, drift=0.21)
+        found = segments(text, weights, drift=0.21, memory=0)
         scores = [weights[w] - 0.21 for w in text]
         assert [(a, b) for _, a, b in found] == maximal_by_hand(scores)
         assert all(math.isclose(s, sum(scores[a:b]), abs_tol=1e-9) for s, a, b in found)
@@ -46,7 +48,8 @@ def test_segments_are_the_maximal_ones():
 
 def test_segments_take_linear_time():
     weights = {b"up": 1.0, b"down": -0.9}
-    assert segments([b"up", b"down"] * 200_000, weights, drift=0.01)
+    assert segments([b"up", b"down"] * 200_000, weights, drift=0.01, memory=0)
+    assert segments([b"up", b"down"] * 200_000, {b"up": 9.0, b"down": -0.9}, drift=0.01)
 
 
 def toxic_corpus():
@@ -96,6 +99,67 @@ def test_without_labels_nothing_is_toxic(table):
     assert evidence([3.0, 3.0, 3.0]) > evidence([3.0]) > evidence([1.0]) > 0
 
 
+def faded(words, weights, memory):
+    """Weights by the definition: each mention looks back at all earlier ones of its word."""
+    found = []
+    for i, word in enumerate(words):
+        if weights[word]:
+            before = [j for j in range(i) if words[j] == word]
+            found.append((i, weights[word] / (1 + sum(math.exp((j - i) / memory) for j in before))))
+    return found
+
+
+def test_mentions_fade():
+    rng = random.Random(8)
+    weights = {b"a": 2.0, b"b": -1.0, b"c": 0.5, b"plain": 0.0}
+    for memory in (3, 50):
+        text = [rng.choice(list(weights)) for _ in range(200)]
+        assert [(i, pytest.approx(w)) for i, w in faded(text, weights, memory)] == weighted(text, weights, memory)
+
+
+def test_each_passage_enters_the_score():
+    model = Model({b"bad%d" % k: 4.0 for k in range(8)}, place=1.0, slope=0.1, scale=0.5)
+    weights = Weights(model)
+    plain = [b"plain"] * 3000
+    passage = [b"bad%d" % k for k in range(8)]
+    single = [w for k in range(8) for w in (*plain[:900], b"bad%d" % k)]
+    for text in (passage, plain + passage, single + plain + passage, (plain + passage[:4]) * 30):
+        score, found = judged(text, model, weights)
+        assert found and score > 0.9
+    score, found = judged(plain, model, weights)
+    assert not found and score < 0.01
+    #: what makes the score is the segments that are listed, by the definition
+    text = plain + passage[:2] + plain + passage[2:4]
+    n = len(text)
+    normal = [(s - 1.0 - 0.1 * math.log(n)) / 0.5 for s, _, _ in segments(text, weights)]
+    one, both = 1 - math.exp(-math.exp(-max(normal))), sum(normal)
+    together = math.exp(-both) * both / (math.factorial(2) * math.factorial(1))
+    odds = math.log(0.3 / 0.7) + math.log(1e-3) - math.log(min(one, together))
+    assert math.isclose(judged(text, model, weights)[0], 1 / (1 + math.exp(-odds)), rel_tol=1e-9)
+
+
+def test_weights_and_calibration_by_hand(table):
+    rows, labels = toxic_corpus()
+    model = fit(documents(table, rows), table(LABELS, labels))
+    learnt = [(words_of(text.encode()), t) for (i, text), (_, _, t) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = [sum(t == k for _, t in learnt) for k in (0, 1)]
+    for word in (b"vilify", b"scorn", b"sneer", learnt[0][0][0]):
+        c, t = (sum(word in own for own, mark in learnt if mark == k) for k in (0, 1))
+        share = 0.05 * (c + t) / sum(n)
+        toxic, clean = t + share * n[1], c + share * n[0]
+        odds = math.log(toxic / n[1]) - math.log(clean / n[0])
+        right = math.copysign(max(abs(odds) - 2.5 * math.sqrt(1 / toxic + 1 / clean), 0.0), odds)
+        assert math.isclose(model.weights.get(word, 0.0), right, abs_tol=1e-9)
+    weights = Weights(model)
+    clean = [own for own, t in learnt if not t]
+    points = np.array([(math.log(len(own)), max((s for s, _, _ in segments(own, weights)), default=0.0)) for own in clean])
+    slope = max(np.cov(points.T)[0, 1] / np.var(points[:, 0], ddof=1), 0.0)
+    middle, high = np.percentile(points[:, 1] - slope * points[:, 0], [50, 99])
+    scale = max((high - middle) / (math.log(math.log(2)) - math.log(-math.log(0.99))), 0.2)
+    assert math.isclose(model.slope, slope, abs_tol=1e-9) and math.isclose(model.scale, scale, abs_tol=1e-9)
+    assert math.isclose(model.place, middle + scale * math.log(math.log(2)), abs_tol=1e-9)
+
+
 def test_toxicity_on_held_out_documents(spark):
     marked = spark.read.parquet(f"{LARGER}/labels.parquet")
     found = queries.op5_toxic_segments(spark, LARGER).where("held_out").join(marked, "doc_id").groupBy("toxic", "predicted").count().collect()
