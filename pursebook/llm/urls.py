@@ -28,7 +28,8 @@ LONGEST_WORD = 63
 SMOOTHING = 0.5
 
 _TAGS = re.compile(rb"<[^>]*>")
-_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+#: what is ASCII and no letter ends a word for certain; the rest is looked at once per distinct run
+_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _MARKS = "".join(chr(c) for c in (*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M")
 #: runs of letters with their marks
 _WORD = re.compile(rf"(?:[^\W\d_]|[{_MARKS}])+")
@@ -70,16 +71,16 @@ def _ruled(rules: list[Rule], value: str) -> Column:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the pages' text with counts; the empty word has the number of all."""
     for batch in batches:
-        counts: Counter[bytes] = Counter()
+        runs: Counter[bytes] = Counter()
         for (html,) in texts(batch):
             text = _TAGS.sub(b" ", html)
-            if text.isascii():
-                counts.update(text.lower().translate(_LETTERS).split())
-            else:
-                counts.update(w.encode() for w in _WORD.findall(text.decode("utf-8", "replace").lower()))
-        counts[b""] = sum(counts.values())
-        kept = [(word.decode(), n) for word, n in counts.items()]
-        kept = [(word, n) for word, n in kept if len(word) <= LONGEST_WORD]
+            text = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+            runs.update(text.translate(_LETTERS).split())
+        counts: Counter[str] = Counter()
+        for run, n in runs.items():
+            for word in (run.decode(),) if run.isascii() else _WORD.findall(run.decode()):
+                counts[word] += n
+        kept = [("", sum(counts.values())), *((word, n) for word, n in counts.items() if len(word) <= LONGEST_WORD)]
         columns = [pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
