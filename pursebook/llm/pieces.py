@@ -12,8 +12,10 @@ time; where the two differ the library's ids hold, and `n_differing` counts it.
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +26,11 @@ from pyspark.sql import DataFrame
 from pursebook.llm.tables import SLICE, in_tasks
 
 WORDS_KEPT = 500_000
+PLACE_BITS = 32
+LAST_PLACE = (1 << PLACE_BITS) - 1
+NO_PIECE = math.inf
+#: words up to this length have a flat agenda, where the least of a few numbers costs less than a heap; ids are the same
+FLAT = 32
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -37,8 +44,10 @@ class Encoder:
         reserved = {i for i in range(n) if self.library.is_control(i) or self.library.is_byte(i) or self.library.is_unknown(i)}
         kept = [i for i in range(n) if i not in reserved]
         self.ids = {self.library.id_to_piece(i): i for i in kept}
-        #: a better score is a smaller number, so that the agenda's least entry is the best pair
-        self.costs = {self.library.id_to_piece(i): -self.library.get_score(i) for i in kept}
+        #: a better score is a smaller number, so that the agenda's least entry is the best pair; room for a place below it
+        scores = {i: self.library.get_score(i) for i in kept}
+        ranks = {score: rank for rank, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.costs = {self.library.id_to_piece(i): ranks[scores[i]] << PLACE_BITS for i in kept}
         if any(MARK in piece.lstrip(MARK) for piece in self.ids):
             raise ValueError("this vocabulary has pieces across words")
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -48,38 +57,57 @@ class Encoder:
 
     def word(self, word: str) -> list[int]:
         """Ids of one word, marks included."""
-        costs, symbols = self.costs, list(word)
+        symbols = self._merged_flat(word) if len(word) <= FLAT else self._merged(word)
+        ids = list(map(self.ids.get, symbols))
+        if None in ids:
+            known = zip(symbols, ids, strict=True)
+            ids = [part for symbol, found in known for part in ([self.bytes[b] for b in symbol.encode()] if found is None else [found])]
+        return ids
+
+    def _merged_flat(self, word: str) -> list[str]:
+        """The symbols of a short word: the agenda is a list of the adjacent pairs' costs, in the order of places."""
+        cost, symbols = self.costs.get, list(word)
+        agenda = [cost(word[i : i + 2], NO_PIECE) for i in range(len(word) - 1)]
+        while agenda and (best := min(agenda)) < NO_PIECE:
+            i = agenda.index(best)
+            pair = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(pair + symbols[i + 1], NO_PIECE)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + pair, NO_PIECE)
+        return symbols
+
+    def _merged(self, word: str) -> list[str]:
+        """The symbols of a word of any length: the agenda is a heap, the symbols a linked list."""
+        cost, symbols = self.costs.get, list(word)
         n = len(symbols)
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in costs:
-                agenda.append((costs[pair], i, pair))
+        #: an entry is a pair's cost and the place of its left symbol, in one integer
+        agenda = [found + i for i in range(n - 1) if (found := cost(word[i : i + 2])) is not None]
         heapq.heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
+            entry = heapq.heappop(agenda)
+            i = entry & LAST_PLACE
             left, j = symbols[i], after[i]
-            if left is None or j >= n or len(left) + len(symbols[j]) != len(pair) or left + symbols[j] != pair:
+            if left is None or j == n:
+                continue
+            pair = left + symbols[j]
+            if cost(pair) != entry - i:
                 continue
             symbols[i], symbols[j] = pair, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                longer = pair + symbols[k]
-                if longer in costs:
-                    heapq.heappush(agenda, (costs[longer], i, longer))
+                found = cost(pair + symbols[k])
+                if found is not None:
+                    heapq.heappush(agenda, found + i)
             k = before[i]
             if k >= 0:
-                longer = symbols[k] + pair
-                if longer in costs:
-                    heapq.heappush(agenda, (costs[longer], k, longer))
-        ids = []
-        for symbol in symbols:
-            if symbol is not None:
-                found = self.ids.get(symbol)
-                ids.extend([found] if found is not None else [self.bytes[b] for b in symbol.encode()])
-        return ids
+                found = cost(symbols[k] + pair)
+                if found is not None:
+                    heapq.heappush(agenda, found + k)
+        return [symbol for symbol in symbols if symbol is not None]
 
     def encode(self, some: list[str]) -> tuple[list[bytes], int]:
         """The ids of each text as little-endian unsigned 32-bit integers, and how many new words differed from the library."""
@@ -98,7 +126,7 @@ class Encoder:
             if own != right and word != MARK:
                 differing += 1
                 own = right
-            self.known[word] = np.array(own, "<u4").tobytes()
+            self.known[word] = pack(f"<{len(own)}I", *own)
         return [self.begin + b"".join(map(self.known.__getitem__, words)) + self.end for words in split], differing
 
 

@@ -76,6 +76,16 @@ def test_pieces(table):
     assert encoded_pieces(documents(table, [])).collect() == []
 
 
+def test_both_agendas_agree_with_the_library():
+    encoder = Encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(12)
+    for _ in range(2000):
+        word = "▁" + "".join(rng.choice("aaabehinorstuéßж漢🙂") for _ in range(rng.randint(0, 40)))
+        flat, heap = encoder._merged_flat(word), encoder._merged(word)
+        assert flat == heap and "".join(flat) == word
+        assert word == "▁" or encoder.word(word) == encoder.library.encode(word[1:])
+
+
 def test_pieces_make_the_round_trip(spark):
     given = spark.read.parquet(f"{FOLDER}/documents.parquet")
     found = queries.op7_sentence_pieces(spark, FOLDER).join(given, "doc_id")
