@@ -272,7 +272,6 @@ def edit_verdicts(led: Ledger) -> DataFrame:
         led["amount_patches"],
         led["accounts"],
         led["friends"],
-        _visible(led),
     )
 
 

@@ -192,45 +192,128 @@ def delete_transactions(
     )
 
 
+_AMOUNT_FIELDS = ("account_id", "account_name", "amount_to_pay", "amount_paid")
+
+
+def _edited_rows(amounts: DataFrame, patches: DataFrame, amount_patches: DataFrame, accounts: DataFrame, friends: DataFrame) -> DataFrame:
+    """Stored rows of the edited transactions and the rows listed for them, each with its edit, its account's owner and
+    whether that is a friend. Rows of a large transaction are spread before they meet their edit."""
+    columns = ("transaction_id", "id", "position", *_AMOUNT_FIELDS, "_stored")
+    position = F.lit(None).cast(amount_patches.schema["position"].dataType)
+    stored = amounts.withColumns({"position": position, "_stored": F.lit(True)}).select(*columns)
+    listed = amount_patches.withColumn("_stored", F.lit(False)).select(*columns)
+    edits = patches.select("transaction_id", "user_id", F.coalesce("replace_amounts", F.lit(False)).alias("_replaced"))
+    rows = join_parent(stored.unionByName(listed), edits, "transaction_id", *_AMOUNT_FIELDS[:2], "id").where("_stored OR _replaced")
+    owners = accounts.select(F.col("id").alias("_account"), F.col("user_id").alias("_owner"))
+    pairs = friend_pairs(friends).select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(True).alias("_edge"))
+    unique = ("transaction_id", "id", "position")
+    asked = ~F.col("_stored") & (F.col("_owner") != F.col("user_id"))
+    return (
+        rows.withColumn("_account", or_scattered(F.col("account_id"), *unique))
+        .join(owners, "_account", "left")
+        .withColumn("_lo", or_scattered(F.when(asked, F.least("user_id", "_owner")), *unique))
+        .withColumn("_hi", F.when(asked, F.greatest("user_id", "_owner")))
+        .join(pairs, ["_lo", "_hi"], "left")
+    )
+
+
+def _post_image(rows: DataFrame) -> DataFrame:
+    """One row per amount, before or after the edit: its fields after it, `_image` if it is there then, what refuses it and
+    whether it shows the transaction to the editor."""
+    stored, is_new = F.col("_stored"), F.col("id").isNull()
+    names_account = F.col("account_id").isNotNull()
+    names_guest = F.coalesce("account_name", F.lit("")) != ""
+    by_itself = (
+        F.when(F.col("account_id") <= 0, "bad_account_id")
+        .when(F.col("account_name") == "", "empty_name")
+        .when((F.col("amount_to_pay") < 0) | (F.col("amount_paid") < 0), "negative")
+    )
+    by_lookup = (
+        F.when(is_new & ~names_account & ~names_guest, "neither")
+        .when(names_account & names_guest, "both")
+        .when(names_account & F.col("_owner").isNull(), "unknown_account")
+        .when(names_account & (F.col("_owner") != F.col("user_id")) & F.col("_edge").isNull(), "no_access")
+        .when(is_new & F.col("amount_paid").isNull(), "no_amount_paid")
+        .when(is_new & F.col("amount_to_pay").isNull(), "no_amount_to_pay")
+    )
+
+    def first(reason: Column) -> Column:
+        return F.min(F.when(~stored & reason.isNotNull(), F.struct("position", reason.alias("reason"))))
+
+    def given(name: str) -> Column:
+        return F.max_by(name, F.when(~stored & F.col(name).isNotNull(), F.col("position")))
+
+    grouped = rows.groupBy("transaction_id", "id", F.when(is_new, F.col("position")).alias("_new")).agg(
+        F.bool_or(stored).alias("_was"),
+        F.bool_or(~stored).alias("_named"),
+        F.bool_or("_replaced").alias("_replaced"),
+        F.bool_or(stored & (F.col("_owner") == F.col("user_id"))).alias("_visible"),
+        first(F.coalesce(by_itself, by_lookup)).alias("_known"),
+        first(F.coalesce(by_itself, F.lit("foreign_id"))).alias("_foreign"),
+        *[F.coalesce(given(name), F.max(F.when(stored, F.col(name)))).alias(name) for name in _AMOUNT_FIELDS],
+    )
+    there = F.col("_was") | is_new
+    amount = {name: F.when(is_new, F.col(name).cast(MONEY)).otherwise(F.col(name)).alias(name) for name in _AMOUNT_FIELDS[2:]}
+    return grouped.select(
+        "transaction_id",
+        *[amount.get(name, F.col(name)) for name in _AMOUNT_FIELDS],
+        (F.col("_replaced") & F.col("_named") & there).alias("_image"),
+        F.when(there, F.col("_known")).otherwise(F.col("_foreign")).alias("_reject"),
+        "_visible",
+    )
+
+
 def edit_verdicts(
-    amounts: DataFrame,
-    patches: DataFrame,
-    amount_patches: DataFrame,
-    accounts: DataFrame,
-    friends: DataFrame,
-    visible: DataFrame,
+    amounts: DataFrame, patches: DataFrame, amount_patches: DataFrame, accounts: DataFrame, friends: DataFrame
 ) -> DataFrame:
     """What becomes of every edit: its first failing check, `deleted`, or `ok`.
 
-    A replacement list without rows deletes the transaction, which header fields forbid.
+    A replacement list without rows deletes the transaction, which header fields forbid. An edit of a transaction in which no
+    account of the editor takes part is `not_found`. All checks are groupings over one image of the edited transactions, so
+    the ledger's amounts and the lists meet their edits, accounts and friends once.
     """
-    seen = visible.select("transaction_id", "user_id", F.lit(True).alias("_visible"))
-    rejects = (
-        amount_patch_rejects(amounts, amount_patches, patches, accounts, friends)
+    image = _post_image(_edited_rows(amounts, patches, amount_patches, accounts, friends))
+    inside = F.col("_image")
+    both_or_none = F.col("account_id").isNull() == F.col("account_name").isNull()
+    checked = (
+        image.groupBy("transaction_id", "account_id", "account_name")
+        .agg(
+            F.count_if(inside).alias("_rows"),
+            total(F.when(inside, F.col("amount_paid"))).alias("_paid"),
+            total(F.when(inside, F.col("amount_to_pay"))).alias("_to_pay"),
+            F.min("_reject").alias("_reject"),
+            F.bool_or("_visible").alias("_visible"),
+        )
         .groupBy("transaction_id")
-        .agg(F.min_by("reason", "position").alias("_reject"))
+        .agg(
+            F.sum("_rows").alias("_rows"),
+            total("_paid").alias("_paid"),
+            total("_to_pay").alias("_to_pay"),
+            F.bool_or((F.col("_rows") > 0) & both_or_none).alias("_both_or_none"),
+            F.bool_or(F.col("_rows") > 1).alias("_repeated"),
+            F.bool_or((F.col("_rows") > 0) & F.col("account_id").isNotNull()).alias("_registered"),
+            F.min("_reject")["reason"].alias("_reject"),
+            F.bool_or("_visible").alias("_visible"),
+        )
     )
-    after = apply_amount_patches(amounts, amount_patches, patches)
-    checked = post_edit_validation(after, patches).withColumnRenamed("verdict", "_after")
     empty_text = F.lit(False)
     for name in _TEXT_FIELDS:
         empty_text = empty_text | (F.coalesce(F.col(name), F.lit("-")) == "")
-    emptied = F.col("replace_amounts") & F.col("_after").isNull()
+    replaced = F.coalesce("replace_amounts", F.lit(False))
+    emptied = replaced & (F.coalesce("_rows", F.lit(0)) == 0)
     verdict = (
         F.when(empty_text, "empty_field")
-        .when(F.col("_visible").isNull(), "not_found")
+        .when(~F.coalesce("_visible", F.lit(False)), "not_found")
         .when(F.col("_reject").isNotNull(), F.col("_reject"))
         .when(emptied & _has_header_fields(), "delete_with_updates")
         .when(emptied, "deleted")
-        .when(F.col("_after") != "ok", F.col("_after"))
+        .when(replaced & F.col("_both_or_none"), "either_or")
+        .when(replaced & F.col("_repeated"), "repeated")
+        .when(replaced & unbalanced(F.col("_paid"), F.col("_to_pay")), "unbalanced")
+        .when(replaced & ~F.col("_registered"), "no_account")
         .otherwise("ok")
     )
-    return (
-        patches.join(seen, ["transaction_id", "user_id"], "left")
-        .join(rejects, "transaction_id", "left")
-        .join(checked, "transaction_id", "left")
-        .select("transaction_id", verdict.alias("verdict"))
-    )
+    return patches.join(checked, "transaction_id", "left").select("transaction_id", verdict.alias("verdict"))
 
 
 class EditedLedger(NamedTuple):

@@ -186,8 +186,7 @@ def test_edits_are_refused_as_a_whole(table, people):
             (8, 1, None, 20, None, Decimal(1), None),
         ],
     )
-    visible = search.visible_transactions(rows, people["accounts"])
-    verdicts = edits.edit_verdicts(rows, patches, lists, people["accounts"], people["friends"], visible)
+    verdicts = edits.edit_verdicts(rows, patches, lists, people["accounts"], people["friends"])
     assert answers(verdicts, "transaction_id", "verdict") == {
         1: "foreign_id",
         2: "either_or",
