@@ -275,6 +275,13 @@ def edit_verdicts(led: Ledger) -> DataFrame:
     )
 
 
+@registered
+def edit_sequence(led: Ledger) -> DataFrame:
+    return edits.edit_sequence(
+        led["transaction_amounts"], led["edit_steps"], led["edit_step_amounts"], led["accounts"], led["friends"]
+    )
+
+
 def _settled(led: Ledger) -> DataFrame:
     """The verdicts as a written table: the steps after them read it more than once."""
     return led.written("edit_verdicts", edit_verdicts)

@@ -1,17 +1,20 @@
 """Edits and deletions of stored transactions.
 
-An edit is one row of `transaction_patches` (at most one per transaction in a batch; NULL means
-"not given") and, where `replace_amounts` is set, the rows of `amount_patches` for it: the new list
+An edit is one row of `transaction_patches` (at most one per transaction in a batch, but for
+`edit_sequence`; NULL means "not given") and, where `replace_amounts` is set, the rows of `amount_patches` for it: the new list
 of amounts. An edit is taken as a whole or refused as a whole.
 """
 
+from collections.abc import Iterator
+from decimal import Decimal
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.keys import or_scattered
-from pursebook.functions.money import total, unbalanced
+from pursebook.functions.money import TOLERANCE, total, unbalanced
 from pursebook.operators.balances import signed_images
 from pursebook.operators.friends import friend_pairs
 from pursebook.plans.skew import join_parent
@@ -204,9 +207,13 @@ def _edited_rows(amounts: DataFrame, patches: DataFrame, amount_patches: DataFra
     listed = amount_patches.withColumn("_stored", F.lit(False)).select(*columns)
     edits = patches.select("transaction_id", "user_id", F.coalesce("replace_amounts", F.lit(False)).alias("_replaced"))
     rows = join_parent(stored.unionByName(listed), edits, "transaction_id", *_AMOUNT_FIELDS[:2], "id").where("_stored OR _replaced")
+    return _with_owners(rows, accounts, friends, "transaction_id", "id", "position")
+
+
+def _with_owners(rows: DataFrame, accounts: DataFrame, friends: DataFrame, *unique: str) -> DataFrame:
+    """`rows` with the `_owner` of their account, and `_edge` where a listed row's owner is a friend of its editor."""
     owners = accounts.select(F.col("id").alias("_account"), F.col("user_id").alias("_owner"))
     pairs = friend_pairs(friends).select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(True).alias("_edge"))
-    unique = ("transaction_id", "id", "position")
     asked = ~F.col("_stored") & (F.col("_owner") != F.col("user_id"))
     return (
         rows.withColumn("_account", or_scattered(F.col("account_id"), *unique))
@@ -217,10 +224,9 @@ def _edited_rows(amounts: DataFrame, patches: DataFrame, amount_patches: DataFra
     )
 
 
-def _post_image(rows: DataFrame) -> DataFrame:
-    """One row per amount, before or after the edit: its fields after it, `_image` if it is there then, what refuses it and
-    whether it shows the transaction to the editor."""
-    stored, is_new = F.col("_stored"), F.col("id").isNull()
+def _reasons() -> tuple[Column, Column]:
+    """What refuses a listed row: if it is new or names a stored amount, and if it names none of the transaction."""
+    is_new = F.col("id").isNull()
     names_account = F.col("account_id").isNotNull()
     names_guest = F.coalesce("account_name", F.lit("")) != ""
     by_itself = (
@@ -236,6 +242,14 @@ def _post_image(rows: DataFrame) -> DataFrame:
         .when(is_new & F.col("amount_paid").isNull(), "no_amount_paid")
         .when(is_new & F.col("amount_to_pay").isNull(), "no_amount_to_pay")
     )
+    return F.coalesce(by_itself, by_lookup), F.coalesce(by_itself, F.lit("foreign_id"))
+
+
+def _post_image(rows: DataFrame) -> DataFrame:
+    """One row per amount, before or after the edit: its fields after it, `_image` if it is there then, what refuses it and
+    whether it shows the transaction to the editor."""
+    stored, is_new = F.col("_stored"), F.col("id").isNull()
+    known, foreign = _reasons()
 
     def first(reason: Column) -> Column:
         return F.min(F.when(~stored & reason.isNotNull(), F.struct("position", reason.alias("reason"))))
@@ -248,8 +262,8 @@ def _post_image(rows: DataFrame) -> DataFrame:
         F.bool_or(~stored).alias("_named"),
         F.bool_or("_replaced").alias("_replaced"),
         F.bool_or(stored & (F.col("_owner") == F.col("user_id"))).alias("_visible"),
-        first(F.coalesce(by_itself, by_lookup)).alias("_known"),
-        first(F.coalesce(by_itself, F.lit("foreign_id"))).alias("_foreign"),
+        first(known).alias("_known"),
+        first(foreign).alias("_foreign"),
         *[F.coalesce(given(name), F.max(F.when(stored, F.col(name)))).alias(name) for name in _AMOUNT_FIELDS],
     )
     there = F.col("_was") | is_new
@@ -316,6 +330,116 @@ def edit_verdicts(
     return patches.join(checked, "transaction_id", "left").select("transaction_id", verdict.alias("verdict"))
 
 
+def edit_sequence(
+    amounts: DataFrame, patches: DataFrame, amount_patches: DataFrame, accounts: DataFrame, friends: DataFrame
+) -> DataFrame:
+    """The verdict of each of several edits of a transaction, in the order of `seq`: (seq, transaction_id, verdict, n_amounts, paid).
+
+    `patches` and `amount_patches` carry `seq`, which no two edits of a transaction share. Each edit is judged on the state
+    that the accepted ones before it left; `n_amounts` and `paid` are of the state after it. Amounts that an edit adds have no id
+    until they are stored, so later edits of the batch can't name them. Lookups and all checks of a row by itself are joins; what
+    depends on the state is a fold over the rows sorted by (transaction, seq, position), which are streamed: a task holds one
+    state and one edit's list, however many edits a transaction has.
+    """
+    position = F.lit(None).cast(amount_patches.schema["position"].dataType)
+    nothing = {"seq": F.lit(None).cast("bigint"), "position": position, "user_id": F.lit(None).cast("bigint")}
+    columns = ("transaction_id", "seq", "position", "user_id", "id", *_AMOUNT_FIELDS, "_stored")
+    stored = amounts.join(patches.select("transaction_id").distinct(), "transaction_id", "left_semi").withColumns(nothing)
+    lists = patches.where("replace_amounts").select("transaction_id", "seq", "user_id")
+    listed = amount_patches.join(lists, ["transaction_id", "seq"]).withColumn("_stored", F.lit(False))
+    rows = stored.withColumn("_stored", F.lit(True)).select(*columns).unionByName(listed.select(*columns))
+    known, foreign = _reasons()
+    rows = _with_owners(rows, accounts, friends, "transaction_id", "id", "seq", "position").select(
+        "transaction_id", "seq", "position", "id", *_AMOUNT_FIELDS, F.col("_owner").alias("user_id"), known.alias("known"), foreign.alias("foreign")
+    )
+    empty_text = F.lit(False)
+    for name in _TEXT_FIELDS:
+        empty_text = empty_text | (F.coalesce(F.col(name), F.lit("-")) == "")
+    headers = patches.select(
+        "transaction_id",
+        "seq",
+        "user_id",
+        F.coalesce("replace_amounts", F.lit(False)).alias("replaces"),
+        empty_text.alias("empty"),
+        _has_header_fields().alias("updates"),
+    )
+    events = rows.unionByName(headers, allowMissingColumns=True)
+    placed = events.repartition("transaction_id").sortWithinPartitions("transaction_id", F.asc_nulls_first("seq"), F.desc_nulls_last("replaces"), "position")
+    return placed.mapInArrow(_fold_edits, "seq long, transaction_id long, verdict string, n_amounts long, paid decimal(38,4)")
+
+
+def _after_list(state: dict, listed: list[dict]) -> dict:
+    """The amounts that a replacement list leaves: new ones, and named ones with the given fields changed."""
+    after = {}
+    for row in listed:
+        key = row["id"] if row["id"] is not None else ("new", row["seq"], row["position"])
+        old = after.get(key) or state.get(key) or dict.fromkeys((*_AMOUNT_FIELDS, "user_id"))
+        new = {name: old[name] if row[name] is None else row[name] for name in _AMOUNT_FIELDS}
+        after[key] = new | {"user_id": old["user_id"] if row["account_id"] is None else row["user_id"]}
+    return after
+
+
+def _step(state: dict, edit: dict, listed: list[dict]) -> tuple[str, dict]:
+    """The verdict on an edit of a transaction in `state`, and the state after it."""
+    if edit["empty"]:
+        return "empty_field", state
+    if edit["user_id"] is None or all(row["user_id"] != edit["user_id"] for row in state.values()):
+        return "not_found", state
+    if not edit["replaces"]:
+        return "ok", state
+    for row in listed:
+        reason = row["known"] if row["id"] is None or row["id"] in state else row["foreign"]
+        if reason:
+            return reason, state
+    after = _after_list(state, listed)
+    if not after:
+        return ("delete_with_updates", state) if edit["updates"] else ("deleted", after)
+    payers = [(row["account_id"], row["account_name"]) for row in after.values()]
+    gap = sum(row["amount_paid"] or 0 for row in after.values()) - sum(row["amount_to_pay"] or 0 for row in after.values())
+    if any((account is None) == (name is None) for account, name in payers):
+        return "either_or", state
+    if len(set(payers)) < len(payers):
+        return "repeated", state
+    if abs(gap) >= Decimal(TOLERANCE):
+        return "unbalanced", state
+    if all(account is None for account, _ in payers):
+        return "no_account", state
+    return "ok", after
+
+
+def _fold_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verdicts of the edits in rows sorted by transaction: its stored amounts, then of each edit its header and its list."""
+    schema = pa.schema(
+        [("seq", pa.int64()), ("transaction_id", pa.int64()), ("verdict", pa.string()), ("n_amounts", pa.int64()), ("paid", pa.decimal128(38, 4))]
+    )
+    transaction, state, edit, listed, found = None, {}, None, [], []
+
+    def close() -> None:
+        nonlocal state, edit, listed
+        if edit:
+            verdict, state = _step(state, edit, listed)
+            paid = sum((row["amount_paid"] or Decimal(0) for row in state.values()), Decimal(0))
+            found.append({"seq": edit["seq"], "transaction_id": transaction, "verdict": verdict, "n_amounts": len(state), "paid": paid})
+        edit, listed = None, []
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["transaction_id"] != transaction or row["replaces"] is not None:
+                close()
+            if row["transaction_id"] != transaction:
+                transaction, state = row["transaction_id"], {}
+            if row["replaces"] is not None:
+                edit = row
+            elif row["seq"] is None:
+                state[row["id"]] = row
+            else:
+                listed.append(row)
+        yield pa.RecordBatch.from_pylist(found, schema)
+        found.clear()
+    close()
+    yield pa.RecordBatch.from_pylist(found, schema)
+
+
 class EditedLedger(NamedTuple):
     transactions: DataFrame
     amounts: DataFrame

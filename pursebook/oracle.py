@@ -323,6 +323,32 @@ VIEWS = {
         LEFT JOIN (SELECT transaction_id, arg_min(reason, position) AS reason FROM rejected_patches
                    WHERE reason IS NOT NULL GROUP BY transaction_id) r ON r.transaction_id = p.transaction_id
         LEFT JOIN after_edit e ON e.transaction_id = p.transaction_id""",
+    "first_step": """
+        SELECT a.transaction_id, a.id, account_id, account_name, amount_to_pay, amount_paid FROM patched_amounts a
+        JOIN edits_judged j ON j.transaction_id = a.transaction_id WHERE verdict = 'ok'
+        UNION ALL
+        SELECT a.transaction_id, a.id, account_id, account_name, amount_to_pay, amount_paid FROM transaction_amounts a
+        JOIN edits_judged j ON j.transaction_id = a.transaction_id WHERE verdict NOT IN ('ok', 'deleted')""",
+    "third_step": """
+        SELECT t.id AS transaction_id, category = '2-HIGH' AS high, s.n_amounts, s.paid, f.amount_paid AS own,
+          coalesce(s.seen, FALSE) AS seen,
+          CASE WHEN NOT coalesce(s.seen, FALSE) THEN 'not_found' WHEN f.id IS NULL THEN 'foreign_id'
+            WHEN (f.account_id IS NULL) = (f.account_name IS NULL) THEN 'either_or'
+            WHEN abs(f.amount_paid - f.amount_to_pay) >= 0.01 THEN 'unbalanced'
+            WHEN f.account_id IS NULL THEN 'no_account' ELSE 'ok' END AS verdict
+        FROM transactions t
+        LEFT JOIN (SELECT transaction_id, count(*) AS n_amounts, sum(amount_paid) AS paid, bool_or(a.user_id = p.user_id) AS seen
+                   FROM first_step JOIN transaction_patches p USING (transaction_id)
+                   LEFT JOIN accounts a ON a.id = account_id GROUP BY transaction_id) s ON s.transaction_id = t.id
+        LEFT JOIN first_step f ON f.transaction_id = t.id AND f.id = t.id * 10 - 9""",
+    "edit_steps": """
+        SELECT t.transaction_id, 1 AS step, j.verdict, t.n_amounts, t.paid FROM third_step t JOIN edits_judged j USING (transaction_id)
+        UNION ALL
+        SELECT transaction_id, 2, CASE WHEN NOT seen THEN 'not_found' WHEN high THEN 'unbalanced' ELSE 'ok' END, n_amounts, paid
+        FROM third_step
+        UNION ALL
+        SELECT transaction_id, 3, verdict, CASE WHEN verdict = 'ok' THEN 1 ELSE n_amounts END,
+          CASE WHEN verdict = 'ok' THEN own ELSE paid END FROM third_step""",
     "edited_amounts": """
         SELECT a.transaction_id, account_id, amount_paid FROM patched_amounts a
         JOIN edits_judged j ON j.transaction_id = a.transaction_id WHERE verdict = 'ok'
@@ -640,6 +666,9 @@ CHECKS = {
     "amount_patch_rejects": "SELECT * FROM rejected_patches WHERE reason IS NOT NULL",
     "post_edit_validation": "SELECT * FROM after_edit",
     "edit_verdicts": "SELECT * FROM edits_judged",
+    "edit_sequence": f"""
+        SELECT transaction_id * 4 + step AS seq, transaction_id, verdict, CAST(coalesce(n_amounts, 0) AS BIGINT) AS n_amounts,
+          CAST(coalesce(paid, 0) AS {TOTAL}) AS paid FROM edit_steps""",
     "delete_transactions": """
         SELECT * FROM transactions WHERE id NOT IN (SELECT transaction_id FROM edits_judged WHERE verdict = 'deleted')""",
     "delete_transactions_amounts": """

@@ -322,6 +322,30 @@ def amount_patches(ledger: Ledger) -> DataFrame:
     return listed.unionByName(late)
 
 
+def edit_steps(ledger: Ledger) -> DataFrame:
+    """Three edits of every transaction: the one of `transaction_patches`, then one without effect on the amounts, refused where the
+    category is 2-HIGH, then a list of the first amount alone."""
+    first = ledger["transaction_patches"].withColumn("seq", F.col("transaction_id") * 4 + 1)
+    key, none = F.col("transaction_id"), {f: F.lit(None).cast(t) for f, t in first.drop("seq").dtypes if f not in ("transaction_id", "user_id")}
+    bare = first.select("transaction_id", F.col("user_id")).withColumns(none)
+    high = ledger["transactions"].select(F.col("id").alias("transaction_id"), (F.col("category") == "2-HIGH").alias("_high"))
+    second = bare.join(high, "transaction_id").withColumns({"seq": key * 4 + 2, "replace_amounts": F.coalesce("_high", F.lit(False))}).drop("_high")
+    third = bare.withColumns({"seq": key * 4 + 3, "replace_amounts": F.lit(True)})
+    return first.unionByName(second).unionByName(third)
+
+
+def edit_step_amounts(ledger: Ledger) -> DataFrame:
+    """The lists of `edit_steps`: those of `amount_patches`, one amount that doesn't balance, and the first stored amount as it is."""
+    first = ledger["amount_patches"].withColumn("seq", F.col("transaction_id") * 4 + 1)
+    none = {f: F.lit(None).cast(t) for f, t in ledger["amount_patches"].dtypes if f not in ("transaction_id", "position", "id")}
+    keys = ledger["transactions"].select(F.col("id").alias("transaction_id"), F.lit(1).alias("position"), "category")
+    second = keys.where("category = '2-HIGH'").withColumns(
+        none | {"id": F.lit(None).cast("bigint"), "seq": F.col("transaction_id") * 4 + 2, "account_name": F.lit("Cash"), "amount_to_pay": F.lit(1).cast(MONEY), "amount_paid": F.lit(2).cast(MONEY)}
+    )
+    third = keys.withColumns(none | {"id": F.col("transaction_id") * 10 - 9, "seq": F.col("transaction_id") * 4 + 3})
+    return first.unionByName(second.drop("category")).unionByName(third.drop("category"))
+
+
 def tag_additions(ledger: Ledger) -> DataFrame:
     """Each amount brings its transaction's category as a tag, and each tag is sent again in capitals."""
     header = ledger["transactions"].select(F.col("id").alias("transaction_id"), "creator_id", "category")
@@ -617,6 +641,8 @@ TABLES: dict[str, Callable[[Ledger], DataFrame]] = {
         amount_changes,
         transaction_patches,
         amount_patches,
+        edit_steps,
+        edit_step_amounts,
         tag_additions,
         tag_removals,
         filter_texts,

@@ -1,5 +1,6 @@
 """Rules whose cases the given data does not hold, on hand-made tables."""
 
+import random
 from datetime import UTC, datetime, timedelta
 from decimal import Decimal
 
@@ -207,6 +208,60 @@ def test_edits_are_refused_as_a_whole(table, people):
     assert after.amounts.where("transaction_id in (1, 2, 4, 5, 6, 7, 8, 9)").count() == 8
 
 
+def test_edits_of_one_transaction_follow_each_other(table, people):
+    """Each is judged on what the accepted ones before it left, and is applied by the other operators one at a time."""
+    rows = table(AMOUNTS, [amount(10 * t + 1, t, 10, None, 100, 100) for t in range(1, 4)])
+    none = (None,) * 5
+    steps = [  # transaction, seq, editor, replaces, texts, list of (position, id, account, name, to pay, paid)
+        (1, 1, 1, True, none, [(1, 11, None, None, Decimal(60), Decimal(60)), (2, None, 20, None, Decimal(40), Decimal(40))]),
+        (1, 2, 1, True, none, [(1, 11, None, None, Decimal(50), None)]),  # doesn't balance
+        (1, 3, 2, True, none, [(1, 11, 20, None, None, None)]),  # the friend, whom only the first edit let in, takes all
+        (1, 4, 1, False, none, []),  # no longer theirs
+        (1, 5, 2, True, none, [(1, 21, None, None, None, None)]),
+        (1, 6, 2, True, none, []),
+        (1, 7, 2, False, none, []),  # gone
+        (2, 8, 2, False, none, []),
+        (2, 9, 1, True, ("x", None, None, None, None), []),
+        (2, 2, 1, False, ("", None, None, None, None), []),
+        (4, 1, 1, False, none, []),  # no such transaction
+    ]
+    random.Random(3).shuffle(steps)
+    patches = table("seq long, " + PATCHES, [(seq, t, user, *texts, replaces) for t, seq, user, replaces, texts, _ in steps])
+    lists = table("seq long, " + AMOUNT_PATCHES, [(seq, t, *row) for t, seq, *_, listed in steps for row in listed])
+    found = edits.edit_sequence(rows, patches, lists, people["accounts"], people["friends"])
+    by_step = {(r["transaction_id"], r["seq"]): (r["verdict"], r["n_amounts"], r["paid"]) for r in found.collect()}
+    assert by_step == {
+        (1, 1): ("ok", 2, 100),
+        (1, 2): ("unbalanced", 2, 100),
+        (1, 3): ("ok", 1, 60),
+        (1, 4): ("not_found", 1, 60),
+        (1, 5): ("foreign_id", 1, 60),
+        (1, 6): ("deleted", 0, 0),
+        (1, 7): ("not_found", 0, 0),
+        (2, 2): ("empty_field", 1, 100),
+        (2, 8): ("not_found", 1, 100),
+        (2, 9): ("delete_with_updates", 1, 100),
+        (4, 1): ("not_found", 0, 0),
+    }
+    nothing = edits.edit_sequence(rows, patches.limit(0), lists, people["accounts"], people["friends"])
+    assert nothing.collect() == []
+
+
+def test_a_long_chain_of_edits(table, people):
+    """Each edit takes one from what the one before left; every third is refused."""
+    n = 3000
+    rows = table(AMOUNTS, [amount(11, 1, 10, None, n, n)])
+    patches = table("seq long, " + PATCHES, [(seq, 1, 1, *(None,) * 5, True) for seq in range(1, n)])
+    lists = []
+    for seq in range(1, n):
+        left = Decimal(n - seq)
+        lists.append((seq, 1, 1, 11, None, None, left, left if seq % 3 else left + 1))
+    found = edits.edit_sequence(rows, patches, table("seq long, " + AMOUNT_PATCHES, lists), people["accounts"], people["friends"])
+    for row in found.collect():
+        seq = row["seq"]
+        assert (row["verdict"], row["paid"]) == (("ok", n - seq) if seq % 3 else ("unbalanced", n - seq + 1))
+
+
 def test_deletion_takes_balances_back(table, people):
     rows = table(AMOUNTS, [amount(1, 1, 10, None, 30, 30), amount(2, 2, 10, None, 5, 5)])
     headers = table(HEADERS, [header(1), header(2, income=True)])

@@ -233,6 +233,18 @@ def test_plans_have_no_nested_loops_and_no_python(ledger, name):
         if operator == "SinglePartition, ENSURE" and ("Subquery" in plan or "TakeOrdered" in plan):
             continue  # one-row maxima, and the one page that is asked for
         assert operator not in plan, plan
+    assert ("MapInArrow" in plan) == (name == "edit_sequence")
+
+
+def test_edits_are_judged_from_one_image(ledger):
+    plan = catalog.QUERIES["edit_verdicts"](ledger)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 18
+
+
+def test_the_first_of_several_edits_is_judged_like_a_single_one(ledger):
+    single = catalog.QUERIES["edit_verdicts"](ledger).withColumnRenamed("verdict", "single")
+    first = catalog.QUERIES["edit_sequence"](ledger).where("seq % 4 = 1").join(single, "transaction_id", "full")
+    assert first.count() and first.where("NOT (verdict <=> single)").count() == 0
 
 
 def test_search_filters_reach_the_scan(ledger):
