@@ -238,7 +238,8 @@ def packed_sequences(
     `offset` the sequence's. Every sequence has exactly `window` ids (a power of two), but for the
     last of each partition, whose lengths are smaller powers of two: nothing is padded. Rows that
     repeat a doc_id, or have none, are documents of their own. A task holds one shard of about
-    `shard_tokens` ids, and at least one document. Other columns are not looked at.
+    `shard_tokens` ids, and at least one document. Equal scores go by the shard's order. An empty table gives no rows.
+    Other columns are not looked at.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     schema = ", ".join(f"{name} long" for name in _SCHEMA.names)

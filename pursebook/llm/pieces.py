@@ -165,7 +165,8 @@ def encoded_pieces(documents: DataFrame, model: str | None = None, with_ids: boo
 
     Ids carry the begin and end id; a NULL or empty text has these two alone and decodes to the empty
     text. `n_differing` is put on the first row of each few hundred. Texts are read whole. Rows
-    without doc_id and repeated rows are encoded like others; other columns are not looked at.
+    without doc_id and repeated rows are encoded like others; an empty table gives no rows; other
+    columns are not looked at.
     """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long"

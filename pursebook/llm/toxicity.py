@@ -280,7 +280,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
     Only the text is looked at. A NULL or empty text has no passage and a low score; a document of
     any length is read whole. `passages` are the significant segments in lower case. Rows without
-    doc_id are scored like others and count as not held out. Other columns are not looked at.
+    doc_id are scored like others and count as not held out; repeated rows get a row each. An empty
+    table gives no rows; without labels no document is predicted toxic. Other columns are not looked at.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, max_labelled))
     schema = "doc_id long, score double, n_passages int, passages array<string>"

@@ -178,7 +178,7 @@ def url_verdicts(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     A rule decides where one fits. Else the verdict is `block` if the naive Bayes log-odds `score` is
     above zero, and `allow` if not; without tokens (no host, no path) the classes' shares decide.
     A NULL url, or one without `://`, has an empty host and path. Page ids are passed through, NULL
-    and repeated ones too; other columns are not looked at. Rules are few: each is an expression.
+    and repeated ones too; an empty table gives no rows; other columns are not looked at. Rules are few: each is an expression.
     """
     host, path = host_and_path("url")
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
