@@ -1,6 +1,8 @@
 """From raw documents to packed training sequences, in stages; each is written as Parquet and read again by the next.
 
-All stages but the last return the columns of documents. A row is dropped only by its own stage's decision.
+All stages but the last return the columns of documents, further ones too, whatever their names. A row is dropped only by its
+own stage's decision. Decisions are by doc_id: rows that repeat one share them, and rows without doc_id stay until they are
+packed. An empty table stays empty through all stages.
 """
 
 from collections.abc import Callable
@@ -23,28 +25,28 @@ def _only(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
 
 
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; a NULL, empty or wordless text is not toxic. Texts are read whole."""
     verdicts = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _only(docs, verdicts.select("doc_id", (F.col("predicted") == 0).alias("clean")), "clean")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label scorer rejects go."""
+    """Documents that the weak-label scorer rejects go, among them all without words (NULL and empty texts too)."""
     return _only(docs, quality(docs), "kept")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts (white space apart) the longest stays, of equally long ones the smallest doc_id; NULL counts as empty."""
     return _only(docs, exact_duplicates(docs), "kept")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity of 0.8) one document stays."""
+    """Of each group of near copies (five words, similarity of 0.8) the smallest doc_id stays; a text without words is a group by itself."""
     return _only(docs, near_duplicates(docs, words=5, percent=80), "kept")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as pieces of token sequences."""
+    """The documents as pieces of token sequences; a NULL or empty text is its end token."""
     return packed_sequences(docs)
 
 
