@@ -301,6 +301,28 @@ def test_hosts_beyond_ascii_are_judged_by_their_words(table):
     assert {r["label"]: r["words"] for r in segmented_labels(labels, pages).collect()} == {"садbücher": ["сад", "bücher"], "हिन्दीказино": ["हिन्दी", "казино"]}
 
 
+def test_repeated_and_very_long_urls(table):
+    """Equal urls get equal verdicts, a row each; long hosts and paths are judged whole; of equal odds it is `allow`."""
+    long = "https://" + ".".join(["kleinerladen"] * 300) + "/" + "seite/" * 5000 + "1?q=" + "x" * 5000
+    urls = [(1, long), (1, long), (2, long), (3, "https://a.net/x"), (4, "https://a.net/x"), (5, "https://b.org/fr/x"), (6, "no url"), (7, None)]
+    pages = table("page_id long, url string, html string, host string, word string", [(i, u, "<p>kleiner laden</p>", "h", "w") for i, u in urls])
+    found = url_verdicts(pages, [Rule("net", "/", "block"), Rule("org", "/fr/", "allow")]).collect()
+    assert sorted(r["page_id"] for r in found) == [i for i, _ in urls]
+    by_id = {r["page_id"]: r for r in found}
+    assert len({(r["host"], r["path"], r["verdict"], r["score"]) for r in found if r["page_id"] in (1, 2)}) == 1
+    assert by_id[1]["path"] == "/" + "seite/" * 5000 + "1"
+    assert [by_id[i]["verdict"] for i in (3, 4, 5)] == ["block", "block", "allow"]
+    assert by_id[6]["host"] == by_id[7]["path"] == ""
+
+
+def test_labels_with_further_columns(table):
+    rows, labels = toxic_corpus()
+    wide = table("doc_id long, quality int, toxic int, text string, word string, c long, t long", [(*row, "scorn", "w", 1, 2) for row in labels])
+    given = documents(table, rows)
+    plain = toxicity(given, table(LABELS, labels))
+    assert rows_of(toxicity(given, wide), "doc_id", "score") == rows_of(plain, "doc_id", "score")
+
+
 def test_long_words_stay_whole():
     word = "donaudampfschifffahrtsgesellschaft"
     assert split_words("neue" + word, {word: 9, "neue": 9}, 100) == ["neue", word]
