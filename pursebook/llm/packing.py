@@ -1,15 +1,17 @@
-"""Packing documents into token sequences by lexical retrieval.
-
-Every partition is worked through in shards of bounded size. A shard keeps a BM25 inverted index of
-its documents' tokens. A document longer than the window fills windows by itself; each remainder in
-turn is a seed: the index ranks the unused remainders by their likeness to it, and they fill the
-seed's window from the best on, the last one cut where the window is full. What a shard can't fill
-goes on to the next shard; what is left at the end of a partition is cut at powers of two, which
-need no padding.
-
-Neighbours come from the seed's own shard, so no index outgrows a task and no text is shuffled.
+"""Packing documents into token sequences by lexical retrieval over the corpus.
+
+Texts become token ids once. A document longer than the window fills windows by itself; what remains
+of each is retrieved for. How many remainders hold a term, and their mean length, are counted over
+the whole corpus. The remainders are then range-sorted by the rarest of their shared terms, so that
+likes from anywhere come to lie side by side, and cut into shards of bounded size: the layout of the
+input decides nothing. A shard is a BM25 inverted index over its documents' tokens. Each remainder in
+turn is a seed: the index ranks the unused ones by their likeness to it, and they fill the seed's
+window from the best on, the last one cut where the window is full. What a shard can't fill goes on
+to the next shard; what is left at the end of a partition is cut at powers of two, which need no
+padding.
 """
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,38 +21,72 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pursebook.llm.tables import SLICE, in_tasks
+from pursebook.llm.tables import SLICE, in_tasks, stored
 
 WINDOW = 2048
 SHARD_TOKENS = 1 << 22
+#: partitions of one shuffle at most; beyond, a partition is several shards, one after the other
+MOST_PARTITIONS = 1 << 14
+#: how many of a document's rarest shared terms it is sorted by
+KEYS = 4
 END_ID = 1
-CHUNKS_KEPT = 400_000
+WORDS_KEPT = 200_000
 K1, B = 1.2, 0.75
 
+#: ASCII letters and digits and the Latin letters U+00C0 to U+024F (but U+0130, whose lower case ends in a mark), then marks of
+#: ASCII that no token shares with a letter: the vocabulary's pre-tokenizer always cuts between the two
+_WORD = re.compile(
+    rb"((?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!#$%&*,.:;?]*)"
+)
+
 
 class ChunkIds:
-    """Token ids of text, by the tokenizers library, remembered by blank-separated chunk.
+    """Token ids of text, by the tokenizers library, remembered by word.
 
     The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those
     of its chunks one after the other. Only bytes that are white space to every engine separate chunks.
+    A chunk of Latin letters and digits with marks behind is looked up as the two, letters A-Z lower-cased
+    as the vocabulary does itself; any other chunk goes to the library as it is.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        #: the words remembered before; those in use move on, the others go when `known` is full again
+        self.before: dict[bytes, bytes] = {}
 
     def of(self, some: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
         parts = [text.split() for text in some]
-        missing = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(missing) > CHUNKS_KEPT:
-            self.known.clear()
-            missing = list(set().union(*parts))
-        found = self.tokenizer.encode_batch([chunk.decode() for chunk in missing], add_special_tokens=False)
-        self.known.update((chunk, np.array(one.ids, np.uint32).tobytes()) for chunk, one in zip(missing, found, strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32) for chunks in parts]
+        words = {}
+        for chunk in set().union(*parts):
+            found = _WORD.fullmatch(chunk)
+            words[chunk] = (found[1].lower(), found[2]) if found else (chunk, b"")
+        ids = self._ids_of({word for pair in words.values() for word in pair})
+        chunks = {chunk: ids[word] + ids[marks] for chunk, (word, marks) in words.items()}
+        return [np.frombuffer(b"".join(map(chunks.__getitem__, part)), np.uint32) for part in parts]
+
+    def _ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        ids = {}
+        missing = []
+        for word in words:
+            found = self.known.get(word)
+            if found is None:
+                found = self.before.get(word)
+                if found is None:
+                    missing.append(word)
+                    continue
+                self.known[word] = found
+            ids[word] = found
+        made = self.tokenizer.encode_batch_fast([word.decode() for word in missing], add_special_tokens=False)
+        new = {word: np.array(one.ids, np.uint32).tobytes() for word, one in zip(missing, made, strict=True)}
+        self.known.update(new)
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.before = {}, self.known
+        return ids | new
 
 
 _chunk_ids: dict[str, ChunkIds] = {}
@@ -78,10 +114,27 @@ class Document:
 Piece = tuple[Document, int, int]
 
 
+@dataclass
+class Corpus:
+    """What retrieval knows of all documents: how many there are, in how many each term is, and their mean length."""
+
+    n: int
+    holders: np.ndarray
+    mean: float
+
+    @property
+    def idf(self) -> np.ndarray:
+        """The weight of each term. One in more than half of the documents tells nothing and weighs nothing."""
+        return np.maximum(np.log((self.n - self.holders + 0.5) / (self.holders + 0.5)), 0.0).astype(np.float32)
+
+
 class Index:
-    """BM25 over token ids: for each term the documents with it and their weights, in one array each."""
+    """BM25 over token ids: for each term the documents with it and their weights, in one array each.
+
+    Weights follow the numbers of `corpus`; without it, those of the documents themselves.
+    """
 
-    def __init__(self, documents: list[Document]):
+    def __init__(self, documents: list[Document], corpus: Corpus | None = None):
         self.terms = []
         counts = []
         for document in documents:
@@ -90,16 +143,17 @@ class Index:
             counts.append(count)
         n = len(documents)
         term = np.concatenate(self.terms)
-        owner = np.repeat(np.arange(n), [len(t) for t in self.terms])
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in self.terms])
         frequency = np.concatenate(counts).astype(np.float32)
         order = np.argsort(term, kind="stable")
         term, self.owner, frequency = term[order], owner[order], frequency[order]
-        self.starts = np.searchsorted(term, np.arange(int(term[-1]) + 2 if len(term) else 1))
+        size = len(corpus.holders) if corpus else int(term[-1]) + 1 if len(term) else 0
+        self.starts = np.searchsorted(term, np.arange(size + 1))
         holders = np.diff(self.starts)
-        #: a term in more than half of the documents tells nothing and weighs nothing
-        idf = np.maximum(np.log((n - holders + 0.5) / (holders + 0.5)), 0.0).astype(np.float32)
         lengths = np.array([d.left for d in documents], np.float32)
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1.0))
+        corpus = corpus or Corpus(n, holders, float(lengths.mean()))
+        idf = corpus.idf
+        norm = K1 * (1 - B + B * lengths / max(corpus.mean, 1.0))
         self.weights = idf[term] * frequency * (K1 + 1) / (frequency + norm[self.owner])
         self.useful = (idf > 0) & (holders > 1)
         self.n = n
@@ -117,7 +171,7 @@ class Index:
         return np.bincount(self.owner[at], self.weights[at], self.n)
 
 
-def pack_shard(documents: list[Document], window: int) -> Iterator[list[Piece]]:
+def pack_shard(documents: list[Document], window: int, corpus: Corpus | None = None) -> Iterator[list[Piece]]:
     """Full windows, as lists of pieces; what can't fill one stays unused in the documents."""
     for document in documents:
         while document.left >= window:
@@ -126,7 +180,7 @@ def pack_shard(documents: list[Document], window: int) -> Iterator[list[Piece]]:
     unused = sum(d.left for d in rest)
     if unused < window:
         return
-    index = Index(rest)
+    index = Index(rest, corpus)
     open_ = np.ones(len(rest), bool)
     for seed, document in enumerate(rest):
         if not document.left:
@@ -195,9 +249,71 @@ def _rows(sequence_id: int, pieces: list[Piece]) -> Iterator[tuple]:
         offset += length
 
 
-def _pack(path: str, window: int, shard_tokens: int):
+def _chunk_ids_of(path: str) -> ChunkIds:
+    return _chunk_ids.get(path) or _chunk_ids.setdefault(path, ChunkIds(path))
+
+
+def _tokens(path: str, width: str):
+    """(doc_id, ids, n): each document's ids with the end's, in numbers of the type `width`."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk_ids = _chunk_ids_of(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                some = [text or b"" for text in part.column("text").cast(pa.binary()).to_pylist()]
+                made = [np.append(ids, np.uint32(END_ID)).astype(width) for ids in chunk_ids.of(some)]
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(map(len, made), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
+def _remainder(raw: bytes, width: str, window: int) -> np.ndarray:
+    """The distinct terms of what a document leaves after the windows that it fills by itself."""
+    ids = np.frombuffer(raw, width)
+    return np.unique(ids[len(ids) // window * window :])
+
+
+def _holders(width: str, window: int, terms: int):
+    """(term, holders): in how many remainders of a task each term is."""
+    schema = pa.schema([("term", pa.int64()), ("holders", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders = np.zeros(terms, np.int64)
+        for batch in batches:
+            for raw in batch.column("ids"):
+                holders[_remainder(raw.as_py(), width, window)] += 1
+        found = np.flatnonzero(holders)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(holders[found], pa.int64())], schema=schema)
+
+    return run
+
+
+def _keyed(width: str, window: int, corpus: Corpus):
+    """(doc_id, ids, k0, k1, ...): the rarest of a remainder's terms that it shares with another one, the rarest first."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())] + [(f"k{i}", pa.int64()) for i in range(KEYS)])
+    #: terms by how many hold them; those that one document holds come last, as they lead to no other
+    place = np.empty(len(corpus.holders), np.int64)
+    place[np.lexsort((np.arange(len(place)), corpus.holders, corpus.holders < 2))] = np.arange(len(place))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.full((batch.num_rows, KEYS), len(place), np.int64)
+            for i, raw in enumerate(batch.column("ids")):
+                places = place[_remainder(raw.as_py(), width, window)]
+                if len(places) > KEYS:
+                    places = np.partition(places, KEYS - 1)[:KEYS]
+                keys[i, : len(places)] = np.sort(places)
+            columns = [batch.column("doc_id"), batch.column("ids"), *(pa.array(keys[:, k]) for k in range(KEYS))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
+def _pack(width: str, window: int, shard_tokens: int, corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk_ids = _chunk_ids.get(path) or _chunk_ids.setdefault(path, ChunkIds(path))
         sequence = TaskContext.get().partitionId() << 40
         shard: list[Document] = []
         size = 0
@@ -212,17 +328,14 @@ def _pack(path: str, window: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_SCHEMA)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                some = [text or b"" for text in part.column("text").cast(pa.binary()).to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), chunk_ids.of(some), strict=True):
-                    shard.append(Document(doc_id, np.append(ids, np.uint32(END_ID))))
-                    size += shard[-1].left
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                shard.append(Document(doc_id, np.frombuffer(raw.as_py(), width).astype(np.uint32)))
+                size += shard[-1].left
                 if size >= shard_tokens:
-                    yield packed(pack_shard(shard, window))
+                    yield packed(pack_shard(shard, window, corpus))
                     shard = [d for d in shard if d.left]
                     size = sum(d.left for d in shard)
-        yield packed(pack_shard(shard, window))
+        yield packed(pack_shard(shard, window, corpus))
         yield packed(pack_rest(shard, window))
 
     return run
@@ -238,9 +351,26 @@ def packed_sequences(
     `offset` the sequence's. Every sequence has exactly `window` ids (a power of two), but for the
     last of each partition, whose lengths are smaller powers of two: nothing is padded. Rows that
     repeat a doc_id, or have none, are documents of their own. A task holds one shard of about
-    `shard_tokens` ids, and at least one document. Equal scores go by the shard's order. An empty table gives no rows.
-    Other columns are not looked at.
+    `shard_tokens` ids, and at least one document. Shards follow the order of the documents' rarest
+    shared terms, then doc_id, whatever the partitions of the input; equal scores go by the shard's
+    order. An empty table gives no rows. Other columns are not looked at.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    terms = max(Tokenizer.from_file(path).get_vocab().values(), default=0) + END_ID + 1
+    width = "<u2" if terms <= 1 << 16 else "<u4"
+    tokens = stored(in_tasks(documents.select("doc_id", "text"), _tokens(path, width), "doc_id long, ids binary, n long"), "tokens")
+    left = F.col("n") % window
+    total, n, mean = tokens.agg(F.sum("n"), F.count(F.when(left > 0, 1)), F.avg(F.when(left > 0, left))).first()
+    holders = np.zeros(terms, np.int64)
+    #: one row per term of the vocabulary at most
+    counted = in_tasks(tokens, _holders(width, window, terms), "term long, holders long").groupBy("term").agg(F.sum("holders").alias("holders"))
+    for term, count in counted.collect():
+        holders[term] = count
+    corpus = Corpus(n, holders, mean or 1.0)
+    keys = [f"k{i}" for i in range(KEYS)]
+    keyed = in_tasks(tokens, _keyed(width, window, corpus), "doc_id long, ids binary, " + ", ".join(f"{k} long" for k in keys))
+    order = [*keys, "doc_id", F.xxhash64("ids")]
+    partitions = min(-(-(total or 0) // shard_tokens), MOST_PARTITIONS)
+    shards = keyed.repartitionByRange(max(partitions, 1), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     schema = ", ".join(f"{name} long" for name in _SCHEMA.names)
-    return in_tasks(documents.select("doc_id", "text"), _pack(path, window, shard_tokens), schema)
+    return in_tasks(shards, _pack(width, window, shard_tokens, corpus), schema)

@@ -13,8 +13,8 @@ from tokenizers import Tokenizer
 from conftest import FOLDER
 from corpus import AWKWARD, documents, rows_of, words
 
-from pursebook.llm import queries
-from pursebook.llm.packing import Document, Index, pack_rest, pack_shard, packed_sequences
+from pursebook.llm import packing, queries
+from pursebook.llm.packing import ChunkIds, Document, Index, pack_rest, pack_shard, packed_sequences
 from pursebook.llm.pieces import Encoder, encoded_pieces
 from pursebook.llm.token_counts import Counter as TokenCounter
 from pursebook.llm.token_counts import token_counts
@@ -157,3 +157,39 @@ def test_scores_are_those_of_the_formula():
             count = (other.ids == term).sum()
             expected += idf * count * 2.2 / (count + 1.2 * (0.25 + 0.75 * other.left / mean))
         assert abs(scores[j] - expected) < 1e-5
+
+
+def test_ids_of_words_are_the_library_s():
+    library, own = Tokenizer.from_file(WORDS), ChunkIds(WORDS)
+    some = strange() + ["Don't. A'S! İ. İstanbul... H̱, Ǩ× ÷. <|ENDOFTEXT|> <|endoftext|>. é. é. ǅ; 12ab34,,5 ŉ:s a#'t it's?'s"]
+    for given in (some, [t.upper() for t in some], some):
+        assert [ids.tolist() for ids in own.of([t.encode() for t in given])] == [e.ids for e in library.encode_batch(given, add_special_tokens=False)]
+
+
+def test_few_remembered_words_change_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 5)
+    test_ids_of_words_are_the_library_s()
+
+
+def likes(count=400):
+    """Pairs of documents with words of their own, the two far from each other, in noise that all share."""
+    noise = words(5, 60).split()
+    rng = random.Random(6)
+    own = [words(100 + i, 12) for i in range(count)]
+    return [(side * count + i, " ".join([*rng.sample(noise, 30), own[i]])) for side in (0, 1) for i in range(count)]
+
+
+def met(found, count=400):
+    """Share of the pairs that lie in a common window."""
+    windows = defaultdict(set)
+    for r in found:
+        windows[r["doc_id"]].add(r["sequence_id"])
+    return sum(bool(windows[i] & windows[count + i]) for i in range(count)) / count
+
+
+def test_likes_meet_whatever_the_partitions(table):
+    rows = likes()
+    one, many = (packed_sequences(documents(table, rows).repartition(n), shard_tokens=10_000).collect() for n in (1, 64))
+    check_packing(rows, many)
+    assert {tuple(r) for r in one} == {tuple(r) for r in many}
+    assert met(one) == met(many) >= 0.8
