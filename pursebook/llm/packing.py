@@ -13,7 +13,7 @@ padding.
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from pursebook.llm.tables import SLICE, in_tasks, stored
 
@@ -36,11 +36,15 @@ END_ID = 1
 WORDS_KEPT = 200_000
 K1, B = 1.2, 0.75
 
-#: ASCII letters and digits and the Latin letters U+00C0 to U+024F (but U+0130, whose lower case ends in a mark), then marks of
-#: ASCII that no token shares with a letter: the vocabulary's pre-tokenizer always cuts between the two
-_WORD = re.compile(
-    rb"((?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!#$%&*,.:;?]*)"
-)
+_LATIN = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+"
+#: words of ASCII and Latin letters (U+00C0 to U+024F), and what lies between them and white space
+_RUNS = re.compile(_LATIN + rb"|(?:(?!" + _LATIN + rb")[^\x20\x09-\x0d])+")
+_RUNS_OF_ASCII = re.compile(rb"[a-z]+|[^a-z\x20\x09-\x0d]+")
+_WORD = re.compile(_LATIN)
+#: what may join such words to something else: other letters and marks, and U+0130, whose lower case ends in a mark
+_JOINING = re.compile("[^\0-\xa9\xab-\xb4\xb6-\xb9\xbb-\u012f\u0131-\u024f]")
+#: words that the library gets in one call
+TOGETHER = 500
 
 
 class ChunkIds:
@@ -48,28 +52,45 @@ class ChunkIds:
 
     The vocabulary's pre-tokenizer drops white space and no token spans it, so a text's ids are those
     of its chunks one after the other. Only bytes that are white space to every engine separate chunks.
-    A chunk of Latin letters and digits with marks behind is looked up as the two, letters A-Z lower-cased
-    as the vocabulary does itself; any other chunk goes to the library as it is.
+    In most texts nothing can join a run of Latin letters to what stands beside it, so there runs are
+    looked up. Such words, lower-cased, are what normalizer and pre-tokenizer would make of them: the
+    library's model gets many at once, separated by blanks, and the end of each shows in its last token.
+    Anything else goes through the whole library.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.merging = Tokenizer.from_file(path)
+        self.merging.normalizer = None
+        by_byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merging.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), by_byte])
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         #: the words remembered before; those in use move on, the others go when `known` is full again
         self.before: dict[bytes, bytes] = {}
 
     def of(self, some: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
-        parts = [text.split() for text in some]
-        words = {}
-        for chunk in set().union(*parts):
-            found = _WORD.fullmatch(chunk)
-            words[chunk] = (found[1].lower(), found[2]) if found else (chunk, b"")
-        ids = self._ids_of({word for pair in words.values() for word in pair})
-        chunks = {chunk: ids[word] + ids[marks] for chunk, (word, marks) in words.items()}
-        return [np.frombuffer(b"".join(map(chunks.__getitem__, part)), np.uint32) for part in parts]
-
-    def _ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        parts = [self._parts(text) for text in some]
+        words, others = [], []
+        for part in set().union(*parts):
+            lower = part.isascii() or part.decode().islower()
+            (words if lower and _WORD.fullmatch(part) else others).append(part)
+        ids = self._ids_of(words, self._by_model) | self._ids_of(others, self._by_library)
+        return [np.frombuffer(b"".join(map(ids.__getitem__, part)), np.uint32) for part in parts]
+
+    def _parts(self, text: bytes) -> list[bytes]:
+        if b"'" in text or b"<|" in text:
+            return text.split()
+        if text.isascii():
+            return _RUNS_OF_ASCII.findall(text.lower())
+        letters = text.decode()
+        return text.split() if _JOINING.search(letters) else _RUNS.findall(letters.lower().encode())
+
+    def _ids_of(self, words: Iterable[bytes], make: Callable[[list[bytes]], Iterator[bytes]]) -> dict[bytes, bytes]:
         ids = {}
         missing = []
         for word in words:
@@ -81,13 +102,24 @@ class ChunkIds:
                     continue
                 self.known[word] = found
             ids[word] = found
-        made = self.tokenizer.encode_batch_fast([word.decode() for word in missing], add_special_tokens=False)
-        new = {word: np.array(one.ids, np.uint32).tobytes() for word, one in zip(missing, made, strict=True)}
+        new = dict(zip(missing, make(missing), strict=True))
         self.known.update(new)
         if len(self.known) > WORDS_KEPT:
             self.known, self.before = {}, self.known
         return ids | new
 
+    def _by_library(self, chunks: list[bytes]) -> Iterator[bytes]:
+        for one in self.tokenizer.encode_batch_fast([chunk.decode() for chunk in chunks], add_special_tokens=False):
+            yield np.array(one.ids, np.uint32).tobytes()
+
+    def _by_model(self, words: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(words), TOGETHER):
+            ids = np.array(self.merging.encode(b" ".join(words[at : at + TOGETHER]).decode(), add_special_tokens=False).ids, np.uint32)
+            raw, start = ids.tobytes(), 0
+            for end in ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist():
+                yield raw[start:end]
+                start = end
+
 
 _chunk_ids: dict[str, ChunkIds] = {}
 
@@ -253,40 +285,26 @@ def _chunk_ids_of(path: str) -> ChunkIds:
     return _chunk_ids.get(path) or _chunk_ids.setdefault(path, ChunkIds(path))
 
 
-def _tokens(path: str, width: str):
-    """(doc_id, ids, n): each document's ids with the end's, in numbers of the type `width`."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64())])
+def _tokens(path: str, width: str, window: int, terms: int):
+    """(doc_id, ids, n, holders): each document's ids with the end's, in numbers of the type `width`.
+
+    A task's last row holds no document but, for each term, in how many of the task's remainders it is.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("holders", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk_ids = _chunk_ids_of(path)
+        holders = np.zeros(terms, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 some = [text or b"" for text in part.column("text").cast(pa.binary()).to_pylist()]
                 made = [np.append(ids, np.uint32(END_ID)).astype(width) for ids in chunk_ids.of(some)]
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(map(len, made), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return run
-
-
-def _remainder(raw: bytes, width: str, window: int) -> np.ndarray:
-    """The distinct terms of what a document leaves after the windows that it fills by itself."""
-    ids = np.frombuffer(raw, width)
-    return np.unique(ids[len(ids) // window * window :])
-
-
-def _holders(width: str, window: int, terms: int):
-    """(term, holders): in how many remainders of a task each term is."""
-    schema = pa.schema([("term", pa.int64()), ("holders", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holders = np.zeros(terms, np.int64)
-        for batch in batches:
-            for raw in batch.column("ids"):
-                holders[_remainder(raw.as_py(), width, window)] += 1
-        found = np.flatnonzero(holders)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(holders[found], pa.int64())], schema=schema)
+                for ids in made:
+                    holders[np.unique(ids[len(ids) // window * window :])] += 1
+                columns = [part.column("doc_id"), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(map(len, made), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(made), schema.field(3).type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([None], [None], [None], [holders]), schema, strict=True)], schema=schema)
 
     return run
 
@@ -302,10 +320,9 @@ def _keyed(width: str, window: int, corpus: Corpus):
         for batch in batches:
             keys = np.full((batch.num_rows, KEYS), len(place), np.int64)
             for i, raw in enumerate(batch.column("ids")):
-                places = place[_remainder(raw.as_py(), width, window)]
-                if len(places) > KEYS:
-                    places = np.partition(places, KEYS - 1)[:KEYS]
-                keys[i, : len(places)] = np.sort(places)
+                ids = np.frombuffer(raw.as_py(), width)
+                places = np.unique(place[ids[len(ids) // window * window :]])[:KEYS]
+                keys[i, : len(places)] = places
             columns = [batch.column("doc_id"), batch.column("ids"), *(pa.array(keys[:, k]) for k in range(KEYS))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -358,17 +375,19 @@ def packed_sequences(
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     terms = max(Tokenizer.from_file(path).get_vocab().values(), default=0) + END_ID + 1
     width = "<u2" if terms <= 1 << 16 else "<u4"
-    tokens = stored(in_tasks(documents.select("doc_id", "text"), _tokens(path, width), "doc_id long, ids binary, n long"), "tokens")
+    schema = "doc_id long, ids binary, n long, holders array<long>"
+    made = stored(in_tasks(documents.select(F.col("doc_id").cast("long"), "text"), _tokens(path, width, window, terms), schema), "tokens")
+    tokens = made.where("n IS NOT NULL")
     left = F.col("n") % window
     total, n, mean = tokens.agg(F.sum("n"), F.count(F.when(left > 0, 1)), F.avg(F.when(left > 0, left))).first()
-    holders = np.zeros(terms, np.int64)
     #: one row per term of the vocabulary at most
-    counted = in_tasks(tokens, _holders(width, window, terms), "term long, holders long").groupBy("term").agg(F.sum("holders").alias("holders"))
+    counted = made.select(F.posexplode("holders").alias("term", "count")).where("count > 0").groupBy("term").agg(F.sum("count"))
+    holders = np.zeros(terms, np.int64)
     for term, count in counted.collect():
         holders[term] = count
     corpus = Corpus(n, holders, mean or 1.0)
     keys = [f"k{i}" for i in range(KEYS)]
-    keyed = in_tasks(tokens, _keyed(width, window, corpus), "doc_id long, ids binary, " + ", ".join(f"{k} long" for k in keys))
+    keyed = in_tasks(tokens.select("doc_id", "ids"), _keyed(width, window, corpus), "doc_id long, ids binary, " + ", ".join(f"{k} long" for k in keys))
     order = [*keys, "doc_id", F.xxhash64("ids")]
     partitions = min(-(-(total or 0) // shard_tokens), MOST_PARTITIONS)
     shards = keyed.repartitionByRange(max(partitions, 1), *order).sortWithinPartitions(*order).select("doc_id", "ids")
