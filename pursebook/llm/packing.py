@@ -13,7 +13,7 @@ padding.
 
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,7 +44,7 @@ _WORD = re.compile(_LATIN)
 #: what may join such words to something else: other letters and marks, and U+0130, whose lower case ends in a mark
 _JOINING = re.compile("[^\0-\xa9\xab-\xb4\xb6-\xb9\xbb-\u012f\u0131-\u024f]")
 #: words that the library gets in one call
-TOGETHER = 500
+TOGETHER = 2000
 
 
 class ChunkIds:
@@ -75,11 +75,7 @@ class ChunkIds:
     def of(self, some: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without special tokens added."""
         parts = [self._parts(text) for text in some]
-        words, others = [], []
-        for part in set().union(*parts):
-            lower = part.isascii() or part.decode().islower()
-            (words if lower and _WORD.fullmatch(part) else others).append(part)
-        ids = self._ids_of(words, self._by_model) | self._ids_of(others, self._by_library)
+        ids = self._ids_of(set().union(*parts))
         return [np.frombuffer(b"".join(map(ids.__getitem__, part)), np.uint32) for part in parts]
 
     def _parts(self, text: bytes) -> list[bytes]:
@@ -90,22 +86,24 @@ class ChunkIds:
         letters = text.decode()
         return text.split() if _JOINING.search(letters) else _RUNS.findall(letters.lower().encode())
 
-    def _ids_of(self, words: Iterable[bytes], make: Callable[[list[bytes]], Iterator[bytes]]) -> dict[bytes, bytes]:
+    def _ids_of(self, parts: Iterable[bytes]) -> dict[bytes, bytes]:
         ids = {}
-        missing = []
-        for word in words:
-            found = self.known.get(word)
+        words, others = [], []
+        known, before = self.known, self.before
+        for part in parts:
+            found = known.get(part)
             if found is None:
-                found = self.before.get(word)
+                found = before.get(part)
                 if found is None:
-                    missing.append(word)
+                    lower = part.isascii() or part.decode().islower()
+                    (words if lower and _WORD.fullmatch(part) else others).append(part)
                     continue
-                self.known[word] = found
-            ids[word] = found
-        new = dict(zip(missing, make(missing), strict=True))
-        self.known.update(new)
-        if len(self.known) > WORDS_KEPT:
-            self.known, self.before = {}, self.known
+                known[part] = found
+            ids[part] = found
+        new = dict(zip(words, self._by_model(words), strict=True)) | dict(zip(others, self._by_library(others), strict=True))
+        known.update(new)
+        if len(known) > WORDS_KEPT:
+            self.known, self.before = {}, known
         return ids | new
 
     def _by_library(self, chunks: list[bytes]) -> Iterator[bytes]:
