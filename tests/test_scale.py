@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pursebook import catalog
-from pursebook.operators import balances, documents, friends, search, splits, users
+from pursebook.operators import balances, documents, friends, requests, search, splits, users
 from pursebook.operators.friends import action_effects
 from pursebook.plans import ordered, skew
 from pursebook.plans.claims import with_first_claim
@@ -20,6 +20,14 @@ DAY = datetime(2024, 1, 1)
 few = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
+def test_bodies_of_requests_are_parsed_once(spark, ledger):
+    """No filter that is pushed below the parse repeats it."""
+    for part in requests.flatten_requests(ledger["split_requests"]):
+        plan = part._jdf.queryExecution().optimizedPlan()
+        parses = [line for line in plan.toString().split("\n") if "parseJson" in line]
+        assert len(parses) == 1 and parses[0].count("parseJson") == 1
+
+
 def test_running_totals_over_a_hot_group(spark):
     """One of many groups holds a third of the rows and spans many blocks."""
     rows = spark.range(30_000).select(
