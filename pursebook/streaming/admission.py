@@ -2,10 +2,9 @@
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamReader
 
 from pursebook.streaming.sink import batch_folder, write_batches
 
@@ -14,7 +13,8 @@ def admit(feed: DataFrame, time: str, delay: str, folder: str) -> None:
     """Take in what is available: rows in time go to `admitted`, those `delay` or more behind the newest one before to `late`.
 
     A batch is judged by the newest time of the batches before it, so which rows are late depends on the order of delivery
-    alone. A stream over `admitted` with the same delay, which sees the same rows in the same order, finds none of them late.
+    alone. A stream over `admitted` with the same delay finds none of them late if it takes whole batches in their order: inside a
+    batch rows are in no order, so one that stopped within a batch would move its watermark past the rest and lose it.
     A row without time is late. Every batch overwrites its own folders; one broken off and repeated after a reader
     has seen it is delivered twice, which readers have to stand anyway.
     """
@@ -35,9 +35,9 @@ def admit(feed: DataFrame, time: str, delay: str, folder: str) -> None:
     write_batches(feed, folder, "append", outputs).awaitTermination()
 
 
-def admitted(reader: DataStreamReader, schema: T.StructType, folder: str) -> DataFrame:
-    """The rows in time, as a stream."""
-    return reader.schema(schema).parquet(f"{folder}/admitted").select(*schema.fieldNames())
+def admitted(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
+    """The rows in time, as a stream. All batches that are there are one micro-batch: a limit on files or bytes would cut a batch."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/admitted").select(*schema.fieldNames())
 
 
 def log_of(feed: DataFrame, folder: str, name: str) -> DataFrame:

@@ -66,7 +66,7 @@ def run_with_corrections(
     """
     spark = feed.sparkSession
     admit(feed, "changed_on", delay, folder)
-    stream = admitted(spark.readStream.option("maxFilesPerTrigger", 1), feed.schema, folder)
+    stream = admitted(spark, feed.schema, folder)
     in_time = run_balances(running(stream), f"{folder}/in-time")
     late = late_changes(feed, folder)
     both = in_time.unionByName(booked(late).select("account_id", "delta"))

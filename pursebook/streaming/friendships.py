@@ -62,7 +62,7 @@ def run_friendship_state(friend_actions: DataFrame, folder: str, delay: str) ->
     """
     spark = friend_actions.sparkSession
     admit(friend_actions, "ts", delay, folder)
-    stream = admitted(spark.readStream.option("maxFilesPerTrigger", 1), friend_actions.schema, folder)
+    stream = admitted(spark, friend_actions.schema, folder)
     write_batches(stream_friendship_state(stream, delay), f"{folder}/in-time", "update").awaitTermination()
     written = spark.read.parquet(f"{folder}/in-time/rows")
     current = written.groupBy("lo", "hi").agg(F.max_by("state", "batch").alias("state"))

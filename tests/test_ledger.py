@@ -170,6 +170,25 @@ def test_late_changes_are_booked_once(spark, tmp_path):
     assert sorted(r["change_id"] for r in late.collect()) == [3, 4]
 
 
+def test_a_batch_of_many_files_is_taken_in_as_a_whole(spark, tmp_path):
+    """The newest rows are in the first file of a batch: the others are in time all the same, and are one micro-batch."""
+    landing, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    rows = [(n, datetime(2024, 1, 1) + timedelta(days=400 - n), "I", 7, None, None, n % 5, Decimal(n), True) for n in range(400)]
+    spark.createDataFrame(rows, AMOUNT_CHANGES).repartitionByRange(4, "change_id").write.parquet(landing)
+    feed = spark.readStream.schema(AMOUNT_CHANGES).parquet(landing)
+    found = live_balances.run_with_corrections(
+        feed,
+        out,
+        "10 days",
+        lambda changes: live_balances.stream_balance_changes(changes, "10 days"),
+        lambda late: balance_ops.balance_delta_from_changes(late),
+    )
+    assert by_account(found, "delta") == {k: Decimal(sum(range(k, 400, 5))) for k in range(5)}
+    assert len(list((tmp_path / "out/admitted").glob("*/*.parquet"))) > 1
+    filled = spark.read.parquet(f"{out}/in-time/rows").select("batch").distinct().count()
+    assert filled == 1 and live_balances.late_changes(feed, out).isEmpty()
+
+
 def test_streamed_requests_are_stored_or_put_aside(spark, ledger, tmp_path):
     requests, feed, out = ledger["split_requests"], str(tmp_path / "feed"), str(tmp_path / "out")
     requests.repartition(3).write.parquet(feed)
