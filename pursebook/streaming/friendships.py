@@ -20,31 +20,29 @@ def stream_friendship_state(friend_actions: DataFrame, delay: str) -> DataFrame:
     """(lo, hi, state) of each pair whenever actions of it come in, in any order within `delay`.
 
     A pair keeps the state that its actions behind the watermark led to and, in a buffer, the newer ones. What comes in is put
-    among them by (ts, seq); the state reported is that after all of them. When the watermark passes the oldest buffered
-    action, a timer folds what lies behind it and reports nothing. A pair's buffer holds its actions of `delay` at most, repeated
-    deliveries once. The state lives in the session's state store (RocksDB with `session.SETTINGS`), which writes changes only.
+    among them by (ts, seq); the state reported is that after all of them. A buffer is folded when its pair has actions again: it holds
+    those of `delay` at most, each once, as a repeated delivery is late or finds its action there. So no second state of delivered
+    actions is needed, and no timer, which would call for a batch without rows after each with rows. The state lives in
+    the session's state store (RocksDB with `session.SETTINGS`), which writes changes only.
     """
     timed = with_pair(friend_actions).withColumn("_time", F.col("ts").cast("timestamp")).withWatermark("_time", delay)
-    once = timed.dropDuplicatesWithinWatermark(["seq"])
-    actions = once.select("lo", "hi", "_time", F.unix_micros("_time").alias("time"), "seq", F.col("effect").cast("int").alias("effect"))
-    return actions.groupBy("lo", "hi").applyInPandasWithState(
-        _advance, PAIRS, _STATE, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    actions = timed.select("lo", "hi", "_time", F.unix_micros("_time").alias("time"), "seq", F.col("effect").cast("int").alias("effect"))
+    return actions.groupBy("lo", "hi").applyInPandasWithState(_advance, PAIRS, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def _advance(pair: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
     settled, times, seqs, effects = kept.get if kept.exists else (0, [], [], [])
-    buffer = set(zip(times, seqs, effects, strict=True))
+    buffer = {seq: (time, seq, effect) for time, seq, effect in zip(times, seqs, effects, strict=True)}
+    watermark, came = kept.getCurrentWatermarkMs() * 1000, False
     for frame in frames:
-        buffer.update(zip(frame["time"].tolist(), frame["seq"].tolist(), frame["effect"].tolist(), strict=True))
-    ordered, watermark = sorted(buffer), kept.getCurrentWatermarkMs() * 1000
-    behind = sum(time < watermark for time, _, _ in ordered)
-    settled = _played(settled, ordered[:behind])
-    ordered = ordered[behind:]
-    kept.update((settled, *([entry[i] for entry in ordered] for i in range(3))))
-    if ordered:
-        kept.setTimeoutTimestamp(max(ordered[0][0], watermark) // 1000 + 1)
-    if not kept.hasTimedOut:
+        for action in zip(frame["time"].tolist(), frame["seq"].tolist(), frame["effect"].tolist(), strict=True):
+            if action[0] >= watermark and action[1] not in buffer:
+                came, buffer[action[1]] = True, action
+    if came:
+        ordered = sorted(buffer.values())
+        behind = sum(time < watermark for time, _, _ in ordered)
+        settled, ordered = _played(settled, ordered[:behind]), ordered[behind:]
+        kept.update((settled, *([entry[i] for entry in ordered] for i in range(3))))
         yield pd.DataFrame({"lo": [pair[0]], "hi": [pair[1]], "state": [_played(settled, ordered)]})
 
 

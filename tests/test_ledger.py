@@ -242,6 +242,17 @@ def test_streamed_friendships_set_late_actions_aside(spark, tmp_path):
     assert [r["count"] for r in written][:3] == [3, 2, 1]
 
 
+def test_streamed_friendships_keep_one_state_and_have_no_batches_without_rows(spark, tmp_path):
+    landing, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    for day in (1, 11, 21):
+        rows = [(day, datetime(2024, 1, day), 1, 2, "request")]
+        spark.createDataFrame(rows, FRIEND_ACTIONS).write.mode("append").parquet(landing)
+        live_friendships.run_friendship_state(spark.readStream.schema(FRIEND_ACTIONS).parquet(landing), out, "2 days")
+    checkpoint = tmp_path / "out" / "in-time" / "checkpoint"
+    assert sorted(file.name for file in (checkpoint / "commits").glob("[0-9]*")) == ["0", "1", "2"]
+    assert [folder.name for folder in (checkpoint / "state").glob("[0-9]*")] == ["0"]
+
+
 def test_streamed_friendships_equal_the_replay(spark, ledger, tmp_path):
     """The log in shuffled files, one a trigger, in disorder within the delay."""
     log, landing = ledger["friend_actions"], str(tmp_path / "feed")
