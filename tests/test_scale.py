@@ -15,6 +15,7 @@ from pursebook.operators import balances, documents, friends, requests, search,
 from pursebook.operators.friends import action_effects
 from pursebook.plans import ordered, skew
 from pursebook.plans.claims import with_first_claim
+from pursebook.sources import derive
 
 DAY = datetime(2024, 1, 1)
 few = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -319,3 +320,11 @@ def test_a_hot_account_is_split_at_run_time(spark, ledger):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def test_lines_are_shuffled_once_to_amounts_and_requests(ledger):
+    """Lines and orders each once; what the slots, their sums and the join to the order need comes with it."""
+    for make in (derive.transaction_amounts, derive.split_requests):
+        plan = make(ledger)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert "ledger-slots" not in plan
