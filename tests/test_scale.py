@@ -328,3 +328,13 @@ def test_lines_are_shuffled_once_to_amounts_and_requests(ledger):
         plan = make(ledger)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 2
         assert "ledger-slots" not in plan
+
+
+def test_tags_are_unfolded_behind_one_shuffle_and_made_for_readers_only(spark, ledger, monkeypatch):
+    plan = catalog.duplicate_tags(ledger)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(derive.Ledger, "_written", {})
+    for query in (catalog.edit_deltas, catalog.delete_transactions_reversal, catalog.delete_transactions, catalog.edited_ledger):
+        query(ledger)
+    assert "transaction_amounts" in {name for _, _, name in derive.Ledger._written}
+    assert "transaction_tags" not in {name for _, _, name in derive.Ledger._written}
