@@ -9,7 +9,7 @@ Documents with equal word sequences form one class, which is compared once. A bu
 candidate per member: to its centre, a star instead of all pairs. The candidates are confirmed on
 the full sets. A star alone could miss a link between two members that are both unlike the centre,
 so buckets whose members are not yet connected get new centres, round after round, until a round
-finds no further link. That only makes the rest small: the members of buckets that are still not
+links few of its pairs. That only makes the rest small: the members of buckets that are still not
 connected then go through an exact join on the rare shingles of their sets.
 """
 
@@ -31,6 +31,8 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: rounds with centres at random before
 RANDOM_ROUNDS = 2
+#: a round that confirms no more than one of so many pairs is the last: large buckets of unlike members cost a pair each in every further one
+FRUITLESS = 20
 #: rows of one shingle that a part of the exact join compares with each other row of it
 BLOCK = 2000
 #: how far labels look for the least id between two rounds
@@ -211,8 +213,8 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     At first the smallest id is a bucket's centre. Later only buckets with members that aren't known
     to be connected take part: in some rounds with a centre at random, then with one from a random
     component of the bucket, which meets every member that it isn't connected with. A round costs at
-    most one pair per member of a bucket. When one finds no further link, the exact join finds all
-    that are left.
+    most one pair per member of a bucket. When one confirms few of its pairs, the exact join finds all
+    links that are left.
     """
     alone = members.withColumn("component", F.col("id"))
     tried = stored(_pairs(alone, _centres(alone, F.col("id")), percent), "pairs")
@@ -233,10 +235,9 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         centres = _centres(placed, order)
         pairs = stored(_pairs(placed, centres, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(_confirmed(sets, pairs, percent), "links")
-        tried = tried.union(pairs)
-        if found.isEmpty():
+        tried, links = tried.union(pairs), links.union(found)
+        if found.count() * FRUITLESS <= pairs.count():
             break
-        links = links.union(found)
     placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     pairs = stored(_exact_pairs(stored(placed, "placed"), sets, percent), "pairs")
     return links.union(stored(_confirmed(sets, pairs, percent), "links"))

@@ -10,7 +10,7 @@ import pytest
 from conftest import FOLDER
 from corpus import AWKWARD, documents, rows_of, words
 
-from pursebook.llm import queries
+from pursebook.llm import minhash, queries
 from pursebook.llm.components import components
 from pursebook.llm.exact import exact_duplicates
 from pursebook.llm.lines import without_repeated_lines
@@ -115,6 +115,21 @@ def test_near_duplicates_in_a_hot_bucket(table):
     assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == expected
 
 
+def test_rounds_that_link_little_are_the_last(table, monkeypatch):
+    """Hundreds of unlike members of a bucket aren't paired with ever new centres: a star, one round, and the exact join."""
+    tried, confirmed = [], minhash._confirmed
+
+    def counted(sets, pairs, percent):
+        tried.append(pairs.count())
+        return confirmed(sets, pairs, percent)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    rows = hot_group(600, 60)
+    found = near_duplicates(documents(table, rows), words=5, percent=80)
+    assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == near_by_hand(rows, 5, 80)
+    assert len(tried) == 3
+
+
 def test_near_duplicates_of_nothing(table):
     assert near_duplicates(documents(table, [])).collect() == []
 
