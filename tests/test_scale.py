@@ -344,3 +344,13 @@ def test_a_body_is_chosen_by_one_look_at_its_kind(ledger):
     """A choice for each kind of faulty body, one in the other, took as long as the rest of making the requests."""
     plan = derive.split_requests(ledger)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count(f"% {derive.FAULTY_EVERY}") < 6
+
+
+def test_lines_are_dealt_by_their_number(ledger, monkeypatch):
+    """The tasks that place the lines follow the rows, not the size of what is shuffled; the places stay the same."""
+    plain = derive.slots(ledger)
+    monkeypatch.setattr(derive, "LINES_PER_TASK", 100)
+    dealt = derive.slots(ledger)
+    tasks = -(-ledger["lineitem"].count() // 100)
+    assert dealt.rdd.getNumPartitions() == tasks > plain.rdd.getNumPartitions()
+    assert dealt.exceptAll(plain).isEmpty() and dealt.count() == plain.count()
