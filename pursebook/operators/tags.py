@@ -55,19 +55,16 @@ def remove_tags(tags: DataFrame, removals: DataFrame, visible: DataFrame) -> Tag
     """Serve `(seq, user_id, transaction_id, tag_id)`; the pair must exist and be visible."""
     pair = ["transaction_id", "id"]
     asked = _with_access(removals, visible)
-    firsts = (
-        asked.where(F.col("_visible"))
-        .groupBy("transaction_id", F.col("tag_id").alias("id"))
-        .agg(F.min("seq").alias("seq"))
-    )
-    removed = firsts.join(tags.select(*pair), pair, "left_semi")
+    allowed = asked.where(F.col("_visible")).select("transaction_id", F.col("tag_id").alias("id"), "seq")
+    removed = allowed.groupBy(*pair).agg(F.min("seq").alias("seq")).join(tags.select(*pair), pair, "left_semi")
     verdict = (
         F.when(F.col("_visible").isNull(), "not_found").when(F.col("_removed"), "removed").otherwise("no_such_tag")
     )
     verdicts = with_mark(asked, removed, "_removed").select(
         "seq", "user_id", "transaction_id", "tag_id", verdict.alias("verdict")
     )
-    return TagChange(verdicts, tags.join(removed.select(*pair), pair, "left_anti").select(*tags.columns))
+    # What stays needs neither which request came first nor whether its tag is there: tags are shuffled once.
+    return TagChange(verdicts, tags.join(allowed.select(*pair), pair, "left_anti").select(*tags.columns))
 
 
 def duplicate_tags(tags: DataFrame) -> DataFrame:

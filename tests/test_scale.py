@@ -354,3 +354,9 @@ def test_lines_are_dealt_by_their_number(ledger, monkeypatch):
     tasks = -(-ledger["lineitem"].count() // 100)
     assert dealt.rdd.getNumPartitions() == tasks > plain.rdd.getNumPartitions()
     assert dealt.exceptAll(plain).isEmpty() and dealt.count() == plain.count()
+
+
+def test_tags_that_stay_are_looked_up_once(ledger):
+    """What stays of the tags doesn't ask first whether the tags to remove are there; a tag asked for twice is gone once."""
+    plan = catalog.remove_tags_result(ledger)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" not in plan
