@@ -1,18 +1,17 @@
 """Near-duplicate vectors by NN-descent.
 
 1. Equal vectors of a label form one class, which is compared once and counts by its size.
-2. Start: several random projections sort the vectors; in short overlapping runs of each order every
-   vector takes its best neighbours.
-3. Descent: each vertex takes a sample of its neighbours, in both directions, and compares them with
-   each other: neighbours of neighbours. Pairs that improve a list, or are links, go into it.
-4. A list has LIST places. While all of them are links, it is saturated, and its places double.
-   Only entries that were sampled at both ends count as asked. Rounds end when no list changes.
-5. Then the recall is audited: for a random set of vectors the links are counted by brute force against
-   all vectors. Too low a recall starts again with new projections; where it stays low, the vectors of
-   the label are compared in blocks, all with all.
-
-Samples grow with the square root of a list, so a group of m near copies costs about m^2 comparisons
-in each round, no more than it has links. A vertex whose list stays as it is asks no more.
+2. A projection sorts the vectors of a label; stretches of that order are the blocks, of bounded size. A task holds a block.
+3. Start, in each block: several random projections sort its vectors; in short overlapping runs of each order every vector
+   takes its best neighbours. A list has LIST places.
+4. Descent: each vertex takes a sample of its neighbours, in both directions, and compares them with each other:
+   neighbours of neighbours. Pairs that improve a list go into it. Only entries that were sampled at both ends count as
+   asked. Rounds end when no list changes. What the links in the lists connect is a star, known by its smallest id.
+5. Then every vector is checked against all vectors of its label, each two blocks in a task: that counts its links, those in
+   no list too, and joins the stars that a link connects. So no link is lost, whatever the descent has found.
+
+A group of m near copies makes a star and a count for each copy, not m^2 rows. The comparisons of the check grow with the square of a
+label; what a task holds doesn't.
 """
 
 import math
@@ -20,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.llm.components import components
@@ -30,14 +30,18 @@ LIST = 6
 SAMPLE = 12
 TABLES = 8
 RUN = 96
-#: signs that sort a vector: so many at least, and one more whenever a label has twice as many vectors
+#: signs that sort the vectors of a block: so many at least, and one more whenever a block has twice as many vectors
 LEAST_BITS = 10
 VECTORS_A_SECTOR = 8
+#: signs that sort the vectors of a label into blocks
 MOST_BITS = 48
-AUDITED = 256
-LEAST_RECALL = 0.995
-MOST_STARTS = 6
-BLOCK = 1024
+#: vectors of a block at most, and bytes of their components; blocks of fewer bytes than LEAST_BYTES are not worth a task
+BLOCK = 1 << 14
+MOST_BYTES = 1 << 23
+LEAST_BYTES = 1 << 20
+#: vectors that meet a whole block at once, and pairs that wait for a place in a list
+TILE = 256
+WAITING = 1 << 21
 
 
 def _matrix(vectors: list[bytes]) -> np.ndarray:
@@ -53,11 +57,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values in batch.column("embedding").to_pylist():
             row = np.array(values, np.float64)
             packed.append(np.ldexp(row, -int(np.frexp(np.abs(row).max())[1])).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cell"), pa.array(packed, pa.binary())], names=["id", "cell", "vector"])
+        columns = [batch.column("id"), batch.column("n"), batch.column("cell"), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cell", "vector"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
-    """The columns of each group of rows with the same key; the rows come sorted by it."""
+def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[dict[str, list]]:
+    """The columns of each group of rows with the same key, of up to `most` rows at a time; the rows come sorted by it."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         keys = np.array(batch.column(key).to_pylist())
@@ -66,6 +71,11 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, l
             if held and held[0].column(key)[0].as_py() != keys[start]:
                 yield _columns(held)
                 held = []
+            while most and (room := most - sum(part.num_rows for part in held)) < end - start:
+                held.append(batch.slice(start, room))
+                start += room
+                yield _columns(held)
+                held = []
             held.append(batch.slice(start, end - start))
     if held:
         yield _columns(held)
@@ -75,225 +85,236 @@ def _columns(parts: list[pa.RecordBatch]) -> dict[str, list]:
     return {name: [v for part in parts for v in part.column(name).to_pylist()] for name in parts[0].schema.names}
 
 
-def _edges(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    parts = [np.concatenate([f[i] for f in found]) if found else np.empty(0, kind) for i, kind in enumerate((np.int64, np.int64, np.float64))]
-    return pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["u", "v", "sim"])
-
-
-def _sketch(seed: int):
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Where a vector lies in a random order: the signs of projections, and one projection within equal signs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = []
-            for raw, bits in zip(batch.column("vector").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                row = _matrix([raw])[0]
-                at = _planes(seed, len(row))[: bits + 1] @ row
-                places.append((int((at[:bits] > 0) @ (1 << np.arange(bits - 1, -1, -1))), float(at[bits])))
-            columns = [batch.column(c) for c in ("id", "cell", "vector")]
-            columns += [pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "cell", "vector", "sector", "place"])
-
-    return run
-
-
-_known_planes: dict[tuple[int, int], np.ndarray] = {}
-
-
-def _planes(seed: int, size: int) -> np.ndarray:
-    if (seed, size) not in _known_planes:
-        _known_planes[seed, size] = np.random.default_rng([seed, size]).standard_normal((MOST_BITS + 1, size))
-    return _known_planes[seed, size]
-
-
-def _runs(threshold: float, places: int):
-    """Each vector's best neighbours, and all its links, among the next ones in the order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "cell"):
-            ids = np.array(group["id"], np.int64)
-            for start in range(0, max(len(ids) - RUN // 2, 1), RUN // 2):
-                own = ids[start : start + RUN]
-                rows = _matrix(group["vector"][start : start + RUN])
-                sims = rows @ rows.T
-                np.fill_diagonal(sims, -2.0)
-                best = np.zeros(sims.shape, bool)
-                k = min(places, len(own) - 1)
-                if k > 0:
-                    np.put_along_axis(best, np.argpartition(-sims, k - 1, axis=1)[:, :k], True, axis=1)
-                i, j = np.nonzero(best | (sims >= threshold))
-                yield _edges([(own[i], own[j], sims[i, j])])
-
-    return run
-
-
-def _local_joins(threshold: float):
-    """Compares the sampled neighbours of each vertex with each other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
-        for group in _groups(batches, "at"):
-            ids, worst = np.array(group["nb"], np.int64), np.array(group["worst"])
-            if len(ids) < 2:
-                continue
-            rows = _matrix(group["vector"])
-            sims = rows @ rows.T
+    for batch in batches:
+        places = []
+        for raw in batch.column("vector").to_pylist():
+            row = _matrix([raw])[0]
+            at = _planes(len(row)) @ row
+            places.append((int((at[:-1] > 0) @ (1 << np.arange(MOST_BITS - 1, -1, -1))), float(at[-1])))
+        columns = [batch.column(c) for c in ("id", "n", "cell", "vector")]
+        columns += [pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cell", "vector", "sector", "place"])
+
+
+_known_planes: dict[int, np.ndarray] = {}
+
+
+def _planes(size: int) -> np.ndarray:
+    if size not in _known_planes:
+        _known_planes[size] = np.random.default_rng(size).standard_normal((MOST_BITS + 1, size))
+    return _known_planes[size]
+
+
+class _Lists:
+    """The best neighbours found of each vector of a block: their numbers, best first, and whether they are still to be asked."""
+
+    def __init__(self, rows: np.ndarray, places: int):
+        self.rows, self.places = rows, min(places, len(rows) - 1)
+        shape = (len(rows), self.places)
+        self.near, self.sims, self.fresh = np.full(shape, -1), np.full(shape, -2.0), np.zeros(shape, bool)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(u, v, sim, fresh) of each place that is taken."""
+        u, at = np.nonzero(self.near >= 0)
+        return u, self.near[u, at], self.sims[u, at], self.fresh[u, at]
+
+    def offer(self, u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> bool:
+        """Take in the pairs that are better than a list's last; whether there were new ones."""
+        better = sim > self.sims[u, -1]
+        u, v, sim = u[better], v[better], sim[better]
+        touched = np.zeros(len(self.rows), bool)
+        touched[u] = True
+        known = self.entries()
+        known = [part[touched[known[0]]] for part in known]
+        u, v, sim = np.concatenate([known[0], u]), np.concatenate([known[1], v]), np.concatenate([known[2], sim])
+        new = np.arange(len(u)) >= len(known[0])
+        fresh = np.concatenate([known[3], np.ones(len(u) - len(known[0]), bool)])
+        # What is known comes first of equal pairs.
+        _, first = np.unique(u * len(self.rows) + v, return_index=True)
+        u, v, sim, new, fresh = u[first], v[first], sim[first], new[first], fresh[first]
+        order = np.lexsort((v, -sim, u))
+        u, v, sim, new, fresh = u[order], v[order], sim[order], new[order], fresh[order]
+        rank = _rank(u)
+        kept = rank < self.places
+        at = u[kept], rank[kept]
+        self.near[at], self.sims[at], self.fresh[at] = v[kept], sim[kept], fresh[kept]
+        return bool(new[kept].any())
+
+
+def _rank(keys: np.ndarray) -> np.ndarray:
+    """The place of each of the sorted `keys` among its equals."""
+    at = np.arange(len(keys))
+    starts = np.ones(len(keys), bool)
+    starts[1:] = keys[1:] != keys[:-1]
+    return at - np.maximum.accumulate(np.where(starts, at, 0))
+
+
+def _start(lists: _Lists, rng: np.random.Generator, tables: int, run: int) -> None:
+    """Each vector's best neighbours among the next ones in several random orders."""
+    rows = lists.rows
+    bits = max(LEAST_BITS, math.ceil(math.log2(len(rows) / VECTORS_A_SECTOR)))
+    for _ in range(tables):
+        at = rows @ rng.standard_normal((rows.shape[1], bits + 1))
+        order = np.lexsort((at[:, bits], (at[:, :bits] > 0) @ (1 << np.arange(bits))))
+        found = []
+        for start in range(0, max(len(order) - run // 2, 1), run // 2):
+            own = order[start : start + run]
+            sims = rows[own] @ rows[own].T
             np.fill_diagonal(sims, -2.0)
-            i, j = np.nonzero((sims >= threshold) | (sims > worst[:, None]))
-            found.append((ids[i], ids[j], sims[i, j]))
-            size += len(i)
-            if size > 200_000:
-                yield _edges(found)
-                found, size = [], 0
-        yield _edges(found)
-
-    return run
-
-
-def _start(vectors: DataFrame, seeds: range, threshold: float, places: int) -> DataFrame:
-    edges = None
-    for seed in seeds:
-        placed = in_tasks(vectors.select("id", "cell", "vector", "bits"), _sketch(seed), "id long, cell string, vector binary, sector long, place double")
-        order = ["cell", "sector", "place", "id"]
-        ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "cell", "vector")
-        own = in_tasks(ordered, _runs(threshold, places), "u long, v long, sim double")
-        edges = own if edges is None else edges.union(own)
-    return edges.select("*", F.lit(False).alias("old"), F.lit(False).alias("known"))
-
-
-def _lists(edges: DataFrame, threshold: float, places: int, name: str) -> DataFrame:
-    """(u, v, sim, old, worst): the best of each list; twice as many places while all of them are links."""
-    distinct = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"), F.max("known").alias("known"))
-    of_u = Window.partitionBy("u")
-    links = F.sum((F.col("sim") >= threshold).cast("int")).over(of_u)
-    doublings = F.greatest(F.ceil(F.log2((F.col("links") + 1) / F.lit(places))), F.lit(0))
-    ranked = distinct.select(
-        "*", F.row_number().over(of_u.orderBy(F.desc("sim"), "v")).alias("rank"), links.alias("links")
-    ).withColumn("limit", F.lit(places) * F.pow(F.lit(2), doublings))
-    kept = ranked.withColumn("last", F.max(F.when(F.col("rank") == F.col("limit"), F.col("sim"))).over(of_u)).where("rank <= limit")
-    return stored(kept.select("u", "v", "sim", "old", "known", F.coalesce("last", F.lit(-2.0)).alias("worst")), name)
-
-
-def _candidates(lists: DataFrame, vectors: DataFrame, threshold: float, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v, sim) of neighbours of neighbours that are links or better than a list's last; and the sampled (at, nb)."""
-    worst = lists.groupBy("u").agg(F.min("worst").alias("worst"))
-    active = lists.where("NOT old").select(F.col("u").alias("at")).union(lists.where("NOT old").select("v")).distinct()
-    both = lists.select(F.col("u").alias("at"), F.col("v").alias("nb")).union(lists.select(F.col("v").alias("at"), F.col("u").alias("nb")))
-    both = both.join(active, "at", "left_semi").distinct()
-    sizes = both.groupBy("at").agg(F.count(F.lit(1)).alias("size"))
-    wanted = F.greatest(F.lit(float(SAMPLE)), 2.2 * F.sqrt("size"))
-    chance = F.pmod(F.xxhash64("at", "nb", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-    sampled = stored(both.join(sizes, "at").where(chance * F.col("size") < wanted).select("at", "nb"), "sampled")
-    asked = sampled.join(vectors.join(worst, vectors["id"] == worst["u"]).select(F.col("id").alias("nb"), "vector", "worst"), "nb")
-    grouped = asked.select("at", "nb", "vector", "worst").repartition("at").sortWithinPartitions("at", "nb")
-    found = in_tasks(grouped, _local_joins(threshold), "u long, v long, sim double")
-    return found.select("*", F.lit(False).alias("old"), F.lit(False).alias("known")), sampled
-
-
-def _count_links(sample: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
-    """(id, n): how many links each vector of the sample has among the given ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = batch.to_pydict()
-            found: dict[int, int] = {}
-            for cell, (ids, rows) in sample.items():
-                at = [i for i, c in enumerate(table["cell"]) if c == cell]
-                if at:
-                    sims = _matrix([table["vector"][i] for i in at]) @ rows.T
-                    linked = ((sims >= threshold) & (np.array(table["id"])[at][:, None] != ids[None, :])).sum(axis=0)
-                    found |= {int(i): int(n) for i, n in zip(ids, linked, strict=True) if n}
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(found.values(), pa.int64())], names=["id", "n"])
-
-    return run
-
-
-def _recalls(vectors: DataFrame, lists: DataFrame, threshold: float, turn: int) -> dict[str, float]:
-    """By cell, the mean share of its links that the lists hold of a vector, against brute force.
-
-    Of AUDITED vectors drawn at random, those that have a link count.
-    """
-    rows = stored(vectors.orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(AUDITED), "audited").collect()
-    cells: dict[str, list] = {}
-    for row in rows:
-        cells.setdefault(row["cell"], []).append(row)
-    sample = {c: (np.array([r["id"] for r in own]), _matrix([bytes(r["vector"]) for r in own])) for c, own in cells.items()}
-    counted = in_tasks(vectors.select("id", "cell", "vector"), _count_links(sample, threshold), "id long, n long")
-    #: at most AUDITED rows each
-    true = {r["id"]: r["n"] for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    held = lists.where(F.col("sim") >= threshold).where(F.col("u").isin(list(true))) if true else lists.limit(0)
-    found = {r["u"]: r["n"] for r in held.groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shares = {c: [found.get(r["id"], 0) / true[r["id"]] for r in own if r["id"] in true] for c, own in cells.items()}
-    return {c: sum(own) / len(own) for c, own in shares.items() if own}
-
-
-def _within(threshold: float):
-    """All links among the vectors of each group."""
+            k = min(lists.places, len(own) - 1)
+            if k > 0:
+                best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                found.append((np.repeat(own, k), own[best].ravel(), np.take_along_axis(sims, best, 1).ravel()))
+        if found:
+            lists.offer(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+
+
+def _round(lists: _Lists, rng: np.random.Generator, sample: int) -> bool:
+    """Compares the sampled neighbours of each vertex with each other; whether a list has changed."""
+    count = len(lists.rows)
+    u, v, _, fresh = lists.entries()
+    active = np.zeros(count, bool)
+    active[u[fresh]] = active[v[fresh]] = True
+    pairs = np.unique(np.concatenate([u * count + v, v * count + u]))
+    pairs = pairs[active[pairs // count]]
+    sizes = np.bincount(pairs // count, minlength=count)[pairs // count]
+    pairs = pairs[rng.random(len(pairs)) * sizes < np.maximum(sample, 2.2 * np.sqrt(sizes))]
+    asked = np.isin(u * count + v, pairs) & np.isin(v * count + u, pairs)
+    row, place = np.nonzero(lists.near >= 0)
+    lists.fresh[row, place] = fresh & ~asked
+    at, nb = pairs // count, pairs % count
+    # Vertices with equally many sampled neighbours are joined together, without any padding.
+    many = np.bincount(at, minlength=count)[at]
+    order = np.lexsort((at, many))
+    nb, many = nb[order], many[order]
+    changed, found, waiting = False, [], 0
+    for m, start, end in zip(*_stretches(many), strict=True):
+        if m < 2:
+            continue
+        groups = nb[start:end].reshape(-1, m)
+        step = max(1, WAITING // (m * max(m, lists.rows.shape[1])))
+        for own in (groups[i : i + step] for i in range(0, len(groups), step)):
+            rows = lists.rows[own]
+            sims = rows @ rows.transpose(0, 2, 1)
+            sims[:, np.arange(m), np.arange(m)] = -2.0
+            g, i, j = np.nonzero(sims > lists.sims[own, -1][:, :, None])
+            found.append((own[g, i], own[g, j], sims[g, i, j]))
+            waiting += len(g)
+            if waiting > WAITING:
+                changed |= lists.offer(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+                found, waiting = [], 0
+    if found:
+        changed |= lists.offer(*(np.concatenate([f[i] for f in found]) for i in range(3)))
+    return changed
+
+
+def _stretches(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(value, start, end) of each stretch of equal ones."""
+    starts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1)] if len(values) else []
+    return [int(values[s]) for s in starts], starts, [*starts[1:], len(values)][: len(starts)]
+
+
+def _joined(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of `count` vertices the smallest one it reaches by the links (a, b)."""
+    least = np.arange(count)
+    while len(a):
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (least[least] != least).any():
+            least = least[least]
+        apart = least[a] != least[b]
+        a, b = a[apart], b[apart]
+    return least
+
+
+def _descents(threshold: float, places: int, block: int, tables: int, run: int, sample: int):
+    """The vectors with their block and the star that the links among their best neighbours make them part of."""
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for number, group in enumerate(_groups(batches, "cell", block), first):
+            ids = np.array(group["id"], np.int64)
+            # By id, so that the first of a star is its smallest.
+            order = np.argsort(ids)
+            ids, vectors = ids[order], [group["vector"][i] for i in order]
+            stars = ids
+            if len(ids) > 1:
+                lists, rng = _Lists(_matrix(vectors), places), np.random.default_rng(len(ids))
+                _start(lists, rng, tables, run)
+                while _round(lists, rng, sample):
+                    pass
+                u, v, sims, _ = lists.entries()
+                linked = sims >= threshold
+                stars = ids[_joined(len(ids), u[linked], v[linked])]
+            for start in range(0, len(ids), TILE * 8):
+                part = slice(start, start + TILE * 8)
+                columns = [pa.array(ids[part]), pa.array([group["n"][i] for i in order[part]], pa.int64()), pa.array(group["cell"][part])]
+                columns += [pa.array(vectors[part], pa.binary()), pa.array([number] * len(ids[part]), pa.int64()), pa.array(stars[part])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cell", "vector", "block", "star"])
+
+    return in_blocks
+
+
+def _checked(threshold: float):
+    """(id, others, root): how many links each vector has between two blocks, and for stars that links join the smallest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "blocks"):
-            ids, rows = np.array(group["id"], np.int64), _matrix(group["vector"])
-            sims = rows @ rows.T
-            np.fill_diagonal(sims, -2.0)
-            i, j = np.nonzero(sims >= threshold)
-            yield _edges([(ids[i], ids[j], sims[i, j])])
+        for group in _groups(batches, "pair"):
+            second = np.array(group["second"])
+            order = np.argsort(second, kind="stable")
+            ids, sizes = np.array(group["id"], np.int64)[order], np.array(group["n"], np.int64)[order]
+            rows = _matrix([group["vector"][i] for i in order])
+            stars, star = np.unique(np.array(group["star"], np.int64)[order], return_inverse=True)
+            root, others = np.arange(len(stars)), np.zeros(len(ids), np.int64)
+            within = not second.any()
+            first = len(ids) - int(second.sum())
+            for start in range(0, first, TILE):
+                end, right = min(start + TILE, first), start if within else first
+                linked = rows[start:end] @ rows[right:].T >= threshold
+                i, j = np.nonzero(np.triu(linked, 1) if within else linked)
+                i, j = i + start, j + right
+                np.add.at(others, i, sizes[j])
+                np.add.at(others, j, sizes[i])
+                a, b = root[star[i]], root[star[j]]
+                apart = np.unique(a[a != b] * len(stars) + b[a != b])
+                root = _joined(len(stars), apart // len(stars), apart % len(stars))[root]
+            has, moved = np.flatnonzero(others), np.flatnonzero(root != np.arange(len(stars)))
+            columns = [np.concatenate([ids[has], stars[moved]]), np.concatenate([others[has], np.zeros_like(moved)])]
+            columns += [np.concatenate([ids[has], stars[root[moved]]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "others", "root"])
 
     return run
 
 
-def _compared(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, sim): the links between all vectors of each cell, compared block with block."""
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = vectors.select("id", "cell", "vector", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    with_all = own.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    key = F.concat_ws("/", "cell", F.least("block", "other"), F.greatest("block", "other")).alias("blocks")
-    grouped = with_all.select("id", "vector", key).repartition("blocks").sortWithinPartitions("blocks")
-    return in_tasks(grouped, _within(threshold), "u long, v long, sim double").distinct()
-
-
-def _sized(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """The vectors with the size of their cell and the signs that sort them; and how many orders a start needs.
-
-    Two vectors at the threshold have an equal sign about 0.88 times: with each further sign it takes more orders.
-    """
-    bits = F.least(F.greatest(F.ceil(F.log2(F.col("size") / F.lit(VECTORS_A_SECTOR))), F.lit(LEAST_BITS)), F.lit(MOST_BITS)).cast("int")
-    sizes = stored(vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).withColumn("bits", bits), "cells")
-    most = sizes.agg(F.max("bits")).first()[0] or LEAST_BITS
-    return stored(vectors.join(sizes, "cell"), "sized"), math.ceil(TABLES * 0.88 ** (LEAST_BITS - most))
-
-
-def links(vectors: DataFrame, threshold: float, places: int = LIST) -> DataFrame:
-    """(u, v, sim), both ways: pairs of (id, cell, vector) rows of one cell that are similar enough."""
-    turn = 0
-    lists = None
-    vectors, tables = _sized(vectors)
-    for start in range(MOST_STARTS):
-        edges = _start(vectors, range(start * tables, (start + 1) * tables), threshold, places)
-        lists = _lists(edges if lists is None else edges.unionByName(_as_known(lists)), threshold, places, "lists")
-        while not lists.where("NOT known").isEmpty():
-            turn += 1
-            found, sampled = _candidates(lists, vectors, threshold, turn)
-            lists = _lists(found.unionByName(_as_known(lists, sampled)), threshold, places, "lists")
-        recalls = _recalls(vectors, lists, threshold, turn)
-        low = [cell for cell, recall in recalls.items() if recall < LEAST_RECALL]
-        if not low:
-            break
-    found = lists.where(F.col("sim") >= threshold).select("u", "v", "sim")
-    if not low:
-        return found
-    missed = _compared(vectors.where(F.col("cell").isin(low)), threshold)
-    return found.union(missed).groupBy("u", "v").agg(F.max("sim").alias("sim"))
-
-
-def _as_known(lists: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
-    """The lists for the next round; an entry that was sampled at both ends becomes old."""
-    if sampled is None:
-        return lists.select("u", "v", "sim", "old", F.lit(True).alias("known"))
-    there = sampled.select(F.col("at").alias("u"), F.col("nb").alias("v"))
-    back = sampled.select(F.col("nb").alias("u"), F.col("at").alias("v"))
-    asked = there.join(back, ["u", "v"], "left_semi").withColumn("asked", F.lit(True))
-    old = F.col("old") | F.coalesce("asked", F.lit(False))
-    return lists.join(asked, ["u", "v"], "left").select("u", "v", "sim", old.alias("old"), F.lit(True).alias("known"))
+def _blocks(vectors: DataFrame, threshold: float, places: int) -> DataFrame:
+    """(id, n, cell, vector, block, star): the blocks after the descent in each of them."""
+    held = vectors.agg(F.sum(F.length("vector"))).first()[0] or 0
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-held // MOST_BYTES), min(cores, held // LEAST_BYTES), 1)
+    placed = in_tasks(vectors, _sketch, "id long, n long, cell string, vector binary, sector long, place double")
+    order = ["cell", "sector", "place", "id"]
+    ordered = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("id", "n", "cell", "vector")
+    descents = _descents(threshold, places, BLOCK, TABLES, RUN, SAMPLE)
+    return stored(in_tasks(ordered, descents, "id long, n long, cell string, vector binary, block long, star long"), "blocks")
+
+
+def links(vectors: DataFrame, threshold: float, places: int = LIST) -> tuple[DataFrame, DataFrame]:
+    """Of (id, n, cell, vector) rows, n of which are equal: (id, others), how many rows of its cell are similar enough to a vector that is
+    not equal; and (u, v), what these links connect, as many at most as there are vectors in the blocks that meet."""
+    rows = _blocks(vectors, threshold, places)
+    blocks = rows.select("cell", "block").distinct()
+    met = blocks.join(blocks.select("cell", F.col("block").alias("other")), "cell").where("block <= other")
+    pairs = stored(met.select("block", "other", F.concat_ws("/", "block", "other").alias("pair")), "block-pairs")
+    either = pairs.select("block", "pair", F.lit(False).alias("second")).union(pairs.where("block <> other").select("other", "pair", F.lit(True)))
+    grouped = rows.join(either, "block").select("pair", "second", "id", "n", "vector", "star")
+    grouped = grouped.repartition(max(pairs.count(), 1), "pair").sortWithinPartitions("pair")
+    checked = stored(in_tasks(grouped, _checked(threshold), "id long, others long, root long"), "checked")
+    counts = checked.where("others > 0").groupBy("id").agg(F.sum("others").alias("others"))
+    stars = rows.where("id <> star").select(F.col("id").alias("u"), F.col("star").alias("v"))
+    return counts, stars.union(checked.where("id <> root").select("id", "root"))
 
 
 def _comparable(embedding: Column) -> Column:
@@ -317,12 +338,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     classes = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("n"))
     classes = stored(classes, "vector-classes")
     cell = F.concat_ws(":", "label", F.size("embedding")).alias("cell")
-    packed = stored(in_tasks(classes.select("id", cell, "embedding"), _packed, "id long, cell string, vector binary"), "vectors")
-    found = stored(links(packed, threshold), "vector-links")
-    sizes = classes.select(F.col("id").alias("v"), F.col("n").alias("others"))
-    linked = found.join(sizes, "v").groupBy("u").agg(F.sum("others").alias("others"))
-    reached = components(found, "u", "v")
-    placed = classes.join(linked.withColumnRenamed("u", "id"), "id", "left").join(reached, "id", "left").select(
+    packed = stored(in_tasks(classes.select("id", "n", cell, "embedding"), _packed, "id long, n long, cell string, vector binary"), "vectors")
+    linked, connected = links(packed, threshold)
+    reached = components(connected, "u", "v")
+    placed = classes.join(linked, "id", "left").join(reached, "id", "left").select(
         F.col("label").alias("_label"),
         F.col("embedding").alias("_embedding"),
         (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),

@@ -77,3 +77,23 @@ def test_no_vectors(table):
 def test_the_table(spark):
     given = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()]
     assert rows_of(queries.op1_near_vectors(spark, FOLDER), *COLUMNS) == by_hand(given, 0.93)
+
+
+def test_near_copies_make_a_row_each(table, monkeypatch):
+    """A group of near copies that lies in several blocks: whole, but written as rows for its vectors, not for its links."""
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + 0.02 * rng.standard_normal(16)).astype(np.float32).tolist(), 1) for i in range(600)]
+    rows += [(600 + i, rng.standard_normal(16).astype(np.float32).tolist(), 1) for i in range(60)]
+    written, stored = {}, neighbours.stored
+
+    def counted(frame, name):
+        kept = stored(frame, name)
+        written[name] = max(written.get(name, 0), kept.count())
+        return kept
+
+    monkeypatch.setattr(neighbours, "stored", counted)
+    monkeypatch.setattr(neighbours, "BLOCK", 100, raising=False)
+    found = near_vectors(table(SCHEMA, [(*r, 1, "x", 2) for r in rows]), 0.93)
+    assert rows_of(found, *COLUMNS) == by_hand(rows, 0.93)
+    assert max(written.values()) < 20 * len(rows), written
