@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -15,7 +16,7 @@ from pursebook.operators import balances, documents, friends, requests, search,
 from pursebook.operators.friends import action_effects
 from pursebook.plans import ordered, skew
 from pursebook.plans.claims import with_first_claim
-from pursebook.sources import derive
+from pursebook.sources import derive, workspace
 
 DAY = datetime(2024, 1, 1)
 few = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -360,3 +361,24 @@ def test_tags_that_stay_are_looked_up_once(ledger):
     """What stays of the tags doesn't ask first whether the tags to remove are there; a tag asked for twice is gone once."""
     plan = catalog.remove_tags_result(ledger)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "LeftSemi" not in plan
+
+
+def test_requests_are_made_for_the_feed_alone_and_land_compact(ledger, monkeypatch):
+    """The feed of the stream is where its requests are written, once, and bodies land as small as the batches made of them."""
+    folders = []
+    monkeypatch.setattr(derive.Ledger, "_written", {})
+    monkeypatch.setattr(catalog, "run_folder", lambda *given: folders.append(workspace.run_folder(*given)) or folders[-1])
+    assert catalog.stream_split_validation(ledger).count() == ledger["transaction_amounts"].count()
+    assert "split_requests" not in {name for _, _, name in derive.Ledger._written}
+    files = [file for folder in folders for file in Path(folder).rglob("*.parquet") if "published" not in str(file)]
+    assert files and all(file.name.endswith(".zstd.parquet") for file in files)
+
+
+def test_no_money_is_shuffled_to_judge_requests(ledger):
+    """A bill is summed up where it is parsed; the lookups of its accounts and friends carry what came out."""
+    plan = catalog.request_verdicts(ledger)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    shaped = requests.shaped_amounts(ledger["split_requests"])
+    assert len(joins) == 2 and not {"amount_paid", "amount_to_pay"} & set(shaped.columns)
+    assert not [name for name, kind in shaped.dtypes if kind.startswith("decimal")]
+    assert {r["account_name"] for r in shaped.select("account_name").distinct().collect()} == {None, "named"}
