@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pursebook.functions.times import moment
 from pursebook.plans.ordered import newest_first
+from pursebook.sources.workspace import written
 
 PAGE_LIMIT = 20
 
@@ -95,58 +96,66 @@ def search_batch(
     `filters` is the output of `search_filters` with the `user_id` that asks; those with a `reason` find nothing. Every transaction
     is listed under its users, accounts, tags and category. A filter wants some of these lists, and goes through the
     shortest one only; what the time bounds leave of it is looked up in the other lists. So no list is read for a filter
-    that has a shorter one, and a filter never meets transactions that none of its own lists hold.
+    that has a shorter one, and a filter never meets transactions that none of its own lists hold. Tags that no filter asks for are
+    not listed.
     """
     usable = filters.where(F.col("reason").isNull()).select("seq", "user_id", "start_on", "end_on", "category", "account_id", "tags")
     owned = accounts.select(F.col("id").alias("account_id"), F.col("user_id").alias("_owner"))
     usable = usable.join(owned, "account_id", "left")
     # An account that isn't the user's own has nothing for them; one that is makes the user's list needless.
     usable = usable.where(F.col("account_id").isNull() | F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False)))
-    owner = F.when(F.col("account_id").isNull(), _list_of("user", "user_id")).otherwise(_list_of("account", "account_id"))
+    owner = F.when(F.col("account_id").isNull(), _list_of("u", "user_id")).otherwise(_list_of("a", "account_id"))
     wanted = F.array_distinct(
         F.concat(
             F.array(owner),
-            F.when(F.col("category").isNull(), F.array().cast("array<string>")).otherwise(F.array(_list_of("category", "category"))),
-            F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda tag: F.concat(F.lit("tag:"), tag)),
+            F.when(F.col("category").isNull(), F.array().cast("array<string>")).otherwise(F.array(_list_of("c", "category"))),
+            F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda tag: F.concat(F.lit("t:"), tag)),
         )
     )
-    asked = usable.select("seq", "start_on", "end_on", wanted.alias("_wanted"))
-    listed = _lists(transactions, amounts, accounts, tags)
+    asked = usable.select("seq", "start_on", "end_on", F.explode(wanted).alias("_list"))
+    tags_asked = written(usable.select(F.explode("tags").alias("tag")).distinct(), "tags-asked")
+    # With their time, so that the bounds are checked where a search meets its list and nothing out of time is shuffled.
+    listed = _lists(transactions, amounts, accounts, tags.join(tags_asked, "tag", "left_semi"))
+    listed = written(listed.join(transactions.select("id", "created_on"), "id"), "lists")
     lengths = listed.groupBy("_list").agg(F.count(F.lit(1)).alias("_length"))
-    each = asked.select("seq", F.explode("_wanted").alias("_list")).join(lengths, "_list", "left")
-    shortest = each.groupBy("seq").agg(F.min(F.struct(F.coalesce("_length", F.lit(0)).alias("length"), F.col("_list").alias("list"))).alias("_first"))
-    headers = transactions.select("id", "created_on")
+    # What a search wants is put together once; what it meets carries its number and not its lists.
+    first = F.min(F.struct(F.coalesce("_length", F.lit(0)).alias("length"), F.col("_list").alias("list"))).alias("_first")
+    searches = asked.join(lengths, "_list", "left").groupBy("seq", "start_on", "end_on").agg(first, F.collect_list("_list").alias("_wanted"))
+    searches = searches.where("_first.length > 0").select(
+        "seq", "start_on", "end_on", F.col("_first.list").alias("_list"), F.array_remove("_wanted", F.col("_first.list")).alias("_others")
+    )
+    searches = written(searches, "searches")
     in_time = F.coalesce(F.col("created_on") >= F.col("start_on"), F.lit(True)) & F.coalesce(F.col("created_on") <= F.col("end_on"), F.lit(True))
     candidates = (
-        asked.join(shortest.where("_first.length > 0").select("seq", F.col("_first.list").alias("_list")), "seq")
+        searches.select("seq", "start_on", "end_on", "_list", F.size("_others").alias("_needed"))
         .join(listed, "_list")
-        .join(headers, "id")
         .where(in_time)
-        .withColumn("_others", F.array_remove("_wanted", F.col("_list")))
+        .select("seq", "id", "created_on", "_needed")
     )
-    needed = F.size("_others")
+    candidates = written(candidates, "candidates")
     checked = (
-        candidates.where(needed > 0)
-        .select("seq", "id", "created_on", needed.alias("_needed"), F.explode("_others").alias("_list"))
+        candidates.where("_needed > 0")
+        .join(searches.select("seq", F.explode("_others").alias("_list")), "seq")
         .join(listed, ["_list", "id"], "left_semi")
         .groupBy("seq", "id", "created_on", "_needed")
         .agg(F.count(F.lit(1)).alias("_held"))
         .where(F.col("_held") == F.col("_needed"))
     )
-    return candidates.where(needed == 0).select("seq", "id", "created_on").unionByName(checked.select("seq", "id", "created_on"))
+    return candidates.where("_needed = 0").select("seq", "id", "created_on").unionByName(checked.select("seq", "id", "created_on"))
 
 
 def _list_of(kind: str, key: str) -> Column:
+    """The name of a list, short because it goes with every row: u(ser), a(ccount), t(ag) or c(ategory), and which one."""
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
 def _lists(transactions: DataFrame, amounts: DataFrame, accounts: DataFrame, tags: DataFrame) -> DataFrame:
     """(_list, id): each transaction under everything a search can ask for, once."""
     rows = amounts.where(F.col("account_id").isNotNull()).select(F.col("transaction_id").alias("id"), "account_id")
-    users = visible_transactions(amounts, accounts).select(_list_of("user", "user_id").alias("_list"), F.col("transaction_id").alias("id"))
-    by_account = rows.select(_list_of("account", "account_id").alias("_list"), "id").distinct()
-    by_tag = tags.select(_list_of("tag", "tag").alias("_list"), F.col("transaction_id").alias("id")).distinct()
-    by_category = transactions.select(_list_of("category", "category").alias("_list"), "id")
+    users = visible_transactions(amounts, accounts).select(_list_of("u", "user_id").alias("_list"), F.col("transaction_id").alias("id"))
+    by_account = rows.select(_list_of("a", "account_id").alias("_list"), "id").distinct()
+    by_tag = tags.select(_list_of("t", "tag").alias("_list"), F.col("transaction_id").alias("id")).distinct()
+    by_category = transactions.select(_list_of("c", "category").alias("_list"), "id")
     return users.unionByName(by_account).unionByName(by_tag).unionByName(by_category)
 
 

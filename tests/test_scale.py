@@ -382,3 +382,17 @@ def test_no_money_is_shuffled_to_judge_requests(ledger):
     assert len(joins) == 2 and not {"amount_paid", "amount_to_pay"} & set(shaped.columns)
     assert not [name for name, kind in shaped.dtypes if kind.startswith("decimal")]
     assert {r["account_name"] for r in shaped.select("account_name").distinct().collect()} == {None, "named"}
+
+
+def test_lists_of_searches_are_made_once_and_only_of_what_is_asked_for(ledger, monkeypatch):
+    """Amounts and tags are gone through once for all that needs the lists; what a search met is in time before it is shuffled."""
+    kept = {}
+    monkeypatch.setattr(search, "written", lambda rows, name: kept.setdefault(name, workspace.written(rows, name)), raising=False)
+    found = catalog.search_batch(ledger)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "account_name" not in plan and "array_remove" not in plan
+    asked = {r["tag"] for r in kept["tags-asked"].collect()}
+    listed = {r["_list"] for r in kept["lists"].select("_list").distinct().collect() if r["_list"].startswith("t:")}
+    assert asked and listed <= {f"t:{tag}" for tag in asked}
+    late = kept["candidates"].join(kept["searches"].select("seq", "start_on", "end_on"), "seq").where("created_on < start_on OR created_on > end_on")
+    assert late.isEmpty() and set(kept["candidates"].columns) == {"seq", "id", "created_on", "_needed"}
